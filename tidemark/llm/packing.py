@@ -255,8 +255,8 @@ def _level(rows: DataFrame, limit: int, seed: int) -> DataFrame:
             given = more.groupBy("cell").agg(F.collect_list("numbers").alias("elites"))
             spread = spread.join(given, "cell")
         else:
-            to = F.explode(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS))))
-            given = more.withColumn("island", to.cast("int")).groupBy("cell", "island").agg(F.collect_list("numbers").alias("elites"))
+            to = F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)))
+            given = more.withColumn("island", F.explode(to.cast("array<int>"))).groupBy("cell", "island").agg(F.collect_list("numbers").alias("elites"))
             spread = spread.join(given, ["cell", "island"])
         better = spread.groupBy("cell", "island").applyInPandas(island, kind)
         elite = settle(elite.join(open_cells, "cell", "left_anti").unionByName(better))
