@@ -17,7 +17,7 @@ import os
 import random
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-LIMIT, CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 4096, 3, 3, 6, 10
+LIMIT, CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 4096, 2, 2, 6, 8
 #: A bin below this share of the limit goes to the next level.
 WELL_FILLED = 0.995
 
@@ -77,7 +77,13 @@ class Encoder:
         if self.fast is None or self.apart(text):
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
             return np.array(ids, dtype="<u4").tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python worker: its tables take most of a second to build."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, end_id: int = 0) -> DataFrame:
@@ -90,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, en
     schema = pa.schema([(c, pa.int64()) for c in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in batches:
             out: list[tuple] = []
             for uid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
@@ -228,53 +234,57 @@ def _bins(numbers) -> list[list[int]]:
 
 
 def _level(rows: DataFrame, limit: int, seed: int) -> DataFrame:
-    """``rows`` (with cell) and _bin, _offset, _fill: the best packing that the islands of each cell find."""
-    base = rows.schema
+    """``rows`` (with cell) and _bin, _offset, _fill: the best packing that the islands of each cell find.
+
+    A chromosome travels as one array per island and meets the rows of its cell by cogroup.
+    """
+    names = [f.name for f in rows.schema.fields]
+    short = rows.select("cell", "uid", "piece", "length")
+    kind = "cell long, island int, n int, fill double, proven boolean, numbers array<int>"
 
     def order(own: pd.DataFrame) -> pd.DataFrame:
         return own.sort_values(["uid", "piece"], kind="stable").reset_index(drop=True)
 
-    def island(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        own = order(own)
-        sizes, elites = own["length"].tolist(), [_bins(e) for e in own["elites"].iloc[0]] if "elites" in own else []
-        bins = evolve(sizes, limit, seed + 7919 * int(own["cell"].iloc[0]) + int(own["island"].iloc[0]), elites, GENERATIONS if len(sizes) > 1 else 0)
-        own = own.drop(columns=[c for c in ("elites",) if c in own])
-        return pd.DataFrame({"cell": [int(own["cell"].iloc[0])], "island": [int(own["island"].iloc[0])], "n": [len(bins)], "fill": [fitness(bins, sizes, limit)[1]],
+    def found(cell: int, island: int, sizes: list[int], elites: list) -> pd.DataFrame:
+        bins = evolve(sizes, limit, seed + 7919 * cell + island, [_bins(e) for e in elites])
+        return pd.DataFrame({"cell": [cell], "island": [island], "n": [len(bins)], "fill": [fitness(bins, sizes, limit)[1]],
                              "proven": [len(bins) <= lower_bound(sizes, limit)], "numbers": [_numbers(bins, len(sizes))]})
 
-    kind = "cell long, island int, n int, fill double, proven boolean, numbers array<int>"
-    elite = settle(rows.withColumn("island", F.lit(0)).groupBy("cell").applyInPandas(island, kind))
-    for epoch in range(EPOCHS):
-        open_cells = elite.groupBy("cell").agg(F.max("proven").alias("p")).where(~F.col("p")).select("cell")
-        if not open_cells.limit(1).count():
-            break
-        # Migration: island i starts from the elite of its predecessor in the ring and its own.
-        more = elite.join(open_cells, "cell", "left_semi")
-        spread = rows.join(open_cells, "cell", "left_semi").withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
-        if epoch == 0:
-            given = more.groupBy("cell").agg(F.collect_list("numbers").alias("elites"))
-            spread = spread.join(given, "cell")
-        else:
-            to = F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)))
-            given = more.withColumn("island", F.explode(to.cast("array<int>"))).groupBy("cell", "island").agg(F.collect_list("numbers").alias("elites"))
-            spread = spread.join(given, ["cell", "island"])
-        better = spread.groupBy("cell", "island").applyInPandas(island, kind)
-        elite = settle(elite.join(open_cells, "cell", "left_anti").unionByName(better))
-    best = elite.groupBy("cell").agg(F.max_by("numbers", F.struct(-F.col("n"), F.col("fill"), -F.col("island"))).alias("numbers"))
+    def first(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        sizes = order(own)["length"].tolist()
+        bins = best_fit([], list(range(len(sizes))), sizes, limit)
+        return pd.DataFrame({"cell": [int(key[0])], "island": [0], "n": [len(bins)], "fill": [fitness(bins, sizes, limit)[1]],
+                             "proven": [len(bins) <= lower_bound(sizes, limit)], "numbers": [_numbers(bins, len(sizes))]})
 
-    names = [f.name for f in base.fields]
+    def island(key: tuple, own: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
+        return found(int(key[0]), int(key[1]), order(own)["length"].tolist(), list(elites["numbers"]))
 
-    def lay(own: pd.DataFrame) -> pd.DataFrame:
+    def lay(key: tuple, own: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
         own = order(own)
-        own["_bin"] = np.asarray(own["numbers"].iloc[0], dtype=np.int64)
-        own = own.drop(columns=["numbers"])
+        own["_bin"] = np.asarray(best["numbers"].iloc[0], dtype=np.int64)
         per = own.groupby("_bin", sort=False)["length"]
         own["_offset"] = per.cumsum() - own["length"]
         own["_fill"] = per.transform("sum")
         return own[[*names, "_bin", "_offset", "_fill"]]
 
-    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in base.fields), "_bin long, _offset long, _fill long"])
-    return rows.join(best, "cell").select(*names, "numbers").groupBy("cell").applyInPandas(lay, kind)
+    elite = settle(short.groupBy("cell").applyInPandas(first, kind))
+    for _ in range(EPOCHS):
+        open_cells = elite.groupBy("cell").agg(F.max("proven").alias("p")).where(~F.col("p")).select("cell")
+        if not open_cells.limit(1).count():
+            break
+        # Migration: each island starts from its own elite and that of its predecessor in the ring;
+        # in the first epoch all islands start from the one best-fit packing.
+        more = elite.join(open_cells, "cell", "left_semi")
+        alone = more.groupBy("cell").agg(F.count(F.lit(1)).alias("k"))
+        everywhere = F.array(*(F.lit(i) for i in range(ISLANDS)))
+        to = F.when(F.col("k") == 1, everywhere).otherwise(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
+        given = more.join(alone, "cell").select("cell", F.explode(to).alias("island"), "numbers")
+        spread = short.join(open_cells, "cell", "left_semi").withColumn("island", F.explode(everywhere))
+        better = spread.groupBy("cell", "island").cogroup(given.groupBy("cell", "island")).applyInPandas(island, kind)
+        elite = settle(elite.join(open_cells, "cell", "left_anti").unionByName(better))
+    best = elite.groupBy("cell").agg(F.max_by("numbers", F.struct(-F.col("n"), F.col("fill"), -F.col("island"))).alias("numbers"))
+    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "_bin long, _offset long, _fill long"])
+    return rows.groupBy("cell").cogroup(best.groupBy("cell")).applyInPandas(lay, kind)
 
 
 def pack(parts: DataFrame, limit: int = LIMIT, cell: int = CELL, seed: int = 17) -> DataFrame:
