@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, labelled
 
-TRAIN_ROWS, PASSAGE, HIDDEN, GATE, EPOCHS, BATCH = 3000, 64, 16, 8, 60, 64
+TRAIN_ROWS, PASSAGE, HIDDEN, GATE, EPOCHS, BATCH = 1500, 64, 16, 8, 60, 64
 
 
 def passages(text: str | None) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import held_out, labelled
 
 #: Rows of each class that the learner sees at most.
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 1500
 # The closed word classes of the grammar.
 INSULTS = "idiot moron scum loser trash stupid pathetic worthless disgusting clown imbécile ordure crétin dummkopf abschaum trottel escoria imbécil".split()
 THREATS = "kill hurt destroy burn punch strangle shoot stab tuer frapper töten schlagen verbrennen matar golpear quemar".split()
@@ -161,45 +161,49 @@ def induce(sample: list[tuple[str, int]], least: int = 3, ratio: float = 12.0) -
     A term needs ``least`` documents of label 1, and a rate among them ``ratio`` times
     (smoothed) that among the others; each pick must cover documents not yet covered.
     """
-    sets, positives, negatives = [], Counter(), Counter()
     n1 = sum(y for _, y in sample)
     n0 = len(sample) - n1
     if not n1 or not n0:
         return [], []
+
+    def words_of(text: str) -> set[str]:
+        return {w for w in WORD.findall(ORNAMENTS.sub("", text.lower())) if len(w) >= 3}
+
+    def terms_of(text: str, wanted=None) -> set[str]:
+        """Words as they are, beginnings with a star."""
+        out = set()
+        for w in words_of(text):
+            if wanted is None or w[:3] + "*" in wanted or w in wanted:
+                out.add(w)
+                out.update(w[:k] + "*" for k in range(3, min(8, len(w)) + 1))
+        return out if wanted is None else out & wanted
+
+    positives, negatives = Counter(), Counter()
     for text, y in sample:
         if y:
-            terms = set()
-            for w in set(WORD.findall(ORNAMENTS.sub("", text.lower()))):
-                if len(w) >= 3:
-                    terms.add((w, ""))
-                    terms.update((w[:k], "*") for k in range(3, min(8, len(w)) + 1))
-            sets.append(terms)
-            positives.update(terms)
-    good = {t for t, c in positives.items() if c >= least}
-    prefixes = {t[0] for t in good}
+            positives.update(terms_of(text))
+    often = {t: c for t, c in positives.items() if c >= least}
+    del positives
+    wanted = set(often) | {t[:3] + "*" for t in often}
     for text, y in sample:
         if not y:
-            terms = set()
-            for w in set(WORD.findall(ORNAMENTS.sub("", text.lower()))):
-                if w[:3] in prefixes or w in prefixes:
-                    terms.add((w, ""))
-                    terms.update((w[:k], "*") for k in range(3, min(8, len(w)) + 1))
-            negatives.update(terms & good)
-    good = {t for t in good if (positives[t] + 0.5) / (n1 + 1) >= ratio * (negatives[t] + 0.5) / (n0 + 1) and positives[t] >= 20 * negatives[t] * n1 / n0}
-    holds: dict[tuple[str, str], set[int]] = {}
-    for i, terms in enumerate(sets):
-        for t in terms & good:
+            negatives.update(terms_of(text, wanted))
+    good = {t for t, c in often.items() if (c + 0.5) / (n1 + 1) >= ratio * (negatives[t] + 0.5) / (n0 + 1) and c >= 20 * negatives[t] * n1 / n0}
+    holds: dict[str, set[int]] = {}
+    reach = good | {t[:3] + "*" for t in good}
+    for i, text in enumerate(t for t, y in sample if y):
+        for t in terms_of(text, reach) & good:
             holds.setdefault(t, set()).add(i)
     words, stems, covered = [], [], set()
     while holds:
         def gain(t):
-            return len(holds[t] - covered), len(t[0]), t[0], t[1] == ""
+            return len(holds[t] - covered), len(t.rstrip("*")), t
         best = max(holds, key=gain)
         new = holds.pop(best) - covered
         if len(new) < least:
             break
         covered |= new
-        (stems if best[1] else words).append(best[0])
+        (stems if best.endswith("*") else words).append(best.rstrip("*"))
     return words, stems
 
 
