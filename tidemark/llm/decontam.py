@@ -62,7 +62,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     for m, span, offsets in masks:
         own = items.where(F.col("n") >= SPAN) if span == SPAN else items.where(F.col("n") == span)
         part = own.select("item_id", "n", "w", F.explode(_starts(F.col("w"), span)).alias("q")).select(
-            "item_id", F.col("n").alias("item_n"), "q", _seed(F.col("w"), F.col("q"), m, offsets).alias("h"), _around(F.col("w"), F.col("q")).alias("item_w"))
+            "item_id", F.lit(m).alias("mask"), F.col("n").alias("item_n"), "q", _seed(F.col("w"), F.col("q"), m, offsets).alias("h"), _around(F.col("w"), F.col("q")).alias("item_w"))
         seeds = part if seeds is None else seeds.unionByName(part)
     seeds = settle(seeds.distinct())
     n = seeds.select("h").distinct().count()
@@ -70,12 +70,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), words(F.col("text")).alias("w"))
     for b in range(blocks):
         mine = seeds if blocks == 1 else seeds.where(F.pmod(F.col("h"), F.lit(blocks)) == b)
-        hashes = sorted(r["h"] for r in mine.select("h").distinct().collect())  # about BLOCK numbers at most
+        hashes: dict[int, list[int]] = {}
+        for r in mine.select("mask", "h").distinct().collect():  # about BLOCK numbers at most
+            hashes.setdefault(r["mask"], []).append(r["h"])
         if not hashes:
             continue
-        known = ",".join(f"{h}L" if h > -(2**63) else f"({h + 1}L - 1L)" for h in hashes)
         parts = []
         for m, span, offsets in masks:
+            if m not in hashes:
+                continue
+            known = ",".join(f"{h}L" if h > -(2**63) else f"({h + 1}L - 1L)" for h in sorted(hashes[m]))
             hash_sql = f"xxhash64({m}, " + ", ".join(f"get(w, i + {o})" for o in offsets) + ")"
             parts.append(f"transform(filter(if(size(w) >= {span}, sequence(0, size(w) - {span}), cast(array() as array<int>)), i -> {hash_sql} IN ({known})), i -> struct(i AS p, {hash_sql} AS h))")
         hits = texts.select("doc_id", "_text", "w", F.expr(f"concat({', '.join(parts)})").alias("hits"))
@@ -83,7 +87,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
         at = hits.select("doc_id", "_text", F.explode_outer(F.transform("hits", lambda x: F.struct(x["h"].alias("h"), _around(F.col("w"), x["p"]).alias("doc_w")))).alias("x")).select(
             "doc_id", "_text", "x.h", "x.doc_w").where("h is not null")
         # A block has about BLOCK hashes; its rows are sent whole only if few items share them.
-        pairs = at.join(F.broadcast(mine) if mine.count() <= 2 * BLOCK else mine, "h")
+        pairs = at.join(F.broadcast(mine.drop("mask")) if mine.count() <= 2 * BLOCK else mine.drop("mask"), "h")
         equal = F.zip_with("doc_w", "item_w", lambda a, c: F.when(c.isNotNull() & a.eqNullSafe(c), 1).otherwise(0))
         size = F.least(F.col("item_n"), F.lit(WINDOW))
         # A window starts at most size - 1 words before the hit, no later than it, and stays inside the item.
