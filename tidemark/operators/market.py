@@ -4,25 +4,28 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.core import average_rank, beta_over, simple_return, zero_if_null
 
-BY = Window.partitionBy("asset_id").orderBy("ts")
 RETURNS = (1, 3, 5, 20, 60)
 
 
+def by_asset() -> WindowSpec:
+    return Window.partitionBy("asset_id").orderBy("ts")
+
+
 def _rows(before: int, to: int = 0):
-    return BY.rowsBetween(-before, to)
+    return by_asset().rowsBetween(-before, to)
 
 
 def returns(bars: DataFrame) -> DataFrame:
     """return_{1,3,5,20,60}d (0.0 and a missing flag without enough history), reversal and momentum; p is the price."""
     out = bars.withColumn("p", F.col("close") * F.coalesce("factor", F.lit(1.0)) if "factor" in bars.columns else F.col("close"))
     for k in RETURNS:
-        r = simple_return(F.col("p"), F.lag("p", k).over(BY))
-        out = out.withColumn(f"return_{k}d", zero_if_null(r)).withColumn(f"return_{k}d_missing", F.lag("p", k).over(BY).isNull())
+        r = simple_return(F.col("p"), F.lag("p", k).over(by_asset()))
+        out = out.withColumn(f"return_{k}d", zero_if_null(r)).withColumn(f"return_{k}d_missing", F.lag("p", k).over(by_asset()).isNull())
     return out.withColumns({
         "short_term_reversal_1d": -F.col("return_1d"), "momentum_20d": F.col("return_20d"),
         "momentum_5d": F.when(F.col("return_5d_missing"), 0.0).otherwise(F.col("return_5d") - F.col("return_1d"))})
@@ -30,9 +33,9 @@ def returns(bars: DataFrame) -> DataFrame:
 
 def liquidity(bars: DataFrame) -> DataFrame:
     """Gap and intraday returns, abnormal volume (the current row left out), dollar volume, 21-row average, Amihud, spread."""
-    r = F.when(F.lag("close").over(BY).isNotNull(), simple_return(F.col("close"), F.lag("close").over(BY)))
+    r = F.when(F.lag("close").over(by_asset()).isNotNull(), simple_return(F.col("close"), F.lag("close").over(by_asset())))
     out = bars.withColumn("dollar_volume", F.col("close") * F.col("volume")).withColumn("_r", r)
-    gap = simple_return(F.col("open"), F.lag("close").over(BY))
+    gap = simple_return(F.col("open"), F.lag("close").over(by_asset()))
     out = out.withColumns({"gap_return_1d": zero_if_null(gap), "gap_return_1d_missing": gap.isNull(), "intraday_return": simple_return(F.col("close"), F.col("open"))})
     for n in (3, 20):
         mean = F.avg("volume").over(_rows(n, -1))
@@ -41,13 +44,13 @@ def liquidity(bars: DataFrame) -> DataFrame:
     illiquid = F.avg(F.when((F.col("dollar_volume") > 0) & F.col("_r").isNotNull(), F.try_divide(F.abs("_r"), F.col("dollar_volume")))).over(_rows(19))
     return out.withColumns({
         "average_dollar_volume_20d": adv, "amihud_illiquidity_20d": zero_if_null(illiquid), "size_proxy_log_dollar_volume": F.log1p(adv),
-        "volume_history_count": F.least(F.lit(20), F.row_number().over(BY) - 1).cast("long"),
+        "volume_history_count": F.least(F.lit(20), F.row_number().over(by_asset()) - 1).cast("long"),
         "high_low_spread_estimate": F.try_divide(F.col("high") - F.col("low"), (F.col("high") + F.col("low")) / 2)}).drop("_r")
 
 
 def volatility(bars: DataFrame) -> DataFrame:
     """Realised, downside and range volatility and the regime; 0.0 and a flag with fewer than two returns."""
-    out = bars.withColumn("_r", simple_return(F.col("close"), F.lag("close").over(BY)))
+    out = bars.withColumn("_r", simple_return(F.col("close"), F.lag("close").over(by_asset())))
     for n in (3, 20, 60):
         w = _rows(n - 1)
         out = out.withColumn(f"realized_volatility_{n}d", zero_if_null(F.stddev_pop("_r").over(w))).withColumn(f"realized_volatility_{n}d_missing", F.count("_r").over(w) < 2)
@@ -60,7 +63,7 @@ def volatility(bars: DataFrame) -> DataFrame:
 
 def market_model(bars: DataFrame, assets: DataFrame) -> DataFrame:
     """Market and sector returns of each time, beta over 60 rows and residuals."""
-    out = bars.withColumn("_r", simple_return(F.col("close"), F.lag("close").over(BY))).join(F.broadcast(assets.select("asset_id", "sector")), "asset_id", "left")
+    out = bars.withColumn("_r", simple_return(F.col("close"), F.lag("close").over(by_asset()))).join(F.broadcast(assets.select("asset_id", "sector")), "asset_id", "left")
     market = out.groupBy("ts").agg(F.avg("_r").alias("_m"))
     sector = out.where(F.trim("sector") != "").groupBy("ts", "sector").agg(F.avg("_r").alias("_s"))
     out = out.join(market, "ts").join(sector, ["ts", "sector"], "left")
@@ -77,16 +80,16 @@ def forward_labels(bars: DataFrame, h: int) -> DataFrame:
 
     A gap in the sessions of the window censors the label (null).
     """
-    steps = [F.lead("close", k).over(BY) for k in range(1, h + 1)]
-    whole = F.lead("seq", h).over(BY) == F.col("seq") + h
-    entry, leave = F.lead("open", 1).over(BY), F.lead("close", h).over(BY)
+    steps = [F.lead("close", k).over(by_asset()) for k in range(1, h + 1)]
+    whole = F.lead("seq", h).over(by_asset()) == F.col("seq") + h
+    entry, leave = F.lead("open", 1).over(by_asset()), F.lead("close", h).over(by_asset())
     path = F.array(entry, *steps)
     moves = F.transform(F.sequence(F.lit(1), F.lit(h)), lambda k: simple_return(F.get(path, k), F.get(path, k - 1)))
     rms = F.sqrt(F.aggregate(moves, F.lit(0.0), lambda s, x: s + x * x) / h)
-    volume = sum((F.lead("volume", k).over(BY) for k in range(1, h + 1)), F.lit(0.0)) / h
+    volume = sum((F.lead("volume", k).over(by_asset()) for k in range(1, h + 1)), F.lit(0.0)) / h
     out = bars.withColumns({
         "forward_return": F.when(whole, simple_return(leave, entry)), "forward_volatility": F.when(whole, rms), "forward_volume": F.when(whole, volume),
-        "label_start": F.when(whole, F.lead("ts", 1).over(BY)), "label_end": F.when(whole, F.lead("ts", h).over(BY)), "expected_end_seq": F.col("seq") + h})
+        "label_start": F.when(whole, F.lead("ts", 1).over(by_asset())), "label_end": F.when(whole, F.lead("ts", h).over(by_asset())), "expected_end_seq": F.col("seq") + h})
     return out.withColumns({"forward_volume_change": F.when(F.col("volume") > 0, F.try_divide(F.col("forward_volume"), F.col("volume")) - 1),
                             "binary_up": (F.col("forward_return") > 0).cast("int"), "missing_reason": F.when(F.col("forward_return").isNull(), "incomplete_sessions")})
 

@@ -83,12 +83,12 @@ def a11(spark, sf):
     return rounded(src.signals(spark, sf).groupBy("asset_id").agg(*(F.count_if(F.col("event_type") == e).alias(e.lower()) for e in ("F", "O", "P")), F.avg("sentiment").alias("sentiment")))
 
 
-FUND = "fund AS (SELECT 'N' || c_nationkey AS asset_id, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS avail, max(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 7 = 0 GROUP BY ALL)"
+FUND = "fund AS (SELECT 'N' || c_nationkey AS asset_id, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS avail, max(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)"
 
 
 def fundamentals(spark, sf):
-    """Facts of a few orders (every seventh key), one per asset and day."""
-    o, c = src.table(spark, sf, "orders").where("o_orderkey % 7 = 0"), src.table(spark, sf, "customer")
+    """Facts of urgent orders, one per asset and day."""
+    o, c = src.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'"), src.table(spark, sf, "customer")
     return o.join(c, o.o_custkey == c.c_custkey).groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("asset_id"), src.day(F.col("o_orderdate").cast("date")).alias("avail")).agg(F.max("o_totalprice").alias("v"))
 
 

@@ -119,14 +119,14 @@ def w25(spark, sf):
 @query("W27_score_delay", f"""WITH {src.BARS}, s AS (SELECT asset_id, ts, close / lag(close) OVER w - 1 AS score FROM bars {W}), d AS (SELECT asset_id, ts, lag(score, 2) OVER w AS delayed_score FROM s {W})
 SELECT asset_id, ts, round(delayed_score, 6) + 0.0::DOUBLE AS delayed_score FROM d WHERE delayed_score IS NOT NULL""")
 def w27(spark, sf):
-    s = src.bars(spark, sf).withColumn("score", F.col("close") / F.lag("close").over(market.BY) - 1)
-    return rounded(s.select("asset_id", "ts", F.lag("score", 2).over(market.BY).alias("delayed_score")).where("delayed_score is not null"))
+    s = src.bars(spark, sf).withColumn("score", F.col("close") / F.lag("close").over(market.by_asset()) - 1)
+    return rounded(s.select("asset_id", "ts", F.lag("score", 2).over(market.by_asset()).alias("delayed_score")).where("delayed_score is not null"))
 
 
 @query("A01_market_sector_returns", f"""WITH {src.ASSETS}, {src.BARS}, b AS (SELECT asset_id, ts, close / lag(close) OVER w - 1 AS ret FROM bars {W})
 SELECT ts, coalesce(sector, 'ALL') AS sector, round(avg(ret), 6) + 0.0::DOUBLE AS mean_return, count(ret) AS n FROM b JOIN assets USING (asset_id) WHERE ret IS NOT NULL GROUP BY GROUPING SETS ((ts), (ts, sector))""")
 def a01(spark, sf):
-    b = src.bars(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(market.BY) - 1).join(F.broadcast(src.assets(spark, sf)), "asset_id").where("ret is not null")
+    b = src.bars(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(market.by_asset()) - 1).join(F.broadcast(src.assets(spark, sf)), "asset_id").where("ret is not null")
     both = b.withColumn("sector", F.explode(F.array(F.lit("ALL"), F.col("sector"))))
     return rounded(both.groupBy("ts", "sector").agg(F.avg("ret").alias("mean_return"), F.count("ret").alias("n")))
 
@@ -136,7 +136,7 @@ SELECT asset_id, count(ret) AS n, round(coalesce(covar_pop(ret, m) / nullif(var_
   round(coalesce(covar_pop(ret, m) / nullif(sqrt(var_pop(ret) * var_pop(CASE WHEN ret IS NOT NULL THEN m END)), 0), 0.0), 3) + 0.0::DOUBLE AS correlation,
   round(coalesce(stddev_pop(ret), 0.0), 6) AS std, round(sqrt(avg(ret * ret)), 6) AS rms FROM c GROUP BY asset_id""")
 def a06(spark, sf):
-    b = src.bars(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(market.BY) - 1)
+    b = src.bars(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(market.by_asset()) - 1)
     b = b.withColumn("m", F.avg("ret").over(Window.partitionBy("ts"))).withColumn("m", F.when(F.col("ret").isNotNull(), F.col("m")))
     out = b.groupBy("asset_id").agg(F.count("ret").alias("n"), F.coalesce(F.try_divide(F.covar_pop("ret", "m"), F.var_pop("m")), F.lit(0.0)).alias("beta"), correlation(F.col("ret"), F.col("m")).alias("correlation"),
                                     F.coalesce(F.stddev_pop("ret"), F.lit(0.0)).alias("std"), F.sqrt(F.avg(F.col("ret") * F.col("ret"))).alias("rms"))
@@ -145,7 +145,7 @@ def a06(spark, sf):
 
 @query("F04_contiguity", f"""WITH {src.BARS}, g AS (SELECT asset_id, ts, seq, lag(seq) OVER w AS previous FROM bars {W}) SELECT asset_id, ts, seq - previous - 1 AS missing_sessions FROM g WHERE seq <> previous + 1""")
 def f04(spark, sf):
-    g = src.bars(spark, sf).withColumn("previous", F.lag("seq").over(market.BY))
+    g = src.bars(spark, sf).withColumn("previous", F.lag("seq").over(market.by_asset()))
     return g.where(F.col("seq") != F.col("previous") + 1).select("asset_id", "ts", (F.col("seq") - F.col("previous") - 1).alias("missing_sessions"))
 
 

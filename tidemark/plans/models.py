@@ -32,7 +32,7 @@ SCORED = "scored AS (SELECT p.asset_id, p.ts, round(p.score, 5) + 0.0::DOUBLE AS
 
 
 def rows(spark, sf):
-    w = market.BY
+    w = market.by_asset()
     b = src.bars(spark, sf)
     change = lambda c: F.coalesce(F.log(F.col(c) / F.lag(c).over(w)), F.lit(0.0))
     f = b.select("asset_id", "ts", src.day(F.col("ts")).alias("decision"), change("close").alias("momentum"), change("volume").alias("volume_shift"), ((F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2)).alias("spread"))
@@ -214,11 +214,11 @@ def p11(spark, sf):
     return src.bars(spark, sf).select("asset_id", "ts", F.when(dv < 50000, "low").when(dv < 500000, "medium").otherwise("high").alias("liquidity"), F.when(vol < 0.1, "calm").when(vol < 0.5, "normal").otherwise("wild").alias("volatility"))
 
 
-@query("C18_costs", "SELECT o_orderkey, round(t * 1.0 / 1e4, 9) AS commission, round(t * (1.0 + v * 500 + p * 50.0) / 1e4, 9) AS slippage, round(t * v * sqrt(p) * 0.1, 9) AS market_impact FROM (SELECT o_orderkey, o_totalprice / 1e6 AS t, (o_custkey % 10) / 100.0::DOUBLE AS v, (o_orderkey % 20) / 400.0::DOUBLE AS p FROM orders)")
+@query("C18_costs", "SELECT o_orderkey, round(t * 1.0 / 1e4, 15) AS commission, round(t * (1.0 + v * 500 + p * 50.0) / 1e4, 15) AS slippage, round(t * v * sqrt(p) * 0.1, 15) AS market_impact FROM (SELECT o_orderkey, o_totalprice / 1e6 AS t, (o_custkey % 10) / 100.0::DOUBLE AS v, (o_orderkey % 20) / 400.0::DOUBLE AS p FROM orders)")
 def c18(spark, sf):
     o = src.table(spark, sf, "orders").withColumns({"t": F.col("o_totalprice") / 1e6, "v": (F.col("o_custkey") % 10) / 100.0, "p": (F.col("o_orderkey") % 20) / 400.0})
     c = COSTS.columns(F.col("t"), F.col("v"), F.col("p"), F.lit(0.0), F.lit(0.0))
-    return rounded(o.select("o_orderkey", *(c[k].alias(k) for k in ("commission", "slippage", "market_impact"))), 9)
+    return rounded(o.select("o_orderkey", *(c[k].alias(k) for k in ("commission", "slippage", "market_impact"))), 15)
 
 
 @query("M16_holm", """WITH p AS (SELECT s_suppkey AS k, least(1.0, abs(s_acctbal) / 200000.0) AS p FROM supplier), s AS (SELECT k, p, least(1.0, (count(*) OVER () - row_number() OVER (ORDER BY p, k) + 1) * p) AS x, row_number() OVER (ORDER BY p, k) AS i FROM p)
@@ -249,7 +249,7 @@ def t03(spark, sf):
 
 @query("T03_selector_momentum", f"WITH {src.BARS}, m AS (SELECT ts, asset_id, close / lag(close, 5) OVER (PARTITION BY asset_id ORDER BY ts) - 1 AS m FROM bars), s AS (SELECT ts, asset_id, row_number() OVER (PARTITION BY ts ORDER BY m DESC, asset_id) AS k FROM m WHERE m IS NOT NULL) SELECT ts, asset_id, k::INTEGER AS k FROM s WHERE k <= 4")
 def t03b(spark, sf):
-    m = src.bars(spark, sf).withColumn("m", F.col("close") / F.lag("close", 5).over(market.BY) - 1).where("m is not null")
+    m = src.bars(spark, sf).withColumn("m", F.col("close") / F.lag("close", 5).over(market.by_asset()) - 1).where("m is not null")
     return m.select("ts", "asset_id", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("m"), "asset_id")).alias("k")).where("k <= 4")
 
 

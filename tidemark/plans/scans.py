@@ -1 +1,330 @@
-"""Scans, scalars, sets, limits and checks."""
+"""Scans, scalars, sets, limits, checks and ledgers (S, P, F, U, T, C, G, B ids of the survey)."""
+
+from __future__ import annotations
+
+from datetime import date
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import calendars, core
+from ..functions import text as T
+from ..operators import joins, ledger, market, quality
+from ..sources import adapters as src
+from ..sources import readers
+from .market import LABELS
+from .registry import query, r, rounded
+
+t = src.table
+
+
+@query("S03_filtered_read", "SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1998-12-31' ORDER BY o_custkey LIMIT 500")
+def s03(spark, sf):
+    return readers.filtered(t(spark, sf, "orders"), {"o_orderpriority": ["1-URGENT", "2-HIGH"]}, "o_orderdate", "1996-01-01 00:00:00", "1998-12-31 00:00:00", ["o_custkey"], "o_custkey", 500)
+
+
+@query("S05_decision_times", "WITH d AS (SELECT ts::DATE AS session, max(epoch_us(ts)) AS decision FROM events GROUP BY ALL) SELECT session, decision, coalesce(decision > lag(decision) OVER (ORDER BY session), TRUE) AS increasing FROM d")
+def s05(spark, sf):
+    e = t(spark, sf, "events").select(F.col("ts").cast("date").alias("d"), _micros(F.col("ts")).alias("u"))
+    return readers.decision_times(e, F.col("d"), F.col("u"))
+
+
+def _micros(ts):
+    """Microseconds since 1970 of a zoneless timestamp, whatever the session zone."""
+    return (F.unix_date(ts.cast("date")).cast("long") * 86_400_000_000 + F.hour(ts).cast("long") * 3_600_000_000 + F.minute(ts).cast("long") * 60_000_000
+            + (F.extract(F.lit("SECOND"), ts).cast("decimal(8,6)") * 1_000_000).cast("long"))
+
+
+@query("S07_nested_json", """SELECT event_id, coalesce(json_extract_string(props, '$.page'), '') AS page, len(json_keys(props)) AS n_keys FROM events""")
+def s07(spark, sf):
+    return t(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("")).alias("page"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
+
+
+@query("T04_first_decisions", f"WITH {src.BARS}, d AS (SELECT DISTINCT ts FROM bars ORDER BY ts LIMIT 10) SELECT asset_id, ts FROM bars WHERE ts IN (SELECT ts FROM d)")
+def t04(spark, sf):
+    b = src.bars(spark, sf).select("asset_id", "ts")
+    return b.join(F.broadcast(b.select("ts").distinct().orderBy("ts").limit(10)), "ts", "left_semi").select("asset_id", "ts")
+
+
+@query("P01_simple_return", "SELECT event_id, round(CASE WHEN value - 50 = 0 THEN 0.0 ELSE value / (value - 50) - 1 END, 6) + 0.0::DOUBLE AS ret FROM events")
+def p01(spark, sf):
+    return rounded(t(spark, sf, "events").select("event_id", core.simple_return(F.col("value"), F.col("value") - 50).alias("ret")))
+
+
+@query("P02_finite_float", "SELECT c_custkey, coalesce(TRY_CAST(x AS DOUBLE), 0.0) AS v FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN '1.5' WHEN 2 THEN NULL ELSE '-7' END AS x FROM customer)")
+def p02(spark, sf):
+    k = F.col("c_custkey") % 4
+    x = F.when(k == 0, F.col("c_name")).when(k == 1, "1.5").when(k == 3, "-7")
+    return t(spark, sf, "customer").select("c_custkey", core.finite(x).alias("v"))
+
+
+@query("P03_first_numeric", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 2.5::DOUBLE WHEN 1 THEN 7.0 ELSE -1.0 END AS v FROM customer")
+def p03(spark, sf):
+    k = F.col("c_custkey") % 3
+    m = F.create_map(F.lit("a"), F.when(k == 0, "2.5").otherwise("x"), F.lit("b"), F.when(k == 1, "7").otherwise("nan"))
+    return t(spark, sf, "customer").select("c_custkey", F.coalesce(core.first_numeric(m, ["zz", "a", "b"]), F.lit(-1.0)).alias("v"))
+
+
+@query("P04_event_slug", "SELECT DISTINCT p_type, coalesce(nullif(regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'other') AS slug FROM part")
+def p04(spark, sf):
+    return t(spark, sf, "part").select("p_type").distinct().withColumn("slug", core.slug(F.col("p_type")))
+
+
+@query("P07_horizon_steps", "SELECT p_partkey, greatest(1, coalesce(TRY_CAST(regexp_replace(p_size || 'd', '[^0-9]', '', 'g') AS INTEGER), 1)) AS steps FROM part")
+def p07(spark, sf):
+    return t(spark, sf, "part").select("p_partkey", core.horizon_steps(F.concat(F.col("p_size").cast("string"), F.lit("d"))).alias("steps"))
+
+
+@query("P08_risk_estimates", f"""WITH {src.BARS}, f AS (SELECT asset_id, ts, (high - low) / close AS hl, close / lag(close) OVER w - 1 AS ret FROM bars WINDOW w AS (PARTITION BY asset_id ORDER BY ts)),
+v AS (SELECT *, stddev_pop(ret) OVER (PARTITION BY asset_id ORDER BY ts ROWS 2 PRECEDING) AS rv, count(ret) OVER (PARTITION BY asset_id ORDER BY ts ROWS 2 PRECEDING) AS n FROM f)
+SELECT asset_id, ts, round(CASE WHEN n >= 2 THEN rv ELSE greatest(0.02, hl) END, 6) AS volatility, n < 2 AS volatility_fallback_used, CASE WHEN n < 2 THEN 'volatility_fallback' ELSE '' END AS risk_flags FROM v""")
+def p08(spark, sf):
+    b = src.bars(spark, sf).withColumns({"hl": (F.col("high") - F.col("low")) / F.col("close"), "ret": F.col("close") / F.lag("close").over(market.by_asset()) - 1})
+    w = market.by_asset().rowsBetween(-2, 0)
+    few = F.count("ret").over(w) < 2
+    v = F.when(few, F.greatest(F.lit(0.02), F.col("hl"))).otherwise(F.stddev_pop("ret").over(w))
+    return rounded(b.select("asset_id", "ts", v.alias("volatility"), few.alias("volatility_fallback_used"), F.array_join(core.rule_flags(("volatility_fallback", few)), ",").alias("risk_flags")))
+
+
+@query("P12_metric_deltas", "WITH d AS (SELECT lang, n_chars, quality FROM documents JOIN labels USING (doc_id)), b AS (SELECT lang AS k, avg(n_chars) AS v FROM d WHERE quality = 0 GROUP BY lang), e AS (SELECT lang AS k, avg(n_chars) AS v FROM d WHERE quality = 1 GROUP BY lang) SELECT k, round(e.v - b.v, 6) + 0.0::DOUBLE AS delta FROM b JOIN e USING (k)")
+def p12(spark, sf):
+    d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
+    side = lambda i: d.where(F.col("quality") == i).groupBy(F.col("lang").alias("k")).agg(F.avg("n_chars").alias(f"v{i}"))
+    return rounded(side(0).join(side(1), "k").select("k", (F.col("v1") - F.col("v0")).alias("delta")))
+
+
+@query("P15_tick_alignment", "SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 0.1 WHEN p_retailprice < 1500 THEN 0.5 ELSE 1.0 END::DOUBLE AS tick, (p_retailprice::DECIMAL(20,4) % CASE WHEN p_retailprice < 1000 THEN 0.1 WHEN p_retailprice < 1500 THEN 0.5 ELSE 1.0 END::DECIMAL(20,4)) = 0 AS aligned FROM part")
+def p15(spark, sf):
+    bands = spark.createDataFrame([(0.0, 1000.0, "0.1"), (1000.0, 1500.0, "0.5"), (1500.0, 1e12, "1.0")], "lo double, hi double, tick string")  # a fixed table of three bands
+    p = t(spark, sf, "part").join(F.broadcast(bands), (F.col("p_retailprice") >= F.col("lo")) & (F.col("p_retailprice") < F.col("hi")))
+    return p.select("p_partkey", F.col("tick").cast("double").alias("tick"), (F.col("p_retailprice").cast("decimal(20,4)") % F.col("tick").cast("decimal(20,4)") == 0).alias("aligned"))
+
+
+@query("P16_actionable_time", f"WITH {src.SIGNALS} SELECT item_id, greatest(available_at, DATE '1996-01-01' + (item_id % 400)::INTEGER) AS actionable FROM signals")
+def p16(spark, sf):
+    return src.signals(spark, sf).select("item_id", F.greatest("available_at", F.date_add(F.lit("1996-01-01").cast("date"), (F.col("item_id") % 400).cast("int"))).alias("actionable"))
+
+
+@query("P20_coercers", "SELECT event_id, event_type IN ('click', 'view') AS flag, value::BIGINT AS whole FROM (SELECT event_id, event_type, floor(value) AS value FROM events)")
+def p20(spark, sf):
+    e = t(spark, sf, "events")
+    return e.select("event_id", F.lower(F.trim("event_type")).isin("click", "view").alias("flag"), F.floor("value").try_cast("bigint").alias("whole"))
+
+
+@query("F01_pit_violations", "SELECT o_orderkey, min(l_shipdate)::DATE AS first_ship FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate + INTERVAL 100 DAY GROUP BY o_orderkey")
+def f01(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", F.date_add(F.col("o_orderdate").cast("date"), 100).alias("asof_ts"), F.col("o_orderdate").alias("o"))
+    l = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("ship_available_at"))
+    return quality.future_inputs(o.select("o_orderkey", "asof_ts").join(l, "o_orderkey")).groupBy("o_orderkey").agg(F.min("ship_available_at").alias("first_ship"))
+
+
+@query("F06_active_assets", "SELECT s_suppkey, (s_suppkey % 3 = 0 OR DATE '1996-06-01' >= DATE '1996-01-01' + (s_suppkey % 300)::INTEGER) AS active FROM supplier")
+def f06(spark, sf):
+    start = F.when(F.col("s_suppkey") % 3 != 0, F.date_add(F.lit("1996-01-01").cast("date"), (F.col("s_suppkey") % 300).cast("int")))
+    return t(spark, sf, "supplier").select("s_suppkey", calendars.is_active(F.lit("1996-06-01").cast("date"), start, F.lit(None).cast("date")).alias("active"))
+
+
+@query("F13_all_or_none", "SELECT lang, count(*) AS n, count(quality) AS given FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id GROUP BY lang HAVING count(quality) > 0 AND count(quality) < count(*)")
+def f13(spark, sf):
+    return quality.all_or_none(t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left"), "quality", ["lang"])
+
+
+@query("F14_record_contract", "SELECT p_partkey, regexp_matches(code, '^[0-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$') AS valid FROM (SELECT p_partkey, substr(upper(md5(p_name)), 1, 4) AS code FROM part)")
+def f14(spark, sf):
+    code = F.substring(F.upper(F.md5("p_name")), 1, 4)
+    return t(spark, sf, "part").select("p_partkey", code.rlike("^[0-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$").alias("valid"))
+
+
+@query("F15_unknown_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)")
+def f15(spark, sf):
+    known = t(spark, sf, "part").where("p_size <= 40").select(F.col("p_partkey").alias("l_partkey"))
+    return quality.unknown_references(t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), known, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("F23_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def f23(spark, sf):
+    return quality.duplicates(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("F25_incomplete_pairs", "SELECT n.s_nationkey, p.p FROM (SELECT DISTINCT s_nationkey FROM supplier) n, (SELECT DISTINCT s_suppkey % 7 AS p FROM supplier) p WHERE NOT EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n.s_nationkey AND s.s_suppkey % 7 = p.p)")
+def f25(spark, sf):
+    s = t(spark, sf, "supplier").select("s_nationkey", (F.col("s_suppkey") % 7).alias("p"))
+    return quality.incomplete_pairs(s, s, s, ("s_nationkey", "p"))
+
+
+@query("U05_array_tests", "WITH a AS (SELECT o_custkey, list(DISTINCT o_orderstatus) AS s FROM orders GROUP BY ALL) SELECT o_custkey, len(list_intersect(s, ['F', 'P'])) AS common, list_has_all(['F', 'O'], s) AS subset FROM a")
+def u05(spark, sf):
+    a = t(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("s"))
+    lit = lambda *x: F.array(*map(F.lit, x))
+    return a.select("o_custkey", F.size(F.array_intersect("s", lit("F", "P"))).cast("long").alias("common"), (F.size(F.array_except("s", lit("F", "O"))) == 0).alias("subset"))
+
+
+@query("U06_jaccard", "WITH k AS (SELECT item_id, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '')) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::DOUBLE, 6) AS j FROM k a JOIN k b ON a.item_id + 1 = b.item_id")
+def u06(spark, sf):
+    k = t(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    b = k.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("t").alias("tb"))
+    return rounded(k.join(b, "item_id").select(F.col("item_id").alias("a"), "b", T.jaccard(F.col("t"), F.col("tb")).alias("j")))
+
+
+@query("U07_ordered_distinct", "WITH c AS (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY conv_id) SELECT conv_id, array_to_string(list_filter(r, lambda x, i: list_position(r, x) = i), ',') AS roles FROM c")
+def u07(spark, sf):
+    c = t(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
+    return c.select("conv_id", F.array_join(F.array_distinct(F.transform("r", lambda x: x["role"])), ",").alias("roles"))
+
+
+@query("W22_label_availability", f"WITH {src.BARS}, {LABELS} SELECT asset_id, ts, coalesce(label_end, lead(ts, 2) OVER (PARTITION BY asset_id ORDER BY ts)) AS available FROM labels")
+def w22(spark, sf):
+    l = market.forward_labels(src.bars(spark, sf), 1)
+    return l.select("asset_id", "ts", F.coalesce("label_end", F.lead("ts", 2).over(market.by_asset())).alias("available"))
+
+
+@query("W24_purged_suffix", f"WITH {src.BARS}, {LABELS}, g AS (SELECT ts, bool_and(coalesce(label_end < DATE '2000-01-03', FALSE)) AS ok FROM labels WHERE ts < DATE '2000-01-03' GROUP BY ts) SELECT ts, min(ok) OVER (ORDER BY ts) AS kept FROM g")
+def w24(spark, sf):
+    l = market.forward_labels(src.bars(spark, sf), 1).where(F.col("ts") < F.lit("2000-01-03").cast("date"))
+    g = l.groupBy("ts").agg(F.bool_and(F.coalesce(F.col("label_end") < F.lit("2000-01-03").cast("date"), F.lit(False))).alias("ok"))
+    return g.select("ts", F.min("ok").over(Window.orderBy("ts")).alias("kept"))  # one row per decision
+
+
+@query("W30_endpoint_shift", f"WITH {src.BARS}, d AS (SELECT DISTINCT ts FROM bars), k AS (SELECT ts, row_number() OVER (ORDER BY ts) AS a, row_number() OVER (ORDER BY ts DESC) AS z FROM d) SELECT 'early' AS scenario, count(*) AS n, min(ts) AS first, max(ts) AS last FROM k WHERE z > 5 UNION ALL SELECT 'late', count(*), min(ts), max(ts) FROM k WHERE a > 5")
+def w30(spark, sf):
+    d = src.bars(spark, sf).select("ts").distinct()
+    k = d.select("ts", F.row_number().over(Window.orderBy("ts")).alias("a"), F.row_number().over(Window.orderBy(F.desc("ts"))).alias("z"))
+    s = k.withColumn("scenario", F.explode(F.array_compact(F.array(F.when(F.col("z") > 5, F.lit("early")), F.when(F.col("a") > 5, F.lit("late"))))))
+    return s.groupBy("scenario").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+_PAY = "conv_id || ':' || turn || ':' || role || ':' || text"
+
+
+def _payload():
+    return F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"), "role", "text")
+
+
+@query("W31_hash_chain", f"SELECT conv_id, turn, sha256({_PAY}) AS event_hash, coalesce(lag(sha256({_PAY})) OVER (PARTITION BY conv_id ORDER BY turn), '') AS previous_hash FROM conversations")
+def w31(spark, sf):
+    return ledger.chained(t(spark, sf, "conversations"), ["conv_id"], "turn", _payload()).select("conv_id", "turn", "event_hash", "previous_hash")
+
+
+@query("W31_chain_violations", f"WITH c AS (SELECT conv_id, turn, sha256({_PAY}) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE role <> 'assistant') SELECT conv_id, turn, 'sequence' AS broken FROM c WHERE turn <> k")
+def w31b(spark, sf):
+    c = t(spark, sf, "conversations").where("role <> 'assistant'")  # the log with its answers lost
+    log = ledger.chained(c, ["conv_id"], "turn", _payload())
+    return ledger.verify_chain(log, ["conv_id"], "turn", _payload()).select("conv_id", "turn", F.array_join("broken", ",").alias("broken"))
+
+
+_STATES = {("idle", "user"): "asked", ("asked", "assistant"): "answered", ("answered", "user"): "asked", ("idle", "system"): "idle", ("asked", "system"): "asked"}
+
+
+@query("G08_event_fold", "WITH RECURSIVE e AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS i FROM conversations), f AS (SELECT conv_id, 0::BIGINT AS i, 'idle' AS state, 0::BIGINT AS bad FROM (SELECT DISTINCT conv_id FROM e) UNION ALL SELECT f.conv_id, e.i, coalesce(x.t, f.state), f.bad + (x.t IS NULL)::INTEGER FROM f JOIN e ON e.conv_id = f.conv_id AND e.i = f.i + 1 LEFT JOIN (VALUES "
+       + ", ".join(f"('{a}', '{b}', '{c}')" for (a, b), c in _STATES.items()) + ") x(s, r, t) ON x.s = f.state AND x.r = e.role) SELECT conv_id, arg_max(state, i) AS state, max(i) AS n_events, max(bad) AS n_invalid FROM f GROUP BY conv_id")
+def g08(spark, sf):
+    return ledger.fold(t(spark, sf, "conversations"), ["conv_id"], "turn", "role", _STATES, "idle")
+
+
+@query("B02_unresolved", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id HAVING arg_max(event_type, (ts, event_id)) IN ('click', 'view')")
+def b02(spark, sf):
+    return ledger.unresolved(t(spark, sf, "events"), ["user_id"], ["ts", "event_id"], "event_type", ["click", "view"])
+
+
+@query("A33_daily_notional", "WITH o AS (SELECT ts::DATE AS day, user_id, min(value) AS lo, max(value) AS hi FROM events WHERE event_type = 'purchase' GROUP BY ALL) SELECT day, round(sum(CASE WHEN lo = hi THEN lo ELSE 0 END), 6) AS notional, count(*) FILTER (WHERE lo <> hi) AS conflicts FROM o GROUP BY day")
+def a33(spark, sf):
+    e = t(spark, sf, "events").where("event_type = 'purchase'").select(F.col("ts").cast("date").alias("day"), "user_id", "value")
+    return rounded(ledger.daily_notional(e, "user_id", "day", "value"))
+
+
+@query("A34_positions", "SELECT l_suppkey, sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END)::DOUBLE AS position, count(*) FILTER (WHERE l_linestatus = 'O') AS open_orders, round(sum(l_extendedprice) FILTER (WHERE l_linestatus = 'O'), 2) AS pending FROM lineitem GROUP BY l_suppkey")
+def a34(spark, sf):
+    l = t(spark, sf, "lineitem")
+    op = F.col("l_linestatus") == "O"
+    return rounded(l.groupBy("l_suppkey").agg(F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))).cast("double").alias("position"), F.count_if(op).alias("open_orders"),
+                                              F.sum(F.when(op, F.col("l_extendedprice"))).alias("pending")), 2)
+
+
+@query("B07_cancel_state", "WITH d AS (SELECT l_orderkey, list(l_linestatus) AS s FROM lineitem GROUP BY ALL) SELECT l_orderkey, CASE WHEN NOT list_contains(s, 'O') THEN 'cancelled' WHEN list_contains(s, 'F') THEN 'partial' ELSE 'open' END AS state FROM d")
+def b07(spark, sf):
+    d = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("s"))
+    return d.select("l_orderkey", F.when(~F.exists("s", lambda x: x == "O"), "cancelled").when(F.exists("s", lambda x: x == "F"), "partial").otherwise("open").alias("state"))
+
+
+@query("B05_pretrade_checks", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter([CASE WHEN l_quantity > 40 THEN 'quantity' END, CASE WHEN l_extendedprice > 50000 THEN 'notional' END, CASE WHEN l_discount >= 0.1 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS failed, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 40 OR l_extendedprice > 50000 OR l_discount >= 0.1")
+def b05(spark, sf):
+    l = t(spark, sf, "lineitem").withColumn("f", core.rule_flags(("quantity", F.col("l_quantity") > 40), ("notional", F.col("l_extendedprice") > 50000), ("price", F.col("l_discount") >= 0.1)))
+    return l.where(F.size("f") > 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("f", ",").alias("failed"), "l_quantity", "l_extendedprice")
+
+
+@query("A26_holding_days", "WITH e AS (SELECT user_id, epoch_us(ts) AS u, event_id, event_type = 'purchase' AS held FROM events), f AS (SELECT *, lag(held) OVER (PARTITION BY user_id ORDER BY u, event_id) AS before FROM e), c AS (SELECT * FROM f WHERE before IS NULL OR before <> held), d AS (SELECT *, lead(u) OVER (PARTITION BY user_id ORDER BY u, event_id) AS until FROM c) SELECT user_id, count(*) AS closed, round(avg((until - u) / 86400e6), 6) AS mean_days FROM d WHERE held AND until IS NOT NULL GROUP BY user_id")
+def a26(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("u", "event_id")
+    e = t(spark, sf, "events").select("user_id", _micros(F.col("ts")).alias("u"), "event_id", (F.col("event_type") == "purchase").alias("held"))
+    c = e.withColumn("before", F.lag("held").over(w)).where("before is null or before <> held").withColumn("until", F.lead("u").over(w))
+    return rounded(c.where("held and until is not null").groupBy("user_id").agg(F.count(F.lit(1)).alias("closed"), F.avg((F.col("until") - F.col("u")) / 86400e6).alias("mean_days")))
+
+
+@query("A30_check_counts", "SELECT name, count(*) FILTER (WHERE ok) AS passed, count(*) FILTER (WHERE NOT ok) AS failed FROM (SELECT 'long' AS name, n_chars >= 200 AS ok FROM documents UNION ALL SELECT 'english', lang = 'en' FROM documents) GROUP BY name")
+def a30(spark, sf):
+    checks = F.array(F.struct(F.lit("long").alias("name"), (F.col("n_chars") >= 200).alias("ok")), F.struct(F.lit("english").alias("name"), (F.col("lang") == "en").alias("ok")))
+    x = t(spark, sf, "documents").select(F.explode(checks).alias("c")).select("c.*")
+    return x.groupBy("name").agg(F.count_if("ok").alias("passed"), F.count_if(~F.col("ok")).alias("failed"))
+
+
+@query("A36_period_bounds", f"WITH {src.BARS} SELECT count(DISTINCT asset_id) AS assets, min(ts) AS first, max(ts) AS last FROM bars")
+def a36(spark, sf):
+    return src.bars(spark, sf).agg(F.count_distinct("asset_id").alias("assets"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("A38_metric_flatten", "WITH m AS (SELECT lang, round(avg(n_chars), 6) AS mean_chars, max(n_chars)::DOUBLE AS max_chars FROM documents GROUP BY lang) SELECT lang AS family, 'mean_chars' AS metric_id, mean_chars AS value FROM m UNION ALL SELECT lang, 'max_chars', max_chars FROM m")
+def a38(spark, sf):
+    m = t(spark, sf, "documents").groupBy(F.col("lang").alias("family")).agg(F.avg("n_chars").alias("mean_chars"), F.max("n_chars").cast("double").alias("max_chars"))
+    return rounded(m.unpivot(["family"], ["mean_chars", "max_chars"], "metric_id", "value"))
+
+
+@query("C16_canonical_hash", "SELECT c_custkey, sha256('{\"c_acctbal\":\"' || c_acctbal::DECIMAL(15,2)::VARCHAR || '\",\"c_name\":\"' || c_name || '\"}') AS content_id FROM customer")
+def c16(spark, sf):
+    j = F.to_json(F.struct(F.col("c_acctbal").cast("decimal(15,2)").cast("string").alias("c_acctbal"), "c_name"))  # fields in sorted order
+    return t(spark, sf, "customer").select("c_custkey", F.sha2(j, 256).alias("content_id"))
+
+
+@query("C17_sessions")
+def c17(spark, sf):
+    c = calendars.neighbours(calendars.sessions(spark, "XNYS", date(2024, 1, 1), date(2026, 12, 31)))
+    return c.select("session_seq", "session_date", F.unix_seconds("open_utc").alias("open_s"), F.unix_seconds("close_utc").alias("close_s"), "early_close", "previous_session", "next_session")
+
+
+@query("C20_drift_weights", "WITH b AS (SELECT l_orderkey AS k, l_linenumber AS a, min(l_quantity) / 200.0 AS w, min(l_discount) AS r FROM lineitem GROUP BY ALL), g AS (SELECT *, sum(w * r) OVER (PARTITION BY k) AS p FROM b) SELECT k, a, round(w * (1 + r) / (1 + p), 6)::DOUBLE AS drifted FROM g WHERE 1 + p > 0 AND abs(w) > 1e-12")
+def c20(spark, sf):
+    b = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("a")).agg((F.min("l_quantity") / 200.0).alias("w"), F.min("l_discount").alias("r"))
+    g = b.withColumn("p", F.sum(F.col("w") * F.col("r")).over(Window.partitionBy("k"))).where("1 + p > 0 and abs(w) > 1e-12")
+    return rounded(g.select("k", "a", (F.col("w") * (1 + F.col("r")) / (1 + F.col("p"))).alias("drifted")))
+
+
+@query("C22_calculate", "SELECT user_id, round(sum(value), 6) AS sum, round(avg(value), 6) AS mean, round(coalesce(stddev_pop(value), 0), 6) AS population_stddev, round(coalesce(stddev_samp(value), 0), 6) AS sample_stddev FROM events GROUP BY user_id")
+def c22(spark, sf):
+    return rounded(t(spark, sf, "events").groupBy("user_id").agg(F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("population_stddev"),
+                                                                  F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("sample_stddev")))
+
+
+@query("C25_annotation_rules", "SELECT doc_id, array_to_string(list_filter([CASE WHEN toxic = 1 AND quality = 1 THEN 'toxic_quality' END, CASE WHEN quality = 0 THEN 'low_quality' END], lambda x: x IS NOT NULL), ',') AS broken FROM labels")
+def c25(spark, sf):
+    f = core.rule_flags(("toxic_quality", (F.col("toxic") == 1) & (F.col("quality") == 1)), ("low_quality", F.col("quality") == 0))
+    return t(spark, sf, "labels").select("doc_id", F.array_join(f, ",").alias("broken"))
+
+
+@query("G01_evidence_snapshot", "SELECT d.doc_id, c.i AS span, length(substr(d.text, c.i * 1024 + 1, 1024)) AS n FROM documents d, (SELECT doc_id, unnest(range(0, (length(text) + 1023) // 1024)) AS i FROM documents WHERE lang IN ('en', 'fr')) c WHERE c.doc_id = d.doc_id")
+def g01(spark, sf):
+    d = t(spark, sf, "documents").where("lang in ('en', 'fr')").select("doc_id", F.posexplode(T.chunks(F.col("text"), 1024)).alias("span", "c"))
+    return d.select("doc_id", F.col("span").cast("long").alias("span"), F.length("c.text").cast("long").alias("n"))
+
+
+@query("W10_event_cross_section", f"WITH {src.DAILY}, k AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY close) - 1 + (count(*) OVER (PARTITION BY ts, close) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY ts) AS m FROM daily) SELECT asset_id, ts, n, {r('volume', 'close')}, round(CASE WHEN m = 1 THEN 0.5 ELSE k / (m - 1) END, 6)::DOUBLE AS rank_pct FROM k")
+def w10(spark, sf):
+    d = src.daily(spark, sf).withColumn("sector", F.lit("all"))
+    return rounded(market.cross_section(d, "ts", "close").select("asset_id", "ts", "n", "volume", "close", "rank_pct"))
+
+
+@query("J10_snapshot_asof", f"WITH {src.BARS}, d AS (SELECT asset_id, (ts - DATE '1970-01-01')::BIGINT AS at FROM bars), s AS (SELECT 'N' || c_nationkey AS asset_id, (o_orderdate::DATE - DATE '1970-01-01')::BIGINT AS day, count(*) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '5-LOW' GROUP BY ALL) SELECT d.asset_id, d.at, coalesce(s.day, -1) AS day, coalesce(s.v, 0) AS v FROM d ASOF LEFT JOIN s ON s.asset_id = d.asset_id AND s.day <= d.at")
+def j10(spark, sf):
+    o = t(spark, sf, "orders").where("o_orderpriority = '5-LOW'").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    s = o.groupBy(F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("asset_id"), src.day(F.col("o_orderdate").cast("date")).alias("d")).agg(F.count(F.lit(1)).alias("v")).withColumn("day", F.col("d"))
+    d = src.bars(spark, sf).select("asset_id", src.day(F.col("ts")).alias("at"))
+    out = joins.asof_backward(d, s, ["asset_id"], "at", "d", ["day", "v"])
+    return out.select("asset_id", "at", F.coalesce("day", F.lit(-1)).alias("day"), F.coalesce("v", F.lit(0)).alias("v"))
