@@ -27,6 +27,8 @@ KINDS = {
 INSTANCE = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]{0,40}[0-9])[0-9A-Za-z][0-9A-Za-z_-]{5,63}(?![0-9A-Za-z_-])"
 ROUNDS, SMOOTH, PATTERN_SEEDS, PATTERN_WORTH, INSTANCE_WORTH = 3, 2.0, 3, 0.5, 0.6
 CHUNK, CONTEXT = 64, 48
+#: Added spans that are broadcast at most, at some 50 bytes each.
+BROADCAST_SPANS = 200_000
 SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
 
 
@@ -144,8 +146,11 @@ def extract(docs: DataFrame) -> DataFrame:
     found = find(docs)
     added = found.select("_uid", F.explode(F.filter("_nodes", lambda n: ~n["seed"])).alias("n")).select("_uid", "n.v", "n.start", "n.end")
     extra = added.join(score(found), "v").groupBy("_uid").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("id").alias("kind"))).alias("_extra"))
+    extra = settle(extra)
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
-    rows = found.select("_uid", "_d", "_base").join(extra, "_uid", "left")
+    # Few added spans travel to the documents; many meet them by a shuffle.
+    few = (extra.agg(F.sum(F.size("_extra"))).first()[0] or 0) <= BROADCAST_SPANS
+    rows = found.select("_uid", "_d", "_base").join(F.broadcast(extra) if few else extra, "_uid", "left")
     return rows.select("_d", "_base", F.array_sort(F.concat("_base", F.coalesce("_extra", none))).alias("_all"))
 
 
