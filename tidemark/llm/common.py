@@ -27,11 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables that this application has written; results not yet stored elsewhere are gone with them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts lineage, fixes
     generated row ids, and survives the loss of any executor."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(at)
     return spark.read.schema(schema).parquet(at)

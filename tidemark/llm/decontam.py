@@ -23,6 +23,8 @@ SPAN = 10
 SHORTEST = 3
 #: Hashes that one scan of the training texts looks for; a larger benchmark is sought in blocks.
 BLOCK = 100_000
+#: Leaking documents (16 bytes each) whose keys are broadcast at most; more meet the documents by a shuffle.
+BROADCAST_LEAKS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -111,7 +113,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns, without the documents that leak a benchmark item."""
-    leaks = overlaps(docs, benchmark).select(F.col("doc_id").alias("_i"), F.col("_text").alias("_t")).distinct()
+    leaks = settle(overlaps(docs, benchmark).select(F.col("doc_id").alias("_i"), F.col("_text").alias("_t")).distinct())
+    few = leaks.count() <= BROADCAST_LEAKS
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"))
     same = F.col("_d.doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce("_d.text", F.lit(""))) == F.col("_t"))
-    return rows.join(leaks, same, "left_anti").select("_d.*")
+    return rows.join(F.broadcast(leaks) if few else leaks, same, "left_anti").select("_d.*")
