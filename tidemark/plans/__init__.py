@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import joins, market, models, scans, text
+from . import joins, market, models, research, scans, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "joins", "market", "models", "scans", "text"]
+__all__ = ["ORACLES", "QUERIES", "joins", "market", "models", "research", "scans", "text"]

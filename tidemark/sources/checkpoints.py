@@ -5,15 +5,19 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", d)
-    at, schema = f"{d.rstrip('/')}/tidemark-{uuid.uuid4().hex}", df.schema
+    return d.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    at, schema = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}", df.schema
     df.write.parquet(at)
     return spark.read.schema(schema).parquet(at)
