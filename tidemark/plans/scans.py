@@ -129,10 +129,10 @@ def f13(spark, sf):
     return quality.all_or_none(t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left"), "quality", ["lang"])
 
 
-@query("F14_record_contract", "SELECT p_partkey, regexp_matches(code, '^[0-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$') AS valid FROM (SELECT p_partkey, substr(upper(md5(p_name)), 1, 4) AS code FROM part)")
+@query("F14_record_contract", "SELECT p_partkey, regexp_matches(code, '^[1-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$') AS valid FROM (SELECT p_partkey, substr(upper(md5(p_name)), 1, 4) AS code FROM part)")
 def f14(spark, sf):
     code = F.substring(F.upper(F.md5("p_name")), 1, 4)
-    return t(spark, sf, "part").select("p_partkey", code.rlike("^[0-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$").alias("valid"))
+    return t(spark, sf, "part").select("p_partkey", code.rlike("^[1-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$").alias("valid"))
 
 
 @query("F15_unknown_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)")
