@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 FINITE_MAX = 1.7976931348623157e308
@@ -91,3 +91,41 @@ def uniform_hash(c: Column) -> Column:
 
 def r6(c: Column) -> Column:
     return F.round(c, 6)
+
+
+def format_utc(c: Column) -> Column:
+    """ISO text with a Z; microseconds only where there are any."""
+    return F.concat(F.regexp_replace(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", ""), F.lit("Z"))
+
+
+def passthrough(df: DataFrame, names: list[str]) -> list[str]:
+    """Those of the optional columns that ``df`` has, in the given order."""
+    return [n for n in names if n in df.columns]
+
+
+def flatten_map(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """Named entries of a map as double columns; a name that is a column already raises ValueError."""
+    clash = [n for n in names if n in df.columns]
+    if clash:
+        raise ValueError(f"reserved names: {', '.join(clash)}")
+    return df.select(*(c for c in df.columns if c != column), *(F.try_element_at(column, F.lit(n)).cast("double").alias(n) for n in names))
+
+
+def metric_unit(metric: Column) -> Column:
+    """The unit of a reported metric, from its name."""
+    return (F.when(metric.isin("dates", "ic_dates", "rows", "periods", "trades"), "count")
+            .when(metric.contains("return") | metric.isin("hit_rate", "precision_at_k", "max_drawdown"), "ratio")
+            .when(metric.isin("final_equity", "minimum_capacity_proxy_equity"), "equity_multiple")
+            .when(metric == "average_holding_period_days", "days").otherwise("coefficient"))
+
+
+def holding_days(start: Column, end: Column) -> Column:
+    """Days between two dates, one at least; null where the end is not after the start."""
+    d = F.datediff(end, start).cast("double")
+    return F.when(d > 0, F.greatest(F.lit(1.0), d))
+
+
+def signed_label(label: Column, probability: Column) -> Column:
+    """A classifier's label and probability as a score from -1 to 1."""
+    low = F.lower(F.trim(label))
+    return F.when(low == "positive", probability).when(low == "negative", -probability).otherwise(0.0)

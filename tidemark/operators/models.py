@@ -84,3 +84,39 @@ def macro_f1(pairs: DataFrame, labels: list[str]) -> DataFrame:
     both = pairs.select(F.explode(F.array(F.struct(F.col("gold").alias("label"), F.lit(1).alias("g"), F.lit(0).alias("p"), F.lit(0).alias("t")), F.struct(F.col("predicted").alias("label"), F.lit(0).alias("g"), F.lit(1).alias("p"), (F.col("gold") == F.col("predicted")).cast("int").alias("t")))).alias("z")).select("z.*")
     s = both.groupBy("label").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum("t").alias("t"))
     return s.where(F.col("label").isin(labels)).select("label", F.coalesce(F.try_divide(2.0 * F.col("t"), (F.col("g") + F.col("p")).cast("double")), F.lit(0.0)).alias("f1"))
+
+
+# What the names of a feature family begin with.
+FAMILY_PREFIXES = {"text": ("text_", "sentiment_", "attention_", "event_", "source_", "novelty_", "mention_", "spam_"), "llm": ("llm_",)}
+
+
+def families(columns: list[str]) -> dict[str, list[str]]:
+    """Feature families by name: traditional is what is neither text nor llm; the others are unions."""
+    text = [c for c in columns if c.startswith(FAMILY_PREFIXES["text"])]
+    llm = [c for c in columns if c.startswith(FAMILY_PREFIXES["llm"])]
+    plain = [c for c in columns if c not in {*text, *llm}]
+    return {"traditional": plain, "text": text, "llm": llm, "combined": plain + text, "traditional_llm": plain + llm, "all": plain + text + llm}
+
+
+def fit(rows: DataFrame, features: list[str]) -> DataFrame:
+    """feature, n, mean, scale (1 where constant), weight (correlation with y, absolute values summing to 1): one batch fit."""
+    long = unpivot(rows.where("y is not null"), ["y"], features)
+    s = long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("_s"), correlation(F.col("x"), F.col("y")).alias("_r"))
+    total = F.sum(F.abs("_r")).over(Window.partitionBy())  # one row per feature
+    return s.select("feature", "n", "mean", F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0).alias("scale"), F.when(total > 0, F.try_divide(F.col("_r"), total)).otherwise(0.0).alias("weight"))
+
+
+def frozen(rows: DataFrame, snapshots: DataFrame, cutoff: int, features: list[str], keys: list[str]) -> DataFrame:
+    """keys, score of the rows after ``cutoff`` by the one snapshot that was last at it: nothing later is learned."""
+    last = snapshots.where(F.col("decision") <= cutoff)
+    last = last.groupBy("feature").agg(F.max_by(F.struct("mean", "scale", "weight"), "decision").alias("m")).select("feature", "m.*")
+    long = unpivot(rows.where(F.col("decision") > cutoff).fillna(0.0, subset=features), keys, features)
+    return long.join(F.broadcast(last), "feature").groupBy(*keys).agg(F.sum((F.col("x") - F.col("mean")) / F.col("scale") * F.col("weight")).alias("score"))
+
+
+def evaluate(rows: DataFrame, segment: str, at: str) -> DataFrame:
+    """segment, rows, dates, mean_ic (mean of the daily correlations), hit_rate, mse of score and y."""
+    daily = rows.groupBy(segment, at).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("score"), F.col("y")).alias("ic"), F.sum(F.when(F.col("score") * F.col("y") > 0, 1.0).otherwise(0.0)).alias("h"),
+                                          F.sum(F.pow(F.col("score") - F.col("y"), 2)).alias("e"))
+    n = F.sum("n")
+    return daily.groupBy(segment).agg(n.alias("rows"), F.count(F.lit(1)).alias("dates"), F.avg("ic").alias("mean_ic"), (F.sum("h") / n).alias("hit_rate"), (F.sum("e") / n).alias("mse"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import rule_flags
@@ -118,3 +118,25 @@ def summary(p: DataFrame, order: str, periods_per_year: float = 52.0, by: list[s
         F.avg(F.when(F.col("net_return") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(F.when(F.col("_low"), F.col("net_return"))).alias("tail_loss_5pct"), F.avg("turnover").alias("average_turnover"),
         F.sum("cost_return").alias("total_cost_return"), F.avg("gross_exposure").alias("average_gross_exposure"), F.max("max_participation_rate").alias("max_participation_rate"),
         F.min("capacity_proxy_equity").alias("minimum_capacity_proxy_equity"), F.sum("trades").alias("trades"))
+
+
+def violations(book: DataFrame, by: list[str], limits: Limits, tolerance: float = 1e-10) -> DataFrame:
+    """by, violated: the names of the limits that the weights of a decision break, in a fixed order."""
+    s = book.groupBy(*by, "sector").agg(F.max(F.abs("weight")).alias("p"), F.sum(F.abs("weight")).alias("g"), F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("beta")).alias("b"))
+    over = lambda c, limit: c > limit + tolerance
+    return s.groupBy(*by).agg(rule_flags(
+        ("max_position_weight", over(F.max("p"), limits.max_position_weight)), ("max_gross_exposure", over(F.sum("g"), limits.max_gross_exposure)),
+        ("max_net_exposure", over(F.abs(F.sum("n")), limits.max_net_exposure)), ("max_beta_exposure", over(F.abs(F.sum("b")), limits.max_beta_exposure)),
+        ("max_sector_weight", over(F.max("g"), limits.max_sector_weight))).alias("violated"))
+
+
+def entry_budget(limits: Limits, round_trip: bool = True, buffer: float = 0.25) -> dict[str, float]:
+    """Turnover and participation left for entries, when the exit of a round trip must fit in as well."""
+    if not round_trip:
+        return {"max_daily_turnover": limits.max_daily_turnover, "max_participation_rate": limits.max_participation_rate}
+    return {"max_daily_turnover": limits.max_daily_turnover / (2 + buffer), "max_participation_rate": limits.max_participation_rate / (1 + buffer)}
+
+
+def annualized(total_return: Column, periods: Column, periods_per_year: float) -> Column:
+    """Compound yearly return; -1 once everything is lost, 0 without periods."""
+    return F.when(periods <= 0, 0.0).when(total_return <= -1, -1.0).otherwise(F.pow(1 + total_return, periods_per_year / periods) - 1)

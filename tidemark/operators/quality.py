@@ -47,3 +47,21 @@ def incomplete_pairs(rows: DataFrame, left: DataFrame, right: DataFrame, keys: t
     some = right.agg(F.array_sort(F.collect_set(b)).alias("all")).scalar()
     expected = left.select(a).distinct().withColumn(b, F.explode(some))
     return expected.join(rows.select(a, b).distinct(), [a, b], "left_anti")
+
+
+def off_calendar(rows: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
+    """Rows whose day is no session of the calendar (a table of one row per session)."""
+    return rows.join(F.broadcast(calendar.select(day)), day, "left_anti")
+
+
+def outcome_rows(labels: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """Rows of the decisions whose every label is known and lies inside [start, end]."""
+    inside = F.coalesce((F.col("label_start") >= F.lit(start).cast("date")) & (F.col("label_end") <= F.lit(end).cast("date")), F.lit(False))
+    whole = labels.groupBy(at).agg(F.bool_and(inside).alias("w")).where("w").select(at)
+    return labels.join(whole, at, "left_semi")
+
+
+def forbidden_keys(rows: DataFrame, column: str, reserved: list[str]) -> DataFrame:
+    """Rows whose JSON object has a reserved key."""
+    keys = F.json_object_keys(F.col(column))
+    return rows.where(F.arrays_overlap(keys, F.array(*map(F.lit, reserved))))

@@ -109,3 +109,10 @@ def merged(spark: SparkSession, paths: list[str]) -> DataFrame:
         df = df.select(*(F.col(n).cast(k) if k != "void" else F.col(n) for n, k in kinds.items() if n in df.columns))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
+
+
+def day_bounds(start: str | None, end: str | None) -> tuple[str | None, str | None]:
+    """Dates become the first and the last microsecond of their day; full timestamps stay."""
+    first = f"{start} 00:00:00" if start and len(start) == 10 else start
+    last = f"{end} 23:59:59.999999" if end and len(end) == 10 else end
+    return first, last

@@ -96,3 +96,44 @@ def report(title: str, metrics: dict, periods: DataFrame | None = None, limit: i
         lines += ["", "| " + " | ".join(periods.columns) + " |", "|" + "---|" * len(periods.columns)]
         lines += ["| " + " | ".join(str(v) for v in row) + " |" for row in periods.limit(limit).collect()]
     return "\n".join(lines) + "\n"
+
+
+def content_addressed(df: DataFrame, column: str, key: str) -> DataFrame:
+    """sha256, length, first (smallest key), copies: one row per distinct content; null contents are left out."""
+    c = F.col(column)
+    rows = df.where(c.isNotNull()).select(F.sha2(c, 256).alias("sha256"), F.length(c).cast("long").alias("length"), F.col(key).alias("_k"))
+    return rows.groupBy("sha256", "length").agg(F.min("_k").alias("first"), F.count(F.lit(1)).alias("copies"))
+
+
+def load_model(spark: SparkSession, path: str, version: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/model_version={path_safe(version)}")
+
+
+def table_digest(df: DataFrame) -> tuple[int, str]:
+    """(rows, digest): the sum of the row hashes, so neither order nor files matter."""
+    row = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns)))))
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0))).first()
+    return n, str(total)
+
+
+def write_bundle(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes the named tables below ``path`` with a manifest (name, rows, digest) and returns the manifest."""
+    spark = next(iter(tables.values())).sparkSession
+    lines = []
+    for name, df in sorted(tables.items()):
+        df.write.parquet(f"{path}/{path_safe(name)}")
+        lines.append((name, *table_digest(spark.read.parquet(f"{path}/{path_safe(name)}"))))
+    manifest = spark.createDataFrame(lines, "name string, rows long, digest string")  # one row per table
+    manifest.coalesce(1).write.parquet(f"{path}/manifest.parquet")
+    return spark.read.parquet(f"{path}/manifest.parquet")
+
+
+def load_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a bundle; ValueError if one is not what its manifest says."""
+    out = {}
+    for m in spark.read.parquet(f"{path}/manifest.parquet").collect():
+        df = spark.read.parquet(f"{path}/{path_safe(m['name'])}")
+        if table_digest(df) != (m["rows"], m["digest"]):
+            raise ValueError(f"changed table: {m['name']}")
+        out[m["name"]] = df
+    return out
