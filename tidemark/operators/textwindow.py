@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.core import slug, weighted_mean, zero_if_null
-from .joins import range_join
+from .joins import asof_backward, asof_forward, range_join
 
 
 def window_pairs(decisions: DataFrame, signals: DataFrame, days: int, widest: int = 1) -> DataFrame:
@@ -70,3 +70,25 @@ def disagreement(decisions: DataFrame, signals: DataFrame, days: int, by: str) -
 
 def event_slugs(signals: DataFrame) -> DataFrame:
     return signals.select(slug(F.col("event_type")).alias("slug")).distinct()
+
+
+def by_source(decisions: DataFrame, signals: DataFrame, days: int, source_types: list[str]) -> DataFrame:
+    """One row per decision: count and mean sentiment of the novel signals of each named source, zeros where there are none."""
+    pairs = window_pairs(decisions, signals, days).where("novelty > 0.5")
+    cols, defaults = [], {}
+    for s in source_types:
+        own = F.col("source_type") == s
+        cols += [F.sum(F.when(own, 1.0).otherwise(0.0)).alias(f"attention_source_{_slug(s)}_count"), _avg(F.col("sentiment"), own).alias(f"sentiment_source_{_slug(s)}_mean")]
+        defaults |= {f"attention_source_{_slug(s)}_count": 0.0, f"sentiment_source_{_slug(s)}_mean": 0.0}
+    return decisions.join(pairs.groupBy("asset_id", "asof_day").agg(*cols), ["asset_id", "asof_day"], "left").fillna(defaults)
+
+
+def context(decisions: DataFrame, fundamentals: DataFrame, events: DataFrame, blackout: int = 2) -> DataFrame:
+    """Decisions with the last known fundamental (value, age in days) and the days to the next event, each with a missing flag."""
+    f = fundamentals.select("asset_id", "avail", F.col("avail").alias("_a"), F.col("v").alias("_v"))
+    e = events.select("asset_id", "avail", F.col("avail").alias("_n"))
+    out = asof_backward(decisions, f, ["asset_id"], "asof_day", "avail", ["_a", "_v"])
+    out = asof_forward(out, e, ["asset_id"], "asof_day", "avail", ["_n"])
+    days = F.col("_n") - F.col("asof_day")
+    return out.withColumns({"fundamental_value": F.coalesce("_v", F.lit(0.0)), "fundamental_missing": F.col("_v").isNull(), "fundamental_age_days": F.col("asof_day") - F.col("_a"), "event_proximity_days": days,
+                            "event_missing": days.isNull(), "event_blackout": F.coalesce(days <= blackout, F.lit(False))}).drop("_a", "_v", "_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import derived, joins, market, models, research, scans, text
+from . import derived, joins, market, models, research, scans, studies, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "derived", "joins", "market", "models", "research", "scans", "text"]
+__all__ = ["ORACLES", "QUERIES", "derived", "joins", "market", "models", "research", "scans", "studies", "text"]
