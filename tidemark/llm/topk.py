@@ -16,8 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import settle
+
 QUERY_BLOCK = 4096
 TILE_Q, TILE_C = 64, 2048
+#: Repeated ids (8 bytes each) that are broadcast at most; more meet the candidates by a shuffle.
+BROADCAST_IDS = 500_000
 #: Components whose floor(scale * x) does not fit in 31 bits take no part.
 LIMIT = float(2**31)
 
@@ -78,6 +82,23 @@ def _block_top(q_ids, q, c_ids, c, k):
     return found
 
 
+def _unique(rows: DataFrame) -> DataFrame:
+    """One row of each id ``i``, that with the smallest vector ``v``; only rows of repeated ids are shuffled with their vectors."""
+    repeated = rows.groupBy("i").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i")  # shuffles ids alone
+    n = repeated.limit(BROADCAST_IDS + 1).count()
+    if not n:
+        return rows
+    repeated = settle(repeated)
+    sent = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
+    return rows.join(sent, "i", "left_anti").unionByName(rows.join(sent, "i", "left_semi").groupBy("i").agg(F.min("v").alias("v")))
+
+
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where the scan has fewer splits than there are; a table of more splits stays where it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float = 256.0,
                id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each query.
@@ -91,12 +112,12 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: flo
     """
     spark = candidates.sparkSession
 
-    def unique(df: DataFrame) -> DataFrame:
+    def fit(df: DataFrame) -> DataFrame:
         df = df.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v"))
-        fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-        return df.where(F.col("i").isNotNull() & F.col("v").isNotNull() & fit).groupBy("i").agg(F.min("v").alias("v"))
+        whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+        return df.where(F.col("i").isNotNull() & F.col("v").isNotNull() & whole)
 
-    q, c = unique(queries), unique(candidates)
+    q, c = fit(queries).groupBy("i").agg(F.min("v").alias("v")), _spread(_unique(fit(candidates)))
     blocks = max(1, -(-q.count() // query_block) * 2 if q.count() > query_block else 1)
     out = None
     for b in range(blocks):
