@@ -6,7 +6,8 @@ import random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.costs import CostModel
 from .portfolio import Limits
@@ -45,16 +46,19 @@ def seeded_shuffle(rows: DataFrame, by: list[str], order: str, value: str, seed:
 def replay(rows: DataFrame, k: int, limits: Limits, costs: CostModel, equity: float) -> DataFrame:
     """family, ts, equity, net_return, trades: decisions in time order; the participation limit uses the equity so far.
 
-    One group per family: a replay is sequential in time, but holds one family's candidates only.
+    The k largest scores of a decision do not depend on the equity, so they are chosen before; one
+    task then holds k rows a decision of one family.
     """
+    first = Window.partitionBy("family", "ts").orderBy(F.desc(F.abs("score")), "asset_id")
+    rows = rows.where("score <> 0").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= k)
+
     def run(own: pd.DataFrame) -> pd.DataFrame:
         now, out = equity, []
         for ts, d in own.sort_values(["ts", "asset_id"]).groupby("ts", sort=True):
-            d = d.assign(size=d["score"].abs()).query("score != 0").sort_values(["size", "asset_id"], ascending=[False, True]).head(k)
             w = np.sign(d["score"].to_numpy()) * min(limits.max_position_weight, limits.max_gross_exposure / max(1, len(d)))
             most = limits.max_participation_rate * d["dollar_volume"].to_numpy() / max(now, 1e-12)
             w = np.sign(w) * np.minimum(np.abs(w), most)
-            gross = float((w * np.tanh(np.minimum(d["forward_return"].to_numpy(), 5) / 50)).sum())
+            gross = float((w * d["forward_return"].to_numpy()).sum())
             cost = float(np.abs(w).sum()) * 2 * (costs.commission_bps + costs.half_spread_bps + costs.slippage_bps) / 1e4
             now *= max(0.0, 1 + gross - cost)
             out.append((own["family"].iloc[0], ts, now, gross - cost, int((np.abs(w) > 1e-12).sum())))

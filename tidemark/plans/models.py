@@ -256,4 +256,5 @@ def t03b(spark, sf):
 @query("M09_sequential_replay")
 def m09s(spark, sf):
     """Equity-coupled replay: participation limits depend on the equity so far."""
-    return rounded(statistics.replay(candidates(spark, sf).withColumn("family", F.lit("base")), 6, LIM, COSTS, 1e6))
+    damped = F.tanh(F.least(F.col("forward_return"), F.lit(5.0)) / 50)  # as in period_rows
+    return rounded(statistics.replay(candidates(spark, sf).withColumns({"family": F.lit("base"), "forward_return": damped}), 6, LIM, COSTS, 1e6))
