@@ -195,13 +195,11 @@ def t06(spark, sf):
     return textops.recent_candidates(src.signals(spark, sf), "author", "available_at", "item_id", 4).select("author", "item_id")
 
 
-@query("C03_similarity", f"""WITH k AS (SELECT doc_id, list_distinct({TOKS}) AS s FROM documents), n AS (SELECT doc_id, s, lead(s) OVER (ORDER BY doc_id) AS z FROM k)
-SELECT doc_id, round(CASE WHEN len(s) + len(z) = 0 THEN 1.0 ELSE len(list_intersect(s, z))::DOUBLE / len(list_distinct(list_concat(s, z))) END, 6)::DOUBLE AS jaccard FROM n WHERE z IS NOT NULL""")
+@query("C03_similarity", f"""WITH k AS (SELECT doc_id, list_distinct({TOKS}) AS s FROM documents)
+SELECT x.doc_id, round(CASE WHEN len(x.s) + len(y.s) = 0 THEN 1.0 ELSE len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) END, 6)::DOUBLE AS jaccard FROM k x JOIN k y ON y.doc_id = x.doc_id + 1""")
 def c03(spark, sf):
     k = t(spark, sf, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("s"))
-    after = k.select((F.dense_rank().over(Window.orderBy("doc_id")) - 1).alias("n"), F.col("doc_id").alias("_d"))  # ids alone are ordered
-    at = k.join(after.select(F.col("_d").alias("doc_id"), "n"), "doc_id")
-    pairs = at.select("doc_id", "s", "n").join(at.select((F.col("n") - 1).alias("n"), F.col("s").alias("z")), "n")
+    pairs = k.join(k.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("z")), "doc_id")
     return rounded(pairs.select("doc_id", T.jaccard(F.col("s"), F.col("z")).alias("jaccard")))
 
 
