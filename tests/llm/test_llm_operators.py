@@ -250,6 +250,23 @@ def test_decontamination(spark):
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
+def test_decontamination_is_exact_at_every_length(spark):
+    rng = random.Random(19)
+    items = [(n, prose(rng, n)) for n in [*range(3, 30), 60]]
+    docs = []
+    for n, text in items:
+        for extra in (0, 1):  # as many substitutions as the rule accepts, spread in many ways, and one more
+            for _ in range(12):
+                it, at = text.split(), rng.randrange(max(1, n - 23))
+                for j in rng.sample(range(min(n, 24)), min(n, 24) - -(-4 * min(n, 24) // 5) + extra):
+                    it[at + j] = "zzz"
+                it = it[at: at + 24]
+                docs.append((len(docs), " ".join([*prose(rng, rng.randrange(3)).split(), *it, *prose(rng, rng.randrange(3)).split()])))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
+    assert got == {(i, j) for i, t in docs for j, u in items if plain_leak(t, u)}
+
+
 # ---- packing ----
 
 def test_encoder_and_packing(spark):

@@ -1,11 +1,11 @@
-"""Benchmark decontamination by spaced-seed hashing, on DataFrame functions alone.
-
-Words are hashed. Each fixed mask reads some positions of a window and ignores the
-others, so a substituted word that falls on an ignored position leaves the hash as it
-is. Windows of the training texts whose hash is one of the benchmark's are joined to
-the benchmark's windows, and around each hit the words of both sides are compared:
-an overlap counts if at least ``SIMILARITY`` of an aligned window of ``WINDOW`` words (of
-the whole item, if shorter) are equal.
+"""Benchmark decontamination by seed hashing, on DataFrame functions alone.
+
+Words are hashed. An item is cut into blocks so short that any aligned window that is
+similar enough holds one more block than it has unequal words: at least one block is
+then equal as a whole, and its hash is a seed. Runs of the training texts whose hash is
+one of the benchmark's are joined to the benchmark's blocks, and around each hit the
+words of both sides are compared: an overlap counts if at least ``SIMILARITY`` of an
+aligned window of ``WINDOW`` words (of the whole item, if shorter) are equal.
 """
 
 from __future__ import annotations
@@ -16,10 +16,7 @@ from pyspark.sql import functions as F
 from .common import settle
 
 SIMILARITY, WINDOW = 0.8, 24
-#: Positions that each mask reads.
-MASKS = ((0, 1, 3, 5, 6, 8, 9), (0, 1, 2, 5, 7, 8, 9), (0, 2, 3, 4, 6, 7, 9))
-SPAN = 10
-#: Items of fewer words than a mask spans are sought by windows of their whole length, from this many words on.
+#: Items of fewer words are not sought.
 SHORTEST = 3
 #: Hashes that one scan of the training texts looks for; a larger benchmark is sought in blocks.
 BLOCK = 100_000
@@ -33,16 +30,28 @@ def words(text: Column) -> Column:
     return F.transform(F.filter(cut, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _seed(w: Column, at: Column, mask: int, offsets) -> Column:
-    return F.xxhash64(F.lit(mask), *(F.get(w, at + o) for o in offsets))
+def block_words(n: int, similarity: float = SIMILARITY) -> int:
+    """Words of the blocks of an item of ``n`` words.
+
+    A window may hold k unequal words, so it must hold k + 1 whole blocks. An item shorter than
+    the window is the window itself; in a longer one, a window may begin inside a block.
+    """
+    size = min(n, WINDOW)
+    k = size - next(m for m in range(size + 1) if m >= similarity * size)
+    return max(1, size // (k + 1) if n < WINDOW else (size + 1) // (k + 2))
+
+
+def _seed(w: Column, at: Column, span: int) -> Column:
+    return F.xxhash64(F.lit(span), *(F.get(w, at + o) for o in range(span)))
 
 
 def _around(w: Column, at: Column) -> Column:
     return F.transform(F.sequence(F.lit(-WINDOW), F.lit(WINDOW - 1)), lambda r: F.get(w, at + r))
 
 
-def _starts(w: Column, span: int) -> Column:
-    return F.when(F.size(w) >= span, F.sequence(F.lit(0), F.size(w) - span)).otherwise(F.array().cast("array<int>"))
+def _none(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    kinds = [docs.select("doc_id").schema[0].dataType.simpleString(), benchmark.select("item_id").schema[0].dataType.simpleString()]
+    return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, _text long, item_id {kinds[1]}, matched int, compared int")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -53,19 +62,20 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     repeated items of one id (the better overlap counts). Null item ids take part; a null
     doc_id is kept. Empty tables give an empty result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHORTEST)
     items = settle(items.withColumn("n", F.size("w")))
-    # Masks of the full span, and one of whole length for each length of short item there is.
-    masks = [(m, SPAN, o) for m, o in enumerate(MASKS)]
-    short = [r["n"] for r in items.where(F.col("n") < SPAN).select("n").distinct().collect()]  # at most SPAN - SHORTEST values
-    masks += [(100 + n, n, tuple(range(n))) for n in sorted(short)]
+    lengths = [r["n"] for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # at most WINDOW values
+    spans: dict[int, list[int]] = {}
+    for n in sorted(lengths):
+        spans.setdefault(block_words(n, similarity), []).append(n)
     seeds = None
-    for m, span, offsets in masks:
-        own = items.where(F.col("n") >= SPAN) if span == SPAN else items.where(F.col("n") == span)
-        part = own.select("item_id", "n", "w", F.explode(_starts(F.col("w"), span)).alias("q")).select(
-            "item_id", F.lit(m).alias("mask"), F.col("n").alias("item_n"), "q", _seed(F.col("w"), F.col("q"), m, offsets).alias("h"), _around(F.col("w"), F.col("q")).alias("item_w"))
+    for span, sizes in spans.items():
+        own = items.where(F.least("n", F.lit(WINDOW)).isin(sizes))
+        part = own.select("item_id", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - span, F.lit(span))).alias("q")).select(
+            "item_id", F.lit(span).alias("span"), F.col("n").alias("item_n"), "q", _seed(F.col("w"), F.col("q"), span).alias("h"), _around(F.col("w"), F.col("q")).alias("item_w"))
         seeds = part if seeds is None else seeds.unionByName(part)
+    if seeds is None:
+        return _none(docs, benchmark)
     seeds = settle(seeds.distinct())
     n = seeds.select("h").distinct().count()
     blocks, found = max(1, -(-n // BLOCK) * (2 if n > BLOCK else 1)), None
@@ -73,23 +83,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
     for b in range(blocks):
         mine = seeds if blocks == 1 else seeds.where(F.pmod(F.col("h"), F.lit(blocks)) == b)
         hashes: dict[int, list[int]] = {}
-        for r in mine.select("mask", "h").distinct().collect():  # about BLOCK numbers at most
-            hashes.setdefault(r["mask"], []).append(r["h"])
+        for r in mine.select("span", "h").distinct().collect():  # about BLOCK numbers at most
+            hashes.setdefault(r["span"], []).append(r["h"])
         if not hashes:
             continue
         parts = []
-        for m, span, offsets in masks:
-            if m not in hashes:
-                continue
-            known = ",".join(f"{h}L" if h > -(2**63) else f"({h + 1}L - 1L)" for h in sorted(hashes[m]))
-            hash_sql = f"xxhash64({m}, " + ", ".join(f"get(w, i + {o})" for o in offsets) + ")"
+        for span in sorted(hashes):
+            known = ",".join(f"{h}L" if h > -(2**63) else f"({h + 1}L - 1L)" for h in sorted(hashes[span]))
+            hash_sql = f"xxhash64({span}, " + ", ".join(f"get(w, i + {o})" for o in range(span)) + ")"
             parts.append(f"transform(filter(if(size(w) >= {span}, sequence(0, size(w) - {span}), cast(array() as array<int>)), i -> {hash_sql} IN ({known})), i -> struct(i AS p, {hash_sql} AS h))")
         hits = texts.select("doc_id", "_text", "w", F.expr(f"concat({', '.join(parts)})").alias("hits"))
         # explode_outer, for a filter on the hits would be pushed below the words and compute them again at every position.
         at = hits.select("doc_id", "_text", F.explode_outer(F.transform("hits", lambda x: F.struct(x["h"].alias("h"), _around(F.col("w"), x["p"]).alias("doc_w")))).alias("x")).select(
             "doc_id", "_text", "x.h", "x.doc_w").where("h is not null")
         # A block has about BLOCK hashes; its rows are sent whole only if few items share them.
-        pairs = at.join(F.broadcast(mine.drop("mask")) if mine.count() <= 2 * BLOCK else mine.drop("mask"), "h")
+        pairs = at.join(F.broadcast(mine.drop("span")) if mine.count() <= 2 * BLOCK else mine.drop("span"), "h")
         equal = F.zip_with("doc_w", "item_w", lambda a, c: F.when(c.isNotNull() & a.eqNullSafe(c), 1).otherwise(0))
         size = F.least(F.col("item_n"), F.lit(WINDOW))
         # A window starts at most size - 1 words before the hit, no later than it, and stays inside the item.
@@ -101,8 +109,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
         checked = checked.select("doc_id", "_text", "item_id", F.col("size").alias("compared"), best.alias("matched")).where(F.col("matched") >= F.lit(similarity) * F.col("compared"))
         found = checked if found is None else found.unionByName(checked)
     if found is None:
-        kinds = [docs.select("doc_id").schema[0].dataType.simpleString(), benchmark.select("item_id").schema[0].dataType.simpleString()]
-        return spark.createDataFrame([], f"doc_id {kinds[0]}, _text long, item_id {kinds[1]}, matched int, compared int")
+        return _none(docs, benchmark)
     return found.groupBy("doc_id", "_text", "item_id").agg(F.max(F.struct("matched", "compared")).alias("m")).select("doc_id", "_text", "item_id", "m.matched", "m.compared")
 
 
