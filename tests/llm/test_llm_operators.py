@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -215,6 +216,39 @@ def test_licenses(spark):
     assert all(any(a in s or a in s.replace("by nc", "by-nc") for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+
+
+def test_licenses_in_wrapped_files_and_short_forms(spark):
+    def wrapped(text, width, prefix=""):
+        return "\n".join(f"{prefix}{line}" for p in text.split("\n\n") for line in [*textwrap.wrap(p.strip(), width), ""])
+
+    want = {}
+    for text, rule, name in ((MIT, "mit-text", "MIT"), (APACHE, "apache-header", "Apache-2.0"), (BSD, "bsd-2-text", "BSD-2-Clause")):
+        for width in (40, 72, 80):
+            want |= {wrapped(text, width, prefix): (rule, name) for prefix in ("", "# ", "// ", " * ", "    ")}
+            want["int x = 1;\r\n/*\r\n" + wrapped(text, width, " * ").replace("\n", "\r\n") + "*/"] = (rule, name)
+    want |= {"This software is released under the MIT License.": ("mit-release", "MIT"), "Licensed under the MIT License (see LICENSE).": ("mit-notice", "MIT"),
+             "Licensed under the Apache License 2.0.": ("apache-notice", "Apache-2.0"), "This project is licensed\nunder the MIT License": ("mit-project", "MIT"),
+             "It was released. Under the MIT License": ("", ""), "Not released under the MIT License.": ("", ""), "released under the MIT License of old": ("", "")}
+    got = licenses.scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.rules, r.licenses) for r in got} == dict(enumerate(want.values()))
+
+
 # ---- decontamination ----
 
 def plain_leak(doc, item):

@@ -1,7 +1,9 @@
 """Licence recognition by sentence rules, on DataFrame functions alone.
 
-Texts are cut into sentences, sentences are normalised and mapped to the identifiers of
-known licence sentences, and the sequence of identifiers of a document is matched
+Texts are normalised to words with marks where a sentence must end (. ! ?) and where it
+may (line breaks, ; and :). Known licence sentences are sought from mark to mark, so
+notices wrapped at any column, or in comments, are found as well as those on one line.
+They are mapped to identifiers, and the sequence of identifiers of a document is matched
 against ordered rules.
 """
 
@@ -48,15 +50,48 @@ RULES = (
     ("cc-by-nc-notice", "CC-BY-NC-4.0", "p"), ("cc-by-nc-work", "CC-BY-NC-4.0", "s"), ("cc-by-notice", "CC-BY-4.0", "q"), ("cc-by-work", "CC-BY-4.0", "r"),
     ("bsd-3-text", "BSD-3-Clause", "tuvw"), ("bsd-2-text", "BSD-2-Clause", "tuv"),
 )
+#: Short notices in words of their own: (expression over normalised words, identifier that it counts as).
+_WORK, _SEE = "this (?:software|project|program|work|code|package|library|file) is ", "(?: see (?:the )?license(?: file)?(?: txt| md)?(?: for (?:more )?(?:details|information))?)?"
+SHORT = (
+    (f"(?:{_WORK})?(?:released|distributed) under (?:the terms of )?the mit license{_SEE}", "a"),
+    (f"(?:{_WORK})?licensed under (?:the terms of )?the mit license{_SEE}", "b"),
+    (f"(?:{_WORK})?(?:released|distributed|licensed) under (?:the terms of )?the apache license(?: version)? 2 0{_SEE}", "g"),
+)
 #: Each known sentence holds one of these, so texts without any are not cut up at all.
 ANCHORS = ("license", "copyright", "warranty", "permission", "redistribution", "cc by", "cc-by")
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lines, and what ends in . ! or ? before white space; words of a-z and 0-9."""
-    plain = F.lower(F.regexp_replace(text, ORNAMENT, ""))
-    cut = F.split(F.regexp_replace(plain, rf"([.!?])[{SPACES}]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+#: Marks in normalised text: a sentence ends; a sentence may end.
+STOP, BREAK = "\x01", "\x02"
+
+
+def marked(text: Column) -> Column:
+    """Words of a-z and 0-9, one space, BREAK or STOP between any two, STOP at both ends.
+
+    STOP stands for . ! or ? before white space, BREAK for a line break, or ; or : before white space.
+    """
+    plain = F.translate(F.lower(F.regexp_replace(text, ORNAMENT, "")), STOP + BREAK, "  ")
+    stops = F.regexp_replace(plain, rf"[.!?][{SPACES}]+", STOP)
+    breaks = F.regexp_replace(stops, rf"\n|[;:](?=[{SPACES}]|$)", BREAK)
+    words = F.concat(F.lit(STOP), F.regexp_replace(breaks, f"[^a-z0-9{STOP}{BREAK}]+", " "), F.lit(STOP))
+    stops = F.regexp_replace(words, f"[ {BREAK}]*+{STOP}[ {STOP}{BREAK}]*+", STOP)
+    return F.regexp_replace(stops, f" ?{BREAK}[ {BREAK}]*+", BREAK)
+
+
+def known_sentences(text: Column) -> Column:
+    """Identifiers of the known sentences of a text, in order; of those that begin at one place the longest."""
+    gap = f"[ {BREAK}]"
+    fixed = sorted(SENTENCES.values(), key=len, reverse=True)
+    # A short form that goes on ("see license") is longer than the fixed sentence that it begins with.
+    any_of = "|".join([*(s for s in fixed if len(s) > 60), *(s for s, _ in SHORT), *(s for s in fixed if len(s) <= 60)]).replace(" ", gap)
+    found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[{STOP}{BREAK}])(?:{any_of})(?=[{STOP}{BREAK}])"), F.lit(0))
+    known = F.create_map(*(F.lit(x) for ident, s in SENTENCES.items() for x in (s, ident)))
+
+    def identify(s: Column) -> Column:
+        s = F.translate(s, BREAK, " ")
+        return F.coalesce(F.element_at(known, s), *(F.when(s.rlike(f"^{e}$"), F.lit(i)) for e, i in SHORT))
+
+    return F.transform(found, identify)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -69,10 +104,8 @@ def scan(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    known = F.create_map(*(F.lit(x) for ident, s in SENTENCES.items() for x in (s, ident)))
     anchored = reduce(lambda a, b: a | b, (F.lower(text).contains(a) for a in ANCHORS))
-    found = F.filter(F.transform(sentences(text), lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
-    rows = docs.select("doc_id", F.when(anchored, F.array_join(found, "")).otherwise("").alias("identifiers"))
+    rows = docs.select("doc_id", F.when(anchored, F.array_join(known_sentences(text), "")).otherwise("").alias("identifiers"))
     picks, by = [], {}
     for name, license_, ids in RULES:
         hit = F.col("identifiers").rlike(".*".join(ids))
