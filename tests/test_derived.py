@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import core
-from tidemark.operators import inference, models, portfolio, quality, text
+from tidemark.operators import inference, joins, models, portfolio, quality, text
+from tidemark.plans import QUERIES
 from tidemark.sources import readers, stores, synthetic
 
 
@@ -13,6 +14,17 @@ def test_utc_text_drops_zero_microseconds(spark):
     assert tuple(df.select(*(core.format_utc(F.col(c)) for c in "abc")).first()) == ("2024-01-02T03:04:05Z", "2024-01-02T03:04:05.000120Z", None)
 
 
+def test_neighbours_follow_the_order_of_any_ids(spark, tmp_path):
+    ids = [i * i * 7 - 50 for i in range(300)]
+    rows = spark.createDataFrame([(i, i + 1) for i in ids] + [(ids[5], -1), (ids[6], None), (None, 0)], "k long, v long").repartition(5)
+    want = [(i, i + 1, j + 1) for i, j in zip(ids, ids[1:])] + [(ids[4], ids[4] + 1, -1), (ids[5], -1, ids[6] + 1), (ids[5], ids[5] + 1, None), (ids[5], -1, None), (ids[6], None, ids[7] + 1)]
+    assert sorted(map(tuple, joins.following(rows, "k", "v").collect()), key=repr) == sorted(want, key=repr)
+    assert not joins.following(rows.limit(0), "k", "v").count()
+    spark.createDataFrame([(2, "a b c"), (4, "a b"), (10, "b"), (11, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.jaccard for r in QUERIES["C03_similarity"](spark, str(tmp_path)).collect()}
+    assert got == {2: 0.666667, 4: 0.5, 10: 0.0}
+
+
 def test_day_bounds():
     assert readers.day_bounds("2024-01-02", "2024-01-03") == ("2024-01-02 00:00:00", "2024-01-03 23:59:59.999999")
     assert readers.day_bounds(None, "2024-01-03 10:00:00") == (None, "2024-01-03 10:00:00")

@@ -6,6 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def following(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, value, next: each row with the value of each row of the next larger key; none for the largest.
+
+    Keys are cut into ranges, and the rows of the first key of a range are sent to the range
+    before as well, so each range is paired alone. Null keys are left out.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.where(F.col(key).isNotNull()).select(key, F.struct(value).alias("_v"))
+    ranges = rows.select(key).repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
+    firsts = sorted(r["first"] for r in ranges.groupBy("_part").agg(F.min(key).alias("first")).collect())  # one row a range
+    bounds = F.array(*map(F.lit, firsts)).cast(f"array<{rows.schema[key].dataType.simpleString()}>")
+    own = rows.withColumn("_own", F.size(F.filter(bounds, lambda b: b <= F.col(key))))
+    dealt = own.withColumn("_part", F.explode(F.when(F.array_contains(bounds, F.col(key)), F.array("_own", F.col("_own") - 1)).otherwise(F.array("_own"))))
+    ranked = dealt.withColumn("_rank", F.dense_rank().over(Window.partitionBy("_part").orderBy(key)))
+    after = F.collect_list("_v").over(Window.partitionBy("_part").orderBy("_rank").rangeBetween(1, 1))
+    pairs = ranked.withColumn("_next", after).where("_own = _part").select(key, F.col(f"_v.{value}").alias(value), F.explode("_next").alias("_next"))
+    return pairs.select(key, value, F.col(f"_next.{value}").alias("next"))
+
+
 def range_join(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, days: int) -> DataFrame:
     """Pairs with equal ``by`` and at - days < time <= at (day numbers; left-open, right-closed).
 

@@ -199,8 +199,7 @@ def t06(spark, sf):
 SELECT x.doc_id, round(CASE WHEN len(x.s) + len(y.s) = 0 THEN 1.0 ELSE len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) END, 6)::DOUBLE AS jaccard FROM k x JOIN k y ON y.doc_id = x.doc_id + 1""")
 def c03(spark, sf):
     k = t(spark, sf, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("s"))
-    pairs = k.join(k.select((F.col("doc_id") - 1).alias("doc_id"), F.col("s").alias("z")), "doc_id")
-    return rounded(pairs.select("doc_id", T.jaccard(F.col("s"), F.col("z")).alias("jaccard")))
+    return rounded(joins.following(k, "doc_id", "s").select("doc_id", T.jaccard(F.col("s"), F.col("next")).alias("jaccard")))
 
 
 @query("C19_holding_days", "SELECT l_orderkey, l_linenumber, CASE WHEN l_shipdate::DATE > o_orderdate::DATE THEN (l_shipdate::DATE - o_orderdate::DATE)::DOUBLE END AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
