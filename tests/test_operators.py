@@ -1,4 +1,5 @@
 import math
+import random
 from datetime import date, datetime
 from difflib import SequenceMatcher
 
@@ -145,3 +146,24 @@ def test_streaming(spark, tmp_path):
     f = windows.fold(e, "k", "kind", {("new", "open"): "live", ("live", "close"): "done"}, "new")
     f.writeStream.format("memory").queryName("fold").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start().awaitTermination(60)
     assert {(r.k, r.state, r.n_events) for r in spark.table("fold").collect()} == {(1, "done", 2), (2, "live", 1)}
+
+
+@pytest.mark.parametrize(("threshold", "ratio"), [(0.82, True), (0.5, True), (0.5, False)])
+def test_duplicate_pairs_are_all_pairs(spark, threshold, ratio):
+    rng = random.Random(23)
+    texts = [[rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(1, 14))] for _ in range(50)]
+    for t in texts[:30]:
+        texts.append(rng.sample(t, len(t)))  # another order
+        texts.append([rng.choice("xyz") if rng.random() < 0.25 else w for w in t] + t[:rng.randrange(3)])
+    texts.append([])
+    rows = list({tuple(t): i for i, t in enumerate(texts)}.items())
+    got = {(r.a, r.b): r.similarity for r in ops.duplicate_pairs(spark.createDataFrame([(i, list(t)) for t, i in rows], "id long, toks array<string>"), threshold, ratio).collect()}
+    want = {}
+    for s, i in rows:
+        for t, j in rows:
+            if i < j and s and t:
+                x = len({*s} & {*t}) / len({*s} | {*t})
+                x = max(x, SequenceMatcher(None, s, t, autojunk=False).ratio()) if ratio else x
+                if x >= threshold:
+                    want[i, j] = x
+    assert set(got) == set(want) and (len(want) > 30)
