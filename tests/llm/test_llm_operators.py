@@ -160,6 +160,15 @@ def test_grammar_scores_matched_clauses():
     assert kinds("YOU!! ARE!! AN!! IDIOT!!") == {"insult_targeted"}
 
 
+def test_grammar_reads_a_long_clause_whole():
+    g = toxicity.Grammar([], [])
+    kinds = lambda t: {k for k, v in zip(toxicity.KINDS, g.features(t)) if v}
+    filler = "lorem " * 5000
+    assert kinds(f"you {filler} idiot") == {"insult_targeted"} and kinds(f"idiot {filler} you") == {"insult_targeted"}
+    assert kinds(f"said {filler} idiot") == {"insult_reported"} and kinds(f"you. {filler} idiot") == {"insult"}
+    assert g.features(f"idiot {filler} {filler} moron you")[toxicity.KINDS.index("insult_targeted")] == np.log1p(2)
+
+
 def training(spark, n=400):
     rng, rows, labs = random.Random(6), [], []
     for i in range(n):

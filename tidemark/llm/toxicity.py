@@ -141,12 +141,11 @@ class Grammar:
         for m in hits:
             if m.start() < done:
                 continue
-            begin = done if done > 0 else 0
-            for b in BOUNDARY.finditer(text, max(begin, m.start() - 2000), m.start()):
+            begin = max(done, 0)
+            for b in BOUNDARY.finditer(text, begin, m.start()):
                 begin = b.end()
-            begin = max(begin, m.start() - 2000)
             end = BOUNDARY.search(text, m.end())
-            done = min(end.start() if end else len(text), max(m.end(), begin + 20_000))
+            done = end.start() if end else len(text)
             symbols = "".join(where.get(w.start()) or self.classes.get(w.group(), "W") for w in WORD.finditer(text, begin, done))
             for o in self.machine.run(symbols):
                 counts.update(o if isinstance(o, tuple) else (o,))
