@@ -57,14 +57,34 @@ def plain_topk(vectors, k):
     return out
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e3, 1e5])
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e5, 1e12])
 def test_topk(spark, scale):
     rng = np.random.default_rng(2)
     v = [(i, [float(x) for x in rng.normal(0, scale, 8).round(2)]) for i in range(120)] + [(200, [0.0] * 8), (201, [0.0] * 8)]
     v += [(300, None), (301, [1.0, None]), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (None, [1.0] * 8)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(3)
-    got = topk.exact_topk(df.where("vec_id % 50 = 0"), df, query_block=2).collect()
-    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == plain_topk(v, 5)
+    got = topk.exact_topk(df.where("vec_id % 50 = 0"), df, group_bytes=200).collect()
+    assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == {k: (j, max(min(s, 2**63 - 1), -(2**63))) for k, (j, s) in plain_topk(v, 5).items()}
+
+
+def test_topk_keeps_large_components(spark):
+    v = [(0, [1.0, 1.0]), (1, [1e8, 1.0]), (2, [2.0, 1.0]), (3, [1e300, 1.0]), (4, [-1e307, -1e308]), (5, [-1e300, 0.0]), (50, [1e9, -1e9])]
+    df = spark.createDataFrame([(i, x, "e") for i, x in v], "vec_id long, embedding array<double>, score string")
+    got = topk.exact_topk(df.where("vec_id % 50 = 0"), df, k=6).orderBy("query_id", "rank").collect()
+    assert [r.vec_id for r in got if r.query_id == 0] == [3, 1, 2, 50, 5, 4] and [r.vec_id for r in got if r.query_id == 50] == [4, 3, 1, 2, 0, 5]
+    assert [r.score for r in got][:2] == [2**63 - 1, 256 * 256 * (10**8 + 1)] and got[5].score == -(2**63)
+
+
+def test_topk_ranks_many_blocks_and_ties(spark):
+    rng = np.random.default_rng(3)
+    v = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(5000)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>").repartition(2)
+    got = topk.exact_topk(df.where("vec_id % 500 = 0"), df).collect()
+    m = np.array([x for _, x in v]) * 256
+    for q in range(0, 5000, 500):
+        s = m @ m[q]
+        best = [int(i) for i in np.lexsort((np.arange(5000), -s)) if i != q][:5]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(i, int(s[i])) for i in best]
 
 
 def test_topk_ties_repeats_and_empty(spark):
@@ -358,6 +378,22 @@ def test_packing_levels(spark):
     assert len(got) == 900 and len({r.uid for r in got}) == 900 and max(seqs.values()) <= 2048 and len(seqs) <= 500
 
 
+@pytest.mark.parametrize("sizes,bins", [([1100] * 1200, 1200), ([1000, 600, 448] * 400, 440), ([700] * 1200, 600)])
+def test_no_packing_cell_grows(spark, monkeypatch, sizes, bins):
+    parts = spark.createDataFrame([(i, str(i), 0, 0, n, 0) for i, n in enumerate(sizes)], "uid long, doc_id string, piece long, start long, length long, ids_crc32 long")
+    largest, level = [], packing._level
+    monkeypatch.setattr(packing, "_level", lambda rows, *a: largest.append(max(r["count"] for r in rows.groupBy("cell").count().collect())) or level(rows, *a))
+    got = packing.pack(parts, 2048, cell=100).collect()
+    assert len(got) == len(sizes) and len({r.sequence_id for r in got}) <= bins
+    assert max(largest) <= 100 and len(largest) <= 12
+    assert packing.bound_of(parts, 2048) == packing.lower_bound(sizes, 2048) <= bins
+
+
+def test_packing_keeps_any_kind_of_id(spark):
+    got = packing.packed_documents(spark.createDataFrame([("a", "x y"), (None, "z"), ("a", "x y")], "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.length) for r in got) == [("", 2), ("a", 3), ("a", 3)]
+
+
 # ---- language model ----
 
 def test_lm_gradient_and_scores(spark, monkeypatch):

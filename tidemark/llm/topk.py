@@ -3,83 +3,140 @@
 A candidate block is turned into postings (term -> candidates, weights). Each sparse
 query row scatters ``query weight * posting weight`` term after term into a dense
 array of scores; a partition selection keeps k of each block, and the few survivors
-of all blocks are merged by query. Queries travel in blocks of at most
-``QUERY_BLOCK`` rows, so what is broadcast has a fixed bound at any input size.
+of all blocks are merged by query. Queries are sent to the candidates in groups of at
+most ``GROUP_BYTES``, so what is broadcast has a fixed bound at any input size; each
+group is one pass over the candidates, and its survivors are written, so that the plan
+does not grow with the number of groups.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import scratch, settle
 
-QUERY_BLOCK = 4096
+#: Bytes of query vectors (8 a component) that are sent at once.
+GROUP_BYTES = 64 * 2**20
 TILE_Q, TILE_C = 64, 2048
 #: Repeated ids (8 bytes each) that are broadcast at most; more meet the candidates by a shuffle.
 BROADCAST_IDS = 500_000
-#: Components whose floor(scale * x) does not fit in 31 bits take no part.
-LIMIT = float(2**31)
-
-
-def _matrix(vectors: list, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(kept row numbers, integer weights as float64). Null, non-finite or too large: left out; shorter ones are padded by 0."""
-    rows, got = [], []
-    for i, v in enumerate(vectors):
-        if v is None:
-            continue
-        try:
-            x = np.asarray(v, dtype=np.float64)
-        except (TypeError, ValueError):  # a null component
-            continue
-        x = np.floor(scale * x)
-        if np.isfinite(x).all() and (np.abs(x) < LIMIT).all():
-            rows.append(i)
-            got.append(x)
-    width = max([1, *(len(x) for x in got)])
-    out = np.zeros((len(got), width))
-    for i, x in enumerate(got):
-        out[i, : len(x)] = x
-    return np.array(rows, dtype=np.int64), out
-
-
-def _block_top(q_ids, q, c_ids, c, k):
-    """The k best of one candidate block for each query: (query, candidate, score) rows."""
-    if not len(c_ids) or not len(q_ids):
-        return []
-    order = np.argsort(c_ids, kind="stable")
-    c_ids, c = c_ids[order], c[order]
-    width = min(q.shape[1], c.shape[1])
-    bound = float(np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, width))
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    whole = np.int64 if kind is object else kind  # Python integers only where 53 bits may not hold a score
-    postings = [(t, idx, c[idx, t].astype(whole).astype(kind)) for t in range(width) if len(idx := np.flatnonzero(c[:, t]))]
-    qk = q.astype(whole).astype(kind)
-    found = []
-    for a in range(0, len(q_ids), TILE_Q):
-        part = qk[a : a + TILE_Q]
-        acc = np.zeros((len(part), len(c_ids)), dtype=kind)
-        for t, idx, w in postings:
-            rows = np.flatnonzero(part[:, t])  # only queries that hold the term
-            if len(idx) == len(c_ids) and len(rows) == len(part):
-                acc += part[:, t, None] * w[None, :]
-            elif len(rows):
-                acc[np.ix_(rows, idx)] += part[rows, t][:, None] * w[None, :]
-        for r in range(len(part)):
-            s, own = acc[r], c_ids != q_ids[a + r]
-            s, ids = (s, c_ids) if own.all() else (s[own], c_ids[own])
-            if len(s) > k:
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                above, ties = np.flatnonzero(s > least), np.flatnonzero(s == least)
-                keep = np.concatenate([above, ties[: k - len(above)]])  # ids ascend: ties go to the smaller
-            else:
-                keep = np.arange(len(s))
-            found += [(int(q_ids[a + r]), int(ids[j]), int(s[j])) for j in keep]
-    return found
+NONE = np.iinfo(np.int64).min
+
+
+def _weights(vectors: pa.Array, scale: float) -> tuple[np.ndarray, list[list[int]]]:
+    """(matrix of the floors of scale * x, as far as doubles hold them, else zeros; the other rows as Python integers, or None).
+
+    Shorter vectors are padded by 0.
+    """
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    flat = np.floor(scale * vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64))
+    out = np.zeros((len(sizes), max(1, int(sizes.max(initial=0)))))
+    out[np.arange(out.shape[1])[None, :] < sizes[:, None]] = flat
+    large = np.flatnonzero((~(np.abs(out) < 2.0**53)).any(axis=1))
+    exact: list = [None] * len(sizes)
+    for i in large:
+        exact[i] = [math.floor(Fraction(scale) * Fraction(x)) for x in vectors[int(i)].as_py()]
+        out[i] = 0
+    return out, exact
+
+
+def _small(matrix: np.ndarray, exact: list) -> np.ndarray:
+    """Rows whose products with each other all fit into a sort key of 63 bits."""
+    limit = math.isqrt(2**50 // max(1, matrix.shape[1]))
+    return (np.abs(matrix).max(axis=1, initial=0) <= limit) & np.array([e is None for e in exact], dtype=bool)
+
+
+def _postings(c: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(t, idx, c[idx, t]) for t in range(c.shape[1]) if len(idx := np.flatnonzero(c[:, t]))]
+
+
+def _accumulate(part: np.ndarray, postings: list, n: int) -> np.ndarray:
+    """Scores of the query rows ``part`` against ``n`` candidates, term after term."""
+    acc = np.zeros((len(part), n), dtype=part.dtype)
+    for t, idx, w in postings:
+        if t >= part.shape[1]:
+            break
+        rows = np.flatnonzero(part[:, t])  # only queries that hold the term
+        if len(idx) == n and len(rows) == len(part):
+            acc += part[:, t, None] * w[None, :]
+        elif len(rows):
+            acc[np.ix_(rows, idx)] += part[rows, t][:, None] * w[None, :]
+    return acc
+
+
+class Best:
+    """The k best candidates of every query so far: scores and ids, best first; ties to the smaller id."""
+
+    def __init__(self, q_ids: np.ndarray, q: np.ndarray, exact: list, k: int) -> None:
+        self.q_ids, self.q, self.exact, self.k = q_ids, q, exact, k
+        self.fast = np.flatnonzero(_small(q, exact))
+        self.slow = np.flatnonzero(~_small(q, exact))
+        self.score = np.full((len(q_ids), k), NONE)
+        self.id = np.zeros((len(q_ids), k), dtype=np.int64)
+        self.beyond: dict[int, list[tuple[int, int]]] = {}  # query row -> (score, id) where 63 bits may not hold a score
+
+    def add(self, ids: np.ndarray, c: np.ndarray, exact: list) -> None:
+        """Takes in one candidate block: ids, weights, and the rows that only integers hold."""
+        order = np.argsort(ids, kind="stable")
+        ids, c, exact = ids[order], c[order], [exact[i] for i in order]
+        small = _small(c, exact)
+        few, rest = np.flatnonzero(small), np.flatnonzero(~small)
+        if len(few):
+            self._fast(ids[few], c[few])
+        if len(few) and len(self.slow):
+            self._slow(self.slow, ids[few], c[few], [None] * len(few))
+        if len(rest):
+            self._slow(np.arange(len(self.q_ids)), ids[rest], c[rest], [exact[i] for i in rest])
+
+    def _fast(self, ids: np.ndarray, c: np.ndarray) -> None:
+        q, n, k = self.q[self.fast], len(ids), self.k
+        bound = float(np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, min(q.shape[1], c.shape[1])))
+        kind = np.float32 if bound < 2**24 else np.float64
+        postings, q = _postings(c.astype(kind)), q.astype(kind)
+        place = (n - 1 - np.arange(n)).astype(np.int64)  # among equal scores the first, that is the smallest id, is highest
+        for a in range(0, len(q), TILE_Q):
+            rows = self.fast[a : a + TILE_Q]
+            key = _accumulate(q[a : a + TILE_Q], postings, n).astype(np.int64) * TILE_C + place[None, :]
+            if self.score[rows, -1].min() > NONE:  # beyond the first blocks, few candidates come in at all
+                hopeful = (key // TILE_C >= self.score[rows, -1][:, None]).any(axis=1)
+                rows, key = rows[hopeful], key[hopeful]
+                if not len(rows):
+                    continue
+            key[ids[None, :] == self.q_ids[rows][:, None]] = NONE
+            if n > k:
+                key = np.partition(key, n - k, axis=1)[:, n - k :]
+            there = key > NONE
+            score, found = np.where(there, key // TILE_C, NONE), ids[np.where(there, n - 1 - key % TILE_C, 0)]
+            score, found = np.hstack([self.score[rows], score]), np.hstack([self.id[rows], found])
+            best = np.lexsort((found, -np.maximum(score, NONE + 1)), axis=1)[:, :k]
+            self.score[rows], self.id[rows] = np.take_along_axis(score, best, 1), np.take_along_axis(found, best, 1)
+
+    def _slow(self, rows: np.ndarray, ids: np.ndarray, c: np.ndarray, exact: list) -> None:
+        """Python integers, for weights whose scores may pass 50 bits."""
+        whole = lambda m, e, i: e[i] if e[i] is not None else [int(x) for x in m[i]]
+        cs = [whole(c, exact, j) for j in range(len(ids))]
+        for r in rows.tolist():
+            own = whole(self.q, self.exact, r)
+            found = [(sum(a * b for a, b in zip(own, w, strict=False)), int(i)) for i, w in zip(ids, cs, strict=True) if i != self.q_ids[r]]
+            self.beyond[r] = sorted([*self.beyond.get(r, []), *found], key=lambda x: (-x[0], x[1]))[: self.k]
+
+    def rows(self) -> pa.RecordBatch:
+        """query_id, vec_id, score as a decimal text; all that is kept."""
+        at = np.nonzero(self.score > NONE)
+        q, i, s = self.q_ids[at[0]].tolist(), self.id[at].tolist(), self.score[at].astype(str).tolist()
+        for r, found in self.beyond.items():
+            q += [int(self.q_ids[r])] * len(found)
+            i += [j for _, j in found]
+            s += [str(x) for x, _ in found]
+        return pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.string())], names=["query_id", "vec_id", "score"])
 
 
 def _unique(rows: DataFrame) -> DataFrame:
@@ -100,15 +157,16 @@ def _spread(rows: DataFrame) -> DataFrame:
 
 
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: float = 256.0,
-               id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
+               id_col: str = "vec_id", vector_col: str = "embedding", group_bytes: int = GROUP_BYTES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` highest integer inner products of each query.
 
     Every candidate but those with the query's own id takes part; ties go to the
-    smaller id. Rows with a null id, a null vector, a null or non-finite component, or
-    one beyond 31 bits after scaling, take no part on either side. Repeated ids: one
-    row of the id counts, that with the smallest vector. Vectors of unequal length
-    meet on their common terms. Empty tables give an empty result. Other columns are
-    ignored.
+    smaller id. Rows with a null id, a null vector, or a null or non-finite component take
+    no part on either side; components of any size do, by exact integers where doubles do
+    not hold them. Ranks follow exact scores; a score that a long does not hold is given
+    as the nearest long. Repeated ids: one row of the id counts, that with the smallest
+    vector. Vectors of unequal length meet on their common terms. Empty tables give an
+    empty result. Other columns are ignored.
     """
     spark = candidates.sparkSession
 
@@ -118,41 +176,28 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, scale: flo
         return df.where(F.col("i").isNotNull() & F.col("v").isNotNull() & whole)
 
     q, c = fit(queries).groupBy("i").agg(F.min("v").alias("v")), _spread(_unique(fit(candidates)))
-    blocks = max(1, -(-q.count() // query_block) * 2 if q.count() > query_block else 1)
-    out = None
-    for b in range(blocks):
-        own = q if blocks == 1 else q.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        rows = own.collect()  # one block of the query set: near query_block rows at most
-        keep, qm = _matrix([r["v"] for r in rows], scale)
-        sent = spark.sparkContext.broadcast((np.array([r["i"] for r in rows], dtype=np.int64)[keep], qm))
+    size = q.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    groups = max(1, -(-size[0] * 8 * max(1, size[1]) // group_bytes))
+    at = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    for g in range(groups):
+        own = (q if groups == 1 else q.where(F.pmod(F.xxhash64("i"), F.lit(groups)) == g)).toArrow()  # one group: near ``group_bytes``
+        sent = spark.sparkContext.broadcast((own["i"].to_numpy(), *_weights(own["v"].combine_chunks(), scale)))
 
         def score(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            q_ids, qm = sent.value
-            held: list[tuple[int, int, int]] = []
+            best = Best(*sent.value, k)
             for batch in batches:
-                ids, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+                ids = batch.column(0).to_numpy()
                 for a in range(0, len(ids), TILE_C):
-                    rows, cm = _matrix(vectors.slice(a, TILE_C).to_numpy(zero_copy_only=False), scale)
-                    held += _block_top(q_ids, qm, ids[a : a + TILE_C][rows], cm, k)
-                if len(held) > 200_000:
-                    held = _merge(held, k)
-            yield pa.RecordBatch.from_pylist([{"query_id": a, "vec_id": b, "score": s} for a, b, s in _merge(held, k)], schema=_FOUND)
-
-        part = c.select("i", "v").mapInArrow(score, "query_id long, vec_id long, score long")
-        out = part if out is None else out.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
-
-
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-
-def _merge(found: list[tuple[int, int, int]], k: int) -> list[tuple[int, int, int]]:
-    out, last, n = [], None, 0
-    for f in sorted(found, key=lambda x: (x[0], -x[2], x[1])):
-        n = n + 1 if f[0] == last else 1
-        last = f[0]
-        if n <= k:
-            out.append(f)
-    return out
+                    best.add(ids[a : a + TILE_C], *_weights(batch.column(1).slice(a, TILE_C), scale))
+            yield best.rows()
+
+        c.select("i", "v").mapInArrow(score, "query_id long, vec_id long, score string").write.parquet(f"{at}/g={g}")
+        sent.unpersist()
+    found = spark.read.schema("query_id long, vec_id long, score string").parquet(at)
+    # Numbers of any length are ranked by sign, length and digits.
+    sign = F.when(F.col("score").startswith("-"), -1).otherwise(1)
+    digits = F.when(sign > 0, F.col("score")).otherwise(F.translate("score", "0123456789", "9876543210"))
+    best = Window.partitionBy("query_id").orderBy(sign.desc(), (sign * F.length("score")).desc(), digits.desc(), "vec_id")
+    kept = F.coalesce(F.expr("try_cast(score AS bigint)"), F.when(sign > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63))))
+    return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+            .select("query_id", "rank", "vec_id", kept.alias("score")))
