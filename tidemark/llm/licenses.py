@@ -78,12 +78,14 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(stops, f" ?{BREAK}[ {BREAK}]*+", BREAK)
 
 
+_LONGEST = sorted(SENTENCES.values(), key=len, reverse=True)
+
+
 def known_sentences(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order; of those that begin at one place the longest."""
     gap = f"[ {BREAK}]"
-    fixed = sorted(SENTENCES.values(), key=len, reverse=True)
     # A short form that goes on ("see license") is longer than the fixed sentence that it begins with.
-    any_of = "|".join([*(s for s in fixed if len(s) > 60), *(s for s, _ in SHORT), *(s for s in fixed if len(s) <= 60)]).replace(" ", gap)
+    any_of = "|".join([*(s for s in _LONGEST if len(s) > 60), *(s for s, _ in SHORT), *(s for s in _LONGEST if len(s) <= 60)]).replace(" ", gap)
     found = F.regexp_extract_all(marked(text), F.lit(f"(?<=[{STOP}{BREAK}])(?:{any_of})(?=[{STOP}{BREAK}])"), F.lit(0))
     known = F.create_map(*(F.lit(x) for ident, s in SENTENCES.items() for x in (s, ident)))
 
@@ -104,7 +106,7 @@ def scan(docs: DataFrame) -> DataFrame:
     table gives no rows; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    anchored = reduce(lambda a, b: a | b, (F.lower(text).contains(a) for a in ANCHORS))
+    anchored = reduce(lambda a, b: a | b, (F.lower(text).contains(a) for a in ANCHORS), text.rlike(ORNAMENT))  # ornaments may hide an anchor
     rows = docs.select("doc_id", F.when(anchored, F.array_join(known_sentences(text), "")).otherwise("").alias("identifiers"))
     picks, by = [], {}
     for name, license_, ids in RULES:
@@ -119,7 +121,12 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same scan as SQL. RE2 has no look-around: marks are doubled, so that each of two neighbours has one of its own."""
     known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in SENTENCES.items()) + "}"
+    gap = f"(?: |{BREAK}{BREAK})"
+    alternatives = "|".join([*(s for s in _LONGEST if len(s) > 60), *(s for s, _ in SHORT), *(s for s in _LONGEST if len(s) <= 60)]).replace(" ", gap)
+    short = " ".join(f"WHEN regexp_full_match(y, '{e}') THEN '{i}'" for e, i in SHORT)
+    named = f"coalesce(element_at({known}, y)[1], CASE {short} END)"
     by, rules, names = {}, [], []
     for name, license_, ids in RULES:
         hit = f"regexp_matches(identifiers, '{'.*'.join(ids)}')"
@@ -129,11 +136,18 @@ def _oracle() -> str:
         names.append(f"CASE WHEN {hit} THEN '{license_}' END")
         by[license_] = hit if other is None else f"{other} OR {hit}"
     return f"""
-WITH cut AS (
-  SELECT doc_id, string_split(regexp_replace(lower(regexp_replace(coalesce(text, ''), '{ORNAMENT}', '', 'g')), '([.!?])[{SPACES}]+', '\\1' || chr(10), 'g'), chr(10)) AS s FROM documents),
+WITH plain AS (
+  SELECT doc_id, translate(lower(regexp_replace(coalesce(text, ''), '{ORNAMENT}', '', 'g')), '{STOP}{BREAK}', '  ') AS t FROM documents),
+ends AS (SELECT doc_id, regexp_replace(regexp_replace(t, '[.!?][{SPACES}]+', '{STOP}', 'g'), '\\n|[;:]([{SPACES}])|[;:]$', '{BREAK}\\1', 'g') AS t FROM plain),
+words AS (SELECT doc_id, '{STOP}' || regexp_replace(t, '[^a-z0-9{STOP}{BREAK}]+', ' ', 'g') || '{STOP}' AS t FROM ends),
+marked AS (
+  SELECT doc_id, replace(replace(regexp_replace(regexp_replace(t, '[ {BREAK}]*{STOP}[ {STOP}{BREAK}]*', '{STOP}', 'g'), ' ?{BREAK}[ {BREAK}]*', '{BREAK}', 'g'),
+    '{BREAK}', '{BREAK}{BREAK}'), '{STOP}', '{STOP}{STOP}') AS t FROM words),
+found AS (
+  SELECT doc_id, list_transform(regexp_extract_all(t, '[{STOP}{BREAK}]({alternatives})[{STOP}{BREAK}]', 1), lambda x: replace(x, '{BREAK}{BREAK}', ' ')) AS s FROM marked),
 ids AS (
-  SELECT doc_id, coalesce(list_aggregate(list_filter(list_transform(s, lambda x: element_at({known}, trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g')))[1]), lambda y: y IS NOT NULL), 'string_agg', ''), '') AS identifiers
-  FROM cut)
+  SELECT doc_id, coalesce(list_aggregate(list_filter(list_transform(s, lambda y: {named}), lambda y: y IS NOT NULL), 'string_agg', ''), '') AS identifiers
+  FROM found)
 SELECT doc_id, length(identifiers) AS n_sentences, identifiers,
   coalesce(list_aggregate(list_filter([{', '.join(rules)}], lambda y: y IS NOT NULL), 'string_agg', ','), '') AS rules,
   coalesce(list_aggregate(list_sort(list_distinct(list_filter([{', '.join(names)}], lambda y: y IS NOT NULL))), 'string_agg', ','), '') AS licenses
