@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import gathered, settle
 
 SIMILARITY, WINDOW = 0.8, 24
-#: Items of fewer words are not sought.
+#: Items of fewer words are not sought: one or two words that stand in a text are no sign of a leak.
 SHORTEST = 3
-#: Hashes that one scan of the training texts looks for; a larger benchmark is sought in blocks.
+#: Hashes that one pass over the words of the training texts looks for. For a larger benchmark, the
+#: texts are read and cut into words once and their word hashes written; each block then reads those.
 BLOCK = 100_000
 #: Leaking documents (16 bytes each) whose keys are broadcast at most; more meet the documents by a shuffle.
 BROADCAST_LEAKS = 500_000
@@ -54,16 +55,23 @@ def _none(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, _text long, item_id {kinds[1]}, matched int, compared int")
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """item_id, class_item_id: the smallest id of the items of the same words, which stands for them all in ``overlaps``."""
+    items = benchmark.select("item_id", words(F.col("text")).alias("w"))
+    return items.join(items.groupBy("w").agg(F.min("item_id").alias("class_item_id")), "w").select("item_id", "class_item_id")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shortest: int = SHORTEST, block: int = BLOCK) -> DataFrame:
     """doc_id, _text (hash of the text), item_id, matched, compared: each text and the benchmark items that it leaks.
 
     matched of compared words are equal in the best window. Null texts count as empty and
-    leak nothing, as do items of fewer than three words. Repeated rows are one; so are
-    repeated items of one id (the better overlap counts). Null item ids take part; a null
-    doc_id is kept. Empty tables give an empty result. Other columns are ignored.
+    leak nothing, as do items of fewer than ``shortest`` words. Repeated rows are one; so are
+    repeated items of one id (the better overlap counts). Items of the same words are one
+    item, that with the smallest id (``item_classes`` has the others). Null item ids take
+    part; a null doc_id is kept. Empty tables give an empty result. Other columns are ignored.
     """
-    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= SHORTEST)
-    items = settle(items.withColumn("n", F.size("w")))
+    items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") >= max(1, shortest))
+    items = settle(items.groupBy("w").agg(F.min("item_id").alias("item_id")).withColumn("n", F.size("w")), benchmark.count())
     lengths = [r["n"] for r in items.select(F.least("n", F.lit(WINDOW)).alias("n")).distinct().collect()]  # at most WINDOW values
     spans: dict[int, list[int]] = {}
     for n in sorted(lengths):
@@ -76,14 +84,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
         seeds = part if seeds is None else seeds.unionByName(part)
     if seeds is None:
         return _none(docs, benchmark)
-    seeds = settle(seeds.distinct())
+    seeds = settle(seeds.distinct(), items.agg(F.sum("n")).first()[0])
     n = seeds.select("h").distinct().count()
-    blocks, found = max(1, -(-n // BLOCK) * (2 if n > BLOCK else 1)), None
-    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), words(F.col("text")).alias("w"))
+    blocks, found = max(1, -(-n // block) * (2 if n > block else 1)), None
+    texts = gathered(docs).select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text"), words(F.col("text")).alias("w"))
+    if blocks > 1:
+        texts = settle(texts)
     for b in range(blocks):
         mine = seeds if blocks == 1 else seeds.where(F.pmod(F.col("h"), F.lit(blocks)) == b)
         hashes: dict[int, list[int]] = {}
-        for r in mine.select("span", "h").distinct().collect():  # about BLOCK numbers at most
+        for r in mine.select("span", "h").distinct().collect():  # about ``block`` numbers at most
             hashes.setdefault(r["span"], []).append(r["h"])
         if not hashes:
             continue
@@ -96,8 +106,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARI
         # explode_outer, for a filter on the hits would be pushed below the words and compute them again at every position.
         at = hits.select("doc_id", "_text", F.explode_outer(F.transform("hits", lambda x: F.struct(x["h"].alias("h"), _around(F.col("w"), x["p"]).alias("doc_w")))).alias("x")).select(
             "doc_id", "_text", "x.h", "x.doc_w").where("h is not null")
-        # A block has about BLOCK hashes; its rows are sent whole only if few items share them.
-        pairs = at.join(F.broadcast(mine.drop("span")) if mine.count() <= 2 * BLOCK else mine.drop("span"), "h")
+        # A block has about ``block`` hashes; its rows are sent whole only if few items share them.
+        pairs = at.join(F.broadcast(mine.drop("span")) if mine.count() <= 2 * block else mine.drop("span"), "h")
         equal = F.zip_with("doc_w", "item_w", lambda a, c: F.when(c.isNotNull() & a.eqNullSafe(c), 1).otherwise(0))
         size = F.least(F.col("item_n"), F.lit(WINDOW))
         # A window starts at most size - 1 words before the hit, no later than it, and stays inside the item.
@@ -119,8 +129,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs``, all columns, without the documents that leak a benchmark item."""
-    leaks = settle(overlaps(docs, benchmark).select(F.col("doc_id").alias("_i"), F.col("_text").alias("_t")).distinct())
+    """``docs``, all columns, without the documents that leak a benchmark item (see ``overlaps``).
+
+    Null, empty and repeated texts without a leak stay, every row of them; a document leaks by
+    its doc_id and text, so rows of one id are judged apart. Empty tables: no documents give
+    none, no benchmark keeps all. Columns of any name are kept.
+    """
+    docs = gathered(docs)
+    leaks = settle(overlaps(docs, benchmark).select(F.col("doc_id").alias("_i"), F.col("_text").alias("_t")).distinct(), docs.count())
     few = leaks.count() <= BROADCAST_LEAKS
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"))
     same = F.col("_d.doc_id").eqNullSafe(F.col("_i")) & (F.xxhash64(F.coalesce("_d.text", F.lit(""))) == F.col("_t"))
