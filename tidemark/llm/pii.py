@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import gathered, settle
 
 # The base expressions. Possessive forms and the look-behind keep them linear on
 # long runs; they match exactly what the plain forms match, leftmost and without overlap.
@@ -23,10 +23,11 @@ KINDS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Identifier-like instances: 6 to 64 letters, digits, - and _, with a digit among the first 41.
-INSTANCE = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]{0,40}[0-9])[0-9A-Za-z][0-9A-Za-z_-]{5,63}(?![0-9A-Za-z_-])"
+#: Identifier-like instances: 6 or more letters, digits, - and _, with a digit among them. Linear: only a run's start is tried.
+INSTANCE = r"(?<![0-9A-Za-z_-])(?=[A-Za-z_-]*+[0-9])[0-9A-Za-z][0-9A-Za-z_-]{5,}+"
 ROUNDS, SMOOTH, PATTERN_SEEDS, PATTERN_WORTH, INSTANCE_WORTH = 3, 2.0, 3, 0.5, 0.6
-CHUNK, CONTEXT = 64, 48
+#: Spans of a text are handled in chunks; contexts are sought in the nearest characters first, further back if two words do not fit.
+CHUNK, CONTEXT = 64, (48, 1024)
 #: Added spans that are broadcast at most, at some 50 bytes each.
 BROADCAST_SPANS = 200_000
 SPAN = "array<struct<start:bigint,end:bigint,text:string>>"
@@ -90,10 +91,18 @@ def _with_spans(df: DataFrame, guard: Column, pattern: str, out: str) -> DataFra
 
 
 def _context(text: Column, start: Column) -> Column:
-    """The last words, at most two, of the ``CONTEXT`` characters before ``start``."""
-    before = text.substr(F.greatest(F.lit(1), start.cast("int") - CONTEXT + 1), F.least(F.lit(CONTEXT), start.cast("int")))
-    w = F.regexp_extract_all(F.lower(before), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    return F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), 2)
+    """The last words, at most two, before ``start``: whole words, however long."""
+    begin = start.cast("int")
+
+    def last(before: Column) -> Column:
+        w = F.regexp_extract_all(F.lower(before), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+        return F.slice(w, F.greatest(F.lit(1), F.size(w) - 1), 2)
+
+    found = last(text.substr(F.lit(1), begin))
+    for n in reversed(CONTEXT):  # a word that the window cuts counts for nothing
+        near = last(F.regexp_replace(text.substr(F.greatest(F.lit(1), begin - n + 1), F.least(F.lit(n), begin)), r"^[^\x20\x09-\x0D]+", ""))
+        found = F.when(begin <= n, last(text.substr(F.lit(1), begin))).when(F.size(near) == 2, near).otherwise(found)
+    return found
 
 
 def _patterns(context: Column) -> Column:
@@ -110,7 +119,7 @@ def find(docs: DataFrame) -> DataFrame:
     each searched; a repeated value counts once for a pattern. Empty tables give no rows;
     columns of any name are kept in _d.
     """
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d")).withColumn("_uid", F.monotonically_increasing_id())
+    rows = gathered(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d")).withColumn("_uid", F.monotonically_increasing_id())
     text = F.coalesce(F.col("_d.text"), F.lit(""))
     rows = rows.select("_uid", "_d", text.alias("text")).withColumn("_digit", F.col("text").rlike("[0-9]"))
     guards = {"email": F.col("text").contains("@"), "ip": F.col("_digit"), "card": F.col("_digit"), "phone": F.col("_digit") & F.col("text").contains("+")}
@@ -128,16 +137,21 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def score(found: DataFrame) -> DataFrame:
-    """v: instances that high-confidence patterns make identifiers. ``found`` is what ``find`` returns."""
+    """v: instances that high-confidence patterns make identifiers. ``found`` is what ``find`` returns.
+
+    A pattern needs ``PATTERN_SEEDS`` sure instances: seeds, and from the second round on those
+    that the round before found, so that identifiers lead to new patterns.
+    """
     graph = found.select(F.explode("_nodes").alias("n")).select("n.v", "n.seed", F.explode("n.p").alias("p"))
-    graph = settle(graph.groupBy("p", "v").agg(F.max("seed").alias("seed")))  # a repeated value counts once
+    n = found.agg(F.coalesce(F.sum(2 * F.size("_nodes")), F.lit(0))).first()[0]
+    graph = settle(graph.groupBy("p", "v").agg(F.max("seed").alias("seed")), n)  # a repeated value counts once
     worth = None
     for _ in range(ROUNDS):
         edges = graph.withColumn("w", F.when(F.col("seed"), 1.0).otherwise(0.0)) if worth is None else \
             graph.join(worth, "v", "left").withColumn("w", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("w", F.lit(0.0))))
-        patterns = edges.groupBy("p").agg((F.sum("w") / (F.count(F.lit(1)) + SMOOTH)).alias("c"), F.sum(F.col("seed").cast("long")).alias("s"))
+        patterns = edges.groupBy("p").agg((F.sum("w") / (F.count(F.lit(1)) + SMOOTH)).alias("c"), F.sum((F.col("w") >= INSTANCE_WORTH).cast("long")).alias("s"))
         strong = patterns.where((F.col("s") >= PATTERN_SEEDS) & (F.col("c") >= PATTERN_WORTH)).select("p", "c")
-        worth = settle(graph.where(~F.col("seed")).join(strong, "p").groupBy("v").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("w")))
+        worth = settle(graph.where(~F.col("seed")).join(strong, "p").groupBy("v").agg((1 - F.exp(F.sum(F.log(1 - F.least("c", F.lit(0.999)))))).alias("w")), n)
     return worth.where(F.col("w") >= INSTANCE_WORTH).select("v")
 
 
@@ -146,7 +160,7 @@ def extract(docs: DataFrame) -> DataFrame:
     found = find(docs)
     added = found.select("_uid", F.explode(F.filter("_nodes", lambda n: ~n["seed"])).alias("n")).select("_uid", "n.v", "n.start", "n.end")
     extra = added.join(score(found), "v").groupBy("_uid").agg(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("order"), "end", F.lit("id").alias("kind"))).alias("_extra"))
-    extra = settle(extra)
+    extra = settle(extra, found.count())
     none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string>>")
     # Few added spans travel to the documents; many meet them by a shuffle.
     few = (extra.agg(F.sum(F.size("_extra"))).first()[0] or 0) <= BROADCAST_SPANS
@@ -168,18 +182,31 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, each span of personal data replaced by its kind in brackets; n_chars, if there, follows.
 
-    Of overlapping spans the first counts, extended to the end of those it meets.
+    Of overlapping spans the first counts, extended to the end of those it meets. Null texts
+    stay null, empty and repeated rows stay; an empty table gives no rows; columns of any name
+    are kept. Spans are replaced in chunks of ``CHUNK``, each with its own part of the text, so
+    the work stays near linear for texts with very many spans.
     """
     rows = extract(docs)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     text = F.col("_d.text")
-
-    def step(a: Column, s: Column) -> Column:
-        gap = text.substr((a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("out"))
-        return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-
-    done = F.aggregate("_all", start, step, lambda a: F.concat(F.array_join(a["out"], ""), text.substr((a["at"] + 1).cast("int"), F.length(text))))
+    cut = F.transform(F.sequence(F.lit(0), F.expr(f"int((size(_all) - 1) div {CHUNK})")), lambda c: F.slice("_all", c * CHUNK + 1, CHUNK))
+    rows = rows.withColumn("_c", F.when(F.size("_all") > 0, cut))
+    rows = rows.withColumn("_e", F.transform("_c", lambda c: F.array_max(F.transform(c, lambda s: s["end"]))))
+    # Where the chunk's text begins: the furthest end of all spans before it.
+    rows = rows.withColumn("_lo", F.transform("_e", lambda e, i: F.when(i > 0, F.array_max(F.slice("_e", 1, i))).otherwise(F.lit(0).cast("long"))))
+    parts = F.transform(F.arrays_zip("_c", "_lo", "_e"), lambda k: F.struct(
+        k["_c"].alias("c"), k["_lo"].alias("lo"), text.substr((k["_lo"] + 1).cast("int"), F.greatest(F.lit(0).cast("long"), k["_e"] - k["_lo"]).cast("int")).alias("t")))
+    rows = rows.withColumn("_k", parts)
+
+    def step(lo: Column, t: Column):
+        def replace(a: Column, s: Column) -> Column:
+            gap = t.substr((a["at"] - lo + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
+            fresh = F.struct(s["end"].alias("at"), F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+            return F.when(s["start"] >= a["at"], fresh).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
+        return replace
+
+    done = F.transform("_k", lambda k: F.aggregate(k["c"], F.struct(k["lo"].alias("at"), F.lit("").alias("out")), step(k["lo"], k["t"]), lambda a: a["out"]))
+    done = F.concat(F.array_join(done, ""), text.substr((F.array_max("_e") + 1).cast("int"), F.length(text)))
     rows = rows.withColumn("_text", F.when(F.size("_all") > 0, done).otherwise(text))
     rows = rows.withColumn("_d", F.col("_d").withField("text", F.col("_text")))
     if "n_chars" in docs.columns:
