@@ -16,9 +16,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import gathered, meet, settle
 
-LIMIT_BYTES = 8 * 2**20
+#: Bytes of a shard of the registered query: small enough that the tests' tables split.
+LIMIT_BYTES = 2**20
 WORD = 60  # bits of 15 hexadecimal digits
 
 
@@ -36,9 +37,9 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     columns are ignored.
     """
     key, text = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
-    rows = settle(docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), _bits(F.md5(key), 0).alias("a"), F.md5(key).alias("k"),
+    rows = settle(gathered(docs).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), _bits(F.md5(key), 0).alias("a"), F.md5(key).alias("k"),
                               F.md5(text).alias("t"), F.md5(F.monotonically_increasing_id().cast("string")).alias("u")))
-    total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    total, n = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     first = min(WORD, max(0, math.ceil(math.log2(total / limit_bytes)) + 3)) if total > limit_bytes else 0
     # Depths at which the histogram is taken, and the address bits known by then.
     parts = [_bits(F.col("k"), 0), _bits(F.col("k"), 1), _bits(F.col("t"), 0), _bits(F.col("t"), 1), _bits(F.col("u"), 0), _bits(F.col("u"), 1)]
@@ -50,14 +51,14 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
         rows = rows.withColumn("cell", F.substring("a", 1, deep))
         cells = rows.groupBy("cell").agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
         levels = cells.withColumn("depth", F.explode(F.sequence(F.lit(least), F.lit(deep)))).withColumn("shard", F.expr("substring(cell, 1, depth)"))
-        sizes = levels.groupBy("depth", "shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-        if deep < depths[-1]:
-            sizes = sizes.where((F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1))
-        else:  # no more bits: what is left differs in nothing
-            sizes = sizes.where((F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1) | (F.col("depth") == deep))
-        held = levels.select("cell", "depth", "shard").join(sizes, ["depth", "shard"])
+        sizes = levels.groupBy("shard").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"), F.count(F.lit(1)).alias("_cells"))
+        fits = (F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1)
+        if deep == depths[-1]:  # no more bits: what is left differs in nothing
+            fits = fits | (F.length("shard") == deep)
+        # Short prefixes stand for very many cells; they have no hot task to themselves.
+        held = meet(levels.select("cell", "depth", "shard"), sizes.withColumn("fits", fits), "shard", "_cells").where("fits")
         leaf = held.groupBy("cell").agg(F.min_by(F.struct("depth", "shard", "shard_bytes", "shard_docs"), "depth").alias("s"))
-        placed = settle(rows.join(leaf, "cell", "left"))
+        placed = settle(meet(rows, leaf.join(cells.select("cell", "n"), "cell"), "cell", "n"), n)  # a repeated key makes a hot cell
         done = placed.where("s is not null").select("doc_id", "n_bytes", "s.shard", "s.depth", "s.shard_bytes", "s.shard_docs")
         out = done if out is None else out.unionByName(done)
         rows, least = placed.where("s is null").select("doc_id", "n_bytes", "a", "k", "t", "u"), deep + 1
@@ -67,7 +68,11 @@ def assign(docs: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
 
 
 def directory(assigned: DataFrame) -> DataFrame:
-    """shard, depth, shard_bytes, shard_docs: the directory's buckets."""
+    """shard, depth, shard_bytes, shard_docs: the directory's buckets, one row each; none for an empty table.
+
+    ``assigned`` is what ``assign`` returns: null ids, repeated rows and rows without text
+    count as documents there, so the sums are those of its columns of the same names.
+    """
     return assigned.groupBy("shard", "depth").agg(F.sum("n_bytes").alias("shard_bytes"), F.count(F.lit(1)).alias("shard_docs"))
 
 
