@@ -7,8 +7,10 @@ well-filled bins of one parent into the other, removes the bins that hold duplic
 of injected items, and best-fits the displaced ones; mutation dissolves the emptiest
 bins. Each cell is evolved by several islands, which pass their elite on to the next
 island of the cell after each epoch. Cells whose packing meets the lower bound are
-proven best and evolve no further. What the cells leave badly filled is gathered
-into fewer cells and packed again until one cell is left.
+proven best and evolve no further. What the cells leave badly filled is dealt to new
+cells of the same size and packed again, until one cell holds it or the bound for all
+of it is met; if a level leaves more than half of what it got, only the worse half of
+its bins goes on. No task ever sees more than one cell.
 """
 
 from __future__ import annotations
@@ -25,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import gathered, settle
 
 LIMIT, CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 4096, 2, 2, 6, 8
 #: A bin below this share of the limit goes to the next level.
 WELL_FILLED = 0.995
+#: Mean share of ``CELL`` pieces that the hash deals to a cell, so that none gets more.
+LOAD = 0.75
 
 
 def _byte_of() -> dict[str, int]:
@@ -93,23 +97,26 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, en
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     end = int(end_id).to_bytes(4, "little")
-    schema = pa.schema([(c, pa.int64()) for c in ("uid", "doc_id", "piece", "start", "length", "ids_crc32")])
+    names = ["uid", "doc_id", "piece", "start", "length", "ids_crc32"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer)
         for b in batches:
-            out: list[tuple] = []
-            for uid, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            row, out = [], []
+            for r, text in enumerate(b.column(2)):
                 ids = encoder.encode(text.as_py() or "") + end
                 n, at, k = len(ids) // 4, 0, 0
                 while at < n:
                     m = (n - at) % limit or limit
-                    out.append((uid, doc_id, k, at, m, zlib.crc32(ids[4 * at : 4 * (at + m)])))
+                    row.append(r)
+                    out.append((k, at, m, zlib.crc32(ids[4 * at : 4 * (at + m)])))
                     at, k = at + m, k + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 6, schema=schema)
+            own = [b.column(i).take(pa.array(row, pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array([x[i] for x in out], pa.int64()) for i in range(4))], names=names)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "uid long, doc_id long, piece long, start long, length long, ids_crc32 long")
+    rows = gathered(docs).select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind = docs.select("doc_id").schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(cut, f"uid long, doc_id {kind}, piece long, start long, length long, ids_crc32 long")
 
 
 # ---- the genetic algorithm over one cell; items are numbers, sizes their lengths ----
@@ -190,7 +197,7 @@ def lower_bound(sizes: list[int], limit: int) -> int:
     s = np.sort(np.asarray(sizes, dtype=np.int64))
     total, best = int(s.sum()), -(-int(s.sum()) // limit)
     above = np.concatenate([[0], np.cumsum(s)])
-    for t in np.unique(s[s <= limit // 2])[:400]:
+    for t in np.unique(s[s <= limit // 2]):
         big = len(s) - int(np.searchsorted(s, limit - t, side="right"))
         lo, mid, hi = (int(np.searchsorted(s, v, side=side)) for v, side in ((t, "left"), (limit // 2, "right"), (limit - t, "right")))
         between, small = hi - mid, int(above[mid] - above[lo])
@@ -233,8 +240,8 @@ def _bins(numbers) -> list[list[int]]:
     return list(out.values())
 
 
-def _level(rows: DataFrame, limit: int, seed: int) -> DataFrame:
-    """``rows`` (with cell) and _bin, _offset, _fill: the best packing that the islands of each cell find.
+def _level(rows: DataFrame, limit: int, seed: int, cells: int) -> DataFrame:
+    """``rows`` (with cell) and _bin, _offset, _fill, _mean (fill of the cell's bins): the best packing that the islands of each cell find.
 
     A chromosome travels as one array per island and meets the rows of its cell by cogroup.
     """
@@ -265,9 +272,10 @@ def _level(rows: DataFrame, limit: int, seed: int) -> DataFrame:
         per = own.groupby("_bin", sort=False)["length"]
         own["_offset"] = per.cumsum() - own["length"]
         own["_fill"] = per.transform("sum")
-        return own[[*names, "_bin", "_offset", "_fill"]]
+        own["_mean"] = own["length"].sum() / max(1, own["_bin"].nunique())
+        return own[[*names, "_bin", "_offset", "_fill", "_mean"]]
 
-    elite = settle(short.groupBy("cell").applyInPandas(first, kind))
+    elite = settle(short.groupBy("cell").applyInPandas(first, kind), cells)
     for _ in range(EPOCHS):
         open_cells = elite.groupBy("cell").agg(F.max("proven").alias("p")).where(~F.col("p")).select("cell")
         if not open_cells.limit(1).count():
@@ -281,29 +289,49 @@ def _level(rows: DataFrame, limit: int, seed: int) -> DataFrame:
         given = more.join(alone, "cell").select("cell", F.explode(to).alias("island"), "numbers")
         spread = short.join(open_cells, "cell", "left_semi").withColumn("island", F.explode(everywhere))
         better = spread.groupBy("cell", "island").cogroup(given.groupBy("cell", "island")).applyInPandas(island, kind)
-        elite = settle(elite.join(open_cells, "cell", "left_anti").unionByName(better))
+        elite = settle(elite.join(open_cells, "cell", "left_anti").unionByName(better), cells * ISLANDS)
     best = elite.groupBy("cell").agg(F.max_by("numbers", F.struct(-F.col("n"), F.col("fill"), -F.col("island"))).alias("numbers"))
-    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "_bin long, _offset long, _fill long"])
+    kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "_bin long, _offset long, _fill long, _mean double"])
     return rows.groupBy("cell").cogroup(best.groupBy("cell")).applyInPandas(lay, kind)
 
 
+def bound_of(parts: DataFrame, limit: int) -> int:
+    """``lower_bound`` for a table, from how often each length occurs: at most ``limit`` rows reach the driver."""
+    many = parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    s, n = (np.array([r[k] for r in many], dtype=np.int64) for k in ("length", "n"))
+    total, best = int((s * n).sum()), 0
+    for t in [0, *sorted(x for x in s.tolist() if x <= limit // 2)]:
+        big, mid = s > limit - t, (s > limit // 2) & (s <= limit - t)
+        small = (s >= t) & (s <= limit // 2)
+        room = int((n[mid] * (limit - s[mid])).sum())
+        best = max(best, int(n[big].sum() + n[mid].sum()) + max(0, -(-(int((s[small] * n[small]).sum()) - room) // limit)))
+    return max(best, -(-total // limit))
+
+
 def pack(parts: DataFrame, limit: int = LIMIT, cell: int = CELL, seed: int = 17) -> DataFrame:
-    """``parts`` with sequence_id and offset: at most ``limit`` ids a sequence, no gaps."""
+    """``parts`` with sequence_id and offset: at most ``limit`` ids a sequence, no gaps.
+
+    Cells are numbered on over all levels, so a sequence id is the cell's number and the
+    bin in it; sequences of one full piece have odd ids.
+    """
     parts = settle(parts)
     full = parts.where(F.col("length") == limit).withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
-    rest, out, level = parts.where(F.col("length") < limit), full, 0
-    cells, first = max(1, -(-rest.count() // cell)), 0
-    names = parts.columns
+    rest, out, names = parts.where(F.col("length") < limit), full, parts.columns
+    first, level, before = 0, 0, None
     while True:
-        rows = rest.withColumn("cell", F.pmod(F.xxhash64("uid", "piece"), F.lit(cells)))
-        packed = settle(_level(rows, limit, seed + level))
-        done = packed if cells == 1 else packed.where(F.col("_fill") >= WELL_FILLED * limit)
-        out = out.unionByName(done.select(*names, (2 * ((F.col("cell") + first) * 2**24 + F.col("_bin"))).alias("sequence_id"), F.col("_offset").alias("offset")))
-        if cells == 1:
-            return out
-        rest = packed.where(F.col("_fill") < WELL_FILLED * limit).select(*names)
-        first, level = first + cells, level + 1
-        cells = min(max(1, -(-rest.count() // cell)), max(1, cells // 2))
+        n = rest.count()
+        cells = 1 if n <= cell else -(-n // int(LOAD * cell))
+        rows = rest.withColumn("cell", F.pmod(F.xxhash64("uid", "piece", F.lit(level)), F.lit(cells)))
+        packed = settle(_level(rows, limit, seed + level, cells), n)
+        placed = packed.select(*names, (2 * ((F.col("cell") + first) * 2**24 + F.col("_bin"))).alias("sequence_id"), F.col("_offset").alias("offset"), "_fill", "_mean")
+        # The last level: one cell, or no better packing is possible.
+        if cells == 1 or packed.where(F.col("_offset") == 0).count() <= bound_of(rest, limit):
+            return out.unionByName(placed.drop("_fill", "_mean"))
+        loose = F.col("_fill") < WELL_FILLED * limit
+        if before is not None and n > before / 2:  # what remains fills bins no better: only bins below their cell's mean go on
+            loose = loose & (F.col("_fill") < F.col("_mean"))
+        out = out.unionByName(placed.where(~loose).drop("_fill", "_mean"))
+        rest, before, first, level = packed.where(loose).select(*names), n, first + cells, level + 1
 
 
 def packed_documents(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT) -> DataFrame:
