@@ -396,23 +396,64 @@ def test_packing_keeps_any_kind_of_id(spark):
 
 # ---- language model ----
 
-def test_lm_gradient_and_scores(spark, monkeypatch):
+def test_lm_network_is_a_distribution_and_learns():
     rng = np.random.default_rng(1)
     c = np.zeros((lm.CLASSES,) * 3)
     c[rng.integers(0, 9, 500), rng.integers(0, 9, 500), rng.integers(0, 9, 500)] = rng.integers(1, 9, 500)
     net = lm.WindowNetwork().fit(c, steps=60)
-    p = np.exp(net.table().reshape(c.shape))
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    assert (c * np.log(p)).sum() > (c * np.log(1 / lm.CLASSES)).sum()
-    docs = awkward(spark)
-    got = lm.score_documents(docs).collect()
-    assert len(got) == docs.count() and all((r.n_tokens == 0) == (r.mean_log_likelihood is None) for r in got)
-    words = lm.vocabulary(docs)
-    table, codes = lm.WindowNetwork().fit(lm.count_contexts(docs, words)).table().reshape(c.shape), lm.Codes(words)
-    for r, t in zip(sorted((r for r in got if r.doc_id is not None), key=lambda r: r.doc_id), [x.text for x in docs.where("doc_id is not null").orderBy("doc_id").collect()]):
-        k = codes.of(t)
-        want = sum(float(table[k[i - 1] if i else lm.EDGE, k[i], k[i + 1] if i + 1 < len(k) else lm.EDGE]) for i in range(len(k)))
-        assert abs(r.log_likelihood - want) < 1e-3 * max(1, abs(want))
+    logp = net.table().reshape(c.shape)
+    assert np.allclose(np.exp(logp).sum(1), 1, atol=1e-4)
+    assert (c * logp).sum() > (c * np.log(1 / lm.CLASSES)).sum()
+
+
+def plain_lm(rows, most):
+    """The score of every (uid, text) word by word, from plain counts and the networks."""
+    texts = {u: (t or "").lower().encode().split() for u, t in rows}
+    counts = collections.Counter(w for t in texts.values() for w in t)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    if len(ranked) > most:  # all words of one count come in or stay out
+        ranked = [w for w in ranked[:most] if counts[w] > counts[ranked[most]]]
+    number = {w: i for i, w in enumerate(ranked)}
+    cls = {w: number[w] if number.get(w, lm.TOP) < lm.TOP else lm.TOP + lm.Codes.hashed(w) % lm.HASHED for w in counts}
+    seen = np.zeros((2,) + (lm.CLASSES,) * 3)
+    near = lambda t, i: cls[t[i]] if 0 <= i < len(t) else lm.EDGE
+    for t in texts.values():
+        for i, w in enumerate(t):
+            for k, reach in enumerate((1, 2)):
+                seen[k, near(t, i - reach), cls[w], near(t, i + reach)] += 1
+    often = seen[0].sum((0, 2))
+    p = [np.exp(lm.WindowNetwork().fit(c).table()).reshape(c.shape) for c in seen]
+    fit = [(c * np.log(q)).sum() / seen[0].sum() for c, q in zip(seen, p)]
+    share = np.exp(fit) / np.exp(fit).sum()
+    out = {}
+    for u, t in texts.items():
+        own, total, unseen = collections.Counter(t), 0.0, 0
+        for i, w in enumerate(t):
+            total += np.log(sum(s * q[near(t, i - r), cls[w], near(t, i + r)] for s, q, r in zip(share, p, (1, 2))))
+            total += np.log((counts[w] if w in number else counts[w] - own[w] + 0.5) / often[cls[w]])
+            unseen += w not in number and counts[w] == own[w]
+        out[u] = (len(t), unseen, total)
+    return out
+
+
+@pytest.mark.parametrize("most", [200_000, 30])
+def test_lm_scores_every_word(spark, most):
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randrange(0, 40)) + " " + " ".join(f"rare{rng.randrange(400)}" for _ in range(rng.randrange(6))) for _ in range(150)]
+    texts += [None, "", texts[0], texts[0], "ÉTÉ İstanbul Straße ΑΣ", "only " * 50]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(texts)], "doc_id long, text string, s double").repartition(3)
+    got, want = {r.doc_id: r for r in lm.score_documents(df, most).collect()}, plain_lm(enumerate(texts), most)
+    assert got.keys() == want.keys()
+    for i, (n, unseen, total) in want.items():
+        assert (got[i].n_tokens, got[i].n_unseen) == (n, unseen)
+        assert abs(got[i].log_likelihood - total) < 1e-4 * max(1, abs(total)) and (got[i].mean_log_likelihood is None) == (n == 0)
+
+
+def test_lm_tells_texts_of_one_class_apart(spark):
+    rng = random.Random(15)
+    texts = [prose(rng, 30) for _ in range(40)] + ["common zebra"] * 9 + ["common yak"]
+    got = {r.doc_id: r.log_likelihood for r in lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 60).collect()}
+    assert got[40] > got[49]
 
 
 # ---- near-duplicates ----
