@@ -20,15 +20,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import settle
+from .common import by_text, gathered, meet, settle
 
 BITS, SHARD_LIMIT = 64, 2048
+#: Keys (16 bytes each) of documents that go or are repeated, broadcast at most.
+BROADCAST_DROPS = 500_000
 #: (blocks, blocks that must agree) by rising key length; all are exact for radius 4: blocks - agree = radius.
 MEAN_SHARD = 64
 
@@ -50,21 +50,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(rows: DataFrame, text: str = "text", out: str = "_fp") -> DataFrame:
-    """``rows`` with the fingerprint as a signed long (same 64 bits) in ``out``; null text counts as empty.
+def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for b in batches:
+        yield pa.array(np.array([fingerprint(t.as_py()) for t in b], dtype=np.uint64).view(np.int64))
 
-    ``text`` names a column, or a field of a struct column as "column.field".
-    """
-    column, _, field = text.partition(".")
-    at = rows.columns.index(column)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = pc.struct_field(b.column(at), field) if field else b.column(at)
-            fps = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], names=[*b.schema.names, out])
 
-    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField(out, LongType())]))
+def fingerprint_of(text: Column) -> Column:
+    """The fingerprint as a signed long (the same 64 bits); null text counts as empty."""
+    return by_text(_fingerprints, "long")(text)
 
 
 def hex16(fp: Column) -> Column:
@@ -171,7 +164,7 @@ def near_links(fps: DataFrame, radius: int = 4, limit: int = SHARD_LIMIT) -> Dat
     blocks, agree = next((p for p in plan if n / 2 ** (BITS * p[1] / p[0]) <= MEAN_SHARD), plan[-1])
     rows = fps.select("fp", F.explode(_keys(F.col("fp"), blocks, agree)).alias("k")).select("k.c", "k.v", "fp")
     sizes = rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = settle(sizes.where(F.col("n") > limit).withColumn("s", F.ceil(F.col("n") / limit).cast("int")).select("c", "v", "s"))
+    hot = settle(sizes.where(F.col("n") > limit).withColumn("s", F.ceil(F.col("n") / limit).cast("int")).select("c", "v", "s"), n)
     few = hot.limit(100_001).count() <= 100_000  # bound of what is broadcast: 100,000 rows of 16 bytes
     rows = rows.join(F.broadcast(hot) if few else hot, ["c", "v"], "left")
     # Cells: pair (i, j) with i <= j; a member of cell m goes to the pairs (m, j) and (i, m).
@@ -207,32 +200,34 @@ def near_links(fps: DataFrame, radius: int = 4, limit: int = SHARD_LIMIT) -> Dat
     return spread.mapInArrow(search, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """fp, root: for every end of an edge (a, b) the smallest fp of its component.
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
+    """fp, root: for every end of the ``at_most`` edges (a, b) the smallest fp of its component.
 
     Alternating large-star and small-star; each round is written to the shared folder.
+    The centres of large stars meet their edges without a shuffle (``meet``).
     """
-    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = None
+    edges = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), at_most)
+    before, n = None, edges.count()
     while True:
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = meet(both, low, "a", "n").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = (meet(large, low, "a", "n").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
                  .unionByName(low.select("a", F.col("m").alias("b")))).distinct()
-        edges = settle(small)
+        edges = settle(small, 2 * n)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, n = tuple(state), state[0]
     return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("fp"), "root").unionByName(
         edges.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
 
 
-def groups(marked: DataFrame, fp_col: str = "_fp", radius: int = 4) -> DataFrame:
-    """fp, root for the fingerprints of ``marked`` that link to another one."""
-    return components(near_links(marked.select(F.col(fp_col).alias("fp")).distinct(), radius))
+def groups(by_fp: DataFrame, n: int, radius: int = 4) -> DataFrame:
+    """``by_fp`` (one row of each fingerprint ``fp``, at most ``n``) with root: the smallest fp that is reachable, its own included."""
+    roots = components(near_links(by_fp.select("fp"), radius), 10 * n)
+    return by_fp.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
@@ -243,21 +238,48 @@ def near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     the whole component has none (then it is null). An empty table gives no rows;
     other columns are ignored.
     """
-    marked = settle(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "_fp"))
-    by_fp = marked.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("least"))
-    linked = settle(by_fp.join(groups(marked, radius=radius), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    # One row per distinct text; a hot component is pre-aggregated by task.
-    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = linked.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return marked.join(found, "_fp").select("doc_id", hex16(F.col("_fp")).alias("fingerprint"), "component_id")
+    marked = settle(gathered(docs).select("doc_id", fingerprint_of(F.col("text")).alias("fp")))
+    n = marked.count()
+    by_fp = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), n)
+    linked = settle(groups(by_fp, n, radius), n)
+    # One row of each fingerprint; a hot component is aggregated by task before its rows meet.
+    ids = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_n"))
+    found = meet(linked, ids, "root", "_n").select("fp", "n", "component_id")
+    return meet(marked, found, "fp", "n").select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest (doc_id, text), nulls last."""
+    """``docs``, all columns, with one document of each component: that with the smallest doc_id (nulls last, ties by a hash of the text).
+
+    Of repeated rows (one doc_id, one text) one stays. Null and empty texts are linked with
+    each other. An empty table gives no rows; no column name clashes. Texts are read twice
+    and never shuffled, but for repeated rows and where more than ``BROADCAST_DROPS``
+    documents go: what is shuffled is ids, text hashes and fingerprints.
+    """
+    docs = gathered(docs)
+    marked = settle(docs.select(F.col("doc_id").alias("i"), _text_key(F.col("text")).alias("t"), fingerprint_of(F.col("text")).alias("fp")))
+    n = marked.count()
+    keys = settle(marked.groupBy("fp", "i", "t").agg(F.count(F.lit(1)).alias("c")), n)
+    first = F.min(F.struct(F.col("i").isNull().alias("no"), "i", "t"))
+    linked = settle(groups(settle(keys.groupBy("fp").agg(first.alias("least"), F.count(F.lit(1)).alias("n")), n), n, radius), n)
+    keepers = linked.groupBy("root").agg(F.min("least").alias("k"), F.count(F.lit(1)).alias("_n"))
+    found = meet(linked, keepers, "root", "_n").select("fp", "n", "k")
+    judged = settle(meet(keys, found, "fp", "n").select("i", "t", "c", (F.col("i").eqNullSafe(F.col("k.i")) & (F.col("t") == F.col("k.t"))).alias("kept")), n)
+    drops, repeats = judged.where("not kept").select("i", "t"), judged.where("kept and c > 1").select("i", "t")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"))  # no name can clash
-    marked = with_fingerprints(rows, "_d.text")
-    fps = settle(marked.select("_fp").distinct())
-    links = groups(fps, radius=radius).withColumnRenamed("fp", "_fp")
-    keyed = marked.join(links, "_fp", "left").withColumn("_root", F.coalesce("root", "_fp"))
-    order = F.struct(F.col("_d.doc_id").isNull(), F.col("_d.doc_id"), F.coalesce("_d.text", F.lit("")))
-    return keyed.groupBy("_root").agg(F.min_by("_d", order).alias("_d")).select("_d.*")
+    same = F.col("_d.doc_id").eqNullSafe(F.col("i")) & (_text_key(F.col("_d.text")) == F.col("t"))
+    kept = rows.join(_few(drops), same, "left_anti")
+    repeats = _few(repeats)
+    if not repeats.limit(1).count():
+        return kept.select("_d.*")
+    again = kept.join(repeats, same).groupBy("i", "t").agg(F.first("_d").alias("_d"))
+    return kept.join(repeats, same, "left_anti").select("_d.*").unionByName(again.select("_d.*"))
+
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, to be broadcast if there are at most ``BROADCAST_DROPS``; more meet the documents by a shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_DROPS + 1).count() <= BROADCAST_DROPS else keys

@@ -7,7 +7,8 @@ Four transducers are composed into one deterministic machine over a clause:
              set labelled documents apart (learned, so that any language is covered);
 * negation:  an I or H within three tokens after N is rewritten to its negated form;
 * report:    an I or H after R in its clause is rewritten to its reported form;
-* clause:    a G before or after an I or H in the clause makes the match targeted.
+* clause:    a G before or after an I or H in the clause makes the match targeted. Matches
+             before the first G wait in a register that G, or the end of the clause, empties.
 
 A clause is scored by the matches that the machine emits, with one weight for each
 kind of match (learned by logistic regression); a document by the weights over its
@@ -23,10 +24,10 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled
+from .common import by_text, gathered, held_out, labelled
 
 #: Rows of each class that the learner sees at most.
 TRAIN_ROWS = 1500
@@ -71,8 +72,7 @@ class Transducer:
         state, out, arcs = self.start, [], self.arcs
         for s in symbols:
             state, o = arcs[state, s]
-            if o:
-                out.append(o)
+            out += o
         return [*out, *self.final.get(state, ())]
 
 
@@ -94,24 +94,23 @@ def report() -> Transducer:
 
 
 def clause() -> Transducer:
-    """Emits kinds; state: (a target was seen, insult waits for one, threat waits for one)."""
-    arcs, final = {}, {}
+    """Emits kinds; state: a target was seen. Without one, a match is emitted as pending, to be settled by what the end emits."""
+    arcs = {}
     direct = {"i": "insult_negated", "h": "threat_negated", "J": "insult_reported", "K": "threat_reported"}
-    for state in product((False, True), (0, 1, 2, 3), (0, 1, 2, 3)):
-        target, insults, threats = state
-        final[state] = ("insult",) * insults + ("threat",) * threats
-        for s in "IHGNRWihJK":
-            if s in direct:
-                arcs[state, s] = (state, (direct[s],))
-            elif s == "G":
-                arcs[state, s] = ((True, 0, 0), ("insult_targeted",) * insults + ("threat_targeted",) * threats)
-            elif s == "I":
-                arcs[state, s] = (state, ("insult_targeted",)) if target else ((target, insults + 1, threats), ()) if insults < 3 else (state, ("insult",))
-            elif s == "H":
-                arcs[state, s] = (state, ("threat_targeted",)) if target else ((target, insults, threats + 1), ()) if threats < 3 else (state, ("threat",))
-            else:
-                arcs[state, s] = (state, ())
-    return Transducer((False, 0, 0), arcs, final)
+    for target, s in product((False, True), "IHGNRWihJK"):
+        plain = {"I": "insult", "H": "threat"}.get(s)
+        out = (direct[s],) if s in direct else (f"{plain}_targeted" if target else f"{plain}_pending",) if plain else ()
+        arcs[target, s] = (target or s == "G", out)
+    return Transducer(False, arcs, {True: ("_targeted",), False: ("",)})
+
+
+def settled(emitted: list[str]) -> Counter:
+    """Kinds and how often they match in a clause: the last word emitted says what pending matches are."""
+    counts = Counter(emitted[:-1])
+    for plain in ("insult", "threat"):
+        if n := counts.pop(f"{plain}_pending", 0):
+            counts[plain + emitted[-1]] += n
+    return counts
 
 
 class Grammar:
@@ -131,10 +130,9 @@ class Grammar:
     def features(self, text: str | None) -> np.ndarray:
         """log(1 + matches) of each kind, over the clauses that hold an insult or a threat."""
         out, counts = np.zeros(len(KINDS)), Counter()
-        text = (text or "").lower()
+        text = ORNAMENTS.sub("", (text or "").lower())
         if not self.hit.search(text):
             return out
-        text = ORNAMENTS.sub("", text)
         done = -1
         hits = list(self.hit.finditer(text))
         where = {m.start(): "H" if m.group(1) else "I" for m in hits}
@@ -147,8 +145,7 @@ class Grammar:
             end = BOUNDARY.search(text, m.end())
             done = end.start() if end else len(text)
             symbols = "".join(where.get(w.start()) or self.classes.get(w.group(), "W") for w in WORD.finditer(text, begin, done))
-            for o in self.machine.run(symbols):
-                counts.update(o if isinstance(o, tuple) else (o,))
+            counts.update(settled(self.machine.run(symbols)))
         for i, k in enumerate(KINDS):
             out[i] = np.log1p(counts[k])
         return out
@@ -242,22 +239,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple[G
     return Grammar(*induce(sample, least)), w
 
 
-def with_scores(rows: DataFrame, model: tuple[Grammar, np.ndarray], text: str = "text", out: str = "_score") -> DataFrame:
-    """``rows`` with the score of ``text`` (a column, or "column.field")."""
-    import pyarrow.compute as pc
-    from pyspark.sql.types import DoubleType, StructField, StructType
+def score_of(text: Column, model: tuple[Grammar, np.ndarray], spark: SparkSession) -> Column:
+    """The score of a text: one number comes back for each text that is sent to Python."""
+    sent = spark.sparkContext.broadcast(model)
 
-    column, _, field = text.partition(".")
-    at, sent = rows.columns.index(column), rows.sparkSession.sparkContext.broadcast(model)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grammar, w = sent.value
         for b in batches:
-            texts = pc.struct_field(b.column(at), field) if field else b.column(at)
-            z = [float(grammar.features(t.as_py()) @ w[:-1] + w[-1]) for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(1 / (1 + np.exp(-np.array(z))), pa.float64())], names=[*b.schema.names, out])
+            z = np.array([float(grammar.features(t.as_py()) @ w[:-1] + w[-1]) for t in b])
+            yield pa.array(1 / (1 + np.exp(-z)), pa.float64())
 
-    return rows.mapInArrow(add, StructType([*rows.schema.fields, StructField(out, DoubleType())]))
+    return by_text(scores, "double")(text)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -268,12 +260,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     larger counts. Empty tables give an empty result, or scores by the fixed words alone
     when only ``labels`` is empty. Other columns are ignored.
     """
-    scored = with_scores(docs.select("doc_id", "text"), train(docs, labels))
+    scored = gathered(docs).select("doc_id", score_of(F.col("text"), train(docs, labels), docs.sparkSession).alias("_score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"),
                          (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs``, all columns, without those whose score is at least ``threshold``."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"))
-    return with_scores(rows, train(docs, labels), "_d.text").where(F.col("_score") < threshold).select("_d.*")
+    """``docs``, all columns, without those whose score is at least ``threshold``.
+
+    Null and empty texts stay, as does each of repeated rows that are not rejected; an
+    empty table gives no rows; without labels the fixed words alone decide. Columns of any
+    name are kept.
+    """
+    rows = gathered(docs).select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_d"))
+    scored = rows.withColumn("_score", score_of(F.col("_d.text"), train(docs, labels), docs.sparkSession))
+    return scored.where(F.col("_score") < threshold).select("_d.*")
