@@ -60,10 +60,18 @@ def test_sentiment(spark, text):
     assert sure == 0.0 or math.isclose(s.confidence, sure, abs_tol=1e-12)
 
 
-def test_normalize_text():
-    p = T.normalize_text("Ａｌｐｈａ gains 🚀 https://example.test/story, @Trader #Growth $AAA\nRead more")
-    assert p["cashtags"] == ["AAA"] and p["urls"] == ["https://example.test/story"] and p["mentions"] == ["trader"] and p["hashtags"] == ["growth"]
-    assert p["normalized"].startswith("alpha gains <emoji> <url>") and "read more" not in p["normalized"]
+def test_preprocess(spark):
+    texts = ["Ａｌｐｈａ gains 🚀 https://example.test/story, @Trader #Growth $AAA\nRead more", None, "", "Straße ΣΑΣ #Größe #größe — it's ½ ﬁt\r\n\x0b ...Privacy Policy: x\nread mores? " + "y" * 160,
+             "A CEO of BRK.B and $brk.b, $BRK.B $toolongtickername a@b @@c #a_b ##c WWW.X.org/(z) ☀️👩‍💻 www.y.z!!", "no\u2028copyright 2020\u2029yes"]
+    p = [r.p for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.preprocess("t").alias("p")).collect()]
+    assert p[0].cashtags == ["AAA"] and p[0].urls == ["https://example.test/story"] and p[0].mentions == ["trader"] and p[0].hashtags == ["growth"] and p[0].emojis == ["🚀"]
+    assert p[0].normalized == "alpha gains <emoji> <url> <mention> growth $aaa" and p[0].tokens == ["alpha", "gains", "<emoji>", "<url>", "<mention>", "growth", "$aaa"]
+    assert all(x.normalized == "" and x.tokens == [] and x.tickers == [] for x in p[1:3])
+    assert p[3].hashtags == ["grösse"] and p[3].normalized.startswith("strasse σασ grösse grösse — it's 1⁄2 fit read mores? yyy") and p[3].tokens[3:7] == ["grösse", "it's", "1", "2"]
+    assert p[4].cashtags == ["BRK.B"] and p[4].tickers == ["BRK.B", "WWW.X"] and p[4].mentions == [] and p[4].hashtags == ["a"] and p[4].emojis == ["☀", "👩", "💻"]
+    assert p[4].normalized == "a ceo of brk.b and $brk.b, $brk.b $toolongtickername a@b @@c a _b ##c <url> (z) <emoji> <emoji> <emoji> <url>"
+    assert p[4].urls == ["WWW.X.org/", "www.y.z"] and p[5].normalized == "no yes"
+
 
 
 def test_spans_chunks_ngrams(spark):

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 from datetime import date, datetime
@@ -167,3 +168,71 @@ def test_duplicate_pairs_are_all_pairs(spark, threshold, ratio):
                 if x >= threshold:
                     want[i, j] = x
     assert set(got) == set(want) and (len(want) > 30)
+
+
+@pytest.mark.parametrize("days", [3, 40, 5000])
+@pytest.mark.parametrize("kind", ["long", "date"])
+def test_asof_joins_over_buckets(spark, days, kind):
+    rng = random.Random(days)
+    left = [(rng.choice("ab"), rng.randrange(-300, 300), i) for i in range(120)]
+    right = [(rng.choice("aac"), rng.randrange(-250, 250), i, rng.randrange(3)) for i in range(60)]
+    at = (lambda c: c) if kind == "long" else (lambda c: F.date_add(F.lit("2000-01-01").cast("date"), c.cast("int")))
+    l = spark.createDataFrame(left, "k string, at long, i long").withColumn("at", at(F.col("at")))
+    r = spark.createDataFrame(right, "k string, t long, v long, o long").withColumn("t", at(F.col("t")))
+    got = {x.i: x.v for x in joins.asof_backward(l, r, ["k"], "at", "t", ["v"], ["o", "v"], days=days).collect()}
+    best = lambda rows, order: (min if order < 0 else max)(rows, key=lambda x: (x[1], x[3], x[2]))[2] if rows else None
+    assert got == {i: best([x for x in right if x[0] == k and x[1] <= a], 1) for k, a, i in left}
+    for strict in (True, False):
+        got = {x.i: x.v for x in joins.asof_forward(l, r, ["k"], "at", "t", ["v"], strict, days).collect()}
+        for k, a, i in left:
+            after = [x for x in right if x[0] == k and (x[1] > a if strict else x[1] >= a)]
+            assert got[i] in ([x[2] for x in after if x[1] == min(y[1] for y in after)] if after else [None])
+
+
+def test_incremental_clusters_follow_the_order(spark):
+    rng = random.Random(31)
+    texts = [" ".join(rng.choice("abcdefghijkl") for _ in range(12)) for _ in range(6)]
+    for _ in range(60):
+        t = rng.choice(texts).split()
+        t[rng.randrange(len(t))] = rng.choice("mnopqrst")
+        texts.append(" ".join(t))
+    got = {r.id: r.cluster_id for r in ops.incremental_clusters(spark.createDataFrame([(i, t, t.split()) for i, t in enumerate(texts)], "id long, text string, toks array<string>")).collect()}
+    want: dict = {}
+    for i, t in enumerate(texts):
+        near = []
+        for j in range(i):
+            a, b = texts[j].split(), t.split()
+            x = 1.0 if a == b else max(len({*a} & {*b}) / len({*a} | {*b}), SequenceMatcher(None, a, b, autojunk=False).ratio())
+            if x >= 0.82:
+                near.append((-x, want[j]))
+        want[i] = min(near)[1] if near else "text-" + hashlib.sha256(t.encode()).hexdigest()[:16]
+    assert got == want and len(set(got.values())) < 40
+
+
+def test_text_signals(spark):
+    assets = spark.createDataFrame([("1", "ABC", "Alpha Beta Inc", None), ("2", "XYZ", "Delta Works", date(2026, 1, 3))], "asset_id string, symbol string, name string, active_to date")
+    rows = [(1, date(2026, 1, 1), "news", "Alpha Beta beats", "strong growth, upgraded https://a.b https://c.d"), (2, date(2026, 1, 2), "blog", "Alpha Beta beats", "strong growth, upgraded https://a.b https://c.d"),
+            (3, date(2026, 1, 2), "?", None, "$XYZ warned of a lawsuit"), (4, date(2026, 1, 4), "news", None, "$XYZ declined again")]
+    items = spark.createDataFrame(rows, "item_id long, at date, source_type string, title string, body string").withColumn("on", F.col("at"))
+    got = {(r.item_id, r.asset_id): r for r in ops.text_signals(items, assets).collect()}
+    assert set(got) == {(1, "1"), (2, "1"), (3, "2")}  # the second asset has gone by the fourth item
+    assert [got[k].novelty for k in sorted(got)] == [1.0, 0.0, 1.0] and got[1, "1"].duplicate_cluster_id == got[2, "1"].duplicate_cluster_id
+    assert got[1, "1"].sentiment_label == "positive" and got[3, "2"].sentiment_label == "negative" and got[3, "2"].event_type == "litigation"
+    assert got[1, "1"].spam_score == 0.1 and got[2, "1"].source_credibility == 0.6 and got[3, "2"].source_credibility == 0.5 and got[1, "1"].relevance == 1.0
+
+
+def test_name_aliases_and_edges(spark):
+    df = spark.createDataFrame([("alpha beta inc",), ("abcd inc",), ("gamma",), ("a+b (c)",)], "n string").withColumn("a", T.name_aliases(F.col("n")))
+    assert [r.a for r in df.collect()] == [["alpha beta inc", "alpha beta"], ["abcd inc"], ["gamma"], ["a+b (c)"]]
+    got = df.select(T.names_any(F.lit("xx alpha beta, gammas a+b (c)"), F.col("a")).alias("h")).collect()
+    assert [r.h for r in got] == [True, False, False, True]
+
+
+def test_prediction_metrics_and_segments(spark):
+    rows = [("d1", 1.0, 0.1, 0.2, ["x", "y"]), ("d1", 1.0, -0.1, 0.0, ["x"]), ("d1", 0.5, 0.3, 0.1, []), ("d2", 2.0, 0.5, 0.5, ["y"])]
+    df = spark.createDataFrame(rows, "ts string, score double, y double, expected double, tags array<string>")
+    m = models.prediction_metrics(df.withColumn("g", F.lit("all")), ["g"], "ts", 2).first()
+    assert (m["rows"], m.dates, m.ic_dates) == (4, 2, 1) and m.hit_rate == 0.75 and math.isclose(m.mean_squared_error, (0.01 + 0.01 + 0.04) / 4)
+    assert m.precision_at_k == (1 + 0.5) / 2 and m.mean_daily_precision_at_k == (0.5 + 1) / 2
+    got = {r.segment: r["count"] for r in models.segments(df, {"day": F.col("ts"), "tag": F.col("tags")}).groupBy("segment").count().collect()}
+    assert got == {"day: d1": 3, "day: d2": 1, "tag: x": 2, "tag: y": 2}

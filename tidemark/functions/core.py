@@ -129,3 +129,15 @@ def signed_label(label: Column, probability: Column) -> Column:
     """A classifier's label and probability as a score from -1 to 1."""
     low = F.lower(F.trim(label))
     return F.when(low == "positive", probability).when(low == "negative", -probability).otherwise(0.0)
+
+
+def liquidity_bucket(dollar_volume: Column) -> Column:
+    """low below 5 million, medium below 50 million, else high; null stays null."""
+    return F.when(dollar_volume < 5e6, "low").when(dollar_volume < 5e7, "medium").when(dollar_volume.isNotNull(), "high")
+
+
+def volatility_bucket(label: Column, ratio: Column, volatility: Column) -> Column:
+    """The regime's own name if it has one, else by its ratio to the long run (0.8, 1.2), else by the volatility (0.01, 0.03); null without any."""
+    by_ratio = F.when(ratio < 0.8, "low").when(ratio <= 1.2, "normal").otherwise("high")
+    by_volatility = F.when(volatility < 0.01, "low").when(volatility < 0.03, "normal").when(volatility.isNotNull(), "high")
+    return F.when(label != "", label).when(ratio.isNotNull(), by_ratio).otherwise(by_volatility)

@@ -37,30 +37,50 @@ def range_join(left: DataFrame, right: DataFrame, by: list[str], at: str, time:
     return l.join(r, [*by, "_b"]).where((F.col(time) <= F.col(at)) & (F.col(time) > F.col(at) - days)).drop("_b")
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], order: list[str] | None = None) -> DataFrame:
-    """``left`` with the values of the latest right row with time <= at: one union and one window, no range join."""
-    order = order or []
+def _days(c: Column, kind: str) -> Column:
+    """A time as a number of days (numbers are day numbers already)."""
+    return F.unix_date(c) if kind == "date" else F.unix_micros(c.cast("timestamp")) / 86_400e6 if kind.startswith("timestamp") else c
+
+
+def _asof(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], order: list[str], back: bool, left_first: bool, days: int) -> DataFrame:
+    """The nearest right row before (``back``) or after each left row, in buckets of ``days``.
+
+    Each bucket is a window of its own. What the nearest bucket on the far side holds last
+    is carried into it as one more row; it is found over one row a bucket, so a key with a
+    long history is as many tasks as it has buckets.
+    """
+    kind = left.schema[at].dataType.simpleString()
+    sign = 1 if back else -1
+    bucket = lambda c: (F.floor(_days(c, kind) / days) * sign).cast("long")
     payload = F.struct(*(F.col(v) for v in values))
-    l = left.select(*by, F.col(at).alias("_t"), F.lit(1).alias("_side"), *(F.lit(None).alias(f"_o{i}") for i in range(len(order))), F.struct(*left.columns).alias("_l"), F.lit(None).cast(_kind(right, values)).alias("_v"))
-    r = right.select(*by, F.col(time).alias("_t"), F.lit(0).alias("_side"), *(F.col(o).alias(f"_o{i}") for i, o in enumerate(order)), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema[0].dataType).alias("_l"), payload.alias("_v"))
-    w = Window.partitionBy(*by).orderBy("_t", "_side", *(f"_o{i}" for i in range(len(order)))).rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    orders = [f"_o{i}" for i in range(len(order))]
+    r = right.select(*by, F.col(time).alias("_t"), *(F.col(o).alias(n) for o, n in zip(order, orders, strict=True)), payload.alias("_v")).where(F.col("_t").isNotNull()).withColumn("_b", bucket(F.col("_t")))
+    nearest = F.struct("_t", *orders)
+    ends = r.groupBy(*by, "_b").agg((F.max_by if back else F.min_by)("_v", nearest).alias("_v"))
+    own = left.withColumn("_b", bucket(F.col(at)))
+    # What stands before each bucket that a left row falls into: one row a bucket in this window.
+    asked = own.select(*by, "_b").distinct().select(*by, "_b", F.lit(None).cast(ends.schema["_v"].dataType).alias("_v"), F.lit(True).alias("_ask"))
+    seen = asked.unionByName(ends.withColumn("_ask", F.lit(False))).groupBy(*by, "_b").agg(F.max("_ask").alias("_ask"), F.first("_v", ignorenulls=True).alias("_v"))
+    carried = seen.withColumn("_v", F.last("_v", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).where(F.col("_ask") & F.col("_v").isNotNull())
+    # In a bucket: what is carried, then left and right rows in order of time.
+    nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    l = own.select(*by, "_b", F.col(at).alias("_t"), F.lit(1 if left_first else 3).alias("_side"), *(nothing(r, o) for o in orders), F.struct(*left.columns).alias("_l"), nothing(r, "_v"))
+    side = r.select(*by, "_b", "_t", F.lit(2).alias("_side"), *orders, nothing(l, "_l"), "_v")
+    early = carried.select(*by, "_b", nothing(r, "_t"), F.lit(0).alias("_side"), *(nothing(r, o) for o in orders), nothing(l, "_l"), "_v")
+    way = (lambda c: F.col(c).asc_nulls_first()) if back else (lambda c: F.col(c).desc_nulls_first())
+    w = Window.partitionBy(*by, "_b").orderBy((F.col("_side") != 0), way("_t"), "_side", *(way(o) for o in orders)).rowsBetween(Window.unboundedPreceding, 0)
+    out = l.unionByName(side).unionByName(early).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where(F.col("_l").isNotNull())
     return out.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
-def _kind(df: DataFrame, values: list[str]):
-    return df.select(F.struct(*(F.col(v) for v in values)).alias("x")).schema[0].dataType
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], order: list[str] | None = None, days: int = 64) -> DataFrame:
+    """``left`` with the values of the latest right row with time <= at, ties by ``order``: null without one."""
+    return _asof(left, right, by, at, time, values, order or [], True, False, days)
 
 
-def asof_forward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], strict: bool = True) -> DataFrame:
-    """``left`` with the values of the earliest right row with time > at (or >=)."""
-    payload = F.struct(*(F.col(v) for v in values))
-    side = 0 if strict else 1  # read backwards: left rows before right rows of the same time
-    l = left.select(*by, F.col(at).alias("_t"), F.lit(1 - side).alias("_side"), F.lit(True).alias("_is"), F.struct(*left.columns).alias("_l"), F.lit(None).cast(_kind(right, values)).alias("_v"))
-    r = right.select(*by, F.col(time).alias("_t"), F.lit(side).alias("_side"), F.lit(False).alias("_is"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema[0].dataType).alias("_l"), payload.alias("_v"))
-    w = Window.partitionBy(*by).orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_is")
-    return out.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
+def asof_forward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], strict: bool = True, days: int = 64) -> DataFrame:
+    """``left`` with the values of the earliest right row with time > at (or >=): null without one."""
+    return _asof(left, right, by, at, time, values, [], False, strict, days)
 
 
 def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

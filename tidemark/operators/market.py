@@ -63,10 +63,9 @@ def volatility(bars: DataFrame) -> DataFrame:
 
 def market_model(bars: DataFrame, assets: DataFrame) -> DataFrame:
     """Market and sector returns of each time, beta over 60 rows and residuals."""
-    out = bars.withColumn("_r", simple_return(F.col("close"), F.lag("close").over(by_asset()))).join(F.broadcast(assets.select("asset_id", "sector")), "asset_id", "left")
-    market = out.groupBy("ts").agg(F.avg("_r").alias("_m"))
-    sector = out.where(F.trim("sector") != "").groupBy("ts", "sector").agg(F.avg("_r").alias("_s"))
-    out = out.join(market, "ts").join(sector, ["ts", "sector"], "left")
+    out = bars.withColumn("_r", simple_return(F.col("close"), F.lag("close").over(by_asset()))).join(assets.select("asset_id", "sector"), "asset_id", "left")
+    named = F.when(F.trim("sector") != "", F.col("_r"))
+    out = out.withColumns({"_m": F.avg("_r").over(Window.partitionBy("ts")), "_s": F.avg(named).over(Window.partitionBy("ts", "sector"))})
     beta = beta_over(F.col("_r"), F.col("_m"), _rows(59))
     out = out.withColumn("_beta", beta)
     return out.withColumns({

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import average_rank, correlation
+from ..functions.core import correlation
 from .joins import asof_backward
 
 
@@ -44,25 +44,56 @@ def predict(rows: DataFrame, snapshots: DataFrame, features: list[str], keys: li
     return long.join(snapshots.select("decision", "feature", "mean", "scale", "weight"), ["decision", "feature"]).groupBy(*keys).agg(F.sum((F.col("x") - F.col("mean")) / F.col("scale") * F.col("weight")).alias("score"))
 
 
+def _placed(rows: DataFrame, by: list[str], value: str, descending: bool = False) -> DataFrame:
+    """by, value, _n, _pos (rows of y > 0), _before: for each distinct value how many rows stand before it.
+
+    Counts of values are aggregated by task first; the window runs over distinct values.
+    """
+    counts = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("y") > 0).alias("_pos"))
+    order = F.desc(value) if descending else F.col(value)
+    return counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+
 def precision_at_k(rows: DataFrame, by: list[str], k: int) -> DataFrame:
     """by, precision: share of positive outcomes among the k highest scores; ties at the cutoff share the places left."""
-    g = Window.partitionBy(*by)
-    top = g.orderBy(F.desc("score"))
-    depth = F.least(F.lit(k), F.count(F.lit(1)).over(g))
-    r = rows.withColumns({"_rank": F.rank().over(top), "_ties": F.count(F.lit(1)).over(Window.partitionBy(*by, "score")), "_depth": depth})
-    r = r.where(F.col("_rank") <= F.col("_depth"))
-    share = F.least(F.lit(1.0), (F.col("_depth") - F.col("_rank") + 1) / F.col("_ties"))
-    return r.groupBy(*by).agg((F.sum(F.when(F.col("y") > 0, share).otherwise(0.0)) / F.max("_depth")).alias("precision"))
+    placed = _placed(rows, by, "score", descending=True)
+    depth = F.least(F.lit(k), F.sum("_n").over(Window.partitionBy(*by)))
+    top = placed.withColumn("_depth", depth).where("_before < _depth")
+    share = F.least(F.lit(1.0), (F.col("_depth") - F.col("_before")) / F.col("_n"))
+    return top.groupBy(*by).agg((F.sum(F.col("_pos") * share) / F.max("_depth")).alias("precision"))
 
 
 def daily_ic(rows: DataFrame, by: list[str]) -> DataFrame:
-    """by, n, pearson, spearman of score and y."""
-    def rank(c: str) -> Column:
-        w = Window.partitionBy(*by)
-        return average_rank(F.col(c), w, w.orderBy(c), Window.partitionBy(*by, c))
+    """by, n, pearson, spearman of score and y: ties take their average rank."""
+    r = rows
+    for c in ("score", "y"):
+        r = r.join(_placed(rows, by, c).select(*by, c, (F.col("_before") + (F.col("_n") - 1) / 2).alias(f"_r{c}")), [*by, c])
+    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("score"), F.col("y")).alias("pearson"), correlation(F.col("_rscore"), F.col("_ry")).alias("spearman"))
+
+
+def prediction_metrics(rows: DataFrame, by: list[str], at: str, k: int = 10) -> DataFrame:
+    """One row of all diagnostics for each group: pooled and mean daily correlations, hit rate, precision and squared error.
+
+    ``rows``: score, y, and expected for the squared error (null if any row lacks it). Days of
+    one row have no correlation. Nothing is fitted or selected.
+    """
+    hit = F.avg(F.when(F.col("score") * F.col("y") > 0, 1.0).otherwise(0.0))
+    error = F.when(F.count("expected") == F.count(F.lit(1)), F.avg(F.pow(F.col("expected") - F.col("y"), 2)))
+    head = rows.groupBy(*by).agg(F.count_distinct(at).alias("dates"), hit.alias("hit_rate"), error.alias("mean_squared_error"))
+    pooled = daily_ic(rows, by).select(*by, F.col("n").alias("rows"), F.col("pearson").alias("pearson_ic"), F.col("spearman").alias("spearman_ic"))
+    daily = daily_ic(rows, [*by, at]).where("n >= 2").groupBy(*by).agg(F.count(F.lit(1)).alias("ic_dates"), F.avg("pearson").alias("mean_daily_pearson_ic"), F.avg("spearman").alias("mean_daily_spearman_ic"))
+    at_k = precision_at_k(rows, by, k).withColumnRenamed("precision", "precision_at_k")
+    daily_k = precision_at_k(rows, [*by, at], k).groupBy(*by).agg(F.avg("precision").alias("mean_daily_precision_at_k"))
+    out = head.join(pooled, by).join(daily, by, "left").join(at_k, by).join(daily_k, by)
+    return out.fillna(0, subset=["ic_dates", "mean_daily_pearson_ic", "mean_daily_spearman_ic"])
+
 
-    r = rows.withColumns({"_rs": rank("score"), "_ry": rank("y")})
-    return r.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), correlation(F.col("score"), F.col("y")).alias("pearson"), correlation(F.col("_rs"), F.col("_ry")).alias("spearman"))
+def segments(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """``rows`` once for each segment ("dimension: value") that they belong to; a dimension may have several values (an array) or none."""
+    kinds = dict(rows.select(*(c.alias(n) for n, c in dimensions.items())).dtypes)
+    named = lambda n: lambda v: F.when(v != "", F.concat(F.lit(f"{n}: "), v))
+    every = [F.transform(c if kinds[n].startswith("array") else F.array(c), named(n)) for n, c in dimensions.items()]
+    return rows.withColumn("segment", F.explode(F.array_compact(F.concat(*every))))
 
 
 def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
@@ -111,7 +142,7 @@ def frozen(rows: DataFrame, snapshots: DataFrame, cutoff: int, features: list[st
     last = snapshots.where(F.col("decision") <= cutoff)
     last = last.groupBy("feature").agg(F.max_by(F.struct("mean", "scale", "weight"), "decision").alias("m")).select("feature", "m.*")
     long = unpivot(rows.where(F.col("decision") > cutoff).fillna(0.0, subset=features), keys, features)
-    return long.join(F.broadcast(last), "feature").groupBy(*keys).agg(F.sum((F.col("x") - F.col("mean")) / F.col("scale") * F.col("weight")).alias("score"))
+    return long.join(last, "feature").groupBy(*keys).agg(F.sum((F.col("x") - F.col("mean")) / F.col("scale") * F.col("weight")).alias("score"))
 
 
 def evaluate(rows: DataFrame, segment: str, at: str) -> DataFrame:

@@ -30,7 +30,7 @@ def scenarios(scores: DataFrame, at: str, key: list[str], shift: int, delay: int
     """The scored rows once per scenario: baseline, without the last or first ``shift`` decisions, and scores delayed by ``delay`` decisions."""
     d = scores.select(at).distinct()
     k = d.select(at, F.row_number().over(Window.orderBy(at)).alias("_a"), F.row_number().over(Window.orderBy(F.desc(at))).alias("_z"))  # one row per decision
-    s = scores.join(F.broadcast(k), at).withColumn("_late", F.lag("score", delay).over(Window.partitionBy(*key).orderBy(at)))
+    s = scores.join(k, at).withColumn("_late", F.lag("score", delay).over(Window.partitionBy(*key).orderBy(at)))
     pick = F.array_compact(F.array(
         F.struct(F.lit("baseline").alias("scenario"), F.col("score").alias("score")), F.when(F.col("_z") > shift, F.struct(F.lit("early").alias("scenario"), F.col("score").alias("score"))),
         F.when(F.col("_a") > shift, F.struct(F.lit("late").alias("scenario"), F.col("score").alias("score"))),

@@ -88,7 +88,7 @@ def periods(book: DataFrame, by: list[str], costs: CostModel) -> DataFrame:
     r = book.withColumns({f"_{p}": one[p] + two[p] for p in parts})
     out = r.groupBy(*by).agg(
         F.sum(F.col("weight") * F.col("forward_return")).alias("gross_return"), *(F.sum(f"_{p}").alias(f"{p}_return") for p in parts), F.sum(F.abs("weight")).alias("gross_exposure"),
-        F.sum("weight").alias("net_exposure"), F.sum(F.abs("weight") + F.abs(exit_weight)).alias("turnover"), F.max("participation").alias("max_participation_rate"),
+        F.sum("weight").alias("net_exposure"), (F.sum(F.col("weight") * F.col("beta")) if "beta" in book.columns else F.lit(None).cast("double")).alias("beta_exposure"), F.avg("holding_days").alias("holding_days"), F.sum(F.abs("weight") + F.abs(exit_weight)).alias("turnover"), F.max("participation").alias("max_participation_rate"),
         F.min(F.try_divide(F.col("dollar_volume") * 0.05, F.abs("weight"))).alias("capacity_proxy_equity"), F.count(F.lit(1)).alias("trades"))
     out = out.withColumn("cost_return", sum((F.col(f"{p}_return") for p in parts), F.lit(0.0)))
     return out.withColumn("net_return", F.col("gross_return") - F.col("cost_return"))
@@ -112,12 +112,19 @@ def summary(p: DataFrame, order: str, periods_per_year: float = 52.0, by: list[s
     c = c.withColumn("_low", F.row_number().over(w.orderBy("net_return")) <= F.greatest(F.lit(1), F.floor(n * 0.05)))
     mean, vol, down = F.avg("net_return"), F.stddev_pop("net_return"), F.stddev_pop(F.least(F.lit(0.0), F.col("net_return")))
     year = F.sqrt(F.lit(periods_per_year))
-    return c.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("periods"), (F.max_by("equity", order) - 1).alias("total_return"), mean.alias("mean_return"), (vol * year).alias("annualized_volatility"),
+    last, gross = F.max_by("equity", order), F.greatest(F.lit(0.0), 1 + F.col("gross_return"))
+    compounded = F.when(F.min(gross) <= 0, 0.0).otherwise(F.exp(F.sum(F.log(F.greatest(gross, F.lit(1e-300))))))
+    parts = ["commission", "spread", "slippage", "market_impact", "borrow"]
+    out = c.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("periods"), (last - 1).alias("total_return"), (compounded - 1).alias("gross_total_return"), (last - 1).alias("cost_adjusted_return"), mean.alias("mean_return"), (vol * year).alias("annualized_volatility"),
         F.coalesce(F.try_divide(mean, vol) * year, F.lit(0.0)).alias("sharpe"), F.coalesce(F.try_divide(mean, down) * year, F.lit(0.0)).alias("sortino"), F.min("drawdown").alias("max_drawdown"),
         F.avg(F.when(F.col("net_return") > 0, 1.0).otherwise(0.0)).alias("hit_rate"), F.avg(F.when(F.col("_low"), F.col("net_return"))).alias("tail_loss_5pct"), F.avg("turnover").alias("average_turnover"),
-        F.sum("cost_return").alias("total_cost_return"), F.avg("gross_exposure").alias("average_gross_exposure"), F.max("max_participation_rate").alias("max_participation_rate"),
-        F.min("capacity_proxy_equity").alias("minimum_capacity_proxy_equity"), F.sum("trades").alias("trades"))
+        F.avg("cost_return").alias("average_cost_return"), F.sum("cost_return").alias("total_cost_return"), F.avg("gross_exposure").alias("average_gross_exposure"), F.avg("net_exposure").alias("average_net_exposure"),
+        F.coalesce(F.avg("beta_exposure"), F.lit(0.0)).alias("average_beta_exposure"), F.max("max_participation_rate").alias("max_participation_rate"),
+        F.coalesce(F.min(F.when(F.col("capacity_proxy_equity") > 0, F.col("capacity_proxy_equity"))), F.lit(0.0)).alias("minimum_capacity_proxy_equity"),
+        F.coalesce(F.try_divide(F.sum(F.col("holding_days") * F.col("trades")), F.sum("trades").cast("double")), F.lit(0.0)).alias("average_holding_period_days"), last.alias("final_equity"), F.sum("trades").alias("trades"),
+        *(F.sum(f"{x}_return").alias(f"total_{x}_return") for x in parts))
+    return out.withColumn("annualized_return", annualized(F.col("total_return"), F.col("periods"), periods_per_year))
 
 
 def violations(book: DataFrame, by: list[str], limits: Limits, tolerance: float = 1e-10) -> DataFrame:

@@ -51,7 +51,7 @@ def incomplete_pairs(rows: DataFrame, left: DataFrame, right: DataFrame, keys: t
 
 def off_calendar(rows: DataFrame, calendar: DataFrame, day: str) -> DataFrame:
     """Rows whose day is no session of the calendar (a table of one row per session)."""
-    return rows.join(F.broadcast(calendar.select(day)), day, "left_anti")
+    return rows.join(calendar.select(day), day, "left_anti")
 
 
 def outcome_rows(labels: DataFrame, at: str, start: str, end: str) -> DataFrame:

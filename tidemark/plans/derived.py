@@ -19,7 +19,7 @@ from .joins import DEC, SIG, decisions, signals
 from .market import LABELS, W
 from .models import CHAIN, LIM, MD, candidates
 from .registry import query, r, rounded
-from .text import TOKS
+from .text import PRE, TOKS
 
 t = src.table
 
@@ -157,15 +157,12 @@ def j12(spark, sf):
     return rounded(l.select("asset_id", "ts", F.col("label_end").alias("exit_ts"), "forward_return"))
 
 
-_CONV = f"""k AS (SELECT min(conv_id * 1000 + turn) AS id, t, list_distinct(t) AS s, list_distinct(CASE WHEN len(t) < 3 THEN [array_to_string(t, ' ')] ELSE list_transform(range(1, len(t) - 1), lambda i: array_to_string(t[i:i + 2], ' ')) END) AS g
-  FROM (SELECT conv_id, turn, {TOKS} AS t FROM conversations) WHERE len(t) > 0 GROUP BY t)"""
-
-
-@query("J16_near_pairs", f"""WITH {_CONV}, j AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) AS similarity FROM k x JOIN k y ON x.id < y.id AND list_has_any(x.g, y.g))
-SELECT a, b, round(similarity, 6) AS similarity FROM j WHERE similarity >= 0.5""")
+@query("J16_near_pairs", f"""WITH {PRE}, k AS (SELECT min(doc_id) AS id, list_distinct(tokens) AS s FROM pre WHERE len(tokens) > 0 GROUP BY tokens),
+j AS (SELECT x.id AS a, y.id AS b, len(list_intersect(x.s, y.s))::DOUBLE AS n, len(x.s) + len(y.s) AS total FROM k x JOIN k y ON x.id < y.id AND least(len(x.s), len(y.s)) >= 0.8 * greatest(len(x.s), len(y.s)))
+SELECT a, b, round(n / (total - n), 6) AS similarity FROM j WHERE n / (total - n) >= 0.82""")
 def j16(spark, sf):
-    c = t(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), T.tokens(F.col("text")).alias("toks")).where(F.size("toks") > 0)
-    return rounded(textops.duplicate_pairs(c.groupBy("toks").agg(F.min("id").alias("id")), 0.5, ratio=False))
+    d = t(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.preprocess("text").getField("tokens").alias("toks")).where(F.size("toks") > 0)
+    return rounded(textops.duplicate_pairs(d.groupBy("toks").agg(F.min("id").alias("id")), 0.82, ratio=False))
 
 
 @query("J23_provenance", """WITH m AS (SELECT page_id, sha256(html) AS h FROM pages), g AS (SELECT page_id, sha256(CASE WHEN page_id % 10 = 0 THEN html || ' ' ELSE html END) AS h FROM pages WHERE page_id % 7 <> 0)
@@ -196,7 +193,7 @@ def t06(spark, sf):
 
 
 @query("C03_similarity", f"""WITH k AS (SELECT doc_id, list_distinct({TOKS}) AS s FROM documents)
-SELECT x.doc_id, round(CASE WHEN len(x.s) + len(y.s) = 0 THEN 1.0 ELSE len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) END, 6)::DOUBLE AS jaccard FROM k x JOIN k y ON y.doc_id = x.doc_id + 1""")
+SELECT x.doc_id, round(CASE WHEN len(x.s) + len(y.s) = 0 THEN 1.0 ELSE len(list_intersect(x.s, y.s))::DOUBLE / len(list_distinct(list_concat(x.s, y.s))) END, 6)::DOUBLE AS jaccard FROM k x JOIN (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS after FROM (SELECT DISTINCT doc_id FROM k)) n ON n.doc_id = x.doc_id JOIN k y ON y.doc_id = n.after""")
 def c03(spark, sf):
     k = t(spark, sf, "documents").select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("s"))
     return rounded(joins.following(k, "doc_id", "s").select("doc_id", T.jaccard(F.col("s"), F.col("next")).alias("jaccard")))
@@ -221,9 +218,9 @@ def c26(spark, sf):
     return t(spark, sf, "labels").select("doc_id", core.signed_label(name, F.lit(0.75)).alias("score"))
 
 
-@query("C27_forbidden_text", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), 'password|api[_ -]?key|secret')")
+@query("C27_forbidden_text", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(coalesce(text, '')), 'password|api[_ -]?key|secret|@[a-z0-9.-]+\.example')")
 def c27(spark, sf):
-    return t(spark, sf, "documents").where(F.lower("text").rlike("password|api[_ -]?key|secret")).select("doc_id")
+    return t(spark, sf, "documents").where(F.lower("text").rlike(r"password|api[_ -]?key|secret|@[a-z0-9.-]+\.example")).select("doc_id")
 
 
 @query("C28_annotation_request", f"""WITH k AS (SELECT conv_id, turn, text, list_sort(list_distinct({TOKS})) AS w FROM conversations WHERE text IS NOT NULL)

@@ -131,7 +131,7 @@ def j02(spark, sf):
 @query("J03_asset_lookup", f"WITH {src.ASSETS}, {src.BARS} SELECT b.asset_id, b.ts, a.name, coalesce(a.sector, 'UNKNOWN') AS sector FROM bars b LEFT JOIN assets a USING (asset_id)")
 def j03(spark, sf):
     a = src.assets(spark, sf)
-    return src.bars(spark, sf).select("asset_id", "ts").join(F.broadcast(a), "asset_id", "left").select("asset_id", "ts", "name", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector"))
+    return src.bars(spark, sf).select("asset_id", "ts").join(a, "asset_id", "left").select("asset_id", "ts", "name", F.coalesce("sector", F.lit("UNKNOWN")).alias("sector"))
 
 
 @query("J13_semi_join", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")

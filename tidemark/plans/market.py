@@ -89,7 +89,7 @@ def w17(spark, sf):
 
 
 def labelled(spark, sf, h: int = 1):
-    return market.forward_labels(src.bars(spark, sf), h).join(F.broadcast(src.assets(spark, sf)), "asset_id")
+    return market.forward_labels(src.bars(spark, sf), h).join(src.assets(spark, sf), "asset_id")
 
 
 CROSS = """x AS (SELECT *, avg(forward_return) OVER (PARTITION BY ts) AS m, avg(forward_return) OVER (PARTITION BY ts, sector) AS s, count(forward_return) OVER (PARTITION BY ts) AS n,
@@ -126,7 +126,7 @@ def w27(spark, sf):
 @query("A01_market_sector_returns", f"""WITH {src.ASSETS}, {src.BARS}, b AS (SELECT asset_id, ts, close / lag(close) OVER w - 1 AS ret FROM bars {W})
 SELECT ts, coalesce(sector, 'ALL') AS sector, round(avg(ret), 6) + 0.0::DOUBLE AS mean_return, count(ret) AS n FROM b JOIN assets USING (asset_id) WHERE ret IS NOT NULL GROUP BY GROUPING SETS ((ts), (ts, sector))""")
 def a01(spark, sf):
-    b = src.bars(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(market.by_asset()) - 1).join(F.broadcast(src.assets(spark, sf)), "asset_id").where("ret is not null")
+    b = src.bars(spark, sf).withColumn("ret", F.col("close") / F.lag("close").over(market.by_asset()) - 1).join(src.assets(spark, sf), "asset_id").where("ret is not null")
     both = b.withColumn("sector", F.explode(F.array(F.lit("ALL"), F.col("sector"))))
     return rounded(both.groupBy("ts", "sector").agg(F.avg("ret").alias("mean_return"), F.count("ret").alias("n")))
 

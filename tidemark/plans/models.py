@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import core
 from ..functions.core import holm
 from ..functions.costs import CostModel
 from ..operators import market, models, portfolio, statistics
@@ -67,6 +68,38 @@ def a16(spark, sf):
     return rounded(models.daily_ic(l, ["ts"]), 5)
 
 
+def metrics_sql(source: str, by: str, at: str, k: int) -> str:
+    """SQL: the diagnostics of ``models.prediction_metrics`` over a table of by, at, score, y and expected."""
+    rank = lambda g, v: f"rank() OVER (PARTITION BY {g} ORDER BY {v}) - 1 + (count(*) OVER (PARTITION BY {g}, {v}) - 1) / 2.0"
+    corr = lambda x, y: f"coalesce(covar_pop({x}, {y}) / nullif(sqrt(var_pop({x}) * var_pop({y})), 0), 0.0)"
+    precision = lambda g: f"""SELECT {g}, sum(CASE WHEN y > 0 THEN least(1.0, (depth - k + 1) / t::DOUBLE) ELSE 0.0 END) / max(depth) AS p FROM (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY score DESC) AS k,
+      count(*) OVER (PARTITION BY {g}, score) AS t, least({k}, count(*) OVER (PARTITION BY {g})) AS depth FROM {source}) WHERE k <= depth GROUP BY {g}"""
+    both = f"{by}, {at}"
+    return f"""mrk AS (SELECT *, {rank(by, 'score')} AS rs, {rank(by, 'y')} AS ry, {rank(both, 'score')} AS ds, {rank(both, 'y')} AS dy FROM {source}),
+mhead AS (SELECT {by}, count(*) AS "rows", count(DISTINCT {at}) AS dates, avg(CASE WHEN score * y > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, CASE WHEN count(expected) = count(*) THEN avg(power(expected - y, 2)) END AS mean_squared_error, {corr('score', 'y')} AS pearson_ic, {corr('rs', 'ry')} AS spearman_ic FROM mrk GROUP BY {by}),
+mday AS (SELECT {by}, count(*) AS ic_dates, avg(p) AS mean_daily_pearson_ic, avg(s) AS mean_daily_spearman_ic FROM (SELECT {both}, {corr('score', 'y')} AS p, {corr('ds', 'dy')} AS s FROM mrk GROUP BY {both} HAVING count(*) >= 2) GROUP BY {by}),
+mtop AS ({precision(by)}), mtopd AS (SELECT {by}, avg(p) AS p FROM ({precision(both)}) GROUP BY {by}),
+metrics AS (SELECT {by}, "rows", dates, coalesce(ic_dates, 0) AS ic_dates, {r('pearson_ic', 'spearman_ic')}, round(coalesce(mean_daily_pearson_ic, 0.0), 6) + 0.0::DOUBLE AS mean_daily_pearson_ic, round(coalesce(mean_daily_spearman_ic, 0.0), 6) + 0.0::DOUBLE AS mean_daily_spearman_ic,
+  round(hit_rate, 6)::DOUBLE AS hit_rate, round(mtop.p, 6)::DOUBLE AS precision_at_k, round(mtopd.p, 6)::DOUBLE AS mean_daily_precision_at_k, round(mean_squared_error, 6) AS mean_squared_error
+  FROM mhead LEFT JOIN mday USING ({by}) JOIN mtop USING ({by}) JOIN mtopd USING ({by}))"""
+
+
+# Outcomes squeezed to (-1, 1): prices of the test tables jump, and a few rows would decide every average.
+_SCORED = """sq AS (SELECT l.asset_id, l.ts, l.close, l.volume, b.high, b.low, (l.close - l.open) / (l.close + l.open) AS score, forward_return / (2 + forward_return) AS y, (l.close - l.open) / l.close / 10 AS expected
+  FROM labels l JOIN bars b ON b.asset_id = l.asset_id AND b.ts = l.ts WHERE forward_return IS NOT NULL)"""
+
+
+def scored(spark, sf):
+    l = market.forward_labels(src.bars(spark, sf), 1).where("forward_return is not null")
+    c, o, y = (F.col(n) for n in ("close", "open", "forward_return"))
+    return l.select("asset_id", "ts", "close", "volume", "high", "low", ((c - o) / (c + o)).alias("score"), (y / (2 + y)).alias("y"), ((c - o) / c / 10).alias("expected"))
+
+
+@query("A16_prediction_metrics", f"""WITH {src.BARS}, {LABELS}, {_SCORED}, sg AS (SELECT 'all' AS segment, * FROM sq), {metrics_sql('sg', 'segment', 'ts', 10)} SELECT * FROM metrics""")
+def a16b(spark, sf):
+    return rounded(models.prediction_metrics(scored(spark, sf).withColumn("segment", F.lit("all")), ["segment"], "ts", 10))
+
+
 TIES = "s AS (SELECT asset_id, ts, round(close / 100) AS score, forward_return AS y FROM labels WHERE forward_return IS NOT NULL)"
 
 
@@ -95,13 +128,23 @@ def a18b(spark, sf):
     return rounded(models.classification(probabilities(spark, sf)))
 
 
-@query("A19_segments", f"WITH {PROB}, d AS (SELECT pr.*, lang, source, n_chars FROM pr JOIN documents USING (doc_id)), x AS (SELECT 'lang' AS dimension, lang AS value, p, y FROM d UNION ALL SELECT 'source', source, p, y FROM d UNION ALL SELECT 'size', CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 5000 THEN 'medium' ELSE 'large' END, p, y FROM d) SELECT dimension, value, count(*) AS n, round(avg(power(p - y, 2)), 6) AS brier FROM x GROUP BY ALL")
+@query("A19_segments", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {src.SIGNALS}, {_SCORED},
+told AS (SELECT asset_id, date_trunc('week', available_at)::DATE AS ts, list_distinct(list(source_type)) AS sources, list_distinct(list(event_type)) AS events FROM signals WHERE novelty > 0.5 GROUP BY ALL),
+cx AS (SELECT sq.*, sector, CASE WHEN close * volume * 200 < 5e6 THEN 'low' WHEN close * volume * 200 < 5e7 THEN 'medium' ELSE 'high' END AS liquidity,
+  CASE WHEN (high - low) / close / 50 < 0.01 THEN 'low' WHEN (high - low) / close / 50 < 0.03 THEN 'normal' ELSE 'high' END AS volatility, coalesce(sources, []) AS sources, coalesce(events, []) AS events FROM sq JOIN assets USING (asset_id) LEFT JOIN told USING (asset_id, ts)),
+sg AS (SELECT dimension || ': ' || value AS segment, ts, score, y, expected FROM (SELECT *, unnest([{{'dimension': 'sector', 'value': sector}}, {{'dimension': 'liquidity_bucket', 'value': liquidity}}, {{'dimension': 'volatility_regime', 'value': volatility}},
+    {{'dimension': 'source_availability', 'value': CASE WHEN len(sources) > 0 THEN 'available' ELSE 'missing' END}}, {{'dimension': 'event_availability', 'value': CASE WHEN len(events) > 0 THEN 'available' ELSE 'missing' END}}]
+    || list_transform(sources, lambda x: {{'dimension': 'source_type', 'value': x}}) || list_transform(events, lambda x: {{'dimension': 'event_type', 'value': x}}), recursive := true) FROM cx) WHERE coalesce(value, '') <> ''),
+{metrics_sql('sg', 'segment', 'ts', 5)} SELECT * FROM metrics""")
 def a19(spark, sf):
-    d = probabilities(spark, sf).join(src.table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    size = F.when(F.col("n_chars") < 500, "small").when(F.col("n_chars") < 5000, "medium").otherwise("large")
-    dims = F.array(*(F.struct(F.lit(n).alias("dimension"), c.alias("value")) for n, c in (("lang", F.col("lang")), ("source", F.col("source")), ("size", size))))
-    x = d.select("p", "y", F.explode(dims).alias("s")).select("s.*", "p", "y")
-    return rounded(x.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
+    heard = src.signals(spark, sf).where("novelty > 0.5").groupBy("asset_id", F.trunc("available_at", "week").alias("ts")).agg(F.collect_set("source_type").alias("sources"), F.collect_set("event_type").alias("events"))
+    none = F.array().cast("array<string>")
+    x = scored(spark, sf).join(src.assets(spark, sf), "asset_id").join(heard, ["asset_id", "ts"], "left").withColumns({"sources": F.coalesce("sources", none), "events": F.coalesce("events", none)})
+    there = lambda c: F.when(F.size(c) > 0, "available").otherwise("missing")
+    volatility = core.volatility_bucket(F.lit(None).cast("string"), F.lit(None).cast("double"), (F.col("high") - F.col("low")) / F.col("close") / 50)
+    return rounded(models.prediction_metrics(models.segments(x, {
+        "sector": F.col("sector"), "liquidity_bucket": core.liquidity_bucket(F.col("close") * F.col("volume") * 200), "volatility_regime": volatility, "source_type": F.col("sources"),
+        "source_availability": there("sources"), "event_type": F.col("events"), "event_availability": there("events")}).select("segment", "ts", "score", "y", "expected"), ["segment"], "ts", 5))
 
 
 @query("A27_macro_f1", "WITH p AS (SELECT lang AS gold, CASE WHEN regexp_matches(text, '[ñíó]') THEN 'es' WHEN regexp_matches(text, '[éèê]') THEN 'fr' WHEN regexp_matches(text, '[äöüß]') THEN 'de' ELSE 'en' END AS predicted FROM documents), l AS (SELECT unnest(['en', 'de', 'fr', 'es']) AS label) SELECT label, round(coalesce(2.0 * count(*) FILTER (WHERE gold = label AND predicted = label) / nullif(count(*) FILTER (WHERE gold = label) + count(*) FILTER (WHERE predicted = label), 0), 0.0), 6)::DOUBLE AS f1 FROM l, p GROUP BY label")
@@ -117,7 +160,7 @@ t0 AS (SELECT *, sign(score) * {LIM.max_position_weight} AS w0 FROM md WHERE sco
 
 
 def candidates(spark, sf):
-    l = market.forward_labels(src.bars(spark, sf), 1).where("forward_return is not null").join(F.broadcast(src.assets(spark, sf)), "asset_id")
+    l = market.forward_labels(src.bars(spark, sf), 1).where("forward_return is not null").join(src.assets(spark, sf), "asset_id")
     return l.select("asset_id", "ts", "close", (F.col("close") * F.col("volume")).alias("dollar_volume"), "sector", (F.col("close") - F.col("open")).alias("score"), "forward_return", (0.5 + (F.col("seq") % 5) / 4.0).alias("beta"))
 
 
@@ -192,13 +235,19 @@ def w26(spark, sf):
     return rounded(portfolio.equity_curve(period_rows(spark, sf), "ts").select("ts", "equity", "drawdown"))
 
 
-@query("A22_backtest_summary", f"""{PB}, {CURVE}, lo AS (SELECT *, row_number() OVER (ORDER BY net_return) <= greatest(1, floor(count(*) OVER () * 0.05)) AS low FROM dd)
-SELECT count(*) AS periods, round(arg_max(equity, ts) - 1, 6) + 0.0::DOUBLE AS total_return, round(avg(net_return) / stddev_pop(net_return) * sqrt(52.0), 5) + 0.0::DOUBLE AS sharpe, round(avg(net_return) / stddev_pop(least(0.0, net_return)) * sqrt(52.0), 5) + 0.0::DOUBLE AS sortino,
+_TOTALS = ["commission", "spread", "slippage", "market_impact", "borrow"]
+
+
+@query("A22_backtest_summary", f"""{PB}, {CURVE}, lo AS (SELECT *, row_number() OVER (ORDER BY net_return) <= greatest(1, floor(count(*) OVER () * 0.05)) AS low FROM dd), b AS (SELECT ts, sum(weight * beta) AS beta FROM book WHERE abs(weight) > 1e-12 GROUP BY ts)
+SELECT count(*) AS periods, round(arg_max(equity, ts) - 1, 6) + 0.0::DOUBLE AS total_return, round(arg_max(equity, ts) - 1, 6) + 0.0::DOUBLE AS cost_adjusted_return, round(product(greatest(0.0, 1 + gross_return)) - 1, 6) + 0.0::DOUBLE AS gross_total_return,
+  round(power(arg_max(equity, ts), 52.0 / count(*)) - 1, 6) + 0.0::DOUBLE AS annualized_return, round(avg(net_return) / stddev_pop(net_return) * sqrt(52.0), 5) + 0.0::DOUBLE AS sharpe, round(avg(net_return) / stddev_pop(least(0.0, net_return)) * sqrt(52.0), 5) + 0.0::DOUBLE AS sortino,
   round(stddev_pop(net_return) * sqrt(52.0), 6) AS annualized_volatility, round(min(drawdown), 6) + 0.0::DOUBLE AS max_drawdown, round(avg(CASE WHEN net_return > 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS hit_rate,
-  round(avg(net_return) FILTER (WHERE low), 6) + 0.0::DOUBLE AS tail_loss_5pct, round(avg(turnover), 6) AS average_turnover, round(sum(cost_return), 6) AS total_cost_return, sum(trades)::BIGINT AS trades FROM lo""")
+  round(avg(net_return) FILTER (WHERE low), 6) + 0.0::DOUBLE AS tail_loss_5pct, round(avg(turnover), 6) AS average_turnover, round(avg(cost_return), 6) AS average_cost_return, round(sum(cost_return), 6) AS total_cost_return, round(avg(gross_exposure), 6) AS average_gross_exposure,
+  round(avg(net_exposure), 6) + 0.0::DOUBLE AS average_net_exposure, round(avg(b.beta), 6) + 0.0::DOUBLE AS average_beta_exposure, round(max(max_participation_rate), 6) AS max_participation_rate, round(coalesce(min(capacity_proxy_equity) FILTER (WHERE capacity_proxy_equity > 0), 0.0), 4) AS minimum_capacity_proxy_equity,
+  7.0::DOUBLE AS average_holding_period_days, round(arg_max(equity, ts), 6) AS final_equity, sum(trades)::BIGINT AS trades, {', '.join(f'round(sum({x}_return), 6) AS total_{x}_return' for x in _TOTALS)} FROM lo JOIN b USING (ts)""")
 def a22(spark, sf):
-    s = portfolio.summary(period_rows(spark, sf), "ts").withColumns({c: F.round(c, 5) for c in ("sharpe", "sortino")})
-    return rounded(s.select("periods", "total_return", "sharpe", "sortino", "annualized_volatility", "max_drawdown", "hit_rate", "tail_loss_5pct", "average_turnover", "total_cost_return", "trades"))
+    s = portfolio.summary(period_rows(spark, sf), "ts").drop("mean_return")
+    return rounded(s.withColumns({c: F.round(c, n) for c, n in (("sharpe", 5), ("sortino", 5), ("minimum_capacity_proxy_equity", 4))}))
 
 
 @query("F16_eligibility", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD} SELECT ts, asset_id, coalesce(array_to_string(list_filter([CASE WHEN close < 1000 THEN 'min_price' END, CASE WHEN dollar_volume < 50000 THEN 'min_dollar_volume' END, CASE WHEN score < 0 AND asset_id <> 'N1' THEN 'short_unavailable' END], lambda x: x IS NOT NULL), ','), '') AS reasons FROM md""")
@@ -208,10 +257,12 @@ def f16(spark, sf):
     return portfolio.eligibility(c, lim).select("ts", "asset_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("P11_buckets", f"WITH {src.BARS} SELECT asset_id, ts, CASE WHEN close * volume < 50000 THEN 'low' WHEN close * volume < 500000 THEN 'medium' ELSE 'high' END AS liquidity, CASE WHEN (high - low) / close < 0.1 THEN 'calm' WHEN (high - low) / close < 0.5 THEN 'normal' ELSE 'wild' END AS volatility FROM bars")
+@query("P11_buckets", f"""WITH {src.BARS} SELECT asset_id, ts, CASE WHEN close * volume * 200 < 5e6 THEN 'low' WHEN close * volume * 200 < 5e7 THEN 'medium' ELSE 'high' END AS liquidity,
+CASE seq % 3 WHEN 1 THEN 'calm' WHEN 0 THEN CASE WHEN close / open < 0.8 THEN 'low' WHEN close / open <= 1.2 THEN 'normal' ELSE 'high' END ELSE CASE WHEN (high - low) / close / 50 < 0.01 THEN 'low' WHEN (high - low) / close / 50 < 0.03 THEN 'normal' ELSE 'high' END END AS volatility FROM bars""")
 def p11(spark, sf):
-    dv, vol = F.col("close") * F.col("volume"), (F.col("high") - F.col("low")) / F.col("close")
-    return src.bars(spark, sf).select("asset_id", "ts", F.when(dv < 50000, "low").when(dv < 500000, "medium").otherwise("high").alias("liquidity"), F.when(vol < 0.1, "calm").when(vol < 0.5, "normal").otherwise("wild").alias("volatility"))
+    label, ratio = F.when(F.col("seq") % 3 == 1, "calm"), F.when(F.col("seq") % 3 == 0, F.col("close") / F.col("open"))
+    volatility = core.volatility_bucket(label, ratio, (F.col("high") - F.col("low")) / F.col("close") / 50)
+    return src.bars(spark, sf).select("asset_id", "ts", core.liquidity_bucket(F.col("close") * F.col("volume") * 200).alias("liquidity"), volatility.alias("volatility"))
 
 
 @query("C18_costs", "SELECT o_orderkey, round(t * 1.0 / 1e4, 15) AS commission, round(t * (1.0 + v * 500 + p * 50.0) / 1e4, 15) AS slippage, round(t * v * sqrt(p) * 0.1, 15) AS market_impact FROM (SELECT o_orderkey, o_totalprice / 1e6 AS t, (o_custkey % 10) / 100.0::DOUBLE AS v, (o_orderkey % 20) / 400.0::DOUBLE AS p FROM orders)")

@@ -120,9 +120,12 @@ def f19(spark, sf):
                                              (F.min("close") > 0).alias("prices_ok"))
 
 
-@query("F20_label_timing", f"WITH {src.BARS}, {LABELS} SELECT asset_id, ts, label_start, label_end FROM labels WHERE label_start <= ts OR label_end < label_start")
+@query("F20_label_timing", f"WITH {src.BARS}, {LABELS}, l AS (SELECT asset_id, ts, CASE WHEN seq % 11 = 0 THEN ts ELSE label_start END AS label_start, CASE WHEN seq % 13 = 0 THEN ts - 1 ELSE label_end END AS label_end FROM labels) SELECT * FROM l WHERE label_start <= ts OR label_end < label_start")
 def f20(spark, sf):
-    return market.forward_labels(src.bars(spark, sf), 1).where("label_start <= ts or label_end < label_start").select("asset_id", "ts", "label_start", "label_end")
+    """Labels that begin no later than their decision or end before they begin; some are made so here."""
+    l = market.forward_labels(src.bars(spark, sf), 1)
+    l = l.withColumns({"label_start": F.when(F.col("seq") % 11 == 0, F.col("ts")).otherwise(F.col("label_start")), "label_end": F.when(F.col("seq") % 13 == 0, F.date_sub("ts", 1)).otherwise(F.col("label_end"))})
+    return l.where("label_start <= ts or label_end < label_start").select("asset_id", "ts", "label_start", "label_end")
 
 
 @query("F21_probability_parsing", "SELECT c_custkey, TRY_CAST(x AS DOUBLE) IS NOT NULL AND TRY_CAST(x AS DOUBLE) BETWEEN 0 AND 1 AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN '0.5' WHEN 2 THEN '1.5' ELSE '1' END AS x FROM customer)")
@@ -137,9 +140,10 @@ def f12(spark, sf):
     return src.bars(spark, sf).where(F.col("ts").between(F.lit("1997-01-06").cast("date"), F.lit("1998-06-29").cast("date"))).select("asset_id", "ts")
 
 
-@query("F02_unique_features", f"WITH {src.BARS} SELECT asset_id, ts, count(*) AS n FROM bars GROUP BY ALL HAVING count(*) > 1")
+@query("F02_unique_features", f"WITH {src.BARS}, b AS (SELECT asset_id, ts FROM bars UNION ALL SELECT asset_id, ts FROM bars WHERE seq % 9 = 0) SELECT asset_id, ts, count(*) AS n FROM b GROUP BY ALL HAVING count(*) > 1")
 def f02(spark, sf):
-    return quality.duplicates(src.bars(spark, sf), ["asset_id", "ts"])
+    b = src.bars(spark, sf)
+    return quality.duplicates(b.unionByName(b.where("seq % 9 = 0")), ["asset_id", "ts"])
 
 
 _STRIP = "CASE " + " ".join(f"WHEN ends_with(lower(s_name), '{x}') THEN left(lower(s_name), -{len(x)})" for x in LEGAL_SUFFIXES) + " ELSE lower(s_name) END"

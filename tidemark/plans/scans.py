@@ -309,9 +309,9 @@ def c25(spark, sf):
     return t(spark, sf, "labels").select("doc_id", F.array_join(f, ",").alias("broken"))
 
 
-@query("G01_evidence_snapshot", "SELECT d.doc_id, c.i AS span, length(substr(d.text, c.i * 1024 + 1, 1024)) AS n FROM documents d, (SELECT doc_id, unnest(range(0, (length(text) + 1023) // 1024)) AS i FROM documents WHERE lang IN ('en', 'fr')) c WHERE c.doc_id = d.doc_id")
+@query("G01_evidence_snapshot", "SELECT d.doc_id, c.i AS span, length(substr(d.text, c.i * 1024 + 1, 1024)) AS n FROM documents d, (SELECT doc_id, unnest(range(0, (length(text) + 1023) // 1024)) AS i FROM documents) c WHERE c.doc_id = d.doc_id")
 def g01(spark, sf):
-    d = t(spark, sf, "documents").where("lang in ('en', 'fr')").select("doc_id", F.posexplode(T.chunks(F.col("text"), 1024)).alias("span", "c"))
+    d = t(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), 1024)).alias("span", "c"))
     return d.select("doc_id", F.col("span").cast("long").alias("span"), F.length("c.text").cast("long").alias("n"))
 
 

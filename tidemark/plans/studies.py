@@ -55,7 +55,7 @@ part("X06_source_diversity", "X01_text_window_7d", [*DAY, "source_diversity_coun
 part("X07_credibility_decay", "X01_text_window_7d", [*DAY, "source_credibility_mean", "spam_score_mean", "text_decay_weight_sum"])
 part("X08_event_counts", "X01_text_window_7d", [*DAY, "event_type_diversity", "event_f_count", "event_o_count", "event_p_count"])
 part("A12_raw_diagnostics", "X01_text_window_7d", [*DAY, "raw_text_count", "raw_mention_velocity", "raw_attention_abnormal", "novelty_share", "duplicate_item_count"])
-part("G04_metric_filter", "A19_segments", ["dimension", "value", "n", "brier"], "dimension = 'lang'")
+part("G04_metric_filter", "A19_segments", ["segment", "rows", "hit_rate", "pearson_ic"], "segment LIKE 'source_type: %'")
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 _OWN = ", ".join(f"count(*) FILTER (WHERE source_type = '{s}')::DOUBLE AS attention_source_{s.lower()}_count, round(coalesce(avg(sentiment) FILTER (WHERE source_type = '{s}'), 0.0), 6) + 0.0::DOUBLE AS sentiment_source_{s.lower()}_mean" for s in SEGMENTS)
@@ -163,7 +163,7 @@ SELECT segment, sum(n)::BIGINT AS "rows", count(*) AS dates, round(avg(ic), 4) +
 def m05(spark, sf):
     s = scored(spark, sf)
     last = s.select("ts").distinct().orderBy(F.desc("ts")).limit(20).withColumn("_h", F.lit("holdout"))  # the last 20 decisions are the holdout
-    s = s.join(F.broadcast(last), "ts", "left").withColumn("segment", F.coalesce("_h", F.lit("development")))
+    s = s.join(last, "ts", "left").withColumn("segment", F.coalesce("_h", F.lit("development")))
     return rounded(models.evaluate(s, "segment", "ts"), 4)
 
 

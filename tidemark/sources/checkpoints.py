@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,15 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a folder of its own for a local session, and an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """The folder of this application's written tables."""
+    return f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+
+
 def settle(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    at, schema = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}", df.schema
+    at, schema = f"{scratch(spark)}/{uuid.uuid4().hex}", df.schema
     df.write.parquet(at)
     return spark.read.schema(schema).parquet(at)

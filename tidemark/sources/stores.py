@@ -11,11 +11,15 @@ from ..functions.core import path_component
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_file: int = 10_000, mode: str = "errorifexists") -> None:
-    """Hive-partitioned zstd Parquet with safe folder names; nested values are kept as JSON text."""
+    """Hive-partitioned zstd Parquet with safe folder names; nested values are kept as JSON text.
+
+    Rows of one folder are brought together as far as tasks stay of one size: large folders
+    are written by several tasks, small ones share one.
+    """
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map")]
     df = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
     df = df.withColumns({c: path_component(F.col(c).cast("string")) for c in by})
-    df.repartition(*by).write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy(*by).parquet(path)
+    df.hint("rebalance", *by).write.mode(mode).option("maxRecordsPerFile", rows_per_file).option("compression", "zstd").partitionBy(*by).parquet(path)
 
 
 class FeatureStore:

@@ -52,18 +52,14 @@ def bars(spark: SparkSession, c: Config, read: Read) -> DataFrame:
     quality.assert_empty(quality.duplicates(b, ["asset_id", "ts"]), "repeated bars")
     quality.assert_empty(quality.unknown_references(b, readers.assets(spark, c.assets), "asset_id"), "bars of unknown assets")
     sessions = b.select("ts").distinct().withColumn("seq", F.row_number().over(Window.orderBy("ts")).cast("long"))  # one row per session
-    return b.join(F.broadcast(sessions), "ts")
+    return b.join(sessions, "ts")
 
 
 def features(spark: SparkSession, c: Config, read: Read) -> DataFrame:
     b = read("bars")
-    parts = [market.returns(b), market.liquidity(b), market.volatility(b)]
-    wanted = [*c.features, "dollar_volume", "realized_volatility_20d"]
-    out = b.select("asset_id", "ts", "seq", "close")
-    for p in parts:
-        own = [n for n in dict.fromkeys(wanted) if n in p.columns and n not in out.columns]
-        out = out.join(p.select("asset_id", "ts", *own), ["asset_id", "ts"]) if own else out
-    return out
+    wanted = dict.fromkeys(["asset_id", "ts", "seq", "close", *c.features, "dollar_volume", "realized_volatility_20d"])
+    whole = market.volatility(market.liquidity(market.returns(b)))  # one window a asset for all of them
+    return whole.select(*(n for n in wanted if n in whole.columns))
 
 
 def labels(spark: SparkSession, c: Config, read: Read) -> DataFrame:
