@@ -169,6 +169,44 @@ def test_pii_bootstrap_and_redaction(spark):
     assert all(r.n_chars == len(r.text) for r in clean.values())
 
 
+def test_pii_long_identifiers_and_contexts(spark):
+    rng = random.Random(16)
+    odd = "w" * 300
+    seeds = [f"{prose(rng, 3)} {odd} holder user{i}@mail.example.com {prose(rng, 2)}" for i in range(12)]
+    letters, long = "K" * 60 + "4827193", "KX-" + "48271930" * 30
+    more = [f"{odd} holder {letters} {prose(rng, 2)}", f"{prose(rng, 2)} {odd} holder {long}", f"{odd[:-1]} bearer 99887766"]
+    df = spark.createDataFrame(list(enumerate(seeds + more)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(df).collect()}
+    assert got[12].n_added == 1 and got[13].n_added == 1 and got[14].n_added == 0
+    assert got[13].spans.endswith(f":{len(more[1])}")
+
+
+def test_pii_found_identifiers_lead_to_patterns(spark):
+    rng = random.Random(17)
+    rows = [f"{prose(rng, 3)} account holder user{i}@mail.example.com {prose(rng, 2)}" for i in range(30)]
+    known = [f"KX-{i}482719{i}" for i in range(12)]
+    rows += [f"{prose(rng, 3)} account holder {k}" for k in known]  # found beside the seeds
+    rows += [f"{prose(rng, 3)} claim filed {k} {prose(rng, 2)}" for k in known]  # these make a pattern of their own
+    rows += [f"{prose(rng, 3)} claim filed ZZ-00918273 {prose(rng, 2)}"]
+    got = {r.doc_id: r.n_added for r in pii.report(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[i] == 1 for i in range(30, 55)) and not any(got[i] for i in range(30))
+
+
+def test_pii_redaction_of_very_many_spans(spark):
+    text = " é ".join(f"u{i}@a.bc, 10.0.0.{i % 256}" for i in range(5000))
+    overlapping = "x 1.2.3.4@a.bc +1 555 123 4567 4111 1111 1111 1111 y"
+    rows = [(1, text, len(text)), (2, overlapping, 1), (3, None, None), (4, "", 0), (4, "", 0)]
+    got = sorted(map(tuple, pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()))
+    want = " é ".join("[EMAIL], [IP]" for _ in range(5000))
+    assert got[0] == (1, want, len(want)) and got[2:] == [(3, None, None), (4, "", 0), (4, "", 0)]
+    out, at = [], 0
+    for kind, a, b in (x.split(":") for x in plain_pii(overlapping).split(",")):
+        if int(a) >= at:
+            out += [overlapping[at: int(a)], f"[{kind.upper()}]"]
+        at = max(at, int(b))
+    assert got[1][1] == "".join(out) + overlapping[at:]
+
+
 # ---- toxicity and quality ----
 
 def test_grammar_scores_matched_clauses():
@@ -177,7 +215,9 @@ def test_grammar_scores_matched_clauses():
     assert kinds("You are an idiot.") == {"insult_targeted"} and kinds("idiot") == {"insult"} and kinds("blorfing here") == {"insult"}
     assert kinds("You are not an idiot") == {"insult_negated"} and kinds("He said: moron") == {"insult_reported"}
     assert kinds("I kill you") == {"threat_targeted"} and kinds("you and me. idiot") == {"insult"} and not kinds("idiots_ and killer") and not kinds(None)
-    assert kinds("YOU!! ARE!! AN!! IDIOT!!") == {"insult_targeted"}
+    assert kinds("YOU!! ARE!! AN!! IDIOT!!") == {"insult_targeted"} and kinds("you id!!iot") == {"insult_targeted"}
+    many = g.features("idiot moron scum loser trash kill, said you")
+    assert many[toxicity.KINDS.index("insult_targeted")] == np.log1p(5) and many[toxicity.KINDS.index("threat_targeted")] == np.log1p(1) and np.count_nonzero(many) == 2
 
 
 def test_grammar_reads_a_long_clause_whole():
@@ -245,6 +285,11 @@ def test_licenses(spark):
     assert all(any(a in s or a in s.replace("by nc", "by-nc") for a in licenses.ANCHORS) for s in licenses.SENTENCES.values())
 
 
+def test_licenses_behind_ornaments(spark):
+    got = licenses.scan(spark.createDataFrame([(1, "Released under the MIT Lic!!ense."), (2, "Lic!!ense")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.rules for r in got} == {1: "mit-release", 2: ""}
+
+
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -330,6 +375,22 @@ def test_decontamination_is_exact_at_every_length(spark):
     assert got == {(i, j) for i, t in docs for j, u in items if plain_leak(t, u)}
 
 
+def test_decontamination_in_blocks_reads_the_texts_once(spark, tmp_path):
+    rng = random.Random(20)
+    items = [(i, prose(rng, 30)) for i in range(40)] + [(100, None), (3, "one two"), (50, "a b c d")]
+    items += [(i + 60, t) for i, t in items[:5]] + items[:3]  # the same words under other ids, and repeated items
+    docs = [(i, " ".join([prose(rng, 40), items[i % 40][1] if i % 2 else "", prose(rng, 20)])) for i in range(60)]
+    docs += [(0, docs[1][1]), (1, docs[1][1]), (None, docs[3][1]), (70, "word " * 50_000 + items[7][1])]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    d, b = spark.read.parquet(str(tmp_path / "d")), spark.createDataFrame(items, "item_id long, text string")
+    once, many = decontam.overlaps(d, b), decontam.overlaps(d, b, block=40)
+    assert sorted(map(tuple, once.collect()), key=str) == sorted(map(tuple, many.collect()), key=str) and once.count() > 30
+    assert many._jdf.queryExecution().executedPlan().toString().count(str(tmp_path / "d")) == 0  # only its word hashes, written once
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(d, b).collect()}
+    assert {(1, 1), (0, 1), (None, 3), (70, 7)} <= got and all(j < 60 for _, j in got)
+    assert {r.class_item_id for r in decontam.item_classes(b).where("item_id in (60, 64)").collect()} == {0, 4}
+
+
 # ---- packing ----
 
 def test_encoder_and_packing(spark):
@@ -491,6 +552,24 @@ def test_simhash_components(spark, limit, monkeypatch):
     assert {r.doc_id for r in kept.collect()} == set(root.values())
 
 
+def test_simhash_hot_groups(spark, monkeypatch):
+    """A large group of exact copies, a large group of near copies, repeated rows: with hot keys joined where they are, and without."""
+    rng = random.Random(21)
+    base, near = prose(rng, 60), prose(rng, 400).split()
+    texts = [base] * 400 + [" ".join("qq" if j == i else w for j, w in enumerate(near)) for i in range(300)] + [prose(rng, 30) for _ in range(50)]
+    rows = [(i, t, "k") for i, t in enumerate(texts)] + [(3, base, "k"), (0, base, "k"), (0, base, "k"), (None, base, "k"), (None, None, "k"), (None, None, "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _hot string").repartition(5)
+    got = sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str)
+    kept = sorted(map(tuple, simhash.deduplicate(df).collect()), key=str)
+    monkeypatch.setattr("tidemark.llm.common.HOT", 20)
+    monkeypatch.setattr(simhash, "BROADCAST_DROPS", 5)
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == got
+    assert sorted(map(tuple, simhash.deduplicate(df).collect()), key=str) == kept
+    fps = {plain_fp(t): i for i, t in reversed(list(enumerate(texts)))}
+    assert len(got) == len(rows) and {r[2] for r in got if r[0] is not None and r[0] < 400} == {0}
+    assert (0, base, "k") in kept and kept.count((0, base, "k")) == 1 and sum(r[0] is None for r in kept) == 1 and len(kept) <= len(fps) + 1
+
+
 @pytest.mark.parametrize("blocks,agree", simhash.schemes(4))
 def test_every_near_pair_shares_a_shard(spark, blocks, agree):
     rng = random.Random(12)

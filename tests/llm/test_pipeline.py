@@ -4,11 +4,31 @@ import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_llm_operators import plain_fp, plain_leak, plain_pii
 
 SF = "/root/testdata/sf0.001"
 
 
+def test_on_empty_and_awkward_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+    from test_llm_operators import awkward, bench, empty, labels
+
+    for name, docs in (("empty", empty(spark)), ("odd", awkward(spark).withColumn("uid", F.lit(1)).withColumn("_hot", F.lit(True)))):
+        at = str(tmp_path / name)
+        docs.write.parquet(f"{at}/documents.parquet")
+        labels(spark).limit(0 if name == "empty" else 99).write.parquet(f"{at}/labels.parquet")
+        bench(spark).write.parquet(f"{at}/benchmark.parquet")
+        rows = spark.read.parquet(f"{at}/documents.parquet")
+        for _, stage in cp.STAGES[:-1]:
+            out = stage(spark, rows, at)
+            assert out.columns == docs.columns and out.schema == rows.schema
+        got = cp.run(spark, at).collect()
+        assert bool(got) == (name == "odd") and {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()}
+        if got:
+            assert {4, 5, 6} <= {r.doc_id for r in got} and sum(r.length for r in got if r.doc_id == 6) > 20_000
+
+
 def test_stages_against_plain_versions(spark):
     import corpus_pipeline as cp
     import public_tokenizers
