@@ -19,10 +19,9 @@ import os
 import random
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import cached_property, lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +53,10 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import json
         import re
 
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        self.path, self.fast = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = [t["content"] for t in spec.get("added_tokens") or []]
@@ -77,6 +73,14 @@ class Encoder:
             ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if t not in special}
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def tokenizer(self):
+        """The file's own encoder, loaded for the first text that needs it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def encode(self, text: str) -> bytes:
         if self.fast is None or self.apart(text):
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -249,33 +253,34 @@ def _level(rows: DataFrame, limit: int, seed: int, cells: int) -> DataFrame:
     short = rows.select("cell", "uid", "piece", "length")
     kind = "cell long, island int, n int, fill double, proven boolean, numbers array<int>"
 
-    def order(own: pd.DataFrame) -> pd.DataFrame:
-        return own.sort_values(["uid", "piece"], kind="stable").reset_index(drop=True)
+    elite_schema = pa.schema([("cell", pa.int64()), ("island", pa.int32()), ("n", pa.int32()), ("fill", pa.float64()), ("proven", pa.bool_()), ("numbers", pa.list_(pa.int32()))])
+
+    def order(own: pa.Table) -> pa.Table:
+        return own.sort_by([("uid", "ascending"), ("piece", "ascending")])
 
-    def found(cell: int, island: int, sizes: list[int], elites: list) -> pd.DataFrame:
-        bins = evolve(sizes, limit, seed + 7919 * cell + island, [_bins(e) for e in elites])
-        return pd.DataFrame({"cell": [cell], "island": [island], "n": [len(bins)], "fill": [fitness(bins, sizes, limit)[1]],
-                             "proven": [len(bins) <= lower_bound(sizes, limit)], "numbers": [_numbers(bins, len(sizes))]})
+    def elite_of(cell: int, island: int, bins: list[list[int]], sizes: list[int]) -> pa.Table:
+        row = {"cell": cell, "island": island, "n": len(bins), "fill": fitness(bins, sizes, limit)[1], "proven": len(bins) <= lower_bound(sizes, limit), "numbers": _numbers(bins, len(sizes))}
+        return pa.Table.from_pylist([row], schema=elite_schema)
 
-    def first(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        sizes = order(own)["length"].tolist()
-        bins = best_fit([], list(range(len(sizes))), sizes, limit)
-        return pd.DataFrame({"cell": [int(key[0])], "island": [0], "n": [len(bins)], "fill": [fitness(bins, sizes, limit)[1]],
-                             "proven": [len(bins) <= lower_bound(sizes, limit)], "numbers": [_numbers(bins, len(sizes))]})
+    def first(key: tuple[pa.Scalar, ...], own: pa.Table) -> pa.Table:
+        sizes = order(own)["length"].to_pylist()
+        return elite_of(key[0].as_py(), 0, best_fit([], list(range(len(sizes))), sizes, limit), sizes)
 
-    def island(key: tuple, own: pd.DataFrame, elites: pd.DataFrame) -> pd.DataFrame:
-        return found(int(key[0]), int(key[1]), order(own)["length"].tolist(), list(elites["numbers"]))
+    def island(key: tuple[pa.Scalar, ...], own: pa.Table, elites: pa.Table) -> pa.Table:
+        cell, number, sizes = key[0].as_py(), key[1].as_py(), order(own)["length"].to_pylist()
+        return elite_of(cell, number, evolve(sizes, limit, seed + 7919 * cell + number, [_bins(e) for e in elites["numbers"].to_pylist()]), sizes)
 
-    def lay(key: tuple, own: pd.DataFrame, best: pd.DataFrame) -> pd.DataFrame:
+    def lay(key: tuple[pa.Scalar, ...], own: pa.Table, best: pa.Table) -> pa.Table:
         own = order(own)
-        own["_bin"] = np.asarray(best["numbers"].iloc[0], dtype=np.int64)
-        per = own.groupby("_bin", sort=False)["length"]
-        own["_offset"] = per.cumsum() - own["length"]
-        own["_fill"] = per.transform("sum")
-        own["_mean"] = own["length"].sum() / max(1, own["_bin"].nunique())
-        return own[[*names, "_bin", "_offset", "_fill", "_mean"]]
-
-    elite = settle(short.groupBy("cell").applyInPandas(first, kind), cells)
+        bins, sizes = np.asarray(best["numbers"][0].as_py(), dtype=np.int64), own["length"].to_numpy()
+        fill = np.bincount(bins, weights=sizes).astype(np.int64)
+        by_bin, before = np.argsort(bins, kind="stable"), np.concatenate([[0], np.cumsum(fill)])
+        offset = np.empty_like(sizes)
+        offset[by_bin] = np.cumsum(sizes[by_bin]) - sizes[by_bin] - before[bins[by_bin]]
+        added = {"_bin": bins, "_offset": offset, "_fill": fill[bins], "_mean": np.full(len(sizes), sizes.sum() / max(1, (fill > 0).sum()))}
+        return pa.Table.from_arrays([*(own[n] for n in names), *(pa.array(v) for v in added.values())], names=[*names, *added])
+
+    elite = settle(short.groupBy("cell").applyInArrow(first, kind), cells)
     for _ in range(EPOCHS):
         open_cells = elite.groupBy("cell").agg(F.max("proven").alias("p")).where(~F.col("p")).select("cell")
         if not open_cells.limit(1).count():
@@ -288,11 +293,11 @@ def _level(rows: DataFrame, limit: int, seed: int, cells: int) -> DataFrame:
         to = F.when(F.col("k") == 1, everywhere).otherwise(F.array(F.col("island"), F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int")))
         given = more.join(alone, "cell").select("cell", F.explode(to).alias("island"), "numbers")
         spread = short.join(open_cells, "cell", "left_semi").withColumn("island", F.explode(everywhere))
-        better = spread.groupBy("cell", "island").cogroup(given.groupBy("cell", "island")).applyInPandas(island, kind)
+        better = spread.groupBy("cell", "island").cogroup(given.groupBy("cell", "island")).applyInArrow(island, kind)
         elite = settle(elite.join(open_cells, "cell", "left_anti").unionByName(better), cells * ISLANDS)
     best = elite.groupBy("cell").agg(F.max_by("numbers", F.struct(-F.col("n"), F.col("fill"), -F.col("island"))).alias("numbers"))
     kind = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields), "_bin long, _offset long, _fill long, _mean double"])
-    return rows.groupBy("cell").cogroup(best.groupBy("cell")).applyInPandas(lay, kind)
+    return rows.groupBy("cell").cogroup(best.groupBy("cell")).applyInArrow(lay, kind)
 
 
 def bound_of(parts: DataFrame, limit: int) -> int:
