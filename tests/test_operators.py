@@ -236,3 +236,42 @@ def test_prediction_metrics_and_segments(spark):
     assert m.precision_at_k == (1 + 0.5) / 2 and m.mean_daily_precision_at_k == (0.5 + 1) / 2
     got = {r.segment: r["count"] for r in models.segments(df, {"day": F.col("ts"), "tag": F.col("tags")}).groupBy("segment").count().collect()}
     assert got == {"day: d1": 3, "day: d2": 1, "tag: x": 2, "tag: y": 2}
+
+
+def test_fold_in_stretches(spark):
+    rng = random.Random(41)
+    moves = {("new", "open"): "live", ("live", "fill"): "part", ("part", "fill"): "done", ("live", "stop"): "gone", ("part", "stop"): "gone", ("gone", "open"): "live"}
+    rows = [(k, i, rng.choice(["open", "fill", "stop", "?"])) for k in range(5) for i in range(rng.randrange(0, 90))]
+    got = {r.k: (r.state, r.n_events, r.n_invalid) for r in ledger.fold(spark.createDataFrame(rows, "k long, seq long, kind string").repartition(3), ["k"], "seq", "kind", moves, "new", chunk=7).collect()}
+    want: dict = {}
+    for k, _, e in rows:
+        state, n, bad = want.get(k, ("new", 0, 0))
+        want[k] = (moves.get((state, e), state), n + 1, bad + ((state, e) not in moves))
+    assert got == want
+
+
+def test_overlapping_intervals_over_buckets(spark):
+    rng = random.Random(42)
+    rows = [(i, rng.choice("ab"), rng.randrange(300), rng.sample(range(6), rng.randrange(1, 3))) for i in range(80)]
+    rows = [(i, k, date.fromordinal(730000 + a), date.fromordinal(730000 + a + rng.randrange(-2, 90)), m) for i, k, a, m in rows]
+    df = spark.createDataFrame(rows, "i int, k string, a date, b date, m array<int>")
+    got = [(r.i_l, r.i_r) for r in joins.overlapping(df, df, ["k"], "a", "b", "m", days=10).where("i_l < i_r").collect()]
+    want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] == y[1] and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3] and {*x[4]} & {*y[4]}}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pages_follow_sound_cursors_only(spark):
+    ranked = spark.createDataFrame([(q, r, 100 * q + r) for q in (1, 2) for r in range(1, 6)], "query_id long, rank int, id long")
+    first = ops.page(ranked, spark.createDataFrame([(1, None), (2, None)], "query_id long, cursor string"), "ix", 2)
+    cursors = {r.query_id: r.next_cursor for r in first.where("rank = 2").collect()}
+    assert first.count() == 4
+    seen = lambda c, index="ix": [(r.query_id, r["rank"], r.next_cursor is None) for r in ops.page(ranked, spark.createDataFrame(c, "query_id long, cursor string"), index, 2).orderBy("query_id", "rank").collect()]
+    assert seen([(1, cursors[1]), (2, cursors[2])]) == [(1, 3, False), (1, 4, False), (2, 3, False), (2, 4, False)]
+    assert seen([(1, cursors[2])]) == [] and seen([(1, cursors[1])], "other") == [] and seen([(1, cursors[1][:-4] + "abcd")]) == [] and seen([(1, "no cursor")]) == []
+    assert ops.page(ranked.withColumn("id", F.col("id") + 1), spark.createDataFrame([(1, cursors[1])], "query_id long, cursor string"), "ix", 2).count() == 0
+
+
+def test_numbers_and_annotations(spark):
+    df = spark.createDataFrame([("up 5%, -3.5 and .5; v2.0, 1.2.3, x4 +7", "5% -3.5 7")], "a string, b string")
+    r = df.select(T.numeric_tokens(F.col("a")).alias("n"), T.ungrounded(F.array("a"), F.array("b")).alias("u")).first()
+    assert r.n == ["5%", "-3.5", ".5", "+7"] and sorted(r.u) == ["+7", ".5"]

@@ -88,6 +88,24 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
     return (a_start <= b_end) & (b_start <= a_end)
 
 
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, members: str | None = None, days: int = 64) -> DataFrame:
+    """Pairs (columns of both sides, suffixed _l and _r) with equal ``keys``, overlapping dates (inclusive) and, if given, a common element of ``members``.
+
+    Intervals are dealt to every bucket of ``days`` that they touch; a pair counts in the
+    bucket in which the later of the two begins, so it is found once and groups stay small.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / days)
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        own = df.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+        return own.select(*keys, "_b", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in keys))
+
+    pairs = side(left, "l").join(side(right, "r"), [*keys, "_b"])
+    later = F.greatest(F.col(f"{start}_l"), F.col(f"{start}_r"))
+    pairs = pairs.where(overlaps(F.col(f"{start}_l"), F.col(f"{end}_l"), F.col(f"{start}_r"), F.col(f"{end}_r")) & (F.col("_b") == bucket(later))).drop("_b")
+    return pairs.where(F.arrays_overlap(f"{members}_l", f"{members}_r")) if members else pairs
+
+
 def missing(expected: DataFrame, present: DataFrame, key: list[str]) -> DataFrame:
     return expected.select(*key).distinct().join(present.select(*key).distinct(), key, "left_anti")
 

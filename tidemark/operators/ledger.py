@@ -22,20 +22,33 @@ def verify_chain(events: DataFrame, by: list[str], order: str, payload: Column)
     return r.where(F.size("broken") > 0).select(*by, order, "broken")
 
 
-def fold(events: DataFrame, by: list[str], order: str, kind: str, transitions: dict[tuple[str, str], str], start: str) -> DataFrame:
+def fold(events: DataFrame, by: list[str], order: str, kind: str, transitions: dict[tuple[str, str], str], start: str, chunk: int = 1024) -> DataFrame:
     """by, state, n_events, n_invalid: each key's events in order through a state machine; an event without a transition is invalid and keeps the state.
 
-    The fold runs over a sorted array of each key's event kinds: a key's log must fit a task.
+    A stretch of a log maps each state to the state after it, and such maps compose. With
+    whole-numbered ``order`` a log is cut into stretches of ``chunk`` numbers, each folded by
+    itself from every state; a key's task sees one small map for each. Other orders: one stretch.
     """
+    states = sorted({start, *(s for s, _ in transitions), *transitions.values()})
     table = F.create_map(*(F.lit(x) for (s, e), t in transitions.items() for x in (f"{s}>{e}", t)))
-    state = F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("bad"))
 
     def step(a: Column, e: Column) -> Column:
         to = F.element_at(table, F.concat(a["state"], F.lit(">"), e[kind]))
         return F.struct(F.coalesce(to, a["state"]).alias("state"), (a["bad"] + F.when(to.isNull(), 1).otherwise(0)).alias("bad"))
 
-    logs = events.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, kind))).alias("log"))
-    return logs.withColumn("f", F.aggregate("log", state, step)).select(*by, F.col("f.state").alias("state"), F.size("log").cast("long").alias("n_events"), F.col("f.bad").alias("n_invalid"))
+    whole = events.schema[order].dataType.typeName() in ("byte", "short", "integer", "long")
+    part = F.floor(F.col(order) / chunk) if whole else F.lit(0).cast("long")
+    logs = events.groupBy(*by, part.alias("_part")).agg(F.array_sort(F.collect_list(F.struct(order, kind))).alias("log"))
+    from_state = lambda s: F.aggregate("log", F.struct(s.alias("state"), F.lit(0).cast("long").alias("bad")), step)
+    maps = logs.select(*by, "_part", F.size("log").cast("long").alias("n"), F.map_from_arrays(F.array(*map(F.lit, states)), F.array(*(from_state(F.lit(s)) for s in states))).alias("m"))
+    runs = maps.groupBy(*by).agg(F.sum("n").alias("n_events"), F.array_sort(F.collect_list(F.struct("_part", F.map_entries("m").alias("m")))).alias("runs"))
+
+    def compose(a: Column, run: Column) -> Column:
+        to = F.filter(run["m"], lambda e: e["key"] == a["state"])[0]["value"]
+        return F.struct(to["state"].alias("state"), (a["bad"] + to["bad"]).alias("bad"))
+
+    first = F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("bad"))
+    return runs.withColumn("f", F.aggregate("runs", first, compose)).select(*by, F.col("f.state").alias("state"), "n_events", F.col("f.bad").alias("n_invalid"))
 
 
 def latest(events: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:

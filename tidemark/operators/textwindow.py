@@ -38,8 +38,8 @@ def features(decisions: DataFrame, signals: DataFrame, days: int, event_types: l
     g = pairs.groupBy("asset_id", "asof_day").agg(
         count(now).alias("raw_text_count"), count(ev).alias("text_count"), count(now & ~novel).alias("duplicate_item_count"), zero_if_null(F.avg(F.when(now, F.col("novelty")))).alias("novelty_share"),
         count(~now).alias("_raw_prior"), count(~now & novel).alias("_prior"), F.min(F.when(ev, F.col("age"))).cast("double").alias("latest_text_age_days"), F.max(F.when(ev, F.col("age"))).cast("double").alias("time_since_first_seen_days"),
-        F.count_distinct(F.when(ev, F.col("item_id"))).cast("double").alias("attention_unique_item_count"), F.count_distinct(F.when(ev, F.col("source_type"))).cast("double").alias("source_diversity_count"),
-        F.count_distinct(F.when(ev, F.col("author"))).cast("double").alias("unique_author_count"), F.count_distinct(F.when(ev, F.col("event_type"))).cast("double").alias("event_type_diversity"),
+        F.count_distinct(F.when(ev, F.col("item_id"))).cast("double").alias("attention_unique_item_count"), F.size(F.collect_set(F.when(ev, F.col("source_type")))).cast("double").alias("source_diversity_count"),
+        F.count_distinct(F.when(ev, F.col("author"))).cast("double").alias("unique_author_count"), F.size(F.collect_set(F.when(ev, F.col("event_type")))).cast("double").alias("event_type_diversity"),
         _avg(s, ev).alias("sentiment_mean"), w(rel).alias("sentiment_relevance_weighted"), w(conf * rel).alias("sentiment_conf_weighted"), w(cred * rel * (1 - spam)).alias("sentiment_credibility_weighted"),
         w(decay * conf * rel * cred * (1 - spam)).alias("sentiment_decay_weighted"), F.greatest(F.lit(0.0), zero_if_null(F.max(F.when(ev, s)))).alias("sentiment_max_positive"),
         F.least(F.lit(0.0), zero_if_null(F.min(F.when(ev, s)))).alias("sentiment_max_negative"), zero_if_null(F.stddev_pop(F.when(ev, s))).alias("sentiment_dispersion"),
@@ -55,6 +55,26 @@ def features(decisions: DataFrame, signals: DataFrame, days: int, event_types: l
         "attention_abnormal": abnormal("text_count", "_prior"), "raw_attention_abnormal": abnormal("raw_text_count", "_raw_prior")}).drop("_prior", "_raw_prior")
 
 
+def annotation_features(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, and what independent annotations of a window say: counts, coverage, means among those not abstained, evidence, and what is missing.
+
+    ``rows``: abstained (null: not annotated), semantic, raw_confidence, uncertainty,
+    event_confidence (all nullable), supporting and counter (evidence counts).
+    """
+    there, said = F.col("abstained").isNotNull(), F.col("abstained") == False  # noqa: E712
+    mean = lambda c, where: zero_if_null(F.avg(F.when(where, F.col(c))))
+    none = lambda c, where: F.count(F.when(where, F.col(c))) == 0
+    total = lambda c: F.sum(F.when(there, F.coalesce(F.col(c), F.lit(0))).otherwise(0))
+    evidence = total("supporting") + total("counter")
+    return rows.groupBy(*by).agg(
+        F.count_if(there).alias("annotation_count"), F.count_if(said).alias("non_abstention_count"), (F.count_if(there) / F.count(F.lit(1))).alias("annotation_coverage"),
+        zero_if_null(F.avg(F.when(there, F.when(said, 0.0).otherwise(1.0)))).alias("abstention_rate"), mean("semantic", said).alias("semantic_mean"), mean("raw_confidence", said).alias("raw_confidence_mean"),
+        mean("uncertainty", there).alias("uncertainty_mean"), mean("event_confidence", said).alias("event_confidence_mean"), total("supporting").alias("supporting_evidence_count"),
+        total("counter").alias("counterevidence_count"), zero_if_null(F.try_divide(total("supporting"), evidence)).alias("evidence_agreement"), (F.count_if(there) == 0).alias("missing"),
+        none("semantic", said).alias("semantic_missing"), none("raw_confidence", said).alias("raw_confidence_missing"), none("uncertainty", there).alias("uncertainty_missing"),
+        none("event_confidence", said).alias("event_confidence_missing"), (evidence == 0).alias("evidence_missing"))
+
+
 def _slug(value: str) -> str:
     import re
 

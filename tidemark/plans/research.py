@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..functions.text import LEGAL_SUFFIXES
-from ..operators import market, paper, quality
+from ..operators import market, paper, quality, textwindow
 from ..sources import adapters as src
 from ..sources import stores
 from .market import LABELS
@@ -66,13 +66,25 @@ def m19(spark, sf):
     return rounded(p.groupBy(F.year("ts").alias("regime")).agg(F.count(F.lit(1)).alias("periods"), F.avg(F.col("candidate") - F.col("control")).alias("effect"), F.count_if(F.col("candidate") < F.col("control")).alias("negatives")))
 
 
-@query("X10_annotation_aggregates", f"""WITH {src.SIGNALS}, a AS (SELECT *, sentiment = -0.5 AS abstained, CASE WHEN sentiment = 0 THEN NULL ELSE confidence END AS llm_confidence FROM signals), m AS (SELECT asset_id, date_trunc('month', available_at)::DATE AS month, * EXCLUDE (asset_id) FROM a)
-SELECT asset_id, month, count(*) AS n, count(llm_confidence) AS covered, round(avg(abstained::INTEGER), 6) AS abstention_rate, round(coalesce(avg(llm_confidence) FILTER (WHERE NOT abstained), 0.0), 6) AS mean_confidence, bool_or(llm_confidence IS NULL) AS missing FROM m GROUP BY ALL""")
+_NOTES = """notes AS (SELECT asset_id, date_trunc('month', available_at)::DATE AS month, CASE WHEN item_id % 4 <> 0 THEN sentiment = -0.5 END AS abstained, CASE WHEN sentiment <> 0 THEN sentiment END AS semantic, CASE WHEN item_id % 3 <> 0 THEN confidence END AS raw_confidence,
+  CASE WHEN item_id % 5 <> 0 THEN spam END AS uncertainty, CASE WHEN item_id % 7 <> 0 THEN relevance END AS event_confidence, author % 4 AS supporting, CASE WHEN item_id % 6 <> 0 THEN author % 3 END AS counter FROM signals)"""
+
+
+def notes(spark, sf):
+    unless = lambda n, c: F.when(F.col("item_id") % n != 0, c)
+    return src.signals(spark, sf).select(
+        "asset_id", F.trunc("available_at", "month").alias("month"), unless(4, F.col("sentiment") == -0.5).alias("abstained"), F.when(F.col("sentiment") != 0, F.col("sentiment")).alias("semantic"), unless(3, F.col("confidence")).alias("raw_confidence"),
+        unless(5, F.col("spam")).alias("uncertainty"), unless(7, F.col("relevance")).alias("event_confidence"), (F.col("author") % 4).alias("supporting"), unless(6, F.col("author") % 3).alias("counter"))
+
+
+@query("X10_annotation_aggregates", f"""WITH {src.SIGNALS}, {_NOTES}, e AS (SELECT *, CASE WHEN abstained IS NOT NULL THEN supporting ELSE 0 END AS su, CASE WHEN abstained IS NOT NULL THEN coalesce(counter, 0) ELSE 0 END AS co FROM notes)
+SELECT asset_id, month, count(abstained) AS annotation_count, count(*) FILTER (WHERE NOT abstained) AS non_abstention_count, round(count(abstained) / count(*)::DOUBLE, 6) AS annotation_coverage, round(coalesce(avg(abstained::INTEGER), 0.0), 6) AS abstention_rate,
+  round(coalesce(avg(semantic) FILTER (WHERE NOT abstained), 0.0), 6) + 0.0::DOUBLE AS semantic_mean, round(coalesce(avg(raw_confidence) FILTER (WHERE NOT abstained), 0.0), 6) AS raw_confidence_mean, round(coalesce(avg(uncertainty) FILTER (WHERE abstained IS NOT NULL), 0.0), 6) AS uncertainty_mean,
+  round(coalesce(avg(event_confidence) FILTER (WHERE NOT abstained), 0.0), 6) AS event_confidence_mean, sum(su)::BIGINT AS supporting_evidence_count, sum(co)::BIGINT AS counterevidence_count, round(coalesce(sum(su) / nullif(sum(su) + sum(co), 0)::DOUBLE, 0.0), 6) AS evidence_agreement,
+  count(abstained) = 0 AS missing, count(semantic) FILTER (WHERE NOT abstained) = 0 AS semantic_missing, count(raw_confidence) FILTER (WHERE NOT abstained) = 0 AS raw_confidence_missing, count(uncertainty) FILTER (WHERE abstained IS NOT NULL) = 0 AS uncertainty_missing,
+  count(event_confidence) FILTER (WHERE NOT abstained) = 0 AS event_confidence_missing, sum(su) + sum(co) = 0 AS evidence_missing FROM e GROUP BY ALL""")
 def x10(spark, sf):
-    a = src.signals(spark, sf).withColumns({"abstained": F.col("sentiment") == -0.5, "llm_confidence": F.when(F.col("sentiment") != 0, F.col("confidence"))})
-    return rounded(a.groupBy("asset_id", F.trunc("available_at", "month").alias("month")).agg(
-        F.count(F.lit(1)).alias("n"), F.count("llm_confidence").alias("covered"), F.avg(F.col("abstained").cast("int")).alias("abstention_rate"),
-        F.coalesce(F.avg(F.when(~F.col("abstained"), F.col("llm_confidence"))), F.lit(0.0)).alias("mean_confidence"), F.bool_or(F.col("llm_confidence").isNull()).alias("missing")))
+    return rounded(textwindow.annotation_features(notes(spark, sf), ["asset_id", "month"]))
 
 
 @query("J19_annotation_join", "SELECT d.doc_id, coalesce(l.toxic, -1) AS toxic, l.doc_id IS NOT NULL AS annotated FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendars, core
 from ..functions import text as T
-from ..operators import joins, ledger, market, quality
+from ..operators import broker, joins, ledger, market, quality
 from ..sources import adapters as src
 from ..sources import readers
 from .market import LABELS
@@ -246,10 +246,30 @@ def b07(spark, sf):
     return d.select("l_orderkey", F.when(~F.exists("s", lambda x: x == "O"), "cancelled").when(F.exists("s", lambda x: x == "F"), "partial").otherwise("open").alias("state"))
 
 
-@query("B05_pretrade_checks", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, array_to_string(list_filter([CASE WHEN l_quantity > 40 THEN 'quantity' END, CASE WHEN l_extendedprice > 50000 THEN 'notional' END, CASE WHEN l_discount >= 0.1 THEN 'price' END], lambda x: x IS NOT NULL), ',') AS failed, l_quantity, l_extendedprice FROM lineitem WHERE l_quantity > 40 OR l_extendedprice > 50000 OR l_discount >= 0.1")
+# Orders made of line items: every rule of the checks is broken by some.
+_ORDER = {
+    "side": "CASE l_returnflag WHEN 'R' THEN 'sell' WHEN 'A' THEN 'buy' ELSE CASE WHEN l_linenumber = 7 THEN 'hold' ELSE 'buy' END END", "quantity": "CAST(l_quantity AS BIGINT) * 10 - CASE WHEN l_partkey % 97 = 0 THEN 600 ELSE 0 END",
+    "limit_price": "CAST(1000 + l_partkey % 4500 AS DOUBLE)", "now": "CAST(l_orderkey AS BIGINT)", "expires_at": "CAST(l_orderkey + l_suppkey % 50 AS BIGINT)", "quote_at": "CAST(l_orderkey - l_suppkey % 40 + 2 AS BIGINT)",
+    "trading_unit": "CAST(CASE WHEN l_linenumber = 3 THEN 100 ELSE 10 END AS BIGINT)", "lower_limit": "CAST(1200 + CASE WHEN l_partkey % 53 = 0 THEN 9000 ELSE 0 END AS DOUBLE)", "upper_limit": "CAST(5400 AS DOUBLE)",
+    "quote": "CASE WHEN l_partkey % 61 = 0 THEN NULL ELSE (1000 + l_partkey % 4500) * (1 + (l_suppkey % 9 - 4) / CAST(100 AS DOUBLE)) END", "open_orders": "l_orderkey % 23", "symbol_orders": "l_partkey % 6", "unrealized": "CAST(-(l_orderkey % 110) * 1000 AS DOUBLE)",
+    "soft_limit": "CAST(500000 + l_suppkey % 7 * 100000 AS DOUBLE)", "buying_power": "CAST(l_orderkey % 17 * 120000 AS DOUBLE)", "held": "l_partkey % 700", "available": "l_partkey % 500", "pending": "l_suppkey % 300",
+    "symbol_notional": "CAST(l_partkey % 2000 * 800 AS DOUBLE)", "pending_symbol_notional": "CAST(l_suppkey % 100 * 2000 AS DOUBLE)", "gross_notional": "CAST(l_orderkey % 4000 * 1100 AS DOUBLE)", "pending_notional": "CAST(l_suppkey % 100 * 5000 AS DOUBLE)",
+    "symbol_limit": "CASE WHEN l_linenumber = 2 THEN CAST(900000 AS DOUBLE) END", "unresolved": "CASE WHEN l_orderkey % 31 = 0 THEN 1 ELSE 0 END", "kill_switch": "l_orderkey % 41 = 0",
+}
+_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+_RULES = (
+    ("kill_switch", "kill_switch"), ("unresolved_order", "unresolved > 0"), ("open_orders", "open_orders >= 20"), ("unrealized_loss", "unrealized <= -100000"), ("symbol_orders", "symbol_orders >= 5"), ("side", "side = 'hold'"), ("quantity", "quantity <= 0"),
+    ("trading_unit", "quantity % trading_unit <> 0"), ("tick", "limit_price % (CASE WHEN limit_price <= 3000 THEN 1.0 WHEN limit_price <= 5000 THEN 5.0 ELSE 10.0 END) <> 0"), ("inconsistent_limits", "lower_limit > upper_limit"), ("price_range", "limit_price NOT BETWEEN lower_limit AND upper_limit"),
+    ("no_quote", "quote IS NULL"), ("stale_quote", "quote_at > now OR now - quote_at > 30"), ("quote_deviation", "quote IS NULL OR abs(limit_price / quote - 1) * 10000 > 300"), ("order_notional", "n <= 0 OR n > 1000000"), ("soft_limit", "n > soft_limit"),
+    ("buying_power", "side = 'buy' AND n > buying_power"), ("position_quantity", "side = 'buy' AND held + pending + quantity > 1000"), ("symbol_notional", "side = 'buy' AND symbol_notional + pending_symbol_notional + n > 2000000"),
+    ("broker_symbol_limit", "side = 'buy' AND symbol_notional + pending_symbol_notional + n > symbol_limit"), ("gross_notional", "side = 'buy' AND gross_notional + pending_notional + n > 5000000"), ("available", "side = 'sell' AND quantity > available"), ("expired", "expires_at <= now"))
+
+
+@query("B05_pretrade_checks", "WITH o AS (SELECT " + ", ".join([*_KEYS, *(f"{e} AS {n}" for n, e in _ORDER.items())]) + " FROM lineitem), p AS (SELECT *, limit_price * quantity AS n FROM o) SELECT " + ", ".join(_KEYS) + ", array_to_string(list_filter(["
+       + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in _RULES) + "], lambda x: x IS NOT NULL), ',') AS failed FROM p")
 def b05(spark, sf):
-    l = t(spark, sf, "lineitem").withColumn("f", core.rule_flags(("quantity", F.col("l_quantity") > 40), ("notional", F.col("l_extendedprice") > 50000), ("price", F.col("l_discount") >= 0.1)))
-    return l.where(F.size("f") > 0).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.array_join("f", ",").alias("failed"), "l_quantity", "l_extendedprice")
+    o = t(spark, sf, "lineitem").select(*_KEYS, *(F.expr(e).alias(n) for n, e in _ORDER.items()))
+    return broker.pretrade(o, broker.OrderLimits()).select(*_KEYS, F.array_join("failed", ",").alias("failed"))
 
 
 @query("A26_holding_days", "WITH e AS (SELECT user_id, epoch_us(ts) AS u, event_id, event_type = 'purchase' AS held FROM events), f AS (SELECT *, lag(held) OVER (PARTITION BY user_id ORDER BY u, event_id) AS before FROM e), c AS (SELECT * FROM f WHERE before IS NULL OR before <> held), d AS (SELECT *, lead(u) OVER (PARTITION BY user_id ORDER BY u, event_id) AS until FROM c) SELECT user_id, count(*) AS closed, round(avg((until - u) / 86400e6), 6) AS mean_days FROM d WHERE held AND until IS NOT NULL GROUP BY user_id")

@@ -128,10 +128,17 @@ def c13(spark, sf):
     return g.select("item_id", F.size("g").cast("long").alias("grams"), F.size(F.array_distinct("g")).cast("long").alias("terms"))
 
 
-@query("C14_numeric_grounding", "WITH n AS (SELECT doc_id, list_distinct(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:[.,][0-9]+)*')) AS x FROM documents) SELECT doc_id, len(x) AS n_numbers, len(list_filter(x, lambda v: v NOT IN ('4.0', '2.0', '3'))) AS ungrounded FROM n WHERE len(x) > 0")
+_NUMBERS = lambda x: rf"list_distinct(regexp_extract_all(regexp_replace({x}, '([^{_W}.])', '\1\1', 'g'), '(?:^|[^{_W}.])([+-]?(?:\p{{Nd}}+(?:\.\p{{Nd}}+)?|\.\p{{Nd}}+)%?)(?:$|[^{_W}.])', 1))"
+
+
+@query("C14_numeric_grounding", f"""WITH h AS (SELECT doc_id, substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2) AS cited, substr(coalesce(text, ''), length(coalesce(text, '')) // 2 + 1) AS claim FROM documents),
+n AS (SELECT doc_id, {_NUMBERS('claim')} AS said, {_NUMBERS('cited')} AS known FROM h) SELECT doc_id, len(said) AS n_numbers, len(list_filter(said, lambda v: NOT list_contains(known, v))) AS ungrounded FROM n WHERE len(said) > 0""")
 def c14(spark, sf):
-    n = docs(spark, sf).select("doc_id", T.numeric_tokens(F.col("text")).alias("x")).where(F.size("x") > 0)
-    return n.select("doc_id", F.size("x").cast("long").alias("n_numbers"), F.size(F.array_except("x", F.array(*map(F.lit, ("4.0", "2.0", "3"))))).cast("long").alias("ungrounded"))
+    """The second half of each document as claims about the first."""
+    text, half = F.coalesce("text", F.lit("")), F.expr("int(length(coalesce(text, '')) div 2)")
+    n = docs(spark, sf).select("doc_id", text.substr(F.lit(1), half).alias("cited"), text.substr(half + 1, F.length(text)).alias("claim"))
+    n = n.select("doc_id", F.size(T.numeric_tokens(F.col("claim"))).cast("long").alias("n_numbers"), F.size(T.ungrounded(F.array("claim"), F.array("cited"))).cast("long").alias("ungrounded"))
+    return n.where("n_numbers > 0")
 
 
 @query("C15_identifier_hash", "SELECT c_custkey, sha256(lower(trim(c_name))) AS author_hash, sha256(trim(c_mktsegment)) AS segment_hash, coalesce(nullif(regexp_replace(regexp_replace(lower(c_mktsegment), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), ''), 'other') AS slug FROM customer")
@@ -250,7 +257,20 @@ def m13(spark, sf):
     return rounded(ops.text_signals(titled_items(spark, sf), named_assets(spark, sf)), 9)
 
 
-@query("T05_keyset_page", _SEARCH.replace("rank <= 10", "rank BETWEEN 6 AND 8"))
+# The page after the fifth result, three results long: the cursor must name the ranking's fifth result.
+_CURSOR = """'{"index_id":"benchmark","last_evidence_id":"' || last_id || '","offset":' || pos || ',"query_id":"' || query_id || '"}'"""
+
+
+@query("T05_keyset_page", f"""WITH ranked AS ({_SEARCH.replace('rank <= 10', 'rank <= 12')}), n AS (SELECT query_id, count(*) AS total FROM ranked GROUP BY query_id),
+cu AS (SELECT query_id, 5 AS pos, CASE WHEN query_id % 40 = 0 THEN -1 ELSE id END AS last_id FROM ranked WHERE rank = 5),
+ok AS (SELECT cu.* FROM cu JOIN ranked r ON r.query_id = cu.query_id AND r.rank = cu.pos AND r.id = cu.last_id),
+pg AS (SELECT r.* FROM ranked r JOIN ok USING (query_id) WHERE rank > pos AND rank <= pos + 3),
+nx AS (SELECT pg.query_id, max(rank) AS pos, arg_max(id, rank) AS last_id FROM pg GROUP BY ALL)
+SELECT pg.query_id, pg.rank, pg.id, pg.score, CASE WHEN nx.pos < n.total THEN sha256({_CURSOR.replace('query_id', 'nx.query_id').replace('"nx.query_id"', '"query_id"')}) END AS next_cursor_hash FROM pg JOIN nx USING (query_id) JOIN n USING (query_id)""")
 def t05(spark, sf):
     b = src.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return ops.search(b, b.where("id % 20 = 0").select(F.col("id").alias("query_id"), "text")).where(F.col("rank").between(6, 8))
+    ranked = ops.search(b, b.where("id % 20 = 0").select(F.col("id").alias("query_id"), "text"), k=12)
+    last = F.when(F.col("query_id") % 40 == 0, F.lit(-1).cast("long")).otherwise(F.col("id"))  # some cursors are stale
+    cursors = ranked.where("rank = 5").select("query_id", ops.cursor(F.lit("benchmark"), F.col("query_id"), F.lit(5), last).alias("cursor"))
+    page = ops.page(ranked, cursors, "benchmark", 3)
+    return page.select("query_id", "rank", "id", "score", ops.cursor_field("next_cursor", "cursor_hash").alias("next_cursor_hash"))

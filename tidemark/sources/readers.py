@@ -9,13 +9,16 @@ from pyspark.sql.types import StringType, StructType
 from .. import schemas
 
 
-def read_records(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """By suffix: .csv (header), .json (an array or one object), .jsonl/.ndjson, .parquet or a folder of it. Any other: ValueError."""
+def read_records(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """By suffix: .csv (header), .json (an array or one object), .jsonl/.ndjson, .parquet or a folder of it. Any other: ValueError.
+
+    With ``multi_line`` false, CSV values hold no line breaks, and large files are read in splits.
+    """
     suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")
     kind = suffix[2].lower() if suffix[1] else "parquet"
     reader = spark.read
     if kind == "csv":
-        return _typed(reader.csv(path, header=True, inferSchema=False, multiLine=True, escape='"'), schema)
+        return _typed(reader.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"'), schema)
     if schema and kind in ("json", "jsonl", "ndjson"):
         reader = reader.schema(schema)
     if kind == "json":
