@@ -1,9 +1,14 @@
+import collections
+import hashlib
+import math
+import random
 from datetime import date, datetime
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tidemark.functions.costs import CostModel
-from tidemark.operators import portfolio, statistics
+from tidemark.operators import paper, portfolio, statistics
 from tidemark.sources import readers
 from tidemark.streaming import windows
 
@@ -72,3 +77,32 @@ def test_stream_sessions_and_novelty(spark, tmp_path):
 
     assert sorted(r.n for r in run(windows.sessions(read()), "bursts", "complete")) == [1, 2]
     assert sorted(r.key for r in run(windows.novel(read(), ["asset_id", "key"]), "firsts", "append")) == ["k", "m"]
+
+
+def test_shuffle_is_seeded_by_the_key(spark):
+    rows = [("d1", i, float(i)) for i in range(9)] + [("d2", i, float(i)) for i in range(5)]
+    got = statistics.seeded_shuffle(spark.createDataFrame(rows, "ts string, asset_id long, score double"), ["ts"], "asset_id", "score", 23).orderBy("ts", "asset_id").collect()
+    for d, n in (("d1", 9), ("d2", 5)):
+        want = [float(i) for i in range(n)]
+        random.Random(int.from_bytes(hashlib.sha256(f"23|{d}".encode()).digest()[:8], "big")).shuffle(want)
+        assert [r.score for r in got if r.ts == d] == want
+
+
+def test_scenarios(spark):
+    rows = [(t, a, float(10 * t + i), 1.0) for t in range(6) for i, a in enumerate("xy")]
+    s = paper.scenarios(spark.createDataFrame(rows, "ts int, asset_id string, score double, beta double"), "ts", ["asset_id"], 2, 1, {"news": F.col("score") * 0}, 7)
+    got = {(r.scenario, r.ts, r.asset_id): r.score for r in s.collect()}
+    per = collections.Counter(k[0] for k in got)
+    assert per == {"baseline": 12, "endpoint_shift_early": 8, "endpoint_shift_late": 8, "causal_delay": 10, "source_ablation:news": 12, "shuffled_text": 12}
+    assert got["causal_delay", 3, "y"] == 21.0 and got["source_ablation:news", 3, "y"] == 0.0 and {got["shuffled_text", 3, a] for a in "xy"} == {30.0, 31.0}
+
+
+def test_compare_adjusts_over_groups(spark):
+    rng = random.Random(3)
+    rows = [(g, t, shift + rng.gauss(0, 1), 0.0) for g, shift in (("a", 3.0), ("b", 0.0), ("c", -3.0)) for t in range(40)] + [("d", 0, 1.0, 1.0)]
+    got = {r.g: r for r in statistics.compare(spark.createDataFrame(rows, "g string, t int, candidate double, control double"), ["g"], "t", 4, 200, 5).collect()}
+    ordered, worst = sorted(got.values(), key=lambda r: (r.p_value, r.g)), 0.0
+    for i, r in enumerate(ordered):
+        worst = max(worst, min(1.0, (len(ordered) - i) * r.p_value))
+        assert math.isclose(r.holm_p_value, worst)
+    assert got["a"].low > 2 and not got["a"].negative and got["c"].negative and got["b"].p_value > got["a"].p_value and got["d"].low == got["d"].high == 0.0 and got["d"].negative

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import seeded_shuffle
+
 
 def positions(fills: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds position (quantity held after each fill, per account and asset). ``fills``: quantity (signed), price."""
@@ -26,13 +28,24 @@ def intents(rows: DataFrame, at: str, weight: str, account_equity: float) -> Dat
     return r.select("asset_id", at, F.when(F.col(weight) > 0, "buy").otherwise("sell").alias("side"), F.col(weight).alias("target_weight"), (F.abs(weight) * account_equity).alias("notional"))
 
 
-def scenarios(scores: DataFrame, at: str, key: list[str], shift: int, delay: int) -> DataFrame:
-    """The scored rows once per scenario: baseline, without the last or first ``shift`` decisions, and scores delayed by ``delay`` decisions."""
+def scenarios(scores: DataFrame, at: str, key: list[str], shift: int, delay: int, ablations: dict[str, Column] | None = None, shuffle_seed: int | None = None) -> DataFrame:
+    """The scored rows once per scenario (column ``scenario``), all to go through one backtest.
+
+    baseline; without the last or first ``shift`` decisions; scores delayed by ``delay`` decisions of
+    their key; source_ablation:<name> with the score that was made without that source; and, with a
+    seed, shuffled_text: the scores of each decision permuted among its rows.
+    """
     d = scores.select(at).distinct()
     k = d.select(at, F.row_number().over(Window.orderBy(at)).alias("_a"), F.row_number().over(Window.orderBy(F.desc(at))).alias("_z"))  # one row per decision
-    s = scores.join(k, at).withColumn("_late", F.lag("score", delay).over(Window.partitionBy(*key).orderBy(at)))
+    late = F.lag("score", delay).over(Window.partitionBy(*key).orderBy(at))
+    s = scores.join(k, at).withColumn("_late", late)
+    named = lambda n, c: F.struct(F.lit(n).alias("scenario"), c.cast("double").alias("score"))
+    own = F.col("score")
     pick = F.array_compact(F.array(
-        F.struct(F.lit("baseline").alias("scenario"), F.col("score").alias("score")), F.when(F.col("_z") > shift, F.struct(F.lit("early").alias("scenario"), F.col("score").alias("score"))),
-        F.when(F.col("_a") > shift, F.struct(F.lit("late").alias("scenario"), F.col("score").alias("score"))),
-        F.when(F.col("_late").isNotNull(), F.struct(F.lit("delayed").alias("scenario"), F.col("_late").alias("score")))))
-    return s.withColumn("_s", F.explode(pick)).drop("_a", "_z", "_late", "score").select("*", "_s.*").drop("_s")
+        named("baseline", own), F.when(F.col("_z") > shift, named("endpoint_shift_early", own)), F.when(F.col("_a") > shift, named("endpoint_shift_late", own)), F.when(F.col("_late").isNotNull(), named("causal_delay", F.col("_late"))),
+        *(named(f"source_ablation:{n}", c) for n, c in (ablations or {}).items())))
+    out = s.withColumn("_s", F.explode(pick)).drop("_a", "_z", "_late", "score").select("*", "_s.*").drop("_s")
+    if shuffle_seed is None:
+        return out
+    mixed = seeded_shuffle(scores, [at], key[0], "score", shuffle_seed).withColumn("scenario", F.lit("shuffled_text")).withColumn("score", own.cast("double"))
+    return out.unionByName(mixed)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import holm
 from ..functions.costs import CostModel
 from .portfolio import Limits
 
@@ -32,12 +34,32 @@ def block_bootstrap(rows: DataFrame, by: list[str], order: str, block: int, repl
     return rows.groupBy(*by).applyInPandas(run, f"{kinds}, n long, mean double, low double, high double, p_value double")
 
 
+def compare(results: DataFrame, by: list[str], order: str, block: int, replicates: int, seed: int) -> DataFrame:
+    """by, observations, effect, low, high, p_value, negative, holm_p_value: candidate against control, period by period.
+
+    ``results``: candidate and control net returns of each period. Holm's adjustment is over all
+    groups, ties in the order of ``by``; a group of one period has an interval of one point.
+    """
+    differences = results.select(*by, order, (F.col("candidate") - F.col("control")).alias("value"))
+    one = block_bootstrap(differences, by, order, block, replicates, seed)
+    everything = Window.partitionBy(F.lit(0))  # one row a group
+    step, place = holm(F.col("p_value"), everything.orderBy("p_value", *by), everything)
+    ranked = one.withColumns({"_step": step, "_place": place})
+    return ranked.select(*by, F.col("n").alias("observations"), F.col("mean").alias("effect"), "low", "high", "p_value", (F.col("mean") <= 0).alias("negative"),
+                         F.max("_step").over(everything.orderBy("_place")).alias("holm_p_value"))
+
+
 def seeded_shuffle(rows: DataFrame, by: list[str], order: str, value: str, seed: int) -> DataFrame:
-    """``rows`` with the values of each group permuted by a generator seeded with the group's key."""
+    """``rows`` with the values of each group permuted, in the order of ``order``.
+
+    Python's generator is seeded with the first eight bytes of sha256("seed|key|key..."), so a
+    group's permutation depends on nothing but its key.
+    """
     def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values(order)
         values = own[value].tolist()
-        random.Random(f"{seed}:{':'.join(map(str, key))}").shuffle(values)
+        digest = hashlib.sha256("|".join(map(str, (seed, *key))).encode()).digest()
+        random.Random(int.from_bytes(digest[:8], "big")).shuffle(values)
         return own.assign(**{value: values})
 
     return rows.groupBy(*by).applyInPandas(run, rows.schema)

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..functions.text import LEGAL_SUFFIXES
-from ..operators import market, paper, quality, textwindow
+from ..operators import market, paper, portfolio, quality, statistics, textwindow
 from ..sources import adapters as src
 from ..sources import stores
 from .market import LABELS
-from .models import CHAIN, LIM, MD, book, candidates
+from .models import CHAIN, COSTS, LIM, MD, PERIODS, book, candidates
 from .registry import query, rounded
 
 t = src.table
@@ -44,18 +44,43 @@ def m21(spark, sf):
     return rounded(i.withColumn("notional", F.round("notional", 2)))
 
 
-_SC = f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, s0 AS (SELECT asset_id, ts, score, forward_return, lag(score, 2) OVER (PARTITION BY asset_id ORDER BY ts) AS late FROM md),
-k AS (SELECT ts, row_number() OVER (ORDER BY ts) AS a, row_number() OVER (ORDER BY ts DESC) AS z FROM (SELECT DISTINCT ts FROM s0)),
-sc AS (SELECT 'baseline' AS scenario, asset_id, ts, score, forward_return FROM s0 UNION ALL SELECT 'early', asset_id, s0.ts, score, forward_return FROM s0 JOIN k USING (ts) WHERE z > 5
-  UNION ALL SELECT 'late', asset_id, s0.ts, score, forward_return FROM s0 JOIN k USING (ts) WHERE a > 5 UNION ALL SELECT 'delayed', asset_id, ts, late, forward_return FROM s0 WHERE late IS NOT NULL),
-top AS (SELECT * FROM sc WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY scenario, ts ORDER BY score DESC, asset_id) <= 3)"""
+_ALL = lambda sql: sql.replace("PARTITION BY ts", "PARTITION BY scenario, ts").replace("GROUP BY ts", "GROUP BY scenario, ts").replace("SELECT ts, ", "SELECT scenario, ts, ")
+_SC = f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, md AS (SELECT l.asset_id, l.ts, close, close * volume AS dollar_volume, sector, close - open AS score, forward_return, 0.5 + (seq % 5) / 4.0::DOUBLE AS beta FROM labels l JOIN assets USING (asset_id) WHERE forward_return IS NOT NULL),
+s0 AS (SELECT *, lag(score, 2) OVER (PARTITION BY asset_id ORDER BY ts) AS late FROM md), k AS (SELECT ts, row_number() OVER (ORDER BY ts) AS a, row_number() OVER (ORDER BY ts DESC) AS z FROM (SELECT DISTINCT ts FROM s0)),
+sc AS (SELECT 'baseline' AS scenario, s0.* FROM s0 UNION ALL SELECT 'endpoint_shift_early', s0.* FROM s0 JOIN k USING (ts) WHERE z > 5 UNION ALL SELECT 'endpoint_shift_late', s0.* FROM s0 JOIN k USING (ts) WHERE a > 5
+  UNION ALL SELECT 'causal_delay', s0.* REPLACE (late AS score) FROM s0 WHERE late IS NOT NULL UNION ALL SELECT 'source_ablation:volume', s0.* REPLACE (score * beta AS score) FROM s0),
+t0 AS (SELECT *, sign(score) * {LIM.max_position_weight} AS w0 FROM sc WHERE score <> 0 QUALIFY row_number() OVER (PARTITION BY scenario, ts ORDER BY abs(score) DESC, asset_id) <= 3), {_ALL(CHAIN)}, {_ALL(PERIODS)},
+cv AS (SELECT *, exp(sum(ln(greatest(0.0, 1 + net_return))) OVER (PARTITION BY scenario ORDER BY ts)) AS equity FROM pp), dd AS (SELECT *, equity / greatest(1.0, max(equity) OVER (PARTITION BY scenario ORDER BY ts)) - 1 AS drawdown FROM cv)"""
 
 
-@query("M18_robustness", f"{_SC} SELECT scenario, count(*) AS positions, count(DISTINCT ts) AS periods, round(avg(least(forward_return, 5)), 6) + 0.0::DOUBLE AS mean_return FROM top GROUP BY scenario")
+def scenario_periods(spark, sf, shuffle_seed=None):
+    """One row of each scenario and decision, all through one portfolio and one replay with costs."""
+    s = paper.scenarios(candidates(spark, sf), "ts", ["asset_id"], 5, 2, {"volume": F.col("score") * F.col("beta")}, shuffle_seed)
+    e = F.exp(2 * F.least(F.col("forward_return"), F.lit(5)) / 50)
+    held = portfolio.constrain(portfolio.top_k(s, 3, ["scenario", "ts"], LIM), ["scenario", "ts"], LIM, 1e6).withColumns({"forward_return": (e - 1) / (e + 1), "volatility": F.lit(0.02), "holding_days": F.lit(7.0)})
+    return portfolio.periods(held, ["scenario", "ts"], COSTS)
+
+
+@query("M18_robustness", f"""{_SC} SELECT scenario, count(*) AS periods, sum(trades)::BIGINT AS trades, round(arg_max(equity, ts) - 1, 6) + 0.0::DOUBLE AS total_return, round(min(drawdown), 6) + 0.0::DOUBLE AS max_drawdown, round(sum(cost_return), 6) AS total_cost_return,
+round(avg(turnover), 6) AS average_turnover FROM dd GROUP BY scenario""")
 def m18(spark, sf):
-    s = paper.scenarios(candidates(spark, sf).select("asset_id", "ts", "score", "forward_return"), "ts", ["asset_id"], 5, 2).where("score > 0")
-    top = s.withColumn("k", F.row_number().over(Window.partitionBy("scenario", "ts").orderBy(F.desc("score"), "asset_id"))).where("k <= 3")
-    return rounded(top.groupBy("scenario").agg(F.count(F.lit(1)).alias("positions"), F.count_distinct("ts").alias("periods"), F.avg(F.least("forward_return", F.lit(5))).alias("mean_return")))
+    s = portfolio.summary(scenario_periods(spark, sf), "ts", by=["scenario"])
+    return rounded(s.select("scenario", "periods", "trades", "total_return", "max_drawdown", "total_cost_return", "average_turnover"))
+
+
+@query("M18_shuffled_text")
+def m18b(spark, sf):
+    """The same summary with the scenario whose scores are permuted by Python's generator."""
+    return rounded(portfolio.summary(scenario_periods(spark, sf, 23), "ts", by=["scenario"]).select("scenario", "periods", "trades", "total_return", "max_drawdown"))
+
+
+@query("M19_downstream")
+def m19b(spark, sf):
+    """Each scenario's periods against the baseline's: effect, interval, p-value and Holm's adjustment."""
+    p = scenario_periods(spark, sf).select("scenario", "ts", "net_return")
+    control = p.where("scenario = 'baseline'").select("ts", F.col("net_return").alias("control"))
+    both = p.where("scenario <> 'baseline'").join(control, "ts").withColumnRenamed("net_return", "candidate")
+    return rounded(statistics.compare(both, ["scenario"], "ts", 8, 500, 23))
 
 
 @query("M19_comparison", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, c AS (SELECT ts, avg(least(forward_return, 5)) AS candidate FROM md WHERE score > 0 GROUP BY ts), o AS (SELECT ts, avg(least(forward_return, 5)) AS control FROM md GROUP BY ts)
