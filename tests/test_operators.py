@@ -43,6 +43,10 @@ def test_stores(spark, tmp_path):
     m = stores.blob_manifest(spark, str(tmp_path / "p"))
     assert len(stores.tree_digest(m, "file:" + str(tmp_path / "p"))) == 64
     assert stores.canonical_json({"b": 1, "a": [1.5]}) == '{"a":[1.5],"b":1}'
+    assert stores.strict_json('{"a": [1, {"b": null}]}') == {"a": [1, {"b": None}]}
+    for bad in ('{"a": 1, "a": 2}', '{"a": NaN}', "[-Infinity]", "{"):
+        with pytest.raises(ValueError):
+            stores.strict_json(bad)
     assert "- a.b: 1" in stores.report("t", {"a": {"b": 1}}, rows.select("asset_id"))
 
 

@@ -131,6 +131,26 @@ def signed_label(label: Column, probability: Column) -> Column:
     return F.when(low == "positive", probability).when(low == "negative", -probability).otherwise(0.0)
 
 
+def _blank(c: Column) -> Column:
+    return F.nullif(c.cast("string"), F.lit(""))
+
+
+def coerced(c: Column, kind: str) -> tuple[Column, Column]:
+    """(value, sound) of a record's field: the value as ``kind``, null where it is blank or malformed; sound unless it is malformed.
+
+    Kinds: str, float (finite), int (at least 1), bool (true/1/yes, false/0/no), datetime (with a zone), date, raw_tradable.
+    """
+    text = _blank(c)
+    word = F.lower(F.trim(text))
+    number = text.try_cast("double")
+    value = {
+        "str": text, "float": F.when(is_finite(number), number), "int": F.when(text.rlike(r"^\s*[+]?[0-9]+\s*$") & (text.try_cast("bigint") >= 1), text.try_cast("bigint")),
+        "bool": F.when(word.isin("true", "1", "yes"), True).when(word.isin("false", "0", "no"), False),
+        "datetime": F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), text.try_cast("timestamp")), "date": F.substring(text, 1, 10).try_cast("date"), "raw_tradable": F.when(text == "raw_tradable", text),
+    }[kind]
+    return value, text.isNull() | value.isNotNull()
+
+
 def liquidity_bucket(dollar_volume: Column) -> Column:
     """low below 5 million, medium below 50 million, else high; null stays null."""
     return F.when(dollar_volume < 5e6, "low").when(dollar_volume < 5e7, "medium").when(dollar_volume.isNotNull(), "high")

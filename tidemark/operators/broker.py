@@ -53,3 +53,21 @@ def pretrade(orders: DataFrame, limits: OrderLimits) -> DataFrame:
         ("position_quantity", buy & lacks(c("held") + c("pending") + c("quantity") > limits.max_position_quantity)), ("symbol_notional", buy & lacks(in_symbol > limits.max_symbol_notional)),
         ("broker_symbol_limit", buy & (in_symbol > c("symbol_limit"))), ("gross_notional", buy & lacks(c("gross_notional") + c("pending_notional") + notional > limits.max_gross_notional)),
         ("available", (c("side") == "sell") & lacks(c("quantity") > c("available"))), ("expired", lacks(c("expires_at") <= c("now")))))
+
+
+def match_orders(attempts: DataFrame, orders: DataFrame, key: str, equal: list[str], sent: str, received: str, seconds: int) -> DataFrame:
+    """key, candidates, status: the broker's orders that an attempt may have become: all of ``equal`` the same (null like null) and received from one second before to ``seconds`` after it was sent.
+
+    status: matched (one), ambiguous (several) or missing (none). The sides meet on a hash of the
+    equal fields, so the join is by key whatever their number.
+    """
+    digest = lambda: F.xxhash64(*(F.col(c) for c in equal)).alias("_h")
+    a = attempts.select(key, sent, *equal, digest())
+    o = orders.select(F.col(received).alias("_received"), *(F.col(c).alias(f"_{c}") for c in equal), digest())
+    same = F.col(f"_{equal[0]}").eqNullSafe(F.col(equal[0]))
+    for c in equal[1:]:
+        same = same & F.col(f"_{c}").eqNullSafe(F.col(c))
+    near = same & F.col("_received").between(F.col(sent) - 1, F.col(sent) + seconds)
+    found = a.join(o, "_h").where(near).groupBy(key).agg(F.count(F.lit(1)).alias("candidates"))
+    n = F.coalesce("candidates", F.lit(0))
+    return attempts.select(key).join(found, key, "left").select(key, n.alias("candidates"), F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise("missing").alias("status"))

@@ -12,12 +12,14 @@ def chained(events: DataFrame, by: list[str], order: str, payload: Column) -> Da
     return events.withColumn("event_hash", F.sha2(payload, 256)).withColumn("previous_hash", F.coalesce(F.lag("event_hash").over(w), F.lit("")))
 
 
-def verify_chain(events: DataFrame, by: list[str], order: str, payload: Column) -> DataFrame:
-    """by, order, broken: rules that a log row breaks (previous hash, sequence, content); no rows for a sound log."""
+def verify_chain(events: DataFrame, by: list[str], order: str, payload: Column, at: str | None = None) -> DataFrame:
+    """by, order, broken: rules that a log row breaks (previous hash, sequence, content, and with ``at`` times that never go back); no rows for a sound log."""
     w = Window.partitionBy(*by).orderBy(order)
     rules = {
         "previous_hash": F.col("previous_hash") != F.coalesce(F.lag("event_hash").over(w), F.lit("")),
         "sequence": F.col(order) != F.row_number().over(w) - 1, "content": F.col("event_hash") != F.sha2(payload, 256)}
+    if at:
+        rules["time"] = F.col(at) < F.lag(at).over(w)
     r = events.withColumn("broken", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules.items()))))
     return r.where(F.size("broken") > 0).select(*by, order, "broken")
 

@@ -117,6 +117,43 @@ def macro_f1(pairs: DataFrame, labels: list[str]) -> DataFrame:
     return s.where(F.col("label").isin(labels)).select("label", F.coalesce(F.try_divide(2.0 * F.col("t"), (F.col("g") + F.col("p")).cast("double")), F.lit(0.0)).alias("f1"))
 
 
+def macro_mean(pairs: DataFrame, gold: str, predicted: str, by: list[str]) -> DataFrame:
+    """by, macro_f1: the mean F1 of every label that gold or predicted holds in the group."""
+    count = lambda g, p: F.struct(g.alias("label"), F.lit(1 if p is None else 0).alias("g"), F.lit(0 if p is None else 1).alias("p"))
+    both = pairs.select(*by, F.explode(F.array(count(F.col(gold), None), count(F.col(predicted), 1))).alias("z"), (F.col(gold) == F.col(predicted)).cast("int").alias("same")).select(*by, "z.*", "same")
+    s = both.groupBy(*by, "label").agg(F.sum("g").alias("g"), F.sum("p").alias("p"), F.sum(F.col("g") * F.col("same")).alias("t"))
+    return s.groupBy(*by).agg(F.avg(2.0 * F.col("t") / (F.col("g") + F.col("p"))).alias("macro_f1"))
+
+
+def annotation_quality(gold: DataFrame, predicted: DataFrame, key: list[str], by: list[str], bins: int = 10) -> DataFrame:
+    """One row a group: F1 of stance and event, precision of evidence and counterevidence, horizons, abstention, invalid answers, Brier and calibration error.
+
+    ``gold``: key, by, stance, event, supporting, counter (arrays of span ids), horizon. ``predicted``:
+    key, stance, event, supporting, counter, horizon, confidence. A gold row without a prediction is an
+    invalid answer: wrong, with confidence 0.
+    """
+    p = predicted.select(*key, *(F.col(c).alias(f"p_{c}") for c in ("stance", "event", "supporting", "counter", "horizon", "confidence")), F.lit(True).alias("_there"))
+    x = gold.join(p, key, "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    invalid, abstains = ~F.col("_there"), F.col("p_stance") == "abstain"
+    x = x.withColumns({
+        "event": F.coalesce("event", F.lit("none")), "p_event": F.when(invalid, "invalid").when(abstains, "abstain").otherwise(F.coalesce("p_event", F.lit("none"))),
+        "p_stance": F.when(invalid, "invalid").otherwise(F.col("p_stance")), "_p": F.when(invalid, 0.0).otherwise(F.col("p_confidence"))})
+    x = x.withColumn("_y", (F.col("p_stance") == F.col("stance")).cast("double"))
+    common = lambda a, b: F.sum(F.size(F.array_intersect(F.col(a), F.col(b))))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    cited = lambda c: F.sum(F.when(F.col("_there"), F.size(c)).otherwise(0))
+    head = x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("entities"), share(common("p_supporting", "supporting"), cited("p_supporting")).alias("evidence_precision"), share(common("p_counter", "counter"), cited("p_counter")).alias("counterevidence_precision"),
+        F.avg(F.when(F.col("p_horizon").eqNullSafe(F.col("horizon")) & F.col("_there"), 1.0).otherwise(0.0)).alias("horizon_accuracy"), F.avg(F.when(F.col("_there") & abstains, 1.0).otherwise(0.0)).alias("abstention_rate"),
+        F.avg(F.when(invalid, 1.0).otherwise(0.0)).alias("invalid_rate"), F.avg(F.pow(F.col("_p") - F.col("_y"), 2)).alias("brier"))
+    bin_of = F.least(F.lit(bins - 1), F.floor(F.col("_p") * bins))
+    error = x.groupBy(*by, bin_of.alias("bin")).agg(F.sum("_p").alias("p"), F.sum("_y").alias("y")).groupBy(*by).agg(F.sum(F.abs(F.col("y") - F.col("p"))).alias("_e"))
+    out = head.join(error, by).withColumn("calibration_error", F.col("_e") / F.col("entities")).drop("_e")
+    for n in ("stance", "event"):
+        out = out.join(macro_mean(x, n, f"p_{n}", by).withColumnRenamed("macro_f1", f"{n}_macro_f1"), by)
+    return out
+
+
 # What the names of a feature family begin with.
 FAMILY_PREFIXES = {"text": ("text_", "sentiment_", "attention_", "event_", "source_", "novelty_", "mention_", "spam_"), "llm": ("llm_",)}
 

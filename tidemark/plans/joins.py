@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import joins, market, textwindow
+from ..operators import broker, joins, market, textwindow
 from ..sources import adapters as src
 from .market import LABELS
 from .registry import query, r, rounded
@@ -161,12 +161,23 @@ def j20(spark, sf):
     return joins.full_coverage(src.table(spark, sf, "labels"), src.table(spark, sf, "documents").where("lang = 'en'"), ["doc_id"])
 
 
-@query("J22_reconciliation", """WITH a AS (SELECT l_orderkey AS k, l_partkey AS p, l_quantity AS q, l_shipdate::DATE AS d FROM lineitem WHERE l_returnflag = 'A'), o AS (SELECT l_orderkey AS k, l_partkey AS p, l_quantity AS q, l_shipdate::DATE AS d FROM lineitem WHERE l_returnflag = 'R')
-SELECT a.k, count(*) AS candidates, min(o.d - a.d)::BIGINT AS least_days FROM a JOIN o ON a.k = o.k AND o.d BETWEEN a.d - 30 AND a.d + 60 GROUP BY a.k""")
+# Attempts are line items, the broker's orders the same but for some that differ in one field, came late, came twice or not at all.
+_EQUAL = {"symbol": "l_partkey % 40", "exchange": "l_suppkey % 3", "side": "l_returnflag", "quantity": "CAST(l_quantity AS BIGINT)", "price": "CAST(floor(l_extendedprice / 5000) AS BIGINT)", "account": "l_linenumber % 2", "product": "l_linestatus", "margin": "CASE WHEN l_suppkey % 2 = 0 THEN l_suppkey % 4 END",
+          "deliv": "l_orderkey % 2", "expire": "l_partkey % 5", "kind": "l_linenumber % 3"}
+_SENT = "CAST(l_orderkey * 60 + l_linenumber AS BIGINT)"
+
+
+@query("J22_reconciliation", f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS k, {', '.join(f'{e} AS {n}' for n, e in _EQUAL.items())}, {_SENT} AS sent FROM lineitem WHERE l_orderkey % 3 = 0),
+a AS (SELECT k, any_value(COLUMNS(* EXCLUDE (k))) FROM x GROUP BY k HAVING count(*) = 1),
+o AS (SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN quantity + 1 ELSE quantity END AS quantity), sent + k % 50 - 3 AS received FROM a WHERE k % 11 <> 0 UNION ALL SELECT *, sent + 5 FROM a WHERE k % 13 = 0)
+SELECT a.k, count(o.k) AS candidates, CASE count(o.k) WHEN 0 THEN 'missing' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM a LEFT JOIN o ON {' AND '.join(f'a.{n} IS NOT DISTINCT FROM o.{n}' for n in _EQUAL)} AND o.received BETWEEN a.sent - 1 AND a.sent + 30 GROUP BY a.k""")
 def j22(spark, sf):
-    l = src.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), src.day(F.col("l_shipdate").cast("date")).alias("d"), "l_returnflag")
-    a, o = l.where("l_returnflag = 'A'").select("k", "d"), l.where("l_returnflag = 'R'").select("k", F.col("d").alias("e"))
-    return a.join(o, "k").where(F.col("e").between(F.col("d") - 30, F.col("d") + 60)).groupBy("k").agg(F.count(F.lit(1)).alias("candidates"), F.min(F.col("e") - F.col("d")).alias("least_days"))
+    x = src.table(spark, sf, "lineitem").where("l_orderkey % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), *(F.expr(e).alias(n) for n, e in _EQUAL.items()), F.expr(_SENT).alias("sent"))
+    a = x.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in [*_EQUAL, "sent"])).where("n = 1").drop("n")
+    k = F.col("k")
+    o = a.where("k % 11 <> 0").withColumns({"quantity": F.when(k % 7 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")), "received": F.col("sent") + k % 50 - 3})
+    o = o.unionByName(a.where("k % 13 = 0").withColumn("received", F.col("sent") + 5))
+    return broker.match_orders(a, o, "k", list(_EQUAL), "sent", "received", 30)
 
 
 @query("U03_union_families", f"WITH {src.BARS} SELECT asset_id, ts, f.family, CASE f.family WHEN 'equal_weight' THEN 1.0::DOUBLE WHEN 'no_trade' THEN 0.0 ELSE round(close - open, 6) + 0.0 END AS score FROM bars, (VALUES ('equal_weight'), ('no_trade'), ('momentum_only')) f(family)")

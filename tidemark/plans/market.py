@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.core import correlation
-from ..operators import market
+from ..operators import market, quality
 from ..sources import adapters as src
 from .registry import query, r, rounded
 
@@ -149,15 +149,19 @@ def f04(spark, sf):
     return g.where(F.col("seq") != F.col("previous") + 1).select("asset_id", "ts", (F.col("seq") - F.col("previous") - 1).alias("missing_sessions"))
 
 
-@query("F05_missing_bars", f"""WITH {src.ASSETS}, {src.BARS}, a AS (SELECT asset_id, min(ts) AS s, max(ts) AS e FROM bars GROUP BY asset_id), c AS (SELECT DISTINCT ts FROM bars)
-SELECT asset_id, c.ts FROM a JOIN c ON c.ts BETWEEN s AND e WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.asset_id = a.asset_id AND b.ts = c.ts)""")
+@query("F05_bar_contract", f"""WITH {src.ASSETS}, {src.BARS}, days AS (SELECT DISTINCT ts FROM bars),
+a AS (SELECT asset_id, name AS symbol, CASE WHEN asset_id IN ('N1', 'N2') THEN DATE '1994-06-06' END AS s, CASE WHEN asset_id IN ('N2', 'N5') THEN DATE '1997-01-01' END AS e FROM assets WHERE asset_id <> 'N9'),
+b AS (SELECT asset_id, ts, CASE WHEN asset_id = 'N7' AND seq % 10 = 0 THEN 'other' ELSE name END AS symbol FROM bars JOIN assets USING (asset_id) WHERE seq % 17 <> 3 OR asset_id = 'N4'),
+own AS (SELECT b.asset_id, ts, a.asset_id IS NULL AS u, coalesce(b.symbol <> a.symbol, FALSE) AS m, coalesce(ts < s, FALSE) OR coalesce(ts > e, FALSE) AS o FROM b LEFT JOIN a ON a.asset_id = b.asset_id)
+SELECT asset_id, ts, array_to_string(list_filter([CASE WHEN u THEN 'unknown_asset' END, CASE WHEN m THEN 'symbol_mismatch' END, CASE WHEN o THEN 'outside_active_period' END], lambda x: x IS NOT NULL), ',') AS broken FROM own WHERE u OR m OR o
+UNION ALL SELECT asset_id, days.ts, 'missing_bar' FROM a JOIN days ON (s IS NULL OR days.ts >= s) AND (e IS NULL OR days.ts <= e) WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.asset_id = a.asset_id AND b.ts = days.ts)""")
 def f05(spark, sf):
-    b = src.bars(spark, sf).select("asset_id", "ts", "seq")
-    # The sessions between an asset's first and last bar, from the calendar's numbers alone: no join of all pairs.
-    days = b.select("ts", "seq").distinct()
-    spans = b.groupBy("asset_id").agg(F.min("seq").alias("s"), F.max("seq").alias("e"))
-    expected = spans.select("asset_id", F.explode(F.sequence("s", "e")).alias("seq")).join(days, "seq").select("asset_id", "ts")
-    return expected.join(b.select("asset_id", "ts"), ["asset_id", "ts"], "left_anti")
+    all_assets, bars = src.assets(spark, sf), src.bars(spark, sf)
+    day = lambda d, *ids: F.when(F.col("asset_id").isin(*ids), F.lit(d).cast("date"))
+    a = all_assets.where("asset_id <> 'N9'").select("asset_id", F.col("name").alias("symbol"), day("1994-06-06", "N1", "N2").alias("active_from"), day("1997-01-01", "N2", "N5").alias("active_to"))
+    b = bars.join(all_assets, "asset_id").where("seq % 17 <> 3 or asset_id = 'N4'").select("asset_id", "ts", F.when((F.col("asset_id") == "N7") & (F.col("seq") % 10 == 0), "other").otherwise(F.col("name")).alias("symbol"))
+    sessions = bars.select("ts").distinct().withColumn("seq", F.row_number().over(Window.orderBy("ts")).cast("long"))  # one row a session
+    return quality.bar_contract(b, a, sessions).select("asset_id", "ts", F.array_join("broken", ",").alias("broken"))
 
 
 @query("F08_complete_cross_sections", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, last AS (SELECT max(seq) AS z FROM bars)

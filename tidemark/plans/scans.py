@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import calendars, core
 from ..functions import text as T
 from ..operators import broker, joins, ledger, market, quality
+from ..operators import text as textops
 from ..sources import adapters as src
 from ..sources import readers
 from .market import LABELS
@@ -40,6 +41,17 @@ def s07(spark, sf):
     return t(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.page"), F.lit("")).alias("page"), F.size(F.json_object_keys("props")).cast("long").alias("n_keys"))
 
 
+@query("S07_normalized_items", """SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'given' ELSE sha256(lower('Clerk#' || o_custkey)) END AS author_hash, CASE WHEN o_orderkey % 5 <> 0 THEN sha256('https://x.test/' || o_custkey) END AS url_hash,
+CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS n_entities, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 10) / 10.0::DOUBLE END AS relevance, 'original' AS relationship_type, o_orderkey % 6 <> 1 AS retention_permitted FROM orders""")
+def s07b(spark, sf):
+    o, k = t(spark, sf, "orders"), F.col("o_orderkey")
+    entity = F.concat(F.lit('[{"name":"x","mention_type":"primary","relevance":'), ((k % 10) / 10.0).cast("string"), F.lit("}]"))
+    rows = o.select(k.alias("item_id"), F.when(k % 4 != 0, F.concat(F.lit(" Clerk#"), F.col("o_custkey").cast("string"), F.lit(" "))).alias("author_handle"), F.when((k % 3 == 0) & (k % 4 != 0), "given").alias("author_hash"),
+                    F.when(k % 5 != 0, F.concat(F.lit("https://x.test/"), F.col("o_custkey").cast("string"))).alias("url"), F.when(k % 2 == 0, entity).alias("entities"), F.when(k % 6 == 1, "no").when(k % 6 == 2, "").otherwise("yes").alias("retention_permitted"))
+    n = readers.normalized_items(rows)
+    return n.select("item_id", "author_hash", "url_hash", F.size("entities").cast("long").alias("n_entities"), F.get("entities", F.lit(0))["relevance"].alias("relevance"), "relationship_type", "retention_permitted")
+
+
 @query("T04_first_decisions", f"WITH {src.BARS}, d AS (SELECT DISTINCT ts FROM bars ORDER BY ts LIMIT 10) SELECT asset_id, ts FROM bars WHERE ts IN (SELECT ts FROM d)")
 def t04(spark, sf):
     b = src.bars(spark, sf).select("asset_id", "ts")
@@ -105,10 +117,21 @@ def p16(spark, sf):
     return src.signals(spark, sf).select("item_id", F.greatest("available_at", F.date_add(F.lit("1996-01-01").cast("date"), (F.col("item_id") % 400).cast("int"))).alias("actionable"))
 
 
-@query("P20_coercers", "SELECT event_id, event_type IN ('click', 'view') AS flag, value::BIGINT AS whole FROM (SELECT event_id, event_type, floor(value) AS value FROM events)")
+# Fields of records as text, sound, blank and malformed.
+_FIELDS = {
+    "whole": ("int", "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN '1.5' ELSE CAST(event_id % 90 + 1 AS VARCHAR(9)) END", "TRY_CAST(whole AS BIGINT)", "regexp_full_match(whole, '[0-9]+') AND TRY_CAST(whole AS BIGINT) >= 1"),
+    "number": ("float", "CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN 'NaN' WHEN 2 THEN '2.5' ELSE '-7' END", "TRY_CAST(number AS DOUBLE)", "number IN ('2.5', '-7')"),
+    "flag": ("bool", "CASE event_id % 6 WHEN 0 THEN ' Yes ' WHEN 1 THEN '0' WHEN 2 THEN 'TRUE' WHEN 3 THEN 'no' WHEN 4 THEN 'maybe' ELSE '' END", "lower(trim(flag)) IN ('true', '1', 'yes')", "lower(trim(flag)) IN ('true', '1', 'yes', 'false', '0', 'no')"),
+    "day": ("date", "CASE event_id % 3 WHEN 0 THEN '2024-02-30' WHEN 1 THEN '2024-02-29' ELSE '2024-03-01T10:00:00Z' END", "TRY_CAST(substr(day, 1, 10) AS DATE)", "TRY_CAST(substr(day, 1, 10) AS DATE) IS NOT NULL"),
+    "basis": ("raw_tradable", "CASE event_id % 3 WHEN 0 THEN 'raw_tradable' WHEN 1 THEN 'adjusted' ELSE '' END", "basis", "basis = 'raw_tradable'"),
+}
+
+
+@query("P20_coercers", "WITH f AS (SELECT event_id, " + ", ".join(f"nullif({e}, '') AS {n}" for n, (_, e, _, _) in _FIELDS.items()) + " FROM events) SELECT event_id, "
+       + ", ".join(f"CASE WHEN {ok} THEN {v} END AS {n}, {n} IS NULL OR coalesce({ok}, FALSE) AS {n}_sound" for n, (_, _, v, ok) in _FIELDS.items()) + " FROM f")
 def p20(spark, sf):
-    e = t(spark, sf, "events")
-    return e.select("event_id", F.lower(F.trim("event_type")).isin("click", "view").alias("flag"), F.floor("value").try_cast("bigint").alias("whole"))
+    e = t(spark, sf, "events").select("event_id", *(F.expr(x).alias(n) for n, (_, x, _, _) in _FIELDS.items()))
+    return e.select("event_id", *(c.alias(a) for n, (kind, _, _, _) in _FIELDS.items() for c, a in zip(core.coerced(F.col(n), kind), (n, f"{n}_sound"), strict=True)))
 
 
 @query("F01_pit_violations", "SELECT o_orderkey, min(l_shipdate)::DATE AS first_ship FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate + INTERVAL 100 DAY GROUP BY o_orderkey")
@@ -205,11 +228,13 @@ def w31(spark, sf):
     return ledger.chained(t(spark, sf, "conversations"), ["conv_id"], "turn", _payload()).select("conv_id", "turn", "event_hash", "previous_hash")
 
 
-@query("W31_chain_violations", f"WITH c AS (SELECT conv_id, turn, sha256({_PAY}) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k FROM conversations WHERE role <> 'assistant') SELECT conv_id, turn, 'sequence' AS broken FROM c WHERE turn <> k")
+@query("W31_chain_violations", f"""WITH c AS (SELECT conv_id, turn, sha256({_PAY}) AS h, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, (turn * 7 + conv_id) % 11 AS clock FROM conversations WHERE role <> 'assistant'),
+v AS (SELECT conv_id, turn, turn <> k AS a, coalesce(clock < lag(clock) OVER (PARTITION BY conv_id ORDER BY turn), FALSE) AS b FROM c)
+SELECT conv_id, turn, CASE WHEN a AND b THEN 'sequence,time' WHEN a THEN 'sequence' ELSE 'time' END AS broken FROM v WHERE a OR b""")
 def w31b(spark, sf):
-    c = t(spark, sf, "conversations").where("role <> 'assistant'")  # the log with its answers lost
+    c = t(spark, sf, "conversations").where("role <> 'assistant'").withColumn("at", (F.col("turn") * 7 + F.col("conv_id")) % 11)  # the log with its answers lost and its clock set back now and then
     log = ledger.chained(c, ["conv_id"], "turn", _payload())
-    return ledger.verify_chain(log, ["conv_id"], "turn", _payload()).select("conv_id", "turn", F.array_join("broken", ",").alias("broken"))
+    return ledger.verify_chain(log, ["conv_id"], "turn", _payload(), "at").select("conv_id", "turn", F.array_join("broken", ",").alias("broken"))
 
 
 _STATES = {("idle", "user"): "asked", ("asked", "assistant"): "answered", ("answered", "user"): "asked", ("idle", "system"): "idle", ("asked", "system"): "asked"}
@@ -329,10 +354,15 @@ def c25(spark, sf):
     return t(spark, sf, "labels").select("doc_id", F.array_join(f, ",").alias("broken"))
 
 
-@query("G01_evidence_snapshot", "SELECT d.doc_id, c.i AS span, length(substr(d.text, c.i * 1024 + 1, 1024)) AS n FROM documents d, (SELECT doc_id, unnest(range(0, (length(text) + 1023) // 1024)) AS i FROM documents) c WHERE c.doc_id = d.doc_id")
+@query("G01_evidence_snapshot", """WITH d AS (SELECT doc_id, text, DATE '2024-01-01' + (doc_id % 97)::INTEGER AS since, source NOT IN ('src3', 'src7') AS allowed FROM documents UNION ALL SELECT doc_id, text || ' again', DATE '2024-01-01' + (doc_id % 97 + 5)::INTEGER, TRUE FROM documents WHERE doc_id % 10 = 0),
+u AS (SELECT * FROM d WHERE since <= DATE '2024-03-15' AND allowed AND text <> '' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY since, text) = 1)
+SELECT u.doc_id, c.i AS span, length(substr(u.text, c.i * 1024 + 1, 1024)) AS n FROM u, (SELECT doc_id, unnest(range(0, (length(text) + 1023) // 1024)) AS i FROM u) c WHERE c.doc_id = u.doc_id""")
 def g01(spark, sf):
-    d = t(spark, sf, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"), 1024)).alias("span", "c"))
-    return d.select("doc_id", F.col("span").cast("long").alias("span"), F.length("c.text").cast("long").alias("n"))
+    d = t(spark, sf, "documents")
+    at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 97).cast("int"))
+    rows = d.select("doc_id", "text", at.alias("at"), (~F.col("source").isin("src3", "src7")).alias("allowed"))
+    again = d.where("doc_id % 10 = 0").select("doc_id", F.concat("text", F.lit(" again")).alias("text"), F.date_add(at, 5).alias("at"), F.lit(True).alias("allowed"))  # later versions
+    return textops.evidence_snapshot(rows.unionByName(again), "doc_id", "at", "2024-03-15", "allowed", 1024).select("doc_id", "span", F.length("text").cast("long").alias("n"))
 
 
 @query("W10_event_cross_section", f"WITH {src.DAILY}, k AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY close) - 1 + (count(*) OVER (PARTITION BY ts, close) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY ts) AS m FROM daily) SELECT asset_id, ts, n, {r('volume', 'close')}, round(CASE WHEN m = 1 THEN 0.5 ELSE k / (m - 1) END, 6)::DOUBLE AS rank_pct FROM k")

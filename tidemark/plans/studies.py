@@ -114,15 +114,26 @@ def a24(spark, sf):
     return rounded(s.select("periods", portfolio.annualized(F.col("total_return"), F.col("periods"), 52.0).alias("annualized_return")), 4)
 
 
-@query("A28_annotation_quality", """WITH a AS (SELECT lang, quality AS y, n_chars < 300 AS abstained, (n_chars >= 1200)::INTEGER AS p FROM documents JOIN labels USING (doc_id))
-SELECT lang, count(*) AS n, round(avg(abstained::INTEGER), 6) AS abstention_rate, round(coalesce(avg((p = y)::INTEGER) FILTER (WHERE NOT abstained), 0.0), 6) AS accuracy,
-  round(coalesce(avg(y) FILTER (WHERE p = 1 AND NOT abstained), 0.0), 6) AS precision FROM a GROUP BY lang""")
+# Labelled documents as gold, and what a reader of lengths would say of them; every ninth answer is missing.
+_GOLD = """gold AS (SELECT doc_id, lang, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS stance, CASE WHEN toxic = 1 THEN 'alert' END AS event, [doc_id % 3, 4] AS supporting, [doc_id % 2] AS counter, doc_id % 4 AS horizon FROM documents JOIN labels USING (doc_id)),
+said AS (SELECT doc_id, CASE WHEN n_chars < 300 THEN 'abstain' WHEN n_chars >= 1200 THEN 'positive' ELSE 'negative' END AS stance, CASE WHEN n_chars % 5 = 0 THEN 'alert' END AS event, [n_chars % 3, 4, 5] AS supporting, [n_chars % 2] AS counter, n_chars % 4 AS horizon, (n_chars % 101) / 100.0::DOUBLE AS confidence FROM documents WHERE doc_id % 9 <> 0)"""
+_F1 = lambda n: f"""(SELECT avg(f) FROM (SELECT 2.0 * sum(t) / (sum(g) + sum(p)) AS f FROM (SELECT {n} AS label, 1 AS g, 0 AS p, ({n} = p_{n})::INTEGER AS t FROM x WHERE x.lang = l.lang UNION ALL SELECT p_{n}, 0, 1, 0 FROM x WHERE x.lang = l.lang) GROUP BY label))"""
+
+
+@query("A28_annotation_quality", f"""WITH {_GOLD}, x AS (SELECT g.doc_id, lang, g.stance, coalesce(g.event, 'none') AS event, coalesce(s.stance, 'invalid') AS p_stance, CASE WHEN s.doc_id IS NULL THEN 'invalid' WHEN s.stance = 'abstain' THEN 'abstain' ELSE coalesce(s.event, 'none') END AS p_event,
+  len(list_intersect(list_distinct(s.supporting), g.supporting)) AS ok, len(s.supporting) AS cited, len(list_intersect(list_distinct(s.counter), g.counter)) AS okc, len(s.counter) AS citedc, s.horizon = g.horizon AS hz, coalesce(confidence, 0.0) AS p, coalesce(s.stance = g.stance, FALSE)::INTEGER AS y, s.doc_id IS NULL AS invalid FROM gold g LEFT JOIN said s USING (doc_id)),
+l AS (SELECT lang, count(*) AS entities, coalesce(sum(ok) / nullif(sum(cited), 0)::DOUBLE, 0.0) AS evidence_precision, coalesce(sum(okc) / nullif(sum(citedc), 0)::DOUBLE, 0.0) AS counterevidence_precision, avg(coalesce(hz, FALSE)::INTEGER) AS horizon_accuracy, avg((p_stance = 'abstain')::INTEGER) AS abstention_rate,
+  avg(invalid::INTEGER) AS invalid_rate, avg(power(p - y, 2)) AS brier FROM x GROUP BY lang),
+e AS (SELECT lang, sum(d) AS d FROM (SELECT lang, abs(sum(y) - sum(p)) AS d FROM x GROUP BY lang, least(9, floor(p * 10))) GROUP BY lang)
+SELECT lang, entities, {r('evidence_precision', 'counterevidence_precision', 'horizon_accuracy', 'abstention_rate', 'invalid_rate', 'brier')}, round(d / entities, 6)::DOUBLE AS calibration_error, round({_F1('stance')}, 6)::DOUBLE AS stance_macro_f1, round({_F1('event')}, 6)::DOUBLE AS event_macro_f1 FROM l JOIN e USING (lang)""")
 def a28(spark, sf):
-    a = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
-    given, p, y = F.col("n_chars") >= 300, (F.col("n_chars") >= 1200).cast("int"), F.col("quality")
-    mean = lambda c, where: F.coalesce(F.avg(F.when(where, c)), F.lit(0.0))
-    return rounded(a.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("n_chars") < 300).cast("int")).alias("abstention_rate"), mean((p == y).cast("int"), given).alias("accuracy"),
-                                         mean(y, given & (p == 1)).alias("precision")))
+    d = t(spark, sf, "documents")
+    n, i = F.col("n_chars"), F.col("doc_id")
+    gold = d.join(t(spark, sf, "labels"), "doc_id").select("doc_id", "lang", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("stance"), F.when(F.col("toxic") == 1, "alert").alias("event"),
+                                                          F.array(i % 3, F.lit(4).cast("long")).alias("supporting"), F.array(i % 2).alias("counter"), (i % 4).alias("horizon"))
+    said = d.where("doc_id % 9 <> 0").select("doc_id", F.when(n < 300, "abstain").when(n >= 1200, "positive").otherwise("negative").alias("stance"), F.when(n % 5 == 0, "alert").alias("event"),
+                                             F.array((n % 3).cast("long"), F.lit(4).cast("long"), F.lit(5).cast("long")).alias("supporting"), F.array((n % 2).cast("long")).alias("counter"), (n % 4).cast("long").alias("horizon"), ((n % 101) / 100.0).alias("confidence"))
+    return rounded(models.annotation_quality(gold, said, ["doc_id"], ["lang"]))
 
 
 @query("A29_accuracy", "SELECT source, count(*) AS n, round(avg((contains(coalesce(text, ''), '!!') = (quality = 0))::INTEGER), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY source")

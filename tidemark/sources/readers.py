@@ -82,6 +82,28 @@ def text_items(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, schemas.TEXT_ITEMS)
 
 
+ENTITIES = "array<struct<asset_id:string,symbol:string,name:string,relevance:double,mention_type:string,confidence:double>>"
+
+
+def normalized_items(records: DataFrame) -> DataFrame:
+    """Text records with entities as an array (JSON text is read), identifiers replaced by their hashes, and defaults filled in.
+
+    Hashes that a record brings stay; else the author's trimmed, case-folded identifier (of
+    author_id, author_handle, author the first there), the URL and the parent's id are hashed.
+    The raw identifiers are dropped.
+    """
+    there = lambda *names: F.coalesce(*(F.nullif(F.trim(F.col(n).cast("string")), F.lit("")) for n in names if n in records.columns), F.lit(None).cast("string"))
+    entities = F.lit(None) if "entities" not in records.columns else F.col("entities") if records.schema["entities"].dataType.typeName() == "array" else F.from_json("entities", ENTITIES)
+    author = there("author_id", "author_handle", "author")
+    text = F.concat(F.coalesce(there("title"), F.lit("")), F.lit("\n"), F.coalesce(there("body"), F.lit("")))
+    out = records.withColumns({
+        "entities": F.coalesce(entities, F.array()).cast(ENTITIES), "author_hash": F.coalesce(there("author_hash"), F.sha2(F.lower(author), 256)), "url_hash": F.coalesce(there("url_hash"), F.sha2(there("url"), 256)),
+        "parent_item_id_hash": F.coalesce(there("parent_item_id_hash"), F.sha2(there("parent_item_id"), 256)), "canonical_text_hash": F.coalesce(there("canonical_text_hash"), F.sha2(F.lower(text), 256)),
+        "relationship_type": F.coalesce(there("relationship_type"), F.lit("original")), "content_status": F.coalesce(there("content_status"), F.lit("unknown")),
+        "retention_permitted": F.coalesce(there("retention_permitted").try_cast("boolean"), F.lit(True))})
+    return out.drop("author_id", "author_handle", "author", "url", "parent_item_id")
+
+
 def fundamentals(spark: SparkSession, path: str) -> DataFrame:
     return read_records(spark, path, schemas.FUNDAMENTALS)
 

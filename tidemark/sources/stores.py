@@ -84,6 +84,19 @@ def canonical_json(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def strict_json(text: str):
+    """A JSON value; a repeated key, NaN or Infinity raises ValueError."""
+    def unique(pairs: list) -> dict:
+        if len({k for k, _ in pairs}) < len(pairs):
+            raise ValueError("repeated key in JSON")
+        return dict(pairs)
+
+    def finite(name: str):
+        raise ValueError(f"not a JSON number: {name}")
+
+    return json.loads(text, object_pairs_hook=unique, parse_constant=finite)
+
+
 def report(title: str, metrics: dict, periods: DataFrame | None = None, limit: int = 1000) -> str:
     """A Markdown report: flattened metrics, then one line per period (a bounded, collected table)."""
     lines = [f"# {title}", ""]
