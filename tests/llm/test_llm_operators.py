@@ -423,7 +423,8 @@ def test_genetic_operators_keep_every_item():
     rng = random.Random(9)
     sizes = [rng.randrange(1, 1500) for _ in range(300)]
     a, b = packing.best_fit([], list(range(300)), sizes, 2048), packing.best_fit([[i] for i in range(0, 300, 2)], list(range(1, 300, 2)), sizes, 2048)
-    for child in (packing.crossover(a, b, sizes, 2048, rng), packing.mutate(a, sizes, 2048, rng), packing.evolve(sizes, 2048, 1, [b])):
+    loose = a[0] + a[5]
+    for child in (packing.crossover(a, b, sizes, 2048, rng), packing.mutate(a, sizes, 2048, rng), packing.evolve(sizes, 2048, 1, [b]), packing.replace([x for x in a if x not in (a[0], a[5])], loose, sizes, 2048, rng)):
         assert sorted(i for x in child for i in x) == list(range(300)) and max(sum(sizes[i] for i in x) for x in child) <= 2048
     assert packing.lower_bound([1025] * 4, 2048) == 4 and packing.lower_bound([1024] * 4, 2048) == 2 and packing.lower_bound([], 2048) == 0
 
@@ -439,6 +440,14 @@ def test_packing_levels(spark):
     assert len(got) == 900 and len({r.uid for r in got}) == 900 and max(seqs.values()) <= 2048 and len(seqs) <= 500
 
 
+@pytest.mark.parametrize("low,high,share", [(600, 900, 0.97), (400, 1000, 0.97)])
+def test_genetic_packing_beats_best_fit(low, high, share):
+    rng = random.Random(18)
+    sizes = [rng.randrange(low, high) for _ in range(1500)]
+    plain = len(packing.best_fit([], list(range(1500)), sizes, 2048))
+    assert packing.lower_bound(sizes, 2048) <= len(packing.evolve(sizes, 2048, 1, [])) <= share * plain
+
+
 @pytest.mark.parametrize("sizes,bins", [([1100] * 1200, 1200), ([1000, 600, 448] * 400, 440), ([700] * 1200, 600)])
 def test_no_packing_cell_grows(spark, monkeypatch, sizes, bins):
     parts = spark.createDataFrame([(i, str(i), 0, 0, n, 0) for i, n in enumerate(sizes)], "uid long, doc_id string, piece long, start long, length long, ids_crc32 long")

@@ -4,8 +4,8 @@ Documents become pieces (token ids by ``tokenizers`` and an end id); whole piece
 limit's length are sequences of their own. The others are dealt to cells of bounded
 size. A chromosome is a packing, that is a list of bins. Crossover injects whole
 well-filled bins of one parent into the other, removes the bins that hold duplicates
-of injected items, and best-fits the displaced ones; mutation dissolves the emptiest
-bins. Each cell is evolved by several islands, which pass their elite on to the next
+of injected items, exchanges items of the bins left for displaced ones that fill them
+better, and best-fits the rest; mutation dissolves the emptiest bins. Each cell is evolved by several islands, which pass their elite on to the next
 island of the cell after each epoch. Cells whose packing meets the lower bound are
 proven best and evolve no further. What the cells leave badly filled is dealt to new
 cells of the same size and packed again, until one cell holds it or the bound for all
@@ -18,8 +18,10 @@ from __future__ import annotations
 import os
 import random
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import cached_property, lru_cache, partial
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ from .common import gathered, settle
 LIMIT, CELL, ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2048, 4096, 2, 2, 6, 8
 #: A bin below this share of the limit goes to the next level.
 WELL_FILLED = 0.995
+#: Bins of more items exchange single items only.
+MOST_PAIRED = 8
 #: Mean share of ``CELL`` pieces that the hash deals to a cell, so that none gets more.
 LOAD = 0.75
 
@@ -173,8 +177,62 @@ def fitness(bins: list[list[int]], sizes: list[int], limit: int) -> tuple[int, f
     return -len(bins), sum((sum(sizes[i] for i in b) / limit) ** 2 for b in bins)
 
 
+def _tightest_pair(loose: list[tuple[int, int]], room: int) -> tuple[int, tuple[int, ...]]:
+    """The largest sum, at most ``room``, of two of the (size, item) pairs in order of size, and their places; 0 without one."""
+    a, b, best, at = 0, len(loose) - 1, 0, ()
+    while a < b:
+        total = loose[a][0] + loose[b][0]
+        if total > room:
+            b -= 1
+            continue
+        if total > best:
+            best, at = total, (a, b)
+            if total == room:
+                break
+        a += 1
+    return best, at
+
+
+def replace(bins: list[list[int]], loose: list[int], sizes: list[int], limit: int, rng: random.Random, passes: int = 2) -> list[list[int]]:
+    """Fills bins better by giving up one or two items for one or two of the displaced ones, then best-fits what is displaced.
+
+    A bin takes the exchange that fills it most; smaller items come free, and find room elsewhere.
+    """
+    bins = [list(b) for b in bins]
+    fills, free = [sum(sizes[i] for i in b) for b in bins], sorted((sizes[i], i) for i in loose)
+    for _ in range(passes):
+        changed = False
+        for k in rng.sample(range(len(bins)), len(bins)):
+            own, room = bins[k], limit - fills[k]
+            if not room or not free:
+                continue
+            gain, out, come = 0, (), ()
+            pairs = combinations(own, 2) if len(own) <= MOST_PAIRED else ()
+            for given in (*((i,) for i in own), *pairs):
+                size = sum(sizes[i] for i in given)
+                at = bisect_right(free, (room + size, len(sizes))) - 1
+                if at >= 0 and free[at][0] - size > gain:
+                    gain, out, come = free[at][0] - size, given, (at,)
+                total, places = _tightest_pair(free, room + size)
+                if total - size > gain:
+                    gain, out, come = total - size, given, places
+                if gain == room:
+                    break
+            if out:
+                own += [free[x][1] for x in come]
+                for x in sorted(come, reverse=True):
+                    free.pop(x)
+                for i in out:
+                    own.remove(i)
+                    insort(free, (sizes[i], i))
+                fills[k], changed = fills[k] + gain, True
+        if not changed:
+            break
+    return best_fit(bins, [i for _, i in free], sizes, limit)
+
+
 def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], limit: int, rng: random.Random) -> list[list[int]]:
-    """Injects well-filled bins of ``b`` into ``a``; bins of ``a`` that hold an injected item go, their other items are best-fitted."""
+    """Injects well-filled bins of ``b`` into ``a``; bins of ``a`` that hold an injected item go, their other items are displaced (``replace``)."""
     ranked = sorted(b, key=lambda x: -sum(sizes[i] for i in x))
     top = max(1, len(ranked) // 2)
     injected = [list(x) for x in rng.sample(ranked[:top], max(1, top // 2))]
@@ -185,7 +243,7 @@ def crossover(a: list[list[int]], b: list[list[int]], sizes: list[int], limit: i
             kept.append(x)
         else:
             loose += [i for i in x if i not in taken]
-    return best_fit(injected + kept, loose, sizes, limit)
+    return replace(injected + kept, loose, sizes, limit, rng)
 
 
 def mutate(bins: list[list[int]], sizes: list[int], limit: int, rng: random.Random) -> list[list[int]]:
@@ -193,7 +251,7 @@ def mutate(bins: list[list[int]], sizes: list[int], limit: int, rng: random.Rand
     order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
     gone = set(order[: max(1, len(bins) // 50)]) | set(rng.sample(order, min(len(order), 2 + len(order) // 20)))
     loose = [i for k in gone for i in bins[k]]
-    return best_fit([b for k, b in enumerate(bins) if k not in gone], loose, sizes, limit)
+    return replace([b for k, b in enumerate(bins) if k not in gone], loose, sizes, limit, rng)
 
 
 def lower_bound(sizes: list[int], limit: int) -> int:
