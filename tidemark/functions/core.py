@@ -161,3 +161,37 @@ def volatility_bucket(label: Column, ratio: Column, volatility: Column) -> Colum
     by_ratio = F.when(ratio < 0.8, "low").when(ratio <= 1.2, "normal").otherwise("high")
     by_volatility = F.when(volatility < 0.01, "low").when(volatility < 0.03, "normal").when(volatility.isNotNull(), "high")
     return F.when(label != "", label).when(ratio.isNotNull(), by_ratio).otherwise(by_volatility)
+
+
+def price_as_known(close: Column, factor: Column, vintage: Column, available: Column) -> Column:
+    """The adjusted price, if its adjustment was known by then (vintage no later than what is available); else null."""
+    return F.when(vintage <= available, close * F.coalesce(factor, F.lit(1.0)))
+
+
+def actionable_at(available: Column, decision: Column) -> Column:
+    """When a signal can first be acted on: once it is available and a decision is made."""
+    return F.greatest(available, decision)
+
+
+def row_volatility(measured: Column, high: Column, low: Column) -> Column:
+    """The measured volatility, never negative; without one the range over the middle price."""
+    return F.greatest(F.lit(0.0), F.coalesce(measured, F.try_divide(high - low, (high + low) / 2), F.lit(0.0)))
+
+
+def probability(text: Column) -> Column:
+    """A finite number from 0 to 1 that the text holds, else null."""
+    p = text.try_cast("double")
+    return F.when(is_finite(p) & p.between(0, 1), p)
+
+
+#: Fixed value: four-place security codes, without the letters that are not given out.
+SECURITY_CODE = "^[1-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$"
+
+
+def is_security_code(code: Column) -> Column:
+    return F.coalesce(code.rlike(SECURITY_CODE), F.lit(False))
+
+
+def decay(age: Column, half_life: Column) -> Column:
+    """Weight of something ``age`` old: 1 at first, a half after each half-life."""
+    return F.pow(F.lit(2.0), -age / half_life)

@@ -71,3 +71,14 @@ def match_orders(attempts: DataFrame, orders: DataFrame, key: str, equal: list[s
     found = a.join(o, "_h").where(near).groupBy(key).agg(F.count(F.lit(1)).alias("candidates"))
     n = F.coalesce("candidates", F.lit(0))
     return attempts.select(key).join(found, key, "left").select(key, n.alias("candidates"), F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise("missing").alias("status"))
+
+
+def cancel_state(fills: DataFrame, key: str, status: str, still_open: str, done: str) -> DataFrame:
+    """key, state: cancelled (nothing open), partial (some done, some open) or open."""
+    s = fills.groupBy(key).agg(F.bool_or(F.col(status) == still_open).alias("_o"), F.bool_or(F.col(status) == done).alias("_d"))
+    return s.select(key, F.when(~F.coalesce("_o", F.lit(False)), "cancelled").when(F.col("_d"), "partial").otherwise("open").alias("state"))
+
+
+def intent_digest(**fields: Column) -> Column:
+    """sha256 of an intent as JSON with its fields in order of name."""
+    return F.sha2(F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items())))), 256)

@@ -119,3 +119,10 @@ def full_coverage(gold: DataFrame, predicted: DataFrame, key: list[str]) -> Data
     """key, status: matched, missing (gold only) or extra (predicted only)."""
     g, p = gold.select(*key).distinct().withColumn("_g", F.lit(1)), predicted.select(*key).distinct().withColumn("_p", F.lit(1))
     return g.join(p, key, "full_outer").select(*key, F.when(F.col("_p").isNull(), "missing").when(F.col("_g").isNull(), "extra").otherwise("matched").alias("status"))
+
+
+def provenance(claimed: DataFrame, found: DataFrame, key: str, digest: str) -> DataFrame:
+    """key, status of each claimed digest: bound (found as claimed), changed or missing."""
+    there = found.select(key, F.col(digest).alias("_found"))
+    status = F.when(F.col("_found").isNull(), "missing").when(F.col("_found") != F.col(digest), "changed").otherwise("bound")
+    return claimed.join(there, key, "left").select(key, status.alias("status"))

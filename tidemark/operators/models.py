@@ -188,3 +188,45 @@ def evaluate(rows: DataFrame, segment: str, at: str) -> DataFrame:
                                           F.sum(F.pow(F.col("score") - F.col("y"), 2)).alias("e"))
     n = F.sum("n")
     return daily.groupBy(segment).agg(n.alias("rows"), F.count(F.lit(1)).alias("dates"), F.avg("ic").alias("mean_ic"), (F.sum("h") / n).alias("hit_rate"), (F.sum("e") / n).alias("mse"))
+
+
+def accuracy(rows: DataFrame, gold: Column, predicted: Column, by: list[str]) -> DataFrame:
+    """by, n, accuracy: how often the prediction equals the gold value; rows without a gold value are left out."""
+    own = rows.select(*by, gold.alias("_g"), predicted.alias("_p")).where("_g is not null")
+    return own.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce((F.col("_g") == F.col("_p")).cast("int"), F.lit(0))).alias("accuracy"))
+
+
+def subgroup_effects(rows: DataFrame, dimensions: dict[str, Column], effect: Column) -> DataFrame:
+    """dimension, value, n, effect: the mean effect in each value of each dimension; one pass, each row counts once a dimension."""
+    dims = F.array(*(F.struct(F.lit(n).alias("dimension"), c.cast("string").alias("value")) for n, c in dimensions.items()))
+    x = rows.select(F.explode(dims).alias("d"), effect.alias("e")).select("d.*", "e").where("value is not null")
+    return x.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("effect"))
+
+
+def rubric(rows: DataFrame, points: dict[str, Column], by: list[str]) -> DataFrame:
+    """``rows`` with total (the points of all criteria, missing ones 0) and place within ``by``, ties sharing the better one."""
+    total = sum((F.coalesce(c, F.lit(0)) for c in points.values()), F.lit(0)).cast("long")
+    return rows.withColumn("total", total).withColumn("place", F.rank().over(Window.partitionBy(*by).orderBy(F.desc("total"))))
+
+
+def metric_deltas(baseline: DataFrame, enhanced: DataFrame, by: list[str]) -> DataFrame:
+    """by, metric_id, delta: enhanced less baseline over the metrics that both have as finite numbers. Both: by, metric_id, value."""
+    finite = lambda df, n: df.select(*by, "metric_id", F.col("value").alias(n)).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    return finite(baseline, "_b").join(finite(enhanced, "_e"), [*by, "metric_id"]).select(*by, "metric_id", (F.col("_e") - F.col("_b")).alias("delta"))
+
+
+def score_families(rows: DataFrame, families: dict[str, Column]) -> DataFrame:
+    """``rows`` once for each family of scores: family, score."""
+    each = F.array(*(F.struct(F.lit(n).alias("family"), c.cast("double").alias("score")) for n, c in families.items()))
+    return rows.withColumn("_f", F.explode(each)).select("*", "_f.*").drop("_f")
+
+
+def select_top(rows: DataFrame, by: list[str], order: Column, k: int, name: str = "asset_id") -> DataFrame:
+    """The first ``k`` rows of each decision by ``order`` (nulls left out), ties by name, with their place ``k``."""
+    own = rows.withColumn("_o", order).where("_o is not null")
+    return own.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("_o", name))).where(F.col("k") <= k).drop("_o")
+
+
+def random_order(seed: int, *key: Column) -> Column:
+    """An order that depends on the seed and the row's key alone, whatever the partitions."""
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(c.cast("string") for c in key)), 256)

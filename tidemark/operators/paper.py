@@ -21,11 +21,14 @@ def snapshot(fills: DataFrame, account: str, asset: str, order: list[str], cash:
         "equity", F.col("cash") + F.col("market_value"))
 
 
-def intents(rows: DataFrame, at: str, weight: str, account_equity: float) -> DataFrame:
-    """Orders of the latest decision: asset, side, target weight and notional."""
+def intents(rows: DataFrame, at: str, weight: str, account_equity: float, sessions: DataFrame | None = None) -> DataFrame:
+    """Orders of the latest decision: asset, side, target weight, notional and, given ``sessions`` (column ``at``), the session at whose open they go out."""
     last = rows.agg(F.max(at).alias("t")).scalar()
     r = rows.where(F.col(at) == last)
-    return r.select("asset_id", at, F.when(F.col(weight) > 0, "buy").otherwise("sell").alias("side"), F.col(weight).alias("target_weight"), (F.abs(weight) * account_equity).alias("notional"))
+    out = r.select("asset_id", at, F.when(F.col(weight) > 0, "buy").otherwise("sell").alias("side"), F.col(weight).alias("target_weight"), (F.abs(weight) * account_equity).alias("notional"))
+    if sessions is None:
+        return out
+    return out.withColumn("next_open", sessions.where(F.col(at) > rows.agg(F.max(at).alias("t")).scalar()).agg(F.min(at).alias("n")).scalar())
 
 
 def scenarios(scores: DataFrame, at: str, key: list[str], shift: int, delay: int, ablations: dict[str, Column] | None = None, shuffle_seed: int | None = None) -> DataFrame:

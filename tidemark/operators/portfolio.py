@@ -147,3 +147,9 @@ def entry_budget(limits: Limits, round_trip: bool = True, buffer: float = 0.25)
 def annualized(total_return: Column, periods: Column, periods_per_year: float) -> Column:
     """Compound yearly return; -1 once everything is lost, 0 without periods."""
     return F.when(periods <= 0, 0.0).when(total_return <= -1, -1.0).otherwise(F.pow(1 + total_return, periods_per_year / periods) - 1)
+
+
+def replay_checks(book: DataFrame, by: list[str], limits: Limits, tolerance: float = 1e-9) -> DataFrame:
+    """by, participation_ok, turnover_ok, prices_ok: what a replay asserts of the weights that it trades."""
+    return book.groupBy(*by).agg((F.max("participation") <= limits.max_participation_rate + tolerance).alias("participation_ok"), (F.sum(F.abs("weight")) <= limits.max_daily_turnover + tolerance).alias("turnover_ok"),
+                                 (F.min("close") > 0).alias("prices_ok"))

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..operators import inference, joins, market, portfolio, quality
+from ..operators import broker, inference, joins, market, portfolio, quality
 from ..operators import text as textops
 from ..functions import text as T
 from ..sources import adapters as src
@@ -37,7 +37,7 @@ def flags(*rules: tuple[str, str]) -> str:
 SELECT asset_id, ts, round(price, 6) AS price, price IS NULL AS from_the_future FROM v""")
 def p05(spark, sf):
     b = src.bars(spark, sf).withColumns({"factor": 1 + (F.col("seq") % 7 + 1) / F.lit(1100.0), "vintage": F.col("seq") % 5, "available": F.lit(3)})
-    price = F.when(F.col("vintage") <= F.col("available"), F.col("close") * F.col("factor"))
+    price = core.price_as_known(F.col("close"), F.col("factor"), F.col("vintage"), F.col("available"))
     return rounded(b.select("asset_id", "ts", price.alias("price"), price.isNull().alias("from_the_future")))
 
 
@@ -81,7 +81,7 @@ def p14(spark, sf):
 SELECT asset_id, ts, round(greatest(0.0, coalesce(v, f)), 6) + 0.0::DOUBLE AS volatility, round(greatest(0.0, coalesce(v, f)) * 0.5 * 1.5, 6) + 0.0::DOUBLE AS scaled_cost FROM x""")
 def p17(spark, sf):
     own = F.when(F.col("seq") % 4 != 0, F.col("close") / F.col("open") - 1)
-    vol = F.greatest(F.lit(0.0), F.coalesce(own, (F.col("high") - F.col("low")) / ((F.col("high") + F.col("low")) / 2)))
+    vol = core.row_volatility(own, F.col("high"), F.col("low"))
     return rounded(src.bars(spark, sf).select("asset_id", "ts", vol.alias("volatility"), (vol * 0.5 * 1.5).alias("scaled_cost")))
 
 
@@ -170,9 +170,8 @@ SELECT m.page_id, CASE WHEN g.page_id IS NULL THEN 'missing' WHEN g.h <> m.h THE
 def j23(spark, sf):
     p = t(spark, sf, "pages").where("html is not null")
     claimed = p.select("page_id", F.sha2("html", 256).alias("h"))
-    found = p.where(F.col("page_id") % 7 != 0).select("page_id", F.sha2(F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256).alias("g"))
-    status = F.when(F.col("g").isNull(), "missing").when(F.col("g") != F.col("h"), "changed").otherwise("bound")
-    return claimed.join(found, "page_id", "left").select("page_id", status.alias("status"))
+    found = p.where(F.col("page_id") % 7 != 0).select("page_id", F.sha2(F.when(F.col("page_id") % 10 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256).alias("h"))
+    return joins.provenance(claimed, found, "page_id", "h")
 
 
 @query("U02_key_sets", """WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O')
@@ -247,8 +246,7 @@ def b06(spark, sf):
 
 @query("B09_intent_digest", "SELECT o_orderkey, sha256(to_json({'account': o_custkey, 'order': o_orderkey, 'side': o_orderstatus})::VARCHAR) AS digest FROM orders")
 def b09(spark, sf):
-    body = F.to_json(F.struct(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("order"), F.col("o_orderstatus").alias("side")))
-    return t(spark, sf, "orders").select("o_orderkey", F.sha2(body, 256).alias("digest"))
+    return t(spark, sf, "orders").select("o_orderkey", broker.intent_digest(side=F.col("o_orderstatus"), account=F.col("o_custkey"), order=F.col("o_orderkey")).alias("digest"))
 
 
 _CHECKS = (("no_text", "text IS NULL OR length(trim(text)) = 0"), ("no_role", "role IS NULL"), ("unknown_role", "role NOT IN ('user', 'assistant', 'system')"), ("negative_turn", "turn < 0"), ("too_long", "length(text) > 400"), ("first_not_user", "turn = 0 AND role <> 'user'"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import broker, joins, market, textwindow
+from ..operators import broker, joins, market, models, textwindow
 from ..sources import adapters as src
 from .market import LABELS
 from .registry import query, r, rounded
@@ -182,8 +182,8 @@ def j22(spark, sf):
 
 @query("U03_union_families", f"WITH {src.BARS} SELECT asset_id, ts, f.family, CASE f.family WHEN 'equal_weight' THEN 1.0::DOUBLE WHEN 'no_trade' THEN 0.0 ELSE round(close - open, 6) + 0.0 END AS score FROM bars, (VALUES ('equal_weight'), ('no_trade'), ('momentum_only')) f(family)")
 def u03(spark, sf):
-    b = src.bars(spark, sf).withColumn("family", F.explode(F.array(*map(F.lit, ("equal_weight", "no_trade", "momentum_only")))))
-    return rounded(b.select("asset_id", "ts", "family", F.when(F.col("family") == "equal_weight", 1.0).when(F.col("family") == "no_trade", 0.0).otherwise(F.col("close") - F.col("open")).alias("score")))
+    families = {"equal_weight": F.lit(1.0), "no_trade": F.lit(0.0), "momentum_only": F.col("close") - F.col("open")}
+    return rounded(models.score_families(src.bars(spark, sf), families).select("asset_id", "ts", "family", "score"))
 
 
 @query("U04_union_of_books", "SELECT coalesce(a.k, b.k) AS k, coalesce(a.w, 0.0) AS current_w, coalesce(b.w, 0.0) AS target_w FROM (SELECT c_nationkey AS k, round(sum(c_acctbal), 2) AS w FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY ALL) a FULL JOIN (SELECT s_nationkey AS k, round(sum(s_acctbal), 2) AS w FROM supplier GROUP BY ALL) b ON a.k = b.k")

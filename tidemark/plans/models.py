@@ -294,14 +294,13 @@ def w28(spark, sf):
 
 @query("T03_selector_random_k", f"WITH {src.BARS}, s AS (SELECT ts, asset_id, row_number() OVER (PARTITION BY ts ORDER BY sha256('23:' || ts::VARCHAR || ':' || asset_id), asset_id) AS k FROM bars) SELECT ts, asset_id, k::INTEGER AS k FROM s WHERE k <= 4")
 def t03(spark, sf):
-    h = F.sha2(F.concat(F.lit("23:"), F.col("ts").cast("string"), F.lit(":"), F.col("asset_id")), 256)
-    return src.bars(spark, sf).select("ts", "asset_id", F.row_number().over(Window.partitionBy("ts").orderBy(h, "asset_id")).alias("k")).where("k <= 4")
+    return models.select_top(src.bars(spark, sf), ["ts"], models.random_order(23, F.col("ts"), F.col("asset_id")), 4).select("ts", "asset_id", "k")
 
 
 @query("T03_selector_momentum", f"WITH {src.BARS}, m AS (SELECT ts, asset_id, close / lag(close, 5) OVER (PARTITION BY asset_id ORDER BY ts) - 1 AS m FROM bars), s AS (SELECT ts, asset_id, row_number() OVER (PARTITION BY ts ORDER BY m DESC, asset_id) AS k FROM m WHERE m IS NOT NULL) SELECT ts, asset_id, k::INTEGER AS k FROM s WHERE k <= 4")
 def t03b(spark, sf):
-    m = src.bars(spark, sf).withColumn("m", F.col("close") / F.lag("close", 5).over(market.by_asset()) - 1).where("m is not null")
-    return m.select("ts", "asset_id", F.row_number().over(Window.partitionBy("ts").orderBy(F.desc("m"), "asset_id")).alias("k")).where("k <= 4")
+    m = src.bars(spark, sf).withColumn("m", F.col("close") / F.lag("close", 5).over(market.by_asset()) - 1)
+    return models.select_top(m, ["ts"], -F.col("m"), 4).select("ts", "asset_id", "k")
 
 
 @query("M09_sequential_replay")

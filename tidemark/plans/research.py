@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import core
 from ..functions.text import LEGAL_SUFFIXES
-from ..operators import market, paper, portfolio, quality, statistics, textwindow
+from ..operators import market, models, paper, portfolio, quality, statistics, textwindow
 from ..sources import adapters as src
 from ..sources import stores
 from .market import LABELS
@@ -38,9 +38,9 @@ def m20b(spark, sf):
     return rounded(paper.positions(f, ["account"], ["d"]).select("account", "d", F.col("position").cast("double").alias("position")))
 
 
-@query("M21_latest_intents", f"WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, {CHAIN} SELECT asset_id, ts, CASE WHEN weight > 0 THEN 'buy' ELSE 'sell' END AS side, round(weight, 6) + 0.0::DOUBLE AS target_weight, round(abs(weight) * 1e6, 2) AS notional FROM book WHERE abs(weight) > 1e-12 AND ts = (SELECT max(ts) FROM book WHERE abs(weight) > 1e-12)")
+@query("M21_latest_intents", f"WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, {CHAIN} SELECT asset_id, ts, CASE WHEN weight > 0 THEN 'buy' ELSE 'sell' END AS side, round(weight, 6) + 0.0::DOUBLE AS target_weight, round(abs(weight) * 1e6, 2) AS notional, (SELECT min(ts) FROM bars WHERE ts > (SELECT max(ts) FROM book WHERE abs(weight) > 1e-12)) AS next_open FROM book WHERE abs(weight) > 1e-12 AND ts = (SELECT max(ts) FROM book WHERE abs(weight) > 1e-12)")
 def m21(spark, sf):
-    i = paper.intents(book(spark, sf), "ts", "weight", 1e6)
+    i = paper.intents(book(spark, sf), "ts", "weight", 1e6, src.bars(spark, sf).select("ts"))
     return rounded(i.withColumn("notional", F.round("notional", 2)))
 
 
@@ -126,8 +126,8 @@ def a31(spark, sf):
 
 @query("A35_rubric", "SELECT p_partkey, (p_size + length(p_name) + length(p_brand))::BIGINT AS total, rank() OVER (PARTITION BY p_brand ORDER BY p_size + length(p_name) + length(p_brand) DESC)::INTEGER AS place FROM part")
 def a35(spark, sf):
-    total = (F.col("p_size") + F.length("p_name") + F.length("p_brand")).cast("long")
-    return t(spark, sf, "part").select("p_partkey", total.alias("total"), F.rank().over(Window.partitionBy("p_brand").orderBy(F.desc(total))).alias("place"))
+    points = {"size": F.col("p_size"), "name": F.length("p_name"), "brand": F.length("p_brand")}
+    return models.rubric(t(spark, sf, "part"), points, ["p_brand"]).select("p_partkey", "total", "place")
 
 
 @query("G12_verification", "SELECT conv_id, bool_and(text IS NOT NULL AND length(text) > 0) AS has_text, bool_and(role IN ('user', 'assistant', 'system')) AS known_roles, bool_and(text IS NOT NULL AND length(text) > 0) AND bool_and(role IN ('user', 'assistant', 'system')) AS accepted FROM conversations GROUP BY conv_id")
@@ -153,8 +153,7 @@ def s12(spark, sf):
 
 @query("F19_replay_asserts", f"WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, {CHAIN} SELECT ts, max(abs(weight) * 1e6 / dollar_volume) <= {LIM.max_participation_rate} + 1e-9 AS participation_ok, sum(abs(weight)) <= {LIM.max_daily_turnover} + 1e-9 AS turnover_ok, min(close) > 0 AS prices_ok FROM book WHERE abs(weight) > 1e-12 GROUP BY ts")
 def f19(spark, sf):
-    return book(spark, sf).groupBy("ts").agg((F.max("participation") <= LIM.max_participation_rate + 1e-9).alias("participation_ok"), (F.sum(F.abs("weight")) <= LIM.max_daily_turnover + 1e-9).alias("turnover_ok"),
-                                             (F.min("close") > 0).alias("prices_ok"))
+    return portfolio.replay_checks(book(spark, sf), ["ts"], LIM)
 
 
 @query("F20_label_timing", f"WITH {src.BARS}, {LABELS}, l AS (SELECT asset_id, ts, CASE WHEN seq % 11 = 0 THEN ts ELSE label_start END AS label_start, CASE WHEN seq % 13 = 0 THEN ts - 1 ELSE label_end END AS label_end FROM labels) SELECT * FROM l WHERE label_start <= ts OR label_end < label_start")
@@ -168,8 +167,8 @@ def f20(spark, sf):
 @query("F21_probability_parsing", "SELECT c_custkey, TRY_CAST(x AS DOUBLE) IS NOT NULL AND TRY_CAST(x AS DOUBLE) BETWEEN 0 AND 1 AS valid FROM (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN '0.5' WHEN 2 THEN '1.5' ELSE '1' END AS x FROM customer)")
 def f21(spark, sf):
     k = F.col("c_custkey") % 4
-    p = F.when(k == 0, F.col("c_name")).when(k == 1, "0.5").when(k == 2, "1.5").otherwise("1").try_cast("double")
-    return t(spark, sf, "customer").select("c_custkey", F.coalesce(core.is_finite(p) & p.between(0, 1), F.lit(False)).alias("valid"))
+    said = F.when(k == 0, F.col("c_name")).when(k == 1, "0.5").when(k == 2, "1.5").otherwise("1")
+    return t(spark, sf, "customer").select("c_custkey", core.probability(said).isNotNull().alias("valid"))
 
 
 @query("F12_decision_window", f"WITH {src.BARS} SELECT asset_id, ts FROM bars WHERE ts BETWEEN DATE '1997-01-06' AND DATE '1998-06-29'")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendars, core
 from ..functions import text as T
-from ..operators import broker, joins, ledger, market, quality
+from ..operators import broker, joins, ledger, market, models, quality
 from ..operators import text as textops
 from ..sources import adapters as src
 from ..sources import readers
@@ -98,11 +98,15 @@ def p08(spark, sf):
     return rounded(b.select("asset_id", "ts", v.alias("volatility"), few.alias("volatility_fallback_used"), F.array_join(core.rule_flags(("volatility_fallback", few)), ",").alias("risk_flags")))
 
 
-@query("P12_metric_deltas", "WITH d AS (SELECT lang, n_chars, quality FROM documents JOIN labels USING (doc_id)), b AS (SELECT lang AS k, avg(n_chars) AS v FROM d WHERE quality = 0 GROUP BY lang), e AS (SELECT lang AS k, avg(n_chars) AS v FROM d WHERE quality = 1 GROUP BY lang) SELECT k, round(e.v - b.v, 6) + 0.0::DOUBLE AS delta FROM b JOIN e USING (k)")
+@query("P12_metric_deltas", """WITH d AS (SELECT lang, n_chars, quality FROM documents JOIN labels USING (doc_id)),
+m AS (SELECT lang, quality, unnest([{'metric_id': 'mean_chars', 'value': avg(n_chars)}, {'metric_id': 'rows', 'value': count(*)::DOUBLE}, {'metric_id': 'longest', 'value': max(n_chars)::DOUBLE}, {'metric_id': 'undefined', 'value': 'NaN'::DOUBLE}], recursive := true) FROM d GROUP BY lang, quality)
+SELECT b.lang, b.metric_id, round(e.value - b.value, 6) + 0.0::DOUBLE AS delta FROM m b JOIN m e ON b.lang = e.lang AND b.metric_id = e.metric_id WHERE b.quality = 0 AND e.quality = 1 AND isfinite(b.value) AND isfinite(e.value)""")
 def p12(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
-    side = lambda i: d.where(F.col("quality") == i).groupBy(F.col("lang").alias("k")).agg(F.avg("n_chars").alias(f"v{i}"))
-    return rounded(side(0).join(side(1), "k").select("k", (F.col("v1") - F.col("v0")).alias("delta")))
+    metric = lambda n, c: F.struct(F.lit(n).alias("metric_id"), c.cast("double").alias("value"))
+    m = d.groupBy("lang", "quality").agg(F.array(metric("mean_chars", F.avg("n_chars")), metric("rows", F.count(F.lit(1))), metric("longest", F.max("n_chars")), metric("undefined", F.lit(float("nan")))).alias("m"))
+    m = m.select("lang", "quality", F.explode("m").alias("x")).select("lang", "quality", "x.*")
+    return rounded(models.metric_deltas(m.where("quality = 0"), m.where("quality = 1"), ["lang"]))
 
 
 @query("P15_tick_alignment", "SELECT p_partkey, CASE WHEN p_retailprice < 1000 THEN 0.1 WHEN p_retailprice < 1500 THEN 0.5 ELSE 1.0 END::DOUBLE AS tick, (p_retailprice::DECIMAL(20,4) % CASE WHEN p_retailprice < 1000 THEN 0.1 WHEN p_retailprice < 1500 THEN 0.5 ELSE 1.0 END::DECIMAL(20,4)) = 0 AS aligned FROM part")
@@ -114,7 +118,7 @@ def p15(spark, sf):
 
 @query("P16_actionable_time", f"WITH {src.SIGNALS} SELECT item_id, greatest(available_at, DATE '1996-01-01' + (item_id % 400)::INTEGER) AS actionable FROM signals")
 def p16(spark, sf):
-    return src.signals(spark, sf).select("item_id", F.greatest("available_at", F.date_add(F.lit("1996-01-01").cast("date"), (F.col("item_id") % 400).cast("int"))).alias("actionable"))
+    return src.signals(spark, sf).select("item_id", core.actionable_at(F.col("available_at"), F.date_add(F.lit("1996-01-01").cast("date"), (F.col("item_id") % 400).cast("int"))).alias("actionable"))
 
 
 # Fields of records as text, sound, blank and malformed.
@@ -155,7 +159,7 @@ def f13(spark, sf):
 @query("F14_record_contract", "SELECT p_partkey, regexp_matches(code, '^[1-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$') AS valid FROM (SELECT p_partkey, substr(upper(md5(p_name)), 1, 4) AS code FROM part)")
 def f14(spark, sf):
     code = F.substring(F.upper(F.md5("p_name")), 1, 4)
-    return t(spark, sf, "part").select("p_partkey", code.rlike("^[1-9][0-9ACDF-HJ-NPR-UW-Y][0-9][0-9ACDF-HJ-NPR-UW-Y]$").alias("valid"))
+    return t(spark, sf, "part").select("p_partkey", core.is_security_code(code).alias("valid"))
 
 
 @query("F15_unknown_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size <= 40)")
@@ -267,8 +271,7 @@ def a34(spark, sf):
 
 @query("B07_cancel_state", "WITH d AS (SELECT l_orderkey, list(l_linestatus) AS s FROM lineitem GROUP BY ALL) SELECT l_orderkey, CASE WHEN NOT list_contains(s, 'O') THEN 'cancelled' WHEN list_contains(s, 'F') THEN 'partial' ELSE 'open' END AS state FROM d")
 def b07(spark, sf):
-    d = t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("s"))
-    return d.select("l_orderkey", F.when(~F.exists("s", lambda x: x == "O"), "cancelled").when(F.exists("s", lambda x: x == "F"), "partial").otherwise("open").alias("state"))
+    return broker.cancel_state(t(spark, sf, "lineitem"), "l_orderkey", "l_linestatus", "O", "F")
 
 
 # Orders made of line items: every rule of the checks is broken by some.

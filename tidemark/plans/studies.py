@@ -70,7 +70,7 @@ def x09(spark, sf):
 @query("X11_half_life", f"WITH {src.BARS} SELECT asset_id, ts, 3.0::DOUBLE AS text_decay_half_life_days, round(power(2.0, -(seq % 10) / 3.0), 6) AS weight FROM bars")
 def x11(spark, sf):
     half_life = F.lit(3.0)
-    return rounded(src.bars(spark, sf).select("asset_id", "ts", half_life.alias("text_decay_half_life_days"), F.pow(F.lit(2.0), -(F.col("seq") % 10) / half_life).alias("weight")))
+    return rounded(src.bars(spark, sf).select("asset_id", "ts", half_life.alias("text_decay_half_life_days"), core.decay(F.col("seq") % 10, half_life).alias("weight")))
 
 
 _EV = "ev AS (SELECT asset_id, avail FROM sig WHERE event_type = 'P' GROUP BY ALL)"
@@ -139,8 +139,7 @@ def a28(spark, sf):
 @query("A29_accuracy", "SELECT source, count(*) AS n, round(avg((contains(coalesce(text, ''), '!!') = (quality = 0))::INTEGER), 6) AS accuracy FROM documents JOIN labels USING (doc_id) GROUP BY source")
 def a29(spark, sf):
     a = t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id")
-    right = F.coalesce("text", F.lit("")).contains("!!") == (F.col("quality") == 0)
-    return rounded(a.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(right.cast("int")).alias("accuracy")))
+    return rounded(models.accuracy(a, F.col("quality") == 0, F.coalesce("text", F.lit("")).contains("!!"), ["source"]))
 
 
 @query("A32_subgroup_effects", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, x AS (SELECT 'sector' AS dimension, sector AS value, sign(score) * forward_return AS e FROM md UNION ALL SELECT 'size', CASE WHEN dollar_volume < 100000 THEN 'small' ELSE 'large' END, sign(score) * forward_return FROM md)
@@ -148,9 +147,7 @@ SELECT dimension, value, count(*) AS n, round(avg(e), 5) + 0.0::DOUBLE AS effect
 def a32(spark, sf):
     c = candidates(spark, sf)
     size = F.when(F.col("dollar_volume") < 100000, "small").otherwise("large")
-    dims = F.array(*(F.struct(F.lit(n).alias("dimension"), v.alias("value")) for n, v in (("sector", F.col("sector")), ("size", size))))
-    x = c.select(F.explode(dims).alias("d"), (F.signum("score") * F.col("forward_return")).alias("e")).select("d.*", "e")
-    return rounded(x.groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("effect")), 5)
+    return rounded(models.subgroup_effects(c, {"sector": F.col("sector"), "size": size}, F.signum("score") * F.col("forward_return")), 5)
 
 
 _NAMES = ["return_1d", "volume_history_count", "text_count", "sentiment_mean", "llm_coverage", "attention_abnormal", "market_beta_60d"]
