@@ -547,6 +547,7 @@ def test_simhash_components(spark, limit, monkeypatch):
     if limit == 8:
         original = simhash.near_links
         monkeypatch.setattr(simhash, "near_links", lambda f, radius=4: original(f, radius, 8))
+        monkeypatch.setattr(simhash, "TREE_NODES", 100)  # several blocks of broadcast trees
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     fps = {i * 3 + 1: plain_fp(t) for i, t in enumerate(texts)}
     root = {i: i for i in fps}

@@ -3,18 +3,19 @@
 1. Fingerprints: words, 4-word shingles, XXH64, bit majority (numpy, Arrow batches).
 2. Shard trees: two fingerprints within radius r agree on at least one (or, with more
    blocks, several) of their bit blocks, so each fingerprint joins the shard of every
-   block combination and all links lie inside some shard. A shard builds a BK-tree
-   (children keyed by integer Hamming distance to the parent) and each member follows
-   only the edges within the radius. The trees reach their queries by the shuffle
-   rather than by a driver broadcast, because all fingerprints together are unbounded.
-3. A shard of more than ``SHARD_LIMIT`` members is cut into salted cells; every pair of
-   cells is searched in a task of its own, so no hot group lands in one task.
+   block combination and all links lie inside some shard. A shard has a BK-tree (children
+   keyed by integer Hamming distance to the parent), and each member follows only the
+   edges within the radius. All fingerprints together are unbounded and may not pass through
+   the driver, so small shards, which are nearly all, go to a task each.
+3. The trees of shards of more than ``SHARD_LIMIT`` members are broadcast instead, a bounded
+   number of nodes at a time, to the members where they are.
 4. Shards emit only edges that join two of their parts (at most members - 1), and
    iterated min-label propagation with hooking turns edges into components.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -24,12 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_text, gathered, meet, settle
+from .common import by_text, gathered, meet, scratch, settle
 
-BITS, SHARD_LIMIT = 64, 2048
+#: Members above which a shard is large; nodes of large shards' trees that are broadcast at once (20 bytes each).
+BITS, SHARD_LIMIT, TREE_NODES = 64, 2048, 65_536
+#: Keys (16 bytes each) of large shards that are broadcast at most.
+BROADCAST_SHARDS = 100_000
 #: Keys (16 bytes each) of documents that go or are repeated, broadcast at most.
 BROADCAST_DROPS = 500_000
-#: (blocks, blocks that must agree) by rising key length; all are exact for radius 4: blocks - agree = radius.
+#: Mean members of a shard up to which its key is long enough.
 MEAN_SHARD = 64
 
 
@@ -122,26 +126,21 @@ class Parts:
         return True
 
 
-def _shard_edges(tree_side: list[int], probe_side: list[int], radius: int) -> list[tuple[int, int]]:
-    """Edges that span the links within one cell (probe_side is empty) or between two cells."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _shard_edges(members: list[int], radius: int) -> list[tuple[int, int]]:
+    """Edges that span the links within one shard: each member asks the tree of those before it."""
     tree, parts, out = BKTree(), Parts(), []
-    if not probe_side:
-        for v in tree_side:
-            for w in tree.near(v, radius):
-                if w != v and parts.join(v, w):
-                    out.append((v, w))
-            tree.add(v)
-        return out
-    for v in tree_side:
+    for v in members:
+        out += [(v, w) for w in tree.near(v, radius) if w != v and parts.join(v, w)]
         tree.add(v)
-    for v in probe_side:
-        for w in tree.near(v, radius):
-            if w != v and parts.join(v, w):
-                out.append((v, w))
     return out
 
 
 def schemes(radius: int) -> list[tuple[int, int]]:
+    """(blocks, blocks that must agree) by rising key length; all are exact, for blocks - agree = radius."""
     return [(radius + 1 + more, 1 + more) for more in range(4)]
 
 
@@ -163,41 +162,73 @@ def near_links(fps: DataFrame, radius: int = 4, limit: int = SHARD_LIMIT) -> Dat
     plan = schemes(radius)
     blocks, agree = next((p for p in plan if n / 2 ** (BITS * p[1] / p[0]) <= MEAN_SHARD), plan[-1])
     rows = fps.select("fp", F.explode(_keys(F.col("fp"), blocks, agree)).alias("k")).select("k.c", "k.v", "fp")
-    sizes = rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hot = settle(sizes.where(F.col("n") > limit).withColumn("s", F.ceil(F.col("n") / limit).cast("int")).select("c", "v", "s"), n)
-    few = hot.limit(100_001).count() <= 100_000  # bound of what is broadcast: 100,000 rows of 16 bytes
-    rows = rows.join(F.broadcast(hot) if few else hot, ["c", "v"], "left")
-    # Cells: pair (i, j) with i <= j; a member of cell m goes to the pairs (m, j) and (i, m).
-    m = F.pmod(F.xxhash64("fp"), F.coalesce(F.col("s"), F.lit(1))).cast("int")
-    rows = rows.withColumn("m", m).withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("s"), F.lit(1)) - 1)))
-    rows = rows.select("c", "v", F.least("m", "o").alias("i"), F.greatest("m", "o").alias("j"), "m", "fp")
+    sizes = rows.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
+    hot = settle(sizes.select("c", "v"), n)
+    if not hot.limit(1).count():
+        return _small_shards(rows, radius).distinct()
+    sent = F.broadcast(hot) if hot.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS else hot
+    small = _small_shards(rows.join(sent, ["c", "v"], "left_anti"), radius)
+    return small.unionByName(_large_shards(settle(rows.join(sent, ["c", "v"], "left_semi")), radius)).distinct()
 
+
+def _small_shards(rows: DataFrame, radius: int) -> DataFrame:
+    """a, b: each shard (c, v) goes to one task, which builds its tree."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, left, right, out = None, [], [], []
+        key, members, out = None, [], []
+        for b in batches:
+            c, v, f = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy().view(np.uint64).tolist()
+            for row in zip(c, v, f, strict=True):
+                if row[:2] != key:
+                    out += _shard_edges(members, radius) if len(members) > 1 else []
+                    key, members = row[:2], []
+                members.append(row[2])
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        yield _edges(out + (_shard_edges(members, radius) if len(members) > 1 else []))
 
-        def emit():
-            a, b = zip(*out, strict=True) if out else ((), ())
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    spread = rows.repartition(F.col("c"), F.col("v")).sortWithinPartitions("c", "v", "fp")
+    return spread.mapInArrow(search, "a long, b long")
 
-        def close():
-            if key is not None and len(left) + len(right) > 1:
-                out.extend((x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y) for x, y in _shard_edges(left, right, radius))
 
-        for b in batches:
-            c, v, i, j, m, f = (b.column(x).to_numpy() for x in range(6))
-            for row in zip(c.tolist(), v.tolist(), i.tolist(), j.tolist(), m.tolist(), f.view(np.uint64).tolist(), strict=True):
-                if row[:4] != key:
-                    close()
-                    key, left, right = row[:4], [], []
-                (left if row[4] == row[2] else right).append(row[5])
-            if len(out) > 10_000:
-                yield emit()
-        close()
-        yield emit()
+def _large_shards(rows: DataFrame, radius: int) -> DataFrame:
+    """a, b: the trees of large shards are broadcast, ``TREE_NODES`` nodes at a time, to the members where they are.
 
-    spread = rows.repartition(F.col("c"), F.col("v"), F.col("i"), F.col("j")).sortWithinPartitions("c", "v", "i", "j", "fp")
-    return spread.mapInArrow(search, "a long, b long").distinct()
+    The members themselves are not shuffled and not copied; each block of trees is one pass
+    over them, and its edges (in each task at most members + nodes) are written.
+    """
+    spark = rows.sparkSession
+    blocks = -(-rows.count() // TREE_NODES)
+    at = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    for k in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("fp"), F.lit(blocks)) == k).toArrow()  # near TREE_NODES rows of 20 bytes
+        sent = spark.sparkContext.broadcast(tuple(own[c].to_numpy() for c in ("c", "v", "fp")))
+
+        def probe(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            nodes: dict[tuple[int, int], list[int]] = {}
+            for c, v, f in zip(*(x.tolist() for x in sent.value[:2]), sent.value[2].view(np.uint64).tolist(), strict=True):
+                nodes.setdefault((c, v), []).append(f)
+            trees: dict[tuple[int, int], tuple[BKTree, Parts]] = {}
+            for b in batches:
+                out = []
+                for c, v, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy().view(np.uint64).tolist(), strict=True):
+                    if (c, v) not in trees:
+                        tree = BKTree()
+                        for x in nodes.get((c, v), ()):
+                            tree.add(x)
+                        trees[c, v] = tree, Parts()
+                    tree, parts = trees[c, v]
+                    out += [(f, w) for w in tree.near(f, radius) if w != f and parts.join(f, w)]
+                yield _edges(out)
+
+        rows.mapInArrow(probe, "a long, b long").write.parquet(f"{at}/k={k}")
+        sent.unpersist()
+    return spark.read.schema("a long, b long").parquet(at).select("a", "b")
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(map(_signed, a), pa.int64()), pa.array(map(_signed, b), pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
