@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.costs import CostModel
 from .statistics import seeded_shuffle
 
 
@@ -21,6 +22,31 @@ def snapshot(fills: DataFrame, account: str, asset: str, order: list[str], cash:
         "equity", F.col("cash") + F.col("market_value"))
 
 
+def simulate(book: DataFrame, at: str, costs: CostModel, capital: float = 1.0) -> DataFrame:
+    """at, trades, turnover, cost_return, gross_return, equity: a paper account that rebalances to the targets of each decision and is marked before the next.
+
+    ``book``: at, asset_id, weight (target), forward_return (until the next decision), volatility,
+    participation. What is held drifts with the returns, so a decision trades from the drifted to the
+    new weights, and sells what is no target any more. Equity is after the mark; it ends at zero
+    once a loss takes everything.
+    """
+    order = book.select(at).distinct().withColumn("_n", F.row_number().over(Window.orderBy(at)))  # one row a decision
+    own = book.join(order, at)
+    gross = own.groupBy("_n").agg(F.sum(F.col("weight") * F.col("forward_return")).alias("gross_return"))
+    growth = F.greatest(F.lit(0.0), 1 + F.col("gross_return"))
+    held = own.join(gross, "_n").select((F.col("_n") + 1).alias("_n"), "asset_id", F.when(growth > 0, F.col("weight") * (1 + F.col("forward_return")) / growth).otherwise(0.0).alias("_held"))
+    moves = own.select("_n", "asset_id", "weight", "volatility", "participation").join(held, ["_n", "asset_id"], "full_outer").join(order, "_n")  # nothing is traded after the last decision
+    delta = F.coalesce("weight", F.lit(0.0)) - F.coalesce("_held", F.lit(0.0))
+    zero = F.lit(0.0)
+    parts = costs.columns(F.col("_d"), F.coalesce("volatility", zero), F.coalesce("participation", zero), zero, zero)
+    traded = moves.withColumn("_d", delta).groupBy("_n", at).agg(F.count_if(F.abs("_d") > 1e-12).alias("trades"), F.sum(F.abs("_d")).alias("turnover"), F.sum(parts["total"]).alias("cost_return"))
+    both = traded.join(gross, "_n")
+    step = F.greatest(zero, 1 - F.col("cost_return")) * F.greatest(zero, 1 + F.col("gross_return"))
+    w = Window.orderBy(at).rowsBetween(Window.unboundedPreceding, 0)  # one row a decision
+    equity = F.when(F.min(step).over(w) <= 0, 0.0).otherwise(F.lit(capital) * F.exp(F.sum(F.log(F.greatest(step, F.lit(1e-300)))).over(w)))
+    return both.select(at, "trades", "turnover", "cost_return", "gross_return", equity.alias("equity"))
+
+
 def intents(rows: DataFrame, at: str, weight: str, account_equity: float, sessions: DataFrame | None = None) -> DataFrame:
     """Orders of the latest decision: asset, side, target weight, notional and, given ``sessions`` (column ``at``), the session at whose open they go out."""
     last = rows.agg(F.max(at).alias("t")).scalar()

@@ -13,7 +13,7 @@ from ..operators import market, models, paper, portfolio, quality, statistics, t
 from ..sources import adapters as src
 from ..sources import stores
 from .market import LABELS
-from .models import CHAIN, COSTS, LIM, MD, PERIODS, book, candidates
+from .models import CHAIN, COSTS, LIM, MD, PERIODS, _cost_sql, book, candidates
 from .registry import query, rounded
 
 t = src.table
@@ -38,6 +38,21 @@ def m20b(spark, sf):
     return rounded(paper.positions(f, ["account"], ["d"]).select("account", "d", F.col("position").cast("double").alias("position")))
 
 
+_MOVE = {k: e for k, e in _cost_sql("d", False).items() if k != "borrow"}
+
+
+@query("M20_paper_account", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, {CHAIN}, {PERIODS}, b AS (SELECT ts, asset_id, weight, (exp(2 * least(forward_return, 5) / 50) - 1) / (exp(2 * least(forward_return, 5) / 50) + 1) AS fr, abs(weight) * 1e6 / dollar_volume AS part FROM book WHERE abs(weight) > 1e-12),
+o AS (SELECT ts, row_number() OVER (ORDER BY ts) AS n FROM (SELECT DISTINCT ts FROM b)), w AS (SELECT b.*, n FROM b JOIN o USING (ts)), g AS (SELECT n, sum(weight * fr) AS gross FROM w GROUP BY n),
+h AS (SELECT w.n + 1 AS n, asset_id, weight * (1 + fr) / (1 + gross) AS held FROM w JOIN g USING (n)), m AS (SELECT n, coalesce(weight, 0) - coalesce(held, 0) AS d, CASE WHEN weight IS NULL THEN 0.0::DOUBLE ELSE 0.02 END AS vol, coalesce(part, 0.0) AS part FROM w FULL JOIN h USING (n, asset_id)),
+tr AS (SELECT o.ts, o.n, count(*) FILTER (WHERE abs(d) > 1e-12) AS trades, sum(abs(d)) AS turnover, sum({' + '.join(_MOVE.values())}) AS cost_return FROM m JOIN o USING (n) GROUP BY ALL)
+SELECT ts, trades, round(turnover, 6) AS turnover, round(cost_return, 9) AS cost_return, round(gross, 6) + 0.0::DOUBLE AS gross_return, round(1e6 * exp(sum(ln((1 - cost_return) * (1 + gross))) OVER (ORDER BY ts)), 2) AS equity FROM tr JOIN g USING (n)""")
+def m20c(spark, sf):
+    e = F.exp(2 * F.least(F.col("forward_return"), F.lit(5)) / 50)
+    b = book(spark, sf).withColumns({"forward_return": (e - 1) / (e + 1), "volatility": F.lit(0.02)})
+    a = paper.simulate(b, "ts", COSTS, 1e6)
+    return a.select("ts", "trades", F.round("turnover", 6).alias("turnover"), F.round("cost_return", 9).alias("cost_return"), (F.round("gross_return", 6) + F.lit(0.0)).alias("gross_return"), F.round("equity", 2).alias("equity"))
+
+
 @query("M21_latest_intents", f"WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, {CHAIN} SELECT asset_id, ts, CASE WHEN weight > 0 THEN 'buy' ELSE 'sell' END AS side, round(weight, 6) + 0.0::DOUBLE AS target_weight, round(abs(weight) * 1e6, 2) AS notional, (SELECT min(ts) FROM bars WHERE ts > (SELECT max(ts) FROM book WHERE abs(weight) > 1e-12)) AS next_open FROM book WHERE abs(weight) > 1e-12 AND ts = (SELECT max(ts) FROM book WHERE abs(weight) > 1e-12)")
 def m21(spark, sf):
     i = paper.intents(book(spark, sf), "ts", "weight", 1e6, src.bars(spark, sf).select("ts"))
@@ -130,12 +145,6 @@ def a35(spark, sf):
     return models.rubric(t(spark, sf, "part"), points, ["p_brand"]).select("p_partkey", "total", "place")
 
 
-@query("G12_verification", "SELECT conv_id, bool_and(text IS NOT NULL AND length(text) > 0) AS has_text, bool_and(role IN ('user', 'assistant', 'system')) AS known_roles, bool_and(text IS NOT NULL AND length(text) > 0) AND bool_and(role IN ('user', 'assistant', 'system')) AS accepted FROM conversations GROUP BY conv_id")
-def g12(spark, sf):
-    has, known = F.bool_and(F.col("text").isNotNull() & (F.length("text") > 0)), F.bool_and(F.col("role").isin("user", "assistant", "system"))
-    return t(spark, sf, "conversations").groupBy("conv_id").agg(has.alias("has_text"), known.alias("known_roles"), (has & known).alias("accepted"))
-
-
 @query("G23_content_ids", "SELECT page_id, sha256(html) = sha256(trim(html)) AS unchanged, sha256(html) AS content_id FROM pages")
 def g23(spark, sf):
     return t(spark, sf, "pages").select("page_id", (F.sha2("html", 256) == F.sha2(F.trim("html"), 256)).alias("unchanged"), F.sha2("html", 256).alias("content_id"))

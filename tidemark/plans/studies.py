@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..operators import market, models, portfolio, textwindow
+from ..operators import audit, market, models, portfolio, textwindow
 from ..sources import adapters as src
 from .derived import flags
 from .joins import DEC, FUND, SIG, decisions, fundamentals, signals
@@ -17,6 +17,10 @@ from .registry import ORACLES, QUERIES, query, r, rounded
 t = src.table
 
 
+def _sql_names(names: list[str]) -> str:
+    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
+
+
 def part(name: str, of: str, columns: list[str], where: str | None = None) -> None:
     """Registers columns of a wider query under the id of the operator that makes them; Catalyst prunes the rest."""
     whole, picked = QUERIES[of], ", ".join(columns)
@@ -206,13 +210,67 @@ def m24(spark, sf):
     return rounded(models.frozen(x, models.walk_forward(x, FEATURES), 10231, FEATURES, ["asset_id", "ts"]), 4)
 
 
-_AUDIT = (("censored", "forward_return IS NULL"), ("starts_early", "label_start <= ts"), ("crosses_cutoff", "ts < DATE '1998-01-05' AND label_end >= DATE '1998-01-05'"), ("no_volume", "volume <= 0"))
-
-
-@query("G14_holdout_audit", f"WITH {src.BARS}, {LABELS} SELECT asset_id, ts, {flags(*_AUDIT)} AS findings FROM labels")
+# A sound record for each order; the orders of one remainder break one statement.
+_STATEMENTS = ["registry_state_revealed", "reservation_precedes_result", "global_holdout_use_recorded", "frozen_model_unchanged", "candidate_lineage_exact", "execution_contracts_unchanged", "required_baselines_present", "holdout_result_artifact_hashes_bound",
+               "holdout_pipeline_run_bound", "development_pipeline_run_bound", "all_attempts_retained", "holdout_contract_exact", "development_reserved_result_absent", "analyst_holdout_result_unreachable", "holdout_manifest_file_hash_bound"]
+
+
+def holdout_records(spark, sf):
+    k = F.col("o_orderkey")
+    at = lambda name, broken, sound: F.when(k % 40 == _STATEMENTS.index(name), broken).otherwise(sound)
+    x, y = F.lit("x"), F.lit("y")
+    names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    run = lambda p, stage, name: {
+        f"{p}_final_hash": x, f"{p}_bound_hash": x, f"{p}_id": x, f"{p}_bound_id": x, f"{p}_status": F.lit("complete"), f"{p}_stage": F.lit(stage), f"{p}_config": x, f"{p}_bound_config": x,
+        f"{p}_artifacts": F.create_map(F.lit("a"), x, F.lit("b"), y), f"{p}_found": F.create_map(F.lit("b"), at(name, x, y), F.lit("a"), x)}
+    use = F.struct(F.lit("reveal_reservation").alias("source"), x.alias("event"))
+    attempt = lambda outcome, artifact: F.struct(F.lit("completed").alias("status"), F.lit(outcome).alias("outcome"), artifact.cast("string").alias("artifact"))
+    identity = F.concat_ws("|", F.col("o_custkey").cast("string"), F.col("o_orderdate").cast("string"))
+    return t(spark, sf, "orders").select(k, *(c.alias(n) for n, c in {
+        "state": at("registry_state_revealed", "holdout_reserved", "holdout_revealed"), "reservation_seq": at("reservation_precedes_result", 9, 3), "revealed_seq": F.lit(5), "reservation_event": x, "uses": at("global_holdout_use_recorded", F.array(use, use), F.array(use)),
+        "training_updates": F.lit(0), "model_before": x, "model_after": at("frozen_model_unchanged", "y", "x"), "model_now": x, "candidate": x, "frozen_candidate": at("candidate_lineage_exact", None, "x"), "manifest": y, "frozen_manifest": y,
+        "definition": x, "compiled_definition": x, "frozen_definition": x, "evaluation": x, "frozen_evaluation": x, "costs": x, "compiled_costs": at("execution_contracts_unchanged", "y", "x"), "constraints": x, "compiled_constraints": x,
+        "required_families": names("a", "b"), "families": at("required_baselines_present", names("b", "c"), names("c", "b", "a")), "bound_artifacts": F.create_map(F.lit("m"), x), "found_artifacts": F.create_map(F.lit("m"), at("holdout_result_artifact_hashes_bound", "y", "x")),
+        **run("run", "holdout_evaluation", "holdout_pipeline_run_bound"), **run("dev", "backtest", "development_pipeline_run_bound"),
+        "attempts": F.array(attempt("proposal", at("all_attempts_retained", None, "x")), attempt("abstention", F.lit(None))), "attempt_count": F.lit(2), "attempts_hash": x, "attempts_now": x,
+        "identity": identity, "frozen_identity": identity, "study_identity": at("holdout_contract_exact", "other", identity), "development_keys": at("development_reserved_result_absent", names("ok", "holdout"), names("ok")), "forbidden_keys": names("holdout"),
+        "analyst_texts": F.array(F.lit("plain"), at("analyst_holdout_result_unreachable", "see id-77 there", "nothing")), "secrets": names("id-77"), "revealed_manifest": y, "manifest_file": at("holdout_manifest_file_hash_bound", "x", "y")}.items()))
+
+
+@query("G14_holdout_audit", f"SELECT o_orderkey, coalesce({_sql_names(_STATEMENTS)}[o_orderkey % 40 + 1], '') AS findings FROM orders")
 def g14(spark, sf):
-    l = market.forward_labels(src.bars(spark, sf), 1)
-    return l.select("asset_id", "ts", F.array_join(core.rule_flags(*((n, F.expr(c)) for n, c in _AUDIT)), ",").alias("findings"))
+    return audit.holdout_audit(holdout_records(spark, sf)).select("o_orderkey", F.array_join("findings", ",").alias("findings"))
+
+
+_CHECKED = ["study_development_open", "input_identities_match", "tool_results_exact", "rounds_chained", "terminal_artifact_hash_bound", "content_hash_recomputes", "forbidden_content_absent", "evidence_citations_valid", "evidence_roles_disjoint", "counterevidence_challenged",
+            "quantitative_claims_bound", "study_scope_matches", "required_inputs_catalogued", "template_permitted", "parameters_in_frozen_space", "required_controls_retained", "limitations_and_failure_conditions_present", "point_in_time_reentry_required",
+            "abstention_queries_attempted", "abstention_missing_inputs_consistent"]
+
+
+def proposal_records(spark, sf):
+    k = F.col("o_orderkey")
+    at = lambda name, broken, sound: F.when(k % 30 == _CHECKED.index(name), broken).otherwise(sound)
+    names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
+    abstains = (k % 30).isin(_CHECKED.index("abstention_queries_attempted"), _CHECKED.index("abstention_missing_inputs_consistent"), 25, 26)
+    h, first = F.sha2(k.cast("string"), 256), F.repeat(F.lit("0"), F.lit(64))
+    turn = lambda step, previous, i: F.struct(F.lit(step).alias("step"), previous.alias("previous"), i.alias("id"))
+    claim = lambda v, ref: F.struct(F.lit(v).alias("value"), F.lit(ref).alias("reference"))
+    bounds = lambda lo, hi: F.struct(F.lit(lo).alias("low"), F.lit(hi).alias("high"))
+    return t(spark, sf, "orders").select(k, *(c.alias(n) for n, c in {
+        "kind": F.when(abstains, "abstention").otherwise("proposal"), "attempt_status": at("study_development_open", "completed", "reserved"), "ids": names("s", "a", "b"), "expected": at("input_identities_match", names("s", "b", "a"), names("s", "a", "b")),
+        "tool_results": names("t1", "t2"), "round_results": at("tool_results_exact", names("t2"), names("t2", "t1")), "rounds": F.array(turn(1, first, F.lit("r1")), turn(2, at("rounds_chained", "r0", "r1"), F.lit("r2"))), "artifact_hash": at("terminal_artifact_hash_bound", "abc", h),
+        "content_hash": h, "recomputed_hash": at("content_hash_recomputes", first, h), "texts": F.array(F.lit("a plan"), at("forbidden_content_absent", "DROP Table now", "fine")), "forbidden": names("drop table", "http://"),
+        "retrieved": names("e1", "e2", "e3"), "citations": at("evidence_citations_valid", names("e9"), names("e1")), "counter_citations": at("evidence_roles_disjoint", names("e1", "e2"), names("e2")), "queries": names("q1", "q2"),
+        "searches": F.when(k % 30 == _CHECKED.index("abstention_queries_attempted"), names("q9")).otherwise(at("counterevidence_challenged", names(), names("q1"))), "claims": F.array(claim(0.5, "m1"), claim(2.0, "m2")),
+        "references": F.create_map(F.lit("m1"), F.lit(0.5), F.lit("m2"), at("quantitative_claims_bound", 2.5, 2.0)), "scope": names("h5", "ret"), "study_scope": at("study_scope_matches", names("h1", "ret"), names("h5", "ret")), "inputs": at("required_inputs_catalogued", names("i7"), names("i1")),
+        "catalogue": names("i1", "i2"), "template": at("template_permitted", "free", "linear"), "templates": names("linear", "rank"), "parameters": F.create_map(F.lit("k"), at("parameters_in_frozen_space", 99.0, 5.0)), "space": F.create_map(F.lit("k"), bounds(1.0, 10.0)),
+        "controls": at("required_controls_retained", names("c2"), names("c1", "c2")), "required_controls": names("c1"), "conditions": F.array(names("a"), at("limitations_and_failure_conditions_present", names(), names("b"))),
+        "latest_available": at("point_in_time_reentry_required", 11, 9), "cutoff": F.lit(10), "reason": F.lit("missing_input"), "missing_inputs": at("abstention_missing_inputs_consistent", names("i1"), names("i8"))}.items()))
+
+
+@query("G12_verification", f"SELECT o_orderkey, coalesce({_sql_names(_CHECKED)}[o_orderkey % 30 + 1], '') AS failed FROM orders")
+def g12(spark, sf):
+    return audit.proposal_checks(proposal_records(spark, sf)).select("o_orderkey", F.array_join("failed", ",").alias("failed"))
 
 
 _BIND = (("no_request", "role = 'assistant' AND coalesce(previous, 'none') <> 'user'"), ("empty_answer", "role = 'assistant' AND length(trim(coalesce(text, ''))) = 0"), ("repeats_request", "text = previous_text"))
