@@ -89,7 +89,7 @@ _SCORED = """sq AS (SELECT l.asset_id, l.ts, l.close, l.volume, b.high, b.low, (
   FROM labels l JOIN bars b ON b.asset_id = l.asset_id AND b.ts = l.ts WHERE forward_return IS NOT NULL)"""
 
 
-def scored(spark, sf):
+def squeezed(spark, sf):
     l = market.forward_labels(src.bars(spark, sf), 1).where("forward_return is not null")
     c, o, y = (F.col(n) for n in ("close", "open", "forward_return"))
     return l.select("asset_id", "ts", "close", "volume", "high", "low", ((c - o) / (c + o)).alias("score"), (y / (2 + y)).alias("y"), ((c - o) / c / 10).alias("expected"))
@@ -97,7 +97,7 @@ def scored(spark, sf):
 
 @query("A16_prediction_metrics", f"""WITH {src.BARS}, {LABELS}, {_SCORED}, sg AS (SELECT 'all' AS segment, * FROM sq), {metrics_sql('sg', 'segment', 'ts', 10)} SELECT * FROM metrics""")
 def a16b(spark, sf):
-    return rounded(models.prediction_metrics(scored(spark, sf).withColumn("segment", F.lit("all")), ["segment"], "ts", 10))
+    return rounded(models.prediction_metrics(squeezed(spark, sf).withColumn("segment", F.lit("all")), ["segment"], "ts", 10))
 
 
 TIES = "s AS (SELECT asset_id, ts, round(close / 100) AS score, forward_return AS y FROM labels WHERE forward_return IS NOT NULL)"
@@ -139,7 +139,7 @@ sg AS (SELECT dimension || ': ' || value AS segment, ts, score, y, expected FROM
 def a19(spark, sf):
     heard = src.signals(spark, sf).where("novelty > 0.5").groupBy("asset_id", F.trunc("available_at", "week").alias("ts")).agg(F.collect_set("source_type").alias("sources"), F.collect_set("event_type").alias("events"))
     none = F.array().cast("array<string>")
-    x = scored(spark, sf).join(src.assets(spark, sf), "asset_id").join(heard, ["asset_id", "ts"], "left").withColumns({"sources": F.coalesce("sources", none), "events": F.coalesce("events", none)})
+    x = squeezed(spark, sf).join(src.assets(spark, sf), "asset_id").join(heard, ["asset_id", "ts"], "left").withColumns({"sources": F.coalesce("sources", none), "events": F.coalesce("events", none)})
     there = lambda c: F.when(F.size(c) > 0, "available").otherwise("missing")
     volatility = core.volatility_bucket(F.lit(None).cast("string"), F.lit(None).cast("double"), (F.col("high") - F.col("low")) / F.col("close") / 50)
     return rounded(models.prediction_metrics(models.segments(x, {
