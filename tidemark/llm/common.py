@@ -54,6 +54,12 @@ def clean(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table over all cores where it has fewer splits than there are (one row group is one split); larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def gathered(df: DataFrame) -> DataFrame:
     """``df`` with fewer partitions if its scan has very small ones: each task that writes makes a file.
 

@@ -144,9 +144,9 @@ class WindowNetwork:
 
     def __init__(self, seed: int = 3) -> None:
         rng = np.random.default_rng(seed)
-        init = lambda *s: rng.normal(0, 0.3, s)
-        self.p = {"L": init(CLASSES, EMBED), "R": init(CLASSES, EMBED), "A": init(EMBED, HIDDEN), "B": init(EMBED, HIDDEN), "h0": np.zeros(HIDDEN),
-                  "O": init(HIDDEN, CLASSES), "o": np.zeros(CLASSES)}
+        init = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
+        self.p = {"L": init(CLASSES, EMBED), "R": init(CLASSES, EMBED), "A": init(EMBED, HIDDEN), "B": init(EMBED, HIDDEN), "h0": np.zeros(HIDDEN, np.float32),
+                  "O": init(HIDDEN, CLASSES), "o": np.zeros(CLASSES, np.float32)}
 
     def _forward(self):
         p = self.p
@@ -160,8 +160,8 @@ class WindowNetwork:
         total = counts.sum()
         if not total:
             return self
-        target = counts.transpose(0, 2, 1).reshape(-1, CLASSES) / total
-        self.p["o"] = np.log(target.sum(0) + 1e-6)
+        target = (counts.transpose(0, 2, 1).reshape(-1, CLASSES) / total).astype(np.float32)
+        self.p["o"] = np.log(target.sum(0) + np.float32(1e-6))
         weight, m, v = target.sum(1, keepdims=True), {}, {}
         for step in range(1, steps + 1):
             p = self.p
@@ -173,13 +173,13 @@ class WindowNetwork:
             for k in p:
                 m[k] = 0.9 * m.get(k, 0) + 0.1 * g[k]
                 v[k] = 0.99 * v.get(k, 0) + 0.01 * g[k] ** 2
-                p[k] = p[k] - rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)
+                p[k] = (p[k] - rate * (1 - step / (steps + 1)) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-9)).astype(np.float32)
         return self
 
     def table(self) -> np.ndarray:
         """log p[left, masked, right], flat: the network run on every context once."""
         logp = self._forward()[1].reshape(CLASSES, CLASSES, CLASSES)
-        return logp.transpose(0, 2, 1).reshape(-1)
+        return logp.transpose(0, 2, 1).reshape(-1).astype(np.float64)
 
 
 class Model:
