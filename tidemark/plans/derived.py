@@ -14,7 +14,7 @@ from ..operators import text as textops
 from ..functions import text as T
 from ..sources import adapters as src
 from ..sources import readers, stores, synthetic
-from ..sources.checkpoints import shared_dir
+from ..sources.checkpoints import scratch
 from .joins import DEC, SIG, decisions, signals
 from .market import LABELS, W
 from .models import CHAIN, LIM, MD, candidates
@@ -25,7 +25,7 @@ t = src.table
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/{uuid.uuid4().hex}"
 
 
 def flags(*rules: tuple[str, str]) -> str:

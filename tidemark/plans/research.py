@@ -153,9 +153,9 @@ def g23(spark, sf):
 @query("S12_partitioned_round_trip", "SELECT regexp_replace(o_orderpriority, '[^A-Za-z0-9._-]+', '_', 'g') AS o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
 def s12(spark, sf):
     """Written as partitioned Parquet and read back with its folders as a column."""
-    from ..sources.checkpoints import shared_dir
+    from ..sources.checkpoints import scratch
 
-    at = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    at = f"{scratch(spark)}/{uuid.uuid4().hex}"
     stores.write_partitioned(t(spark, sf, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), at, ["o_orderpriority"])
     return rounded(spark.read.parquet(at).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total")), 2)
 

@@ -15,7 +15,7 @@ TOKS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), la
 
 
 def docs(spark, sf):
-    return src.table(spark, sf, "documents")
+    return src.spread(src.table(spark, sf, "documents"))
 
 
 def _sql_list(xs) -> str:

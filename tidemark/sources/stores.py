@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.core import path_component
 
 
-def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_file: int = 10_000, mode: str = "errorifexists") -> None:
+def write_partitioned(df: DataFrame, path: str, by: list[str], rows_per_file: int = 0, mode: str = "errorifexists") -> None:
     """Hive-partitioned zstd Parquet with safe folder names; nested values are kept as JSON text.
 
     Rows of one folder are brought together as far as tasks stay of one size: large folders
-    are written by several tasks, small ones share one.
+    are written by several tasks, small ones share one. ``rows_per_file`` bounds the rows of a
+    file for readers that need it (0: files as large as their task).
     """
     nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("struct", "array", "map")]
     df = df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
