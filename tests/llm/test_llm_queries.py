@@ -7,13 +7,14 @@ from test_llm_operators import awkward, bench, labels
 from tidemark.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "labels", "benchmark", "embeddings")
+TABLES = ("documents", "labels", "benchmark", "embeddings", "pages")
 #: Columns that every result has.
 COLUMNS = {
     "op1_exact_topk": {"query_id", "rank", "vec_id", "score"}, "op2_extendible_sharding": {"doc_id", "shard", "depth", "shard_bytes"}, "op3_personal_data": {"doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"},
     "op4_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op5_license_scan": {"doc_id", "rules", "licenses"}, "op6_quality": {"doc_id", "held_out", "score", "predicted"},
     "op7_decontamination": {"doc_id", "item_id", "matched", "compared"}, "op8_best_fit_packing": {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}, "op9_lm_scoring": {"doc_id", "log_likelihood"},
-    "op10_simhash_dedup": {"doc_id", "fingerprint", "component_id"},
+    "op10_simhash_dedup": {"doc_id", "fingerprint", "component_id"}, "op11_periodic_runs": {"doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"},
+    "op12_warc": {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}, "op13_hard_negatives": {"anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"},
 }
 
 
@@ -27,7 +28,10 @@ def odd(spark, tmp_path_factory):
     labels(spark).write.parquet(str(at / "labels.parquet"))
     bench(spark).write.parquet(str(at / "benchmark.parquet"))
     vectors = [(0, [1.0, 2.0]), (50, [0.5, -1e9]), (50, [0.5, -1e9]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (None, [1.0, 1.0]), (4, [1e10, 1.0]), (5, [1.0, 2.0]), (6, [1.0, 2.0])]
-    spark.createDataFrame([(i, v, "c") for i, v in vectors], "vec_id long, embedding array<double>, score string").write.parquet(str(at / "embeddings.parquet"))
+    vectors = [(i, v, "c", 0 if i is None else i % 3) for i, v in vectors] + [(49, [1.5, 2.0], None, 1), (70, [0.5, 1.0], None, 9), (71, [0.5, 1.0], None, None), (72, [0.4, 1.0], None, 1), (73, [0.9, 1.0], None, 0), (73, [0.8, 1.0], None, 2)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, score string, label int").write.parquet(str(at / "embeddings.parquet"))
+    pages = [(1, "u", "a", 3), (1, "u", "a", 3), (2, None, "a", 4), (None, "u", None, 5), (3, "\r\nx", "", 6), (4, "u", "WARC/1.1\r\n\r\n", 7), (None, None, "b", None), (5, "u", "z" * 200_000, 8)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, payload_bytes long").write.parquet(str(at / "pages.parquet"))
     return str(at)
 
 

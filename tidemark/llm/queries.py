@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, licenses, lm, packing, pii, quality, sharding, simhash, topk, toxicity
+from . import decontam, licenses, lm, mining, packing, periodic, pii, quality, sharding, simhash, topk, toxicity, warc
 from .common import spread, table
 
 
@@ -56,10 +56,24 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(documents(spark, sf_dir))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spread(table(spark, sf_dir, "pages")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return mining.hard_negatives(rows, F.col("i") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_exact_topk, op2_extendible_sharding, op3_personal_data, op4_toxicity, op5_license_scan, op6_quality, op7_decontamination,
-              op8_best_fit_packing, op9_lm_scoring, op10_simhash_dedup)
+              op8_best_fit_packing, op9_lm_scoring, op10_simhash_dedup, op11_periodic_runs, op12_warc, op13_hard_negatives)
 }
 
 ORACLES: dict[str, str] = {
@@ -76,4 +90,6 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM s QUALIFY rank <= 5""",
     "op2_extendible_sharding": sharding.ORACLE,
     "op5_license_scan": licenses.ORACLE,
+    "op12_warc": warc.ORACLE,
+    "op13_hard_negatives": mining.ORACLE,
 }
