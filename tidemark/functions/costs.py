@@ -33,3 +33,10 @@ class CostModel:
             "borrow": F.abs(F.least(F.lit(0.0), short_exposure)) * (self.borrow_bps_per_year / 1e4) * F.greatest(F.lit(0.0), days) / 365.0,
         }
         return out | {"total": sum(out.values(), F.lit(0.0))}
+
+    def amount(self, turnover: float, volatility: float = 0.0, participation: float = 0.0, short_exposure: float = 0.0, days: float = 0.0) -> float:
+        """The total of ``columns`` for one trade, where an account's state decides the trade."""
+        traded, vol, part = abs(turnover), max(0.0, volatility), max(0.0, participation)
+        bps = self.commission_bps + self.half_spread_bps + self.slippage_bps + part * self.participation_slippage_bps
+        by_risk = vol * (self.volatility_slippage_multiplier + self.market_impact_multiplier * part**0.5)
+        return traded * (bps / 1e4 + by_risk) + abs(min(0.0, short_exposure)) * self.borrow_bps_per_year / 1e4 * max(0.0, days) / 365.0
