@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import core
 from ..functions.core import holm
 from ..functions.costs import CostModel
-from ..operators import market, models, portfolio, statistics
+from ..operators import accounts, market, models, portfolio, statistics
 from ..sources import adapters as src
 from .market import LABELS
 from .registry import query, r, rounded
@@ -257,6 +257,43 @@ def f16(spark, sf):
     return portfolio.eligibility(c, lim).select("ts", "asset_id", F.array_join("reasons", ",").alias("reasons"))
 
 
+CAPITAL = {"small": 1e4, "middle": 1e6, "large": 1e9}
+RULES = accounts.Rules(LIM, COSTS)
+
+
+def account_events(spark, sf):
+    """Each decision as a round trip, once for each capital."""
+    damped = F.tanh(F.least(F.col("forward_return"), F.lit(5.0)) / 50)  # as in period_rows
+    leg = F.struct("asset_id", F.col("weight").alias("target"), F.col("close").cast("double").alias("price"), F.col("dollar_volume").cast("double").alias("dollar_volume"), "sector", F.col("beta").cast("double").alias("beta"), F.lit(0.02).alias("volatility"),
+                   F.lit(True).alias("short_available"), F.lit(False).alias("hard_to_borrow"), damped.alias("forward_return"))
+    legs = portfolio.top_k(candidates(spark, sf), 6, ["ts"], LIM).groupBy("ts").agg(F.array_sort(F.collect_list(leg)).alias("legs"))  # six a decision
+    who = F.explode(F.array(*(F.struct(F.lit(k).alias("account"), F.lit(v).alias("capital")) for k, v in CAPITAL.items()))).alias("who")
+    return legs.select(who, "ts", "legs").select("who.account", F.col("ts").cast("timestamp").alias("at"), F.lit(0).cast("bigint").alias("seq"), F.lit("round_trip").alias("kind"), F.lit(7.0).alias("holding_days"), "legs", "who.capital")
+
+
+_ENTER, _LEAVE = ({k: e.replace("vol", "0.02") for k, e in _cost_sql(w, b).items()} for w, b in (("w", True), ("w * (1 + fr)", False)))
+_LEFT = {k: e.replace("part", "out_part") for k, e in _LEAVE.items()}
+
+
+@query("M09_equity_coupled_accounts", f"""WITH RECURSIVE {src.ASSETS}, {src.BARS}, {LABELS}, {MD.replace('t0 AS', 'ta AS')}, t0 AS (SELECT * FROM ta WHERE close >= {LIM.min_price} AND dollar_volume >= {LIM.min_dollar_volume}), {CHAIN.replace(str(LIM.max_daily_turnover), str(LIM.max_daily_turnover / 2.1))},
+legs AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY ts) AS n, ts, sector, beta, dollar_volume, w5, (exp(2 * least(forward_return, 5) / 50) - 1) / (exp(2 * least(forward_return, 5) / 50) + 1) AS fr FROM t5),
+s AS (SELECT unnest({list(CAPITAL)}) AS account, unnest({list(CAPITAL.values())})::DOUBLE AS equity, 0::BIGINT AS n, NULL::DATE AS ts, 0.0::DOUBLE AS gross_return, 0.0::DOUBLE AS cost_return, 0.0::DOUBLE AS turnover, 0.0::DOUBLE AS gross, 0.0::DOUBLE AS net, 0::BIGINT AS trades
+  UNION ALL
+  SELECT account, equity * greatest(0.0, 1 + sum(w * fr) - sum({' + '.join(_ENTER.values())} + {' + '.join(_LEFT.values())})), n, ts, sum(w * fr), sum({' + '.join(_ENTER.values())} + {' + '.join(_LEFT.values())}), sum(abs(w) + abs(w * (1 + fr))), sum(abs(w)), sum(w), 2 * count(*)
+  FROM (SELECT *, abs(w) * equity / dollar_volume AS part, abs(w * (1 + fr)) * equity / dollar_volume AS out_part FROM (
+    SELECT *, w6 * least(1.0, {LIM.max_gross_exposure} / greatest(g, {LIM.max_gross_exposure}), {LIM.max_net_exposure} / greatest(abs(nn), {LIM.max_net_exposure}), {LIM.max_beta_exposure} / greatest(abs(bb), {LIM.max_beta_exposure}), {LIM.max_sector_weight} / greatest(xx, {LIM.max_sector_weight})) AS w FROM (
+      SELECT *, sum(abs(w6)) OVER (PARTITION BY account) AS g, sum(w6) OVER (PARTITION BY account) AS nn, sum(w6 * beta) OVER (PARTITION BY account) AS bb, max(x) OVER (PARTITION BY account) AS xx FROM (
+        SELECT *, sum(abs(w6)) OVER (PARTITION BY account, sector) AS x FROM (
+          SELECT s.account, s.equity, legs.*, sign(w5) * least(abs(w5), {LIM.max_participation_rate} / 1.1 * dollar_volume / s.equity) AS w6 FROM s JOIN legs ON legs.n = s.n + 1)))))
+  GROUP BY account, equity, n, ts)
+SELECT account, ts, 'ok' AS status, round(equity / list_extract(map_extract(MAP {{{', '.join(f"'{k}': {v}" for k, v in CAPITAL.items())}}}, account), 1), 6) AS equity, {r('gross_return', 'cost_return', 'turnover', 'gross', 'net')}, trades FROM s WHERE n > 0""")
+def m09_accounts(spark, sf):
+    """Limits and costs depend on what the account has earned: a billion is held back by participation, ten thousand are not."""
+    o = accounts.replay(account_events(spark, sf), RULES)
+    share = F.col("equity") / F.element_at(F.create_map(*(F.lit(x) for kv in CAPITAL.items() for x in kv)), F.col("account"))
+    return rounded(o.select("account", F.to_date("at").alias("ts"), "status", share.alias("equity"), "gross_return", "cost_return", "turnover", "gross", "net", F.size("trades").cast("bigint").alias("trades")))
+
+
 @query("P11_buckets", f"""WITH {src.BARS} SELECT asset_id, ts, CASE WHEN close * volume * 200 < 5e6 THEN 'low' WHEN close * volume * 200 < 5e7 THEN 'medium' ELSE 'high' END AS liquidity,
 CASE seq % 3 WHEN 1 THEN 'calm' WHEN 0 THEN CASE WHEN close / open < 0.8 THEN 'low' WHEN close / open <= 1.2 THEN 'normal' ELSE 'high' END ELSE CASE WHEN (high - low) / close / 50 < 0.01 THEN 'low' WHEN (high - low) / close / 50 < 0.03 THEN 'normal' ELSE 'high' END END AS volatility FROM bars""")
 def p11(spark, sf):
