@@ -73,9 +73,9 @@ def _asof(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str,
     return out.select("_l.*", *(F.col(f"_v.{v}").alias(v) for v in values))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], order: list[str] | None = None, days: int = 64) -> DataFrame:
-    """``left`` with the values of the latest right row with time <= at, ties by ``order``: null without one."""
-    return _asof(left, right, by, at, time, values, order or [], True, False, days)
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], order: list[str] | None = None, days: int = 64, strict: bool = False) -> DataFrame:
+    """``left`` with the values of the latest right row with time <= at (< if ``strict``), ties by ``order``: null without one."""
+    return _asof(left, right, by, at, time, values, order or [], True, strict, days)
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: list[str], at: str, time: str, values: list[str], strict: bool = True, days: int = 64) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import core
 from ..functions.core import holm
 from ..functions.costs import CostModel
-from ..operators import accounts, market, models, portfolio, statistics
+from ..operators import accounts, market, models, portfolio, statistics, training
 from ..sources import adapters as src
+from ..sources.checkpoints import settle
 from .market import LABELS
 from .registry import query, r, rounded
 
@@ -58,6 +59,46 @@ def m03(spark, sf):
     return rounded(models.predict(x, models.walk_forward(x, FEATURES), FEATURES, ["asset_id", "ts"]), 4)
 
 
+FAMILIES = {"price": ["momentum", "spread"], "flow": ["volume_shift"], "combined": ["momentum", "volume_shift", "spread"]}
+EMBARGO, LAST = 2, 20
+# Whole cross-sections, their windows and cutoffs, and the families' snapshots; ``return_1d`` stands for momentum.
+PROTOCOL = f"""pr AS (SELECT *, momentum AS return_1d FROM rows_), xs AS (SELECT decision, count(*) = count(y) AS seen, max(avail) AS known_at FROM pr GROUP BY decision),
+pl AS (SELECT decision, known_at, row_number() OVER (ORDER BY decision DESC) AS back FROM xs WHERE seen), hs AS (SELECT max(decision) FILTER (WHERE back = {LAST}) AS s FROM pl),
+fl AS (SELECT min(decision) AS d FROM pl, hs WHERE back > {LAST} AND known_at >= s), win AS (SELECT decision, CASE WHEN back <= {LAST} THEN 'final_holdout' WHEN decision >= (SELECT d FROM fl) THEN 'purged' ELSE 'development' END AS "window" FROM pl),
+dx AS (SELECT decision, row_number() OVER (ORDER BY decision) AS i FROM (SELECT DISTINCT decision FROM pr)),
+cx AS (SELECT a.decision, a.decision >= s AS frozen, greatest(1, CASE WHEN a.decision >= s THEN (SELECT i FROM dx, hs WHERE dx.decision = s) ELSE a.i END - {EMBARGO}) AS j FROM dx a, hs), cu AS (SELECT c.decision, b.decision AS cutoff, frozen FROM cx c JOIN dx b ON b.i = c.j),
+us AS (SELECT pr.*, ('0x' || md5(asset_id || '@' || decision)[1:15])::BIGINT AS k FROM pr JOIN xs USING (decision), hs WHERE seen AND avail IS NOT NULL AND decision < s),
+ul AS ({' UNION ALL '.join(f"SELECT avail, decision, asset_id, y, k, '{f}' AS feature, coalesce({f}, 0.0) AS x FROM us" for f in FEATURES)}),
+ag AS (SELECT cutoff, feature, count(x) AS n, avg(x) AS mean, var_pop(x) AS vx, var_pop(y) AS vy, corr(x, y) AS rho, coalesce(sum(k), 0)::VARCHAR AS keys FROM (SELECT DISTINCT cutoff FROM cu) LEFT JOIN ul ON avail < cutoff GROUP BY ALL),
+fam AS (SELECT unnest({[f for f, own in FAMILIES.items() for _ in own]}) AS family, unnest({[x for own in FAMILIES.values() for x in own]}) AS feature),
+gr AS (SELECT decision, cutoff, frozen, family, fam.feature, coalesce(n, 0) AS n, mean, vx, vy, keys, CASE WHEN vx > 1e-12 AND vy > 1e-12 THEN rho ELSE 0.0 END AS rho FROM cu CROSS JOIN fam LEFT JOIN ag USING (cutoff, feature)),
+sn AS (SELECT decision, cutoff, CASE WHEN frozen THEN 'frozen_final_holdout' ELSE 'development_walk_forward' END AS role, family, feature, CASE WHEN n >= 20 THEN n ELSE 0 END AS n, CASE WHEN n >= 20 THEN mean ELSE 0.0 END AS mean, CASE WHEN n >= 20 AND vx > 1e-12 THEN sqrt(vx) ELSE 1.0 END AS scale,
+  CASE WHEN n >= 20 AND sum(abs(rho)) OVER (PARTITION BY decision, family) > 0 THEN rho / sum(abs(rho)) OVER (PARTITION BY decision, family) ELSE 0.0 END AS weight, CASE WHEN n >= 20 AND vy > 1e-12 THEN sqrt(vy) ELSE 0.0 END AS residual_scale, CASE WHEN n >= 20 THEN keys ELSE '0' END AS key_digest FROM gr)"""
+_LONG = " UNION ALL ".join(f"SELECT asset_id, decision, '{f}' AS feature, coalesce({f}, 0.0) AS x FROM pr" for f in FEATURES)
+FORECAST = f"""fc AS (SELECT family, asset_id, decision, sum((x - mean) / scale * weight) AS score, max(residual_scale) AS uncertainty, max(n)::BIGINT AS training_rows FROM ({_LONG}) JOIN sn USING (decision, feature) GROUP BY ALL
+  UNION ALL SELECT b.family, asset_id, decision, CASE b.family WHEN 'equal_weight' THEN 1.0 WHEN 'momentum_only' THEN return_1d ELSE 0.0 END, NULL, 0 FROM pr, (SELECT unnest(['equal_weight', 'momentum_only', 'no_trade']) AS family) b)"""
+
+
+def protocol_rows(spark, sf):
+    """Written once: windows, cutoffs, sums and predictions each read them."""
+    return settle(rows(spark, sf).withColumn("return_1d", F.col("momentum")))
+
+
+def snapshots(x, holdout=LAST):
+    return training.train(x, FAMILIES, F.concat("asset_id", F.lit("@"), F.col("decision").cast("string")), 20, EMBARGO, holdout, strict=False)
+
+
+@query("M01_embargo_and_holdout", f"WITH {BASE}, {PROTOCOL} SELECT decision, cutoff, role, family, feature, n::BIGINT AS n, {r('mean', 'scale', 'weight', 'residual_scale', digits=4)}, key_digest FROM sn")
+def m01_protocol(spark, sf):
+    return rounded(snapshots(protocol_rows(spark, sf)), 4)
+
+
+@query("M03_families_with_uncertainty", f"WITH {BASE}, {PROTOCOL}, {FORECAST} SELECT family, asset_id, decision, {r('score', 'uncertainty', digits=4)}, training_rows FROM fc")
+def m03_families(spark, sf):
+    x = protocol_rows(spark, sf)
+    return rounded(training.predict(x, snapshots(x), FAMILIES, ["asset_id"]), 4)
+
+
 RANKED = """rk AS (SELECT *, rank() OVER (PARTITION BY ts ORDER BY score) - 1 + (count(*) OVER (PARTITION BY ts, score) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY ts ORDER BY y) - 1 + (count(*) OVER (PARTITION BY ts, y) - 1) / 2.0 AS ry FROM s)"""
 
 
@@ -95,6 +136,29 @@ def squeezed(spark, sf):
     return l.select("asset_id", "ts", "close", "volume", "high", "low", ((c - o) / (c + o)).alias("score"), (y / (2 + y)).alias("y"), ((c - o) / c / 10).alias("expected"))
 
 
+_JUDGED = """ev AS (SELECT f.family || ':' || w."window" AS fw, f.decision, round(f.score, 5) + 0.0::DOUBLE AS score, pr.y, NULL::DOUBLE AS expected FROM fc f JOIN pr USING (asset_id, decision) JOIN win w USING (decision) WHERE w."window" <> 'purged')"""
+
+
+@query("M05_holdout_evaluation", f"""WITH {BASE}, {PROTOCOL}, {FORECAST}, {_JUDGED}, {metrics_sql('ev', 'fw', 'decision', 10)} SELECT split_part(fw, ':', 1) AS family, split_part(fw, ':', 2) AS "window", * EXCLUDE (fw) FROM metrics""")
+def m05_holdout(spark, sf):
+    x = protocol_rows(spark, sf)
+    p = training.predict(x, snapshots(x), FAMILIES, ["asset_id"]).withColumn("score", F.round("score", 5) + F.lit(0.0))
+    return rounded(training.evaluate(settle(p), x.select("asset_id", "decision", "avail", "y"), ["asset_id", "decision"], LAST))
+
+
+@query("F22_protocol_violations", f"""WITH {BASE}, {PROTOCOL}, h AS (SELECT min(decision) AS s, count(*) AS n FROM win WHERE "window" = 'final_holdout'), z AS (SELECT min(decision) AS d, min(cutoff) AS c, max(n)::BIGINT AS t, max(key_digest) AS k FROM sn WHERE role = 'frozen_final_holdout')
+SELECT shift, s + 7 * (shift % 2) AS holdout_start, n + shift // 2 % 2 AS holdout_periods, d AS frozen_decision, c + 700 * (shift // 4) AS cutoff, t AS training_rows, k AS key_digest,
+  array_to_string(list_filter([CASE WHEN shift % 2 = 1 THEN 'holdout_start' END, CASE WHEN shift // 2 % 2 = 1 THEN 'holdout_periods' END, CASE WHEN c + 700 * (shift // 4) > s THEN 'cutoff_after_start' END, CASE WHEN shift // 4 = 1 THEN 'updated_in_holdout' END], lambda e: e IS NOT NULL), ',') AS broken
+FROM h, z, (SELECT unnest(range(8)) AS shift)""")
+def f22_protocol(spark, sf):
+    """The protocol as it is (0) and with every set of three faults: another start, one period more, a cutoff 100 weeks later."""
+    x = protocol_rows(spark, sf)
+    s = settle(snapshots(x))
+    shift, bit = F.col("shift"), lambda b: F.expr(f"shift div {b} % 2")
+    claims = training.protocol(x, s, LAST).join(spark.range(8).select(F.col("id").alias("shift")), how="cross").withColumns({"holdout_start": F.col("holdout_start") + 7 * (shift % 2), "holdout_periods": F.col("holdout_periods") + bit(2), "cutoff": F.col("cutoff") + 700 * bit(4)})
+    return training.protocol_violations(claims, x, s, LAST).withColumn("broken", F.array_join("broken", ","))
+
+
 @query("A16_prediction_metrics", f"""WITH {src.BARS}, {LABELS}, {_SCORED}, sg AS (SELECT 'all' AS segment, * FROM sq), {metrics_sql('sg', 'segment', 'ts', 10)} SELECT * FROM metrics""")
 def a16b(spark, sf):
     return rounded(models.prediction_metrics(squeezed(spark, sf).withColumn("segment", F.lit("all")), ["segment"], "ts", 10))
