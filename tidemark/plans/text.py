@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.core import identifier_hash, slug
+from ..operators import lexical
 from ..operators import text as ops
 from ..sources import adapters as src
+from ..sources.checkpoints import scratch
 from .registry import query, rounded
 
 TOKS = "list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z]+'), lambda x: x <> '')"
@@ -246,6 +250,41 @@ def g02(spark, sf):
     return ops.index(src.table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))[1]
 
 
+# The same over all documents, from an index that was written in two appends; text is case folded (the tables need no compatibility forms).
+_FOLDED = r"trim(regexp_replace(replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), 'ς', 'σ'), '\s+', ' ', 'g'))"
+# Grams begin in stretches of 200 characters, so that none is sought from the start of a long text.
+_ALL_GRAMS = lambda table, key: (f"(SELECT {key}, unnest(flatten(list_transform(range(2, 6), lambda n: list_transform(range(1, greatest(least(200, length(c) - n + 1) + 1, 1)), lambda i: substr(c, i, n))))) AS term "
+                                 f"FROM (SELECT {key}, unnest(list_transform(range(0, length(t), 200), lambda j: substr(t, j + 1, 204))) AS c FROM (SELECT {key}, {_FOLDED} AS t FROM {table})))")
+_STORED = f"""g AS (SELECT doc_id AS id, term, count(*) AS tf FROM {_ALL_GRAMS('documents', 'doc_id')} GROUP BY ALL), tot AS (SELECT id, sum(tf) AS total FROM g GROUP BY id), df AS (SELECT term, count(*) AS df FROM g GROUP BY term), n AS (SELECT count(*) AS n FROM documents)"""
+
+
+def stored_index(spark, sf):
+    """Documents with an even id first, the others by a second append."""
+    d = src.spread(src.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source"))
+    i = lexical.LexicalIndex(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex}")
+    i.append(d.where("id % 2 = 0"))
+    i.append(d.where("id % 2 <> 0"))
+    return i
+
+
+@query("G03_stored_index_search", f"""WITH {_STORED}, qg AS (SELECT item_id AS query_id, term, count(*) AS q FROM {_ALL_GRAMS('benchmark', 'item_id')} WHERE item_id % 20 = 0 GROUP BY ALL),
+s AS (SELECT query_id, id, round(sum(q * tf * (ln((1 + n) / (1 + df)) + 1)) / max(total), 9) AS score FROM qg JOIN g USING (term) JOIN df USING (term) JOIN tot USING (id) JOIN documents ON doc_id = id AND lang <> 'de', n GROUP BY ALL)
+SELECT query_id, id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank FROM s WHERE score > 0 QUALIFY rank <= 10""")
+def g03_stored(spark, sf):
+    q = src.table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return stored_index(spark, sf).search(q, 10, eligible=F.col("lang") != "de")
+
+
+@query("G02_stored_frequencies", f"WITH {_STORED} SELECT term, df FROM df")
+def g02_stored(spark, sf):
+    return stored_index(spark, sf).frequencies()
+
+
+@query("A37_term_totals", f"WITH {_STORED} SELECT doc_id AS id, lang, source, coalesce(total, 0)::BIGINT AS total FROM documents LEFT JOIN tot ON id = doc_id")
+def a37_stored(spark, sf):
+    return stored_index(spark, sf).documents().select("id", "lang", "source", "total")
+
+
 @query("G15_request_dedup", "SELECT sha256(text) AS request_key, min(conv_id * 1000 + turn) AS generated, count(*) - 1 AS reused FROM conversations GROUP BY text")
 def g15(spark, sf):
     return src.table(spark, sf, "conversations").groupBy("text").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("generated"), (F.count(F.lit(1)) - 1).alias("reused")).select(
