@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import slug, weighted_mean, zero_if_null
+from ..functions.core import slug, zero_if_null
 from .joins import asof_backward, asof_forward, range_join
 
 
@@ -19,40 +19,97 @@ def _avg(value: Column, where: Column) -> Column:
     return zero_if_null(F.avg(F.when(where, value)))
 
 
+#: Times as ticks: day numbers and other whole numbers as they are, dates as days, timestamps as microseconds.
+DAY_TICKS = {"date": 1, "timestamp": 86_400_000_000}
+
+
+def _ticks(df: DataFrame, name: str) -> Column:
+    kind = df.schema[name].dataType.typeName()
+    return (F.unix_date(name) if kind == "date" else F.unix_micros(name) if kind == "timestamp" else F.col(name)).cast("long")
+
+
+def sliding(decisions: DataFrame, signals: DataFrame, by: list[str], at: str, time: str, width: int, states: dict[str, tuple[str, Column]], looks: dict[str, tuple[str, int, int]], distinct: dict[str, Column] | None = None) -> DataFrame:
+    """``decisions`` with what their windows hold, found without pairing them with signals.
+
+    ``states``: name -> (sum, min or max; a column of the signals), aggregated once for each pane, a
+    pane being one tick of ``time``. ``looks``: result -> (state, youngest and oldest age in
+    ticks), the states of those panes combined by a sliding frame. ``distinct``: result -> a column whose
+    different values are counted over ages below ``width``: a value counts from its pane until its
+    next one or the window's end, so that a running sum of comings and goings is the count.
+    Panes are dealt to buckets of time, each to its own and the next, so neither a busy key nor a
+    long history is one task. Nothing found: null sums, no distinct values.
+    """
+    span = max([width, *(oldest + 1 for _, _, oldest in looks.values())])
+    own = signals.withColumn("_t", _ticks(signals, time)).where(F.col("_t").isNotNull())
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    panes = own.groupBy(*by, "_t").agg(*(kinds[k](c).alias(f"_s_{n}") for n, (k, c) in states.items()))
+    bucket = F.floor(F.col("_t") / span)
+    rows = panes.withColumn("_b", F.explode(F.array(bucket, bucket + 1))).withColumn("_d", F.lit(False))
+    if distinct:
+        named = F.explode(F.array_compact(F.array(*(F.when(value.isNotNull(), F.struct(F.lit(name).alias("name"), value.cast("string").alias("v"))) for name, value in distinct.items()))))
+        seen = own.select(*by, "_t", named.alias("_v")).distinct()
+        until = F.least(F.lead("_t").over(Window.partitionBy(*by, "_v").orderBy("_t")), F.col("_t") + width)  # one row a pane and value
+        spans = seen.withColumn("_e", until)
+        first, last = F.floor(F.col("_t") / span), F.floor(F.col("_e") / span)
+        change = lambda b, t, n: F.struct(b.alias("_b"), t.alias("_t"), F.lit(n).cast("long").alias("_n"))
+        carried = (last > first) & (F.col("_e") > last * span)  # still there when the next bucket begins
+        moves = F.array_compact(F.array(change(first, F.col("_t"), 1), F.when(last == first, change(first, F.col("_e"), -1)), F.when(carried, change(last, last * span, 1)), F.when(carried, change(last, F.col("_e"), -1))))
+        moved = spans.select(*by, "_v.name", F.explode(moves).alias("m")).groupBy(*by, "m._b", "m._t").agg(*(F.sum(F.when(F.col("name") == n, F.col("m._n"))).alias(f"_n_{n}") for n in distinct))
+        rows = rows.unionByName(moved.withColumn("_d", F.lit(False)), allowMissingColumns=True)
+    asked = decisions.withColumn("_t", _ticks(decisions, at)).withColumn("_row", F.struct(*decisions.columns)).select(*by, "_t", "_row").withColumn("_b", bucket).withColumn("_d", F.lit(True))
+    every = rows.unionByName(asked, allowMissingColumns=True)
+    w = Window.partitionBy(*by, "_b").orderBy("_t")
+    framed = {n: kinds[states[s][0]](f"_s_{s}").over(w.rangeBetween(-oldest, -youngest)) for n, (s, youngest, oldest) in looks.items()}
+    counted = {n: F.coalesce(F.sum(f"_n_{n}").over(w.rangeBetween(Window.unboundedPreceding, 0)), F.lit(0)) for n in distinct or {}}
+    return every.select("_d", "_row", *(c.alias(n) for n, c in (framed | counted).items())).where("_d").select("_row.*", *framed, *counted)
+
+
 def features(decisions: DataFrame, signals: DataFrame, days: int, event_types: list[str], half_life: float = 3.0) -> DataFrame:
     """One row per decision with the attention, sentiment, source and event features of one window.
 
     Novel signals (novelty over 0.5) are the evidence; raw columns count duplicates too.
-    Decisions without evidence keep zeros and are flagged as missing.
+    Decisions without evidence keep zeros and are flagged as missing. Times are day numbers, dates or timestamps.
     """
-    pairs = window_pairs(decisions, signals, days, 2)
-    now, novel = F.col("age") < days, F.col("novelty") > 0.5
-    ev = now & novel
+    day = DAY_TICKS.get(signals.schema["avail"].dataType.typeName(), 1)
+    width, half = days * day, -(-days * day // 2)
+    novel = F.col("novelty") > 0.5
     s, rel, conf, cred, spam = (F.col(c) for c in ("sentiment", "relevance", "confidence", "credibility", "spam"))
-    decay = F.pow(F.lit(2.0), -F.col("age") / half_life)
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("double")
-    w = lambda weight: weighted_mean(F.when(ev, s).otherwise(0.0), F.when(ev, weight).otherwise(0.0))
-    recent, earlier = ev & (F.col("age") < days / 2), ev & (F.col("age") >= days / 2)
-    both = (F.max(F.when(recent, 1)).isNotNull()) & (F.max(F.when(earlier, 1)).isNotNull())
-    per_event = [count(ev & (F.col("event_type") == e)).alias(f"event_{_slug(e)}_count") for e in event_types]
-    g = pairs.groupBy("asset_id", "asof_day").agg(
-        count(now).alias("raw_text_count"), count(ev).alias("text_count"), count(now & ~novel).alias("duplicate_item_count"), zero_if_null(F.avg(F.when(now, F.col("novelty")))).alias("novelty_share"),
-        count(~now).alias("_raw_prior"), count(~now & novel).alias("_prior"), F.min(F.when(ev, F.col("age"))).cast("double").alias("latest_text_age_days"), F.max(F.when(ev, F.col("age"))).cast("double").alias("time_since_first_seen_days"),
-        F.count_distinct(F.when(ev, F.col("item_id"))).cast("double").alias("attention_unique_item_count"), F.size(F.collect_set(F.when(ev, F.col("source_type")))).cast("double").alias("source_diversity_count"),
-        F.count_distinct(F.when(ev, F.col("author"))).cast("double").alias("unique_author_count"), F.size(F.collect_set(F.when(ev, F.col("event_type")))).cast("double").alias("event_type_diversity"),
-        _avg(s, ev).alias("sentiment_mean"), w(rel).alias("sentiment_relevance_weighted"), w(conf * rel).alias("sentiment_conf_weighted"), w(cred * rel * (1 - spam)).alias("sentiment_credibility_weighted"),
-        w(decay * conf * rel * cred * (1 - spam)).alias("sentiment_decay_weighted"), F.greatest(F.lit(0.0), zero_if_null(F.max(F.when(ev, s)))).alias("sentiment_max_positive"),
-        F.least(F.lit(0.0), zero_if_null(F.min(F.when(ev, s)))).alias("sentiment_max_negative"), zero_if_null(F.stddev_pop(F.when(ev, s))).alias("sentiment_dispersion"),
-        F.when(count(ev) > 0, (count(ev & (s > 0.05)) + 1) / (count(ev & (s < -0.05)) + 1)).otherwise(0.0).alias("sentiment_positive_negative_ratio"),
-        F.when(both, _avg(s, recent) - _avg(s, earlier)).otherwise(0.0).alias("sentiment_acceleration"), _avg(cred, ev).alias("source_credibility_mean"), _avg(spam, ev).alias("spam_score_mean"),
-        zero_if_null(F.sum(F.when(ev, decay))).alias("text_decay_weight_sum"), *per_event)
-    out = decisions.join(g, ["asset_id", "asof_day"], "left")
-    filled = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in g.columns if c not in ("asset_id", "asof_day", "latest_text_age_days", "time_since_first_seen_days")}
-    out = out.withColumns(filled)
-    abnormal = lambda n, prior: F.when(F.col(prior) > 0, F.try_divide(F.col(n), F.col(prior))).otherwise(F.col(n))
-    return out.withColumns({
-        "text_missing": F.col("text_count") == 0, "mention_velocity": F.col("text_count") / days, "raw_mention_velocity": F.col("raw_text_count") / days,
-        "attention_abnormal": abnormal("text_count", "_prior"), "raw_attention_abnormal": abnormal("raw_text_count", "_raw_prior")}).drop("_prior", "_raw_prior")
+    tick = _ticks(signals, "avail")
+    # Decay counts from the start of a stretch of time, of which a window meets two: no power gets large.
+    base, grown = 4 * width, lambda t: F.pow(F.lit(2.0), F.pmod(t, F.lit(4 * width)) / (half_life * day))
+    lap = F.floor(tick / base) % 2
+    quality = conf * rel * cred * (1 - spam)
+    weights = {"rel": rel, "conf": conf * rel, "cred": cred * rel * (1 - spam)}
+    total = lambda c, where=novel: ("sum", F.when(where, c.cast("double")))
+    one = F.lit(1)
+    states = {
+        "raw": ("sum", one.cast("double")), "ev": total(one), "novelty": ("sum", F.col("novelty").cast("double")), "rated": ("sum", F.when(F.col("novelty").isNotNull(), 1.0)), "s": total(s), "n_s": total(one, novel & s.isNotNull()), "ss": total(s * s),
+        "top": ("max", F.when(novel, s)), "bottom": ("min", F.when(novel, s)), "first": ("min", F.when(novel, tick)), "last": ("max", F.when(novel, tick)), "up": total(one, novel & (s > 0.05)), "down": total(one, novel & (s < -0.05)),
+        "cred_sum": total(cred), "cred_n": total(one, novel & cred.isNotNull()), "spam_sum": total(spam), "spam_n": total(one, novel & spam.isNotNull()),
+        **{f"w_{k}": total(w) for k, w in weights.items()}, **{f"sw_{k}": total(s * w) for k, w in weights.items()}, **{f"e{i}": total(one, novel & (F.col("event_type") == e)) for i, e in enumerate(event_types)},
+        **{f"{k}_{p}": total(c * grown(tick), novel & (lap == p)) for p in (0, 1) for k, c in (("decay", one), ("dq", quality), ("sdq", s * quality))}}
+    looks = {n: (n, 0, width - 1) for n in states if n != "raw"} | {"raw": ("raw", 0, width - 1), "raw_before": ("raw", width, 2 * width - 1), "ev_before": ("ev", width, 2 * width - 1),
+             "s_new": ("s", 0, half - 1), "n_new": ("n_s", 0, half - 1), "any_new": ("ev", 0, half - 1), "s_old": ("s", half, width - 1), "n_old": ("n_s", half, width - 1), "any_old": ("ev", half, width - 1)}
+    looks = {f"_{n}": look for n, look in looks.items()}
+    different = {f"_{n}": F.when(novel, F.col(c)) for n, c in (("items", "item_id"), ("sources", "source_type"), ("authors", "author"), ("events", "event_type"))}
+    out = sliding(decisions, signals, ["asset_id"], "asof_day", "avail", width, states, looks, different)
+    v = lambda n: F.coalesce(F.col(f"_{n}"), F.lit(0.0))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    now = _ticks(decisions, "asof_day")
+    # What was weighed in the lap of the decision, and in the one before it.
+    aged = lambda k: sum((v(f"{k}_{p}") * F.when(F.floor(now / base) % 2 == p, F.lit(1.0) / grown(now)).otherwise(F.pow(F.lit(2.0), -F.lit(base / (half_life * day))) / grown(now)) for p in (0, 1)), F.lit(0.0))
+    mean = ratio(v("s"), v("n_s"))
+    weighed = lambda a, b: F.when(b > 0, F.try_divide(a, b)).otherwise(0.0)
+    abnormal = lambda n, prior: F.when(prior > 0, F.try_divide(n, prior)).otherwise(n)
+    new = {
+        "raw_text_count": v("raw"), "text_count": v("ev"), "duplicate_item_count": v("raw") - v("ev"), "novelty_share": ratio(v("novelty"), v("rated")), "latest_text_age_days": (now - F.col("_last")) / day, "time_since_first_seen_days": (now - F.col("_first")) / day,
+        "attention_unique_item_count": F.col("_items").cast("double"), "source_diversity_count": F.col("_sources").cast("double"), "unique_author_count": F.col("_authors").cast("double"), "event_type_diversity": F.col("_events").cast("double"),
+        "sentiment_mean": mean, "sentiment_relevance_weighted": weighed(v("sw_rel"), v("w_rel")), "sentiment_conf_weighted": weighed(v("sw_conf"), v("w_conf")), "sentiment_credibility_weighted": weighed(v("sw_cred"), v("w_cred")), "sentiment_decay_weighted": weighed(aged("sdq"), aged("dq")),
+        "sentiment_max_positive": F.greatest(F.lit(0.0), v("top")), "sentiment_max_negative": F.least(F.lit(0.0), v("bottom")), "sentiment_dispersion": F.sqrt(F.greatest(F.lit(0.0), ratio(v("ss"), v("n_s")) - mean * mean)),
+        "sentiment_positive_negative_ratio": F.when(v("ev") > 0, (v("up") + 1) / (v("down") + 1)).otherwise(0.0), "sentiment_acceleration": F.when((v("any_new") > 0) & (v("any_old") > 0), ratio(v("s_new"), v("n_new")) - ratio(v("s_old"), v("n_old"))).otherwise(0.0),
+        "source_credibility_mean": ratio(v("cred_sum"), v("cred_n")), "spam_score_mean": ratio(v("spam_sum"), v("spam_n")), "text_decay_weight_sum": F.round(aged("decay"), 12), **{f"event_{_slug(e)}_count": v(f"e{i}") for i, e in enumerate(event_types)},
+        "text_missing": v("ev") == 0, "mention_velocity": v("ev") / days, "raw_mention_velocity": v("raw") / days, "attention_abnormal": abnormal(v("ev"), v("ev_before")), "raw_attention_abnormal": abnormal(v("raw"), v("raw_before"))}
+    return out.select(*decisions.columns, *(c.alias(n) for n, c in new.items()))
 
 
 def annotation_features(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -94,13 +151,13 @@ def event_slugs(signals: DataFrame) -> DataFrame:
 
 def by_source(decisions: DataFrame, signals: DataFrame, days: int, source_types: list[str]) -> DataFrame:
     """One row per decision: count and mean sentiment of the novel signals of each named source, zeros where there are none."""
-    pairs = window_pairs(decisions, signals, days).where("novelty > 0.5")
-    cols, defaults = [], {}
-    for s in source_types:
-        own = F.col("source_type") == s
-        cols += [F.sum(F.when(own, 1.0).otherwise(0.0)).alias(f"attention_source_{_slug(s)}_count"), _avg(F.col("sentiment"), own).alias(f"sentiment_source_{_slug(s)}_mean")]
-        defaults |= {f"attention_source_{_slug(s)}_count": 0.0, f"sentiment_source_{_slug(s)}_mean": 0.0}
-    return decisions.join(pairs.groupBy("asset_id", "asof_day").agg(*cols), ["asset_id", "asof_day"], "left").fillna(defaults)
+    day = DAY_TICKS.get(signals.schema["avail"].dataType.typeName(), 1)
+    own = lambda t, c: ("sum", F.when((F.col("novelty") > 0.5) & (F.col("source_type") == t), c.cast("double")))
+    states = {f"{k}{i}": own(t, c) for i, t in enumerate(source_types) for k, c in (("n", F.lit(1)), ("s", F.col("sentiment")), ("m", F.when(F.col("sentiment").isNotNull(), 1)))}
+    out = sliding(decisions, signals, ["asset_id"], "asof_day", "avail", days * day, states, {f"_{n}": (n, 0, days * day - 1) for n in states})
+    zero = F.lit(0.0)
+    cols = [c for i, t in enumerate(source_types) for c in (F.coalesce(f"_n{i}", zero).alias(f"attention_source_{_slug(t)}_count"), F.coalesce(F.try_divide(f"_s{i}", f"_m{i}"), zero).alias(f"sentiment_source_{_slug(t)}_mean"))]
+    return out.select(*decisions.columns, *cols)
 
 
 def context(decisions: DataFrame, fundamentals: DataFrame, events: DataFrame, blackout: int = 2) -> DataFrame:
