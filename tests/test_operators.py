@@ -264,6 +264,18 @@ def test_overlapping_intervals_over_buckets(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_overlapping_intervals_of_a_century(spark):
+    """Long and short ones, before 1970 too, of two tables: each pair once, few blocks an interval."""
+    rng = random.Random(7)
+    make = lambda n: [(i, rng.choice("ab"), a := rng.randrange(600_000, 740_000), a + rng.choice([-1, 0, 3, 63, 64, 65, 900, 36_524, 70_000])) for i in range(n)]
+    x, y = make(150), make(120) + [(900, "a", 600_000, 700_000), (901, "a", 700_000, 700_000)]
+    frame = lambda rows: spark.createDataFrame([(i, k, date.fromordinal(a), date.fromordinal(b)) for i, k, a, b in rows] + [(-1, "a", None, None)], "i int, k string, a date, b date")
+    got = [(r.i_l, r.i_r) for r in joins.overlapping(frame(x), frame(y), ["k"], "a", "b").collect()]
+    want = {(p[0], q[0]) for p in x for q in y if p[1] == q[1] and p[2] <= p[3] and q[2] <= q[3] and p[2] <= q[3] and q[2] <= p[3]}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert joins.overlapping(frame([]), frame(y), ["k"], "a", "b").count() == 0
+
+
 def test_pages_follow_sound_cursors_only(spark):
     ranked = spark.createDataFrame([(q, r, 100 * q + r) for q in (1, 2) for r in range(1, 6)], "query_id long, rank int, id long")
     first = ops.page(ranked, spark.createDataFrame([(1, None), (2, None)], "query_id long, cursor string"), "ix", 2)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settle
+
 
 def following(rows: DataFrame, key: str, value: str) -> DataFrame:
     """key, value, next: each row with the value of each row of the next larger key; none for the largest.
@@ -91,18 +93,42 @@ def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) ->
 def overlapping(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, members: str | None = None, days: int = 64) -> DataFrame:
     """Pairs (columns of both sides, suffixed _l and _r) with equal ``keys``, overlapping dates (inclusive) and, if given, a common element of ``members``.
 
-    Intervals are dealt to every bucket of ``days`` that they touch; a pair counts in the
-    bucket in which the later of the two begins, so it is found once and groups stay small.
+    Two intervals overlap where the later one begins. So each interval is cut into the dyadic
+    blocks of ``days`` that it fills, two for each doubling of its length at most, and meets by equality the
+    beginnings of the others, which stand in one block of each size: a pair is found once, and what
+    meets overlaps but for the ends of the smallest blocks. Intervals that end before they begin, and nulls, meet nothing.
     """
     bucket = lambda c: F.floor(F.unix_date(c) / days)
 
-    def side(df: DataFrame, s: str) -> DataFrame:
-        own = df.where(F.col(start) <= F.col(end)).withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-        return own.select(*keys, "_b", *(F.col(c).alias(f"{c}_{s}") for c in df.columns if c not in keys))
+    def side(df: DataFrame) -> DataFrame:
+        return settle(df.where(F.col(start) <= F.col(end)).withColumns({"_first": bucket(F.col(start)), "_last": bucket(F.col(end))}))
+
+    l = side(left)
+    r = l if right is left else side(right)
+    longest = max(df.agg(F.max(F.col("_last") - F.col("_first") + 1)).first()[0] or 1 for df in (l, r))
+    levels = range(longest.bit_length())  # as many sizes of blocks as the longest interval needs
+
+    def named(df: DataFrame, s: str, places: Column) -> DataFrame:
+        return df.select(*keys, F.explode(places).alias("_p"), *(F.col(c).alias(f"{c}_{s}") for c in left.columns if c not in keys)).select("*", F.col("_p.level").alias("_level"), F.col("_p.block").alias("_block")).drop("_p")
+
+    place = lambda level, block: F.struct(F.lit(level).alias("level"), block.cast("long").alias("block"))
+
+    def blocks(df: DataFrame, s: str) -> DataFrame:
+        out = []
+        for level in levels:  # of the blocks of this size within the interval, those at its ends that are no half of a larger one within it
+            low, high = F.ceil(F.col("_first") / 2**level), F.floor((F.col("_last") + 1) / 2**level)
+            out += [F.when((low < high) & (F.pmod(low, F.lit(2)) == 1), place(level, low)), F.when((low < high) & (F.pmod(high, F.lit(2)) == 1), place(level, high - 1))]
+        return named(df, s, F.array_compact(F.array(*out)))
+
+    def beginnings(df: DataFrame, s: str) -> DataFrame:
+        return named(df, s, F.array(*(place(level, F.floor(F.col("_first") / 2**level)) for level in levels)))
+
+    def within(x: str, y: str, later: Column) -> DataFrame:
+        """Pairs in which ``y`` begins while ``x`` lasts."""
+        pairs = blocks(l if x == "l" else r, x).join(beginnings(l if y == "l" else r, y), [*keys, "_level", "_block"])
+        return pairs.where(later & (F.col(f"{start}_{y}") <= F.col(f"{end}_{x}"))).drop("_level", "_block")
 
-    pairs = side(left, "l").join(side(right, "r"), [*keys, "_b"])
-    later = F.greatest(F.col(f"{start}_l"), F.col(f"{start}_r"))
-    pairs = pairs.where(overlaps(F.col(f"{start}_l"), F.col(f"{end}_l"), F.col(f"{start}_r"), F.col(f"{end}_r")) & (F.col("_b") == bucket(later))).drop("_b")
+    pairs = within("l", "r", F.col(f"{start}_r") >= F.col(f"{start}_l")).unionByName(within("r", "l", F.col(f"{start}_l") > F.col(f"{start}_r")))
     return pairs.where(F.arrays_overlap(f"{members}_l", f"{members}_r")) if members else pairs
 
 
