@@ -358,6 +358,17 @@ def m09_accounts(spark, sf):
     return rounded(o.select("account", F.to_date("at").alias("ts"), "status", share.alias("equity"), "gross_return", "cost_return", "turnover", "gross", "net", F.size("trades").cast("bigint").alias("trades")))
 
 
+@query("M20_stateful_account")
+def m20_stateful(spark, sf):
+    """The same decisions as accounts that hold on: each week marked to its returns, then rebalanced from what is left to the next targets."""
+    trips = account_events(spark, sf)
+    leg = lambda x, **to: F.struct(*(to.get(c, x[c]).alias(c) for c in ("asset_id", "target", "price", "dollar_volume", "sector", "beta", "volatility", "short_available", "hard_to_borrow", "forward_return")))
+    trade = trips.withColumn("kind", F.lit("rebalance"))
+    mark = trips.withColumns({"kind": F.lit("mark"), "seq": F.lit(1).cast("bigint"), "legs": F.transform("legs", lambda x: leg(x, target=F.lit(None).cast("double")))})
+    o = accounts.replay(trade.unionByName(mark), RULES)
+    return rounded(o.select("account", "at", "seq", "kind", "status", "equity", "gross_return", "cost_return", "turnover", "gross", "net", "beta", F.size("trades").alias("trades")))
+
+
 @query("P11_buckets", f"""WITH {src.BARS} SELECT asset_id, ts, CASE WHEN close * volume * 200 < 5e6 THEN 'low' WHEN close * volume * 200 < 5e7 THEN 'medium' ELSE 'high' END AS liquidity,
 CASE seq % 3 WHEN 1 THEN 'calm' WHEN 0 THEN CASE WHEN close / open < 0.8 THEN 'low' WHEN close / open <= 1.2 THEN 'normal' ELSE 'high' END ELSE CASE WHEN (high - low) / close / 50 < 0.01 THEN 'low' WHEN (high - low) / close / 50 < 0.03 THEN 'normal' ELSE 'high' END END AS volatility FROM bars""")
 def p11(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.core import identifier_hash, slug
-from ..operators import lexical
+from ..operators import clusterstore, lexical
 from ..operators import text as ops
 from ..sources import adapters as src
 from ..sources.checkpoints import scratch
@@ -193,6 +193,16 @@ def m12(spark, sf):
     return ops.incremental_clusters(turns(spark, sf))
 
 
+@query("M12_stored_batches")
+def m12_batches(spark, sf):
+    """All turns in two batches, the second meeting the postings of the first."""
+    t = turns(spark, sf)
+    store = clusterstore.ClusterStore(spark, f"{scratch(spark)}/clusters-{uuid.uuid4().hex}")
+    for odd in (0, 1):  # conversations up to the middle one, then the others
+        store.append(t.where((F.col("id") >= t.agg(F.expr("percentile_approx(id, 0.5)").alias("m")).scalar()).cast("int") == odd))
+    return store.clusters()
+
+
 # Assets named by the benchmark's most frequent longer words, two of one symbol; some documents carry titles, tickers and cashtags.
 _NAMED = f"""{pre_sql('bp', 'benchmark', 'item_id', 'text')},
 bw AS (SELECT w, row_number() OVER (ORDER BY count(*) DESC, w) AS k FROM (SELECT unnest(tokens) AS w FROM bp) WHERE length(w) >= 5 GROUP BY w QUALIFY k <= 12),
