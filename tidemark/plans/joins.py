@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import broker, joins, market, models, textwindow
+from ..operators import text as ops
 from ..sources import adapters as src
 from .market import LABELS
 from .registry import query, r, rounded
@@ -167,12 +167,12 @@ _EQUAL = {"symbol": "l_partkey % 40", "exchange": "l_suppkey % 3", "side": "l_re
 _SENT = "CAST(l_orderkey * 60 + l_linenumber AS BIGINT)"
 
 
-@query("J22_reconciliation", f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS k, {', '.join(f'{e} AS {n}' for n, e in _EQUAL.items())}, {_SENT} AS sent FROM lineitem WHERE l_orderkey % 3 = 0),
+@query("J22_reconciliation", f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS k, {', '.join(f'{e} AS {n}' for n, e in _EQUAL.items())}, {_SENT} AS sent FROM lineitem),
 a AS (SELECT k, any_value(COLUMNS(* EXCLUDE (k))) FROM x GROUP BY k HAVING count(*) = 1),
 o AS (SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN quantity + 1 ELSE quantity END AS quantity), sent + k % 50 - 3 AS received FROM a WHERE k % 11 <> 0 UNION ALL SELECT *, sent + 5 FROM a WHERE k % 13 = 0)
 SELECT a.k, count(o.k) AS candidates, CASE count(o.k) WHEN 0 THEN 'missing' WHEN 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM a LEFT JOIN o ON {' AND '.join(f'a.{n} IS NOT DISTINCT FROM o.{n}' for n in _EQUAL)} AND o.received BETWEEN a.sent - 1 AND a.sent + 30 GROUP BY a.k""")
 def j22(spark, sf):
-    x = src.table(spark, sf, "lineitem").where("l_orderkey % 3 = 0").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), *(F.expr(e).alias(n) for n, e in _EQUAL.items()), F.expr(_SENT).alias("sent"))
+    x = src.table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"), *(F.expr(e).alias(n) for n, e in _EQUAL.items()), F.expr(_SENT).alias("sent"))
     a = x.groupBy("k").agg(F.count(F.lit(1)).alias("n"), *(F.max(c).alias(c) for c in [*_EQUAL, "sent"])).where("n = 1").drop("n")
     k = F.col("k")
     o = a.where("k % 11 <> 0").withColumns({"quantity": F.when(k % 7 == 0, F.col("quantity") + 1).otherwise(F.col("quantity")), "received": F.col("sent") + k % 50 - 3})
@@ -195,5 +195,5 @@ def u04(spark, sf):
 
 @query("W29_novelty", f"WITH {src.SIGNALS} SELECT item_id, asset_id, novelty FROM signals")
 def w29(spark, sf):
-    first = Window.partitionBy("author", "event_type").orderBy("available_at", "item_id")
-    return src.signals(spark, sf).select("item_id", "asset_id", F.when(F.row_number().over(first) == 1, 1.0).otherwise(0.0).alias("novelty"))
+    rows = src.signals(spark, sf).drop("novelty")
+    return ops.novelty(rows, ["author", "event_type"], ["available_at", "item_id"]).select("item_id", "asset_id", "novelty")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..functions.text import LEGAL_SUFFIXES
+from ..functions.text import LEGAL_SUFFIXES, name_aliases
 from ..operators import market, models, paper, portfolio, quality, statistics, textwindow
 from ..sources import adapters as src
 from ..sources import stores
@@ -198,8 +198,4 @@ _STRIP = "CASE " + " ".join(f"WHEN ends_with(lower(s_name), '{x}') THEN left(low
 def c09(spark, sf):
     k = F.col("s_suppkey") % 3
     n = F.lower(F.concat("s_name", F.when(k == 0, " Inc").when(k == 1, " Limited").otherwise("")))
-    out = None
-    for x in LEGAL_SUFFIXES:
-        cut = F.left(n, F.length(n) - len(x))
-        out = F.when(n.endswith(x), cut) if out is None else out.when(n.endswith(x), cut)
-    return t(spark, sf, "supplier").select("s_suppkey", F.trim(out.otherwise(n)).alias("alias"))
+    return t(spark, sf, "supplier").select("s_suppkey", F.element_at(name_aliases(n), -1).alias("alias"))

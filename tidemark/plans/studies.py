@@ -17,10 +17,6 @@ from .registry import ORACLES, QUERIES, query, r, rounded
 t = src.table
 
 
-def _sql_names(names: list[str]) -> str:
-    return "[" + ", ".join(f"'{n}'" for n in names) + "]"
-
-
 def part(name: str, of: str, columns: list[str], where: str | None = None) -> None:
     """Registers columns of a wider query under the id of the operator that makes them; Catalyst prunes the rest."""
     whole, picked = QUERIES[of], ", ".join(columns)
@@ -210,14 +206,15 @@ def m24(spark, sf):
     return rounded(models.frozen(x, models.walk_forward(x, FEATURES), 10231, FEATURES, ["asset_id", "ts"]), 4)
 
 
-# A sound record for each order; the orders of one remainder break one statement.
+# A record for each order, which breaks any of the statements, several at once: the i-th where this holds.
+_breaks = lambda i: f"(o_orderkey * {2 * i + 3} + {i}) % 7 = 0"
 _STATEMENTS = ["registry_state_revealed", "reservation_precedes_result", "global_holdout_use_recorded", "frozen_model_unchanged", "candidate_lineage_exact", "execution_contracts_unchanged", "required_baselines_present", "holdout_result_artifact_hashes_bound",
                "holdout_pipeline_run_bound", "development_pipeline_run_bound", "all_attempts_retained", "holdout_contract_exact", "development_reserved_result_absent", "analyst_holdout_result_unreachable", "holdout_manifest_file_hash_bound"]
 
 
 def holdout_records(spark, sf):
     k = F.col("o_orderkey")
-    at = lambda name, broken, sound: F.when(k % 40 == _STATEMENTS.index(name), broken).otherwise(sound)
+    at = lambda name, broken, sound: F.when(F.expr(_breaks(_STATEMENTS.index(name))), broken).otherwise(sound)
     x, y = F.lit("x"), F.lit("y")
     names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
     run = lambda p, stage, name: {
@@ -237,7 +234,7 @@ def holdout_records(spark, sf):
         "analyst_texts": F.array(F.lit("plain"), at("analyst_holdout_result_unreachable", "see id-77 there", "nothing")), "secrets": names("id-77"), "revealed_manifest": y, "manifest_file": at("holdout_manifest_file_hash_bound", "x", "y")}.items()))
 
 
-@query("G14_holdout_audit", f"SELECT o_orderkey, coalesce({_sql_names(_STATEMENTS)}[o_orderkey % 40 + 1], '') AS findings FROM orders")
+@query("G14_holdout_audit", f"SELECT o_orderkey, {flags(*((n, _breaks(i)) for i, n in enumerate(_STATEMENTS)))} AS findings FROM orders")
 def g14(spark, sf):
     return audit.holdout_audit(holdout_records(spark, sf)).select("o_orderkey", F.array_join("findings", ",").alias("findings"))
 
@@ -249,9 +246,9 @@ _CHECKED = ["study_development_open", "input_identities_match", "tool_results_ex
 
 def proposal_records(spark, sf):
     k = F.col("o_orderkey")
-    at = lambda name, broken, sound: F.when(k % 30 == _CHECKED.index(name), broken).otherwise(sound)
+    at = lambda name, broken, sound: F.when(F.expr(_breaks(_CHECKED.index(name))), broken).otherwise(sound)
     names = lambda *v: F.array(*map(F.lit, v)).cast("array<string>")
-    abstains = (k % 30).isin(_CHECKED.index("abstention_queries_attempted"), _CHECKED.index("abstention_missing_inputs_consistent"), 25, 26)
+    abstains = k % 5 == 0
     h, first = F.sha2(k.cast("string"), 256), F.repeat(F.lit("0"), F.lit(64))
     turn = lambda step, previous, i: F.struct(F.lit(step).alias("step"), previous.alias("previous"), i.alias("id"))
     claim = lambda v, ref: F.struct(F.lit(v).alias("value"), F.lit(ref).alias("reference"))
@@ -260,15 +257,15 @@ def proposal_records(spark, sf):
         "kind": F.when(abstains, "abstention").otherwise("proposal"), "attempt_status": at("study_development_open", "completed", "reserved"), "ids": names("s", "a", "b"), "expected": at("input_identities_match", names("s", "b", "a"), names("s", "a", "b")),
         "tool_results": names("t1", "t2"), "round_results": at("tool_results_exact", names("t2"), names("t2", "t1")), "rounds": F.array(turn(1, first, F.lit("r1")), turn(2, at("rounds_chained", "r0", "r1"), F.lit("r2"))), "artifact_hash": at("terminal_artifact_hash_bound", "abc", h),
         "content_hash": h, "recomputed_hash": at("content_hash_recomputes", first, h), "texts": F.array(F.lit("a plan"), at("forbidden_content_absent", "DROP Table now", "fine")), "forbidden": names("drop table", "http://"),
-        "retrieved": names("e1", "e2", "e3"), "citations": at("evidence_citations_valid", names("e9"), names("e1")), "counter_citations": at("evidence_roles_disjoint", names("e1", "e2"), names("e2")), "queries": names("q1", "q2"),
-        "searches": F.when(k % 30 == _CHECKED.index("abstention_queries_attempted"), names("q9")).otherwise(at("counterevidence_challenged", names(), names("q1"))), "claims": F.array(claim(0.5, "m1"), claim(2.0, "m2")),
+        "retrieved": names("e1", "e2", "e3"), "citations": at("evidence_citations_valid", names("e1", "e9"), names("e1")), "counter_citations": at("evidence_roles_disjoint", names("e1", "e2"), names("e2")), "queries": names("q1", "q2"),
+        "searches": F.when(abstains, at("abstention_queries_attempted", names("q9"), names("q1"))).otherwise(at("counterevidence_challenged", names(), names("q1"))), "claims": F.array(claim(0.5, "m1"), claim(2.0, "m2")),
         "references": F.create_map(F.lit("m1"), F.lit(0.5), F.lit("m2"), at("quantitative_claims_bound", 2.5, 2.0)), "scope": names("h5", "ret"), "study_scope": at("study_scope_matches", names("h1", "ret"), names("h5", "ret")), "inputs": at("required_inputs_catalogued", names("i7"), names("i1")),
         "catalogue": names("i1", "i2"), "template": at("template_permitted", "free", "linear"), "templates": names("linear", "rank"), "parameters": F.create_map(F.lit("k"), at("parameters_in_frozen_space", 99.0, 5.0)), "space": F.create_map(F.lit("k"), bounds(1.0, 10.0)),
         "controls": at("required_controls_retained", names("c2"), names("c1", "c2")), "required_controls": names("c1"), "conditions": F.array(names("a"), at("limitations_and_failure_conditions_present", names(), names("b"))),
         "latest_available": at("point_in_time_reentry_required", 11, 9), "cutoff": F.lit(10), "reason": F.lit("missing_input"), "missing_inputs": at("abstention_missing_inputs_consistent", names("i1"), names("i8"))}.items()))
 
 
-@query("G12_verification", f"SELECT o_orderkey, coalesce({_sql_names(_CHECKED)}[o_orderkey % 30 + 1], '') AS failed FROM orders")
+@query("G12_verification", f"SELECT o_orderkey, {flags(*((n, f'({_breaks(i)}) AND o_orderkey % 5 ' + ('>= 0' if i < 7 else '<> 0' if i < 18 else '= 0')) for i, n in enumerate(_CHECKED)))} AS failed FROM orders")
 def g12(spark, sf):
     return audit.proposal_checks(proposal_records(spark, sf)).select("o_orderkey", F.array_join("failed", ",").alias("failed"))
 
