@@ -334,8 +334,13 @@ def c16(spark, sf):
 
 @query("C17_sessions")
 def c17(spark, sf):
-    c = calendars.neighbours(calendars.sessions(spark, "XNYS", date(2024, 1, 1), date(2026, 12, 31)))
-    return c.select("session_seq", "session_date", F.unix_seconds("open_utc").alias("open_s"), F.unix_seconds("close_utc").alias("close_s"), "early_close", "previous_session", "next_session")
+    """The sessions of the years that have events, and how many events fall into each."""
+    e = t(spark, sf, "events").select(F.to_date("ts").alias("session_date"), F.col("ts").cast("timestamp").alias("at"))
+    first, last = e.agg(F.min("session_date"), F.max("session_date")).first()
+    years = (first or date(2024, 1, 1)).year, (last or date(2024, 1, 1)).year
+    c = calendars.neighbours(calendars.sessions(spark, "XNYS", date(years[0], 1, 1), date(years[1], 12, 31)))
+    n = e.join(F.broadcast(c.select("session_date", "open_utc", "close_utc")), "session_date").where((F.col("at") >= F.col("open_utc")) & (F.col("at") < F.col("close_utc"))).groupBy("session_date").agg(F.count(F.lit(1)).alias("events"))
+    return c.join(n, "session_date", "left").select("session_seq", "session_date", F.unix_seconds("open_utc").alias("open_s"), F.unix_seconds("close_utc").alias("close_s"), "early_close", "previous_session", "next_session", F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @query("C20_drift_weights", "WITH b AS (SELECT l_orderkey AS k, l_linenumber AS a, min(l_quantity) / 200.0 AS w, min(l_discount) AS r FROM lineitem GROUP BY ALL), g AS (SELECT *, sum(w * r) OVER (PARTITION BY k) AS p FROM b) SELECT k, a, round(w * (1 + r) / (1 + p), 6)::DOUBLE AS drifted FROM g WHERE 1 + p > 0 AND abs(w) > 1e-12")

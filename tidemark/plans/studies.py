@@ -11,7 +11,7 @@ from ..sources import adapters as src
 from .derived import flags
 from .joins import DEC, FUND, SIG, decisions, fundamentals, signals
 from .market import LABELS
-from .models import BASE, FEATURES, LIM, LONG, MD, SCORED, SNAP, PRED, candidates, rows, scored
+from .models import BASE, CHAIN, FEATURES, LIM, LONG, MD, SCORED, SNAP, PRED, book, candidates, rows, scored
 from .registry import ORACLES, QUERIES, query, r, rounded
 
 t = src.table
@@ -150,19 +150,27 @@ def a32(spark, sf):
     return rounded(models.subgroup_effects(c, {"sector": F.col("sector"), "size": size}, F.signum("score") * F.col("forward_return")), 5)
 
 
-_NAMES = ["return_1d", "volume_history_count", "text_count", "sentiment_mean", "llm_coverage", "attention_abnormal", "market_beta_60d"]
 _KIND = "CASE WHEN starts_with(f, 'llm_') THEN 'llm' WHEN regexp_matches(f, '^(text|sentiment|attention|event|source|novelty|mention|spam)_') THEN 'text' ELSE 'traditional' END"
+_PRICES, _TEXTS = [f"return_{k}d" for k in (1, 3, 5, 20, 60)] + ["momentum_20d"], ["text_count", "attention_abnormal", "sentiment_mean", "event_f_count", "mention_velocity"]
+_FILLED = " UNION ALL ".join(f"SELECT '{f}' AS f, count(*) FILTER (WHERE {f} <> 0) AS n FROM {table}" for table, names in (("price", _PRICES), ("words", _TEXTS)) for f in names)
 
 
-@query("M02_feature_families", f"""WITH k AS (SELECT f, {_KIND} AS kind FROM (SELECT unnest({_NAMES}) AS f)), m AS (SELECT unnest(['traditional', 'text', 'llm', 'combined', 'traditional_llm', 'all']) AS family)
-SELECT family, f AS feature FROM m, k WHERE family IN (kind, 'all') OR (family = 'combined' AND kind <> 'llm') OR (family = 'traditional_llm' AND kind <> 'text')""")
+def filled_features(spark, sf):
+    """f, n: the features of prices and texts, and in how many rows each is not 0."""
+    count = lambda of, names: QUERIES[of](spark, sf).agg(*(F.count_if(F.col(f) != 0).alias(f) for f in names)).select(F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("n")) for f in names))).alias("x")).select("x.*")
+    return count("W01_returns", _PRICES).unionByName(count("X01_text_window_7d", _TEXTS))
+
+
+@query("M02_feature_families", f"""WITH price AS ({ORACLES['W01_returns']}), words AS ({ORACLES['X01_text_window_7d']}), x AS ({_FILLED}), k AS (SELECT f, n, {_KIND} AS kind FROM x), m AS (SELECT unnest(['traditional', 'text', 'llm', 'combined', 'traditional_llm', 'all']) AS family)
+SELECT family, f AS feature, n FROM m, k WHERE family IN (kind, 'all') OR (family = 'combined' AND kind <> 'llm') OR (family = 'traditional_llm' AND kind <> 'text')""")
 def m02(spark, sf):
-    return spark.createDataFrame([(n, f) for n, fs in models.families(_NAMES).items() for f in fs], "family string, feature string")
+    named = spark.createDataFrame([(n, f) for n, fs in models.families(_PRICES + _TEXTS).items() for f in fs], "family string, f string")
+    return named.join(filled_features(spark, sf), "f").select("family", F.col("f").alias("feature"), "n")
 
 
-@query("G05_feature_catalog", f"SELECT f AS feature FROM (SELECT unnest({_NAMES}) AS f) WHERE {_KIND} = 'text'")
+@query("G05_feature_catalog", f"WITH price AS ({ORACLES['W01_returns']}), words AS ({ORACLES['X01_text_window_7d']}), x AS ({_FILLED}) SELECT f AS feature, n FROM x WHERE {_KIND} = 'text'")
 def g05(spark, sf):
-    return m02(spark, sf).where("family = 'text'").select("feature")
+    return m02(spark, sf).where("family = 'text'").select("feature", "n")
 
 
 @query("M05_evaluation", f"""WITH {BASE}, {LONG}, {SNAP}, {PRED}, {SCORED}, h AS (SELECT *, CASE WHEN dense_rank() OVER (ORDER BY ts DESC) <= 20 THEN 'holdout' ELSE 'development' END AS segment FROM scored),
@@ -175,11 +183,13 @@ def m05(spark, sf):
     return rounded(models.evaluate(s, "segment", "ts"), 4)
 
 
-@query("M08_entry_budget", f"""SELECT TRUE AS round_trip, round({LIM.max_daily_turnover} / 2.25, 9)::DOUBLE AS max_daily_turnover, round({LIM.max_participation_rate} / 1.25, 9)::DOUBLE AS max_participation_rate
-UNION ALL SELECT FALSE, {LIM.max_daily_turnover}::DOUBLE, {LIM.max_participation_rate}::DOUBLE""")
+@query("M08_entry_budget", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, {CHAIN}, e AS (SELECT ts, sum(abs(weight)) AS turnover, max(abs(weight) * 1e6 / dollar_volume) AS participation FROM book WHERE abs(weight) > 1e-12 GROUP BY ts)
+SELECT ts, round(turnover, 6) AS turnover, round(participation, 6) AS participation, turnover <= {LIM.max_daily_turnover} / 2.25 + 1e-9 AND participation <= {LIM.max_participation_rate} / 1.25 + 1e-9 AS round_trip, turnover <= {LIM.max_daily_turnover} + 1e-9 AND participation <= {LIM.max_participation_rate} + 1e-9 AS entry FROM e""")
 def m08(spark, sf):
-    lines = [(trip, *portfolio.entry_budget(LIM, trip).values()) for trip in (True, False)]
-    return rounded(spark.createDataFrame(lines, "round_trip boolean, max_daily_turnover double, max_participation_rate double"), 9)
+    """Which decisions leave room for their exit within the same session, and which for the entry alone."""
+    e = book(spark, sf).groupBy("ts").agg(F.sum(F.abs("weight")).alias("turnover"), F.max("participation").alias("participation"))
+    fits = lambda b: (F.col("turnover") <= b["max_daily_turnover"] + 1e-9) & (F.col("participation") <= b["max_participation_rate"] + 1e-9)
+    return rounded(e.withColumns({"round_trip": fits(portfolio.entry_budget(LIM)), "entry": fits(portfolio.entry_budget(LIM, False))}))
 
 
 @query("M17_selector_matrix", f"""WITH {src.ASSETS}, {src.BARS}, {LABELS}, {MD}, k AS (SELECT *, row_number() OVER (PARTITION BY ts ORDER BY score DESC, asset_id) AS a, row_number() OVER (PARTITION BY ts ORDER BY beta, asset_id) AS b FROM md),
