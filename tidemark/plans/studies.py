@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import core
-from ..operators import audit, market, models, portfolio, textwindow
+from ..operators import audit, lineage, market, models, portfolio, textwindow
 from ..sources import adapters as src
 from .derived import flags
 from .joins import DEC, FUND, SIG, decisions, fundamentals, signals
@@ -299,3 +299,37 @@ def s18(spark, sf):
     at = _folder(spark)
     stores.save_model(models.walk_forward(rows(spark, sf), FEATURES), at, "v 1")
     return rounded(stores.load_model(spark, at, "v 1").select("decision", "feature", "weight"), 4)
+
+
+# A log of each order's study: proposed, compiled, approved, started, completed, frozen, some of which are late, missing, twice there or not what they should be.
+_K = "o_orderkey"
+_EVENTS = {"event_hash": f"'e' || {_K} || ':' || i", "study": f"{_K} % 5000", "seq": f"{_K} * 10 + CASE WHEN i = 2 AND {_K} % 11 = 0 THEN 8 WHEN i = 6 THEN 4 ELSE i END", "kind": "CASE i WHEN 0 THEN 'proposed' WHEN 1 THEN 'compiled' WHEN 2 THEN 'approved' WHEN 3 THEN 'started' WHEN 5 THEN 'frozen' ELSE 'completed' END",
+           "actor": f"CASE WHEN i = 5 AND {_K} % 7 = 0 THEN 'agent' WHEN i IN (2, 5) THEN 'human' ELSE 'system' END", "proposal": f"CASE WHEN i IN (0, 1, 5) THEN 'p' || {_K} END", "definition": f"CASE WHEN i IN (1, 2, 3, 5) THEN 'd' || {_K} || CASE WHEN i = 3 AND {_K} % 13 = 0 THEN 'x' ELSE '' END END",
+           "run": f"CASE WHEN i IN (3, 4, 6) THEN 'r' || {_K} END", "result": f"CASE WHEN i IN (4, 5, 6) THEN 's' || {_K} END", "model": f"CASE WHEN i IN (4, 5, 6) THEN 'm' || {_K} END", "approval": f"CASE WHEN i = 5 THEN 'e' || ({_K} + CASE WHEN {_K} % 19 = 0 THEN 1 ELSE 0 END) || ':2' END",
+           "parent": f"CASE WHEN i > 0 THEN 'e' || {_K} || ':' || CASE i WHEN 6 THEN 3 ELSE i - 1 END END"}
+_THERE = f"(i <> 6 OR {_K} % 17 = 0) AND (i <> 0 OR {_K} % 23 <> 0) AND (i <> 3 OR {_K} % 29 <> 0)"
+_LOG = f"ev AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _EVENTS.items())} FROM orders, (SELECT unnest(range(7)) AS i) WHERE {_THERE})"
+
+
+def study_log(spark, sf):
+    i = t(spark, sf, "orders").select(_K, F.explode(F.sequence(F.lit(0), F.lit(6))).alias("i")).where(_THERE)
+    return i.select(*(F.expr(e).alias(n) for n, e in _EVENTS.items()))
+
+
+@query("G19_lineage_roots", f"""WITH RECURSIVE {_LOG}, up AS (SELECT event_hash, event_hash AS root, 0::BIGINT AS depth, parent FROM ev UNION ALL SELECT up.event_hash, p.event_hash, depth + 1, p.parent FROM up JOIN ev p ON p.event_hash = up.parent)
+SELECT event_hash, arg_max(root, depth) AS root, max(depth) AS depth, CASE WHEN arg_max(coalesce(parent, ''), depth) = '' THEN 'complete' ELSE 'broken' END AS status FROM up GROUP BY event_hash""")
+def g19_roots(spark, sf):
+    return lineage.roots(study_log(spark, sf), "event_hash", "parent")
+
+
+_N = lambda kind, on: f"(SELECT count(*) FROM ev x WHERE x.kind = '{kind}' AND x.study = f.study AND x.seq < f.seq AND {on})"
+_RUN = "x.result = f.result AND x.model = f.model"
+
+
+@query("G19_freeze_violations", f"""WITH {_LOG}, f AS (SELECT * FROM ev WHERE kind = 'frozen'),
+c AS (SELECT f.event_hash, f.actor, {_N('proposed', 'x.proposal = f.proposal')} AS np, {_N('compiled', 'x.proposal = f.proposal AND x.definition = f.definition')} AS nc, {_N('approved', "x.event_hash = f.approval AND x.definition = f.definition AND x.actor = 'human'")} AS na, {_N('completed', _RUN)} AS nd,
+  (SELECT count(*) FROM ev x JOIN ev s ON s.kind = 'started' AND s.study = x.study AND s.run = x.run AND s.seq < x.seq WHERE x.kind = 'completed' AND x.study = f.study AND x.seq < f.seq AND {_RUN}) AS ns,
+  (SELECT count(*) FROM ev x JOIN ev s ON s.kind = 'started' AND s.study = x.study AND s.run = x.run AND s.seq < x.seq AND s.definition = f.definition WHERE x.kind = 'completed' AND x.study = f.study AND x.seq < f.seq AND {_RUN}) AS nm FROM f)
+SELECT event_hash, unnest(list_filter([CASE WHEN actor <> 'human' THEN 'actor' END, CASE WHEN np = 0 THEN 'proposal' END, CASE WHEN nc = 0 THEN 'compile' END, CASE WHEN na = 0 THEN 'approval' END, CASE WHEN nd <> 1 THEN 'completion' END, CASE WHEN nd = 1 AND ns <> 1 THEN 'start' END, CASE WHEN ns = 1 AND nm = 0 THEN 'definition' END], lambda r: r IS NOT NULL)) AS rule FROM c""")
+def g19_violations(spark, sf):
+    return lineage.freeze_violations(study_log(spark, sf))
