@@ -89,3 +89,19 @@ def test_few_ranges_are_read(spark, tmp_path):
     index.append(docs)
     q = spark.createDataFrame([(1, "needle haystack")], "query_id long, text string")
     assert index.search(q, 1).first().id == 777
+
+
+def test_postings_come_in_pieces(spark, tmp_path, monkeypatch):
+    """A task holds a piece of a range at a time; what is found is the same."""
+    from tidemark.operators import lexical
+
+    monkeypatch.setattr(lexical, "PIECE", 60)
+    docs = [(i, f"word{i % 5} and some more of the same {i}") for i in range(-20, 60)]
+    index = LexicalIndex(spark, str(tmp_path / "i"), ids=1024, buckets=2)
+    pieces = lexical.posting_rows(spark.createDataFrame([(i, 0, t) for i, t in docs], "at int, range long, text string").coalesce(1), 2, 5)
+    assert pieces.where("term = 'and'").count() == len(docs) and pieces.agg(F.max("n")).first()[0] == 1
+    index.append(spark.createDataFrame(docs, "id long, text string"))
+    assert {r.term: r.df for r in index.frequencies().collect()} == Counter(g for _, t in docs for g in grams(t))
+    queries = [(1, "word3 and")]
+    got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in index.search(spark.createDataFrame(queries, "query_id long, text string"), 5, first=1).collect())
+    assert got == exhaustive(docs, queries, 5)
