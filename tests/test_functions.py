@@ -96,3 +96,20 @@ def test_costs(spark):
     assert math.isclose(r.commission, 0.5e-4) and math.isclose(r.borrow, 0.4 * 365e-4 * 10 / 365) and math.isclose(r.total, 0.5 * 6e-4 + r.borrow)
     with pytest.raises(ValueError):
         costs.CostModel(commission_bps=-1)
+
+
+def test_few_texts_are_python_objects_at_once():
+    """Of a batch of texts, most stay in Arrow while a few are composed or folded."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = pa.array([f"Straße {i} " * 200 for i in range(3000)])
+    lists = pa.ListArray.from_arrays(pa.array(range(3001), pa.int32()), texts)
+    for of, batch in ((T.nfkc.func, texts), (T.folded.func, lists)):
+        tracemalloc.start()
+        out = of(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(out) == 3000 and peak < texts.nbytes / 3
+    assert out[7].as_py() == ["strasse 7 " * 200]
