@@ -51,3 +51,12 @@ def changed(row, **to):
 def test_freeze_violations(spark, log, broken):
     got = lineage.freeze_violations(spark.createDataFrame(log, SCHEMA)).collect()
     assert {r.rule for r in got} == broken and len(got) == len(broken) and {r.event_hash for r in got} <= {"h5"}
+
+
+def test_one_join_a_round(spark, monkeypatch):
+    """A chain of 33 events takes at most seven rounds of one join each, after the one that finds the parents."""
+    calls, lookup = [], lineage.lookup
+    monkeypatch.setattr(lineage, "lookup", lambda *a: calls.append(1) or lookup(*a))
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(33)], "k long, up long")
+    assert {r.k: (r.root, r.depth) for r in lineage.roots(df, "k", "up").collect()} == {i: (0, i) for i in range(33)}
+    assert len(calls) <= 8

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,18 +34,18 @@ def roots(events: DataFrame, key: str, parent: str) -> DataFrame:
     known = own.select(F.col("k").alias("up"), F.lit(True).alias("there"))
     start = lookup(own, known, "up").select("k", "up", F.coalesce("there", F.lit(False)).alias("there"))
     # Roots point nowhere; all others at a parent that is there.
-    done = settle(start.where("NOT there").select("k", F.col("k").alias("root"), F.lit(0).cast("long").alias("depth"), F.when(F.col("up").isNull(), "complete").otherwise("broken").alias("status")))
-    open_ = settle(start.where("there").select("k", F.col("up").alias("at"), F.lit(1).cast("long").alias("depth")))
-    before = -1
+    up, none = F.col("up"), F.lit(None).cast(own.schema["k"].dataType)
+    root = F.when(~F.col("there"), F.col("k"))
+    status = F.when(~F.col("there"), F.when(up.isNull(), "complete").otherwise("broken"))
+    nodes = settle(start.select("k", F.when(F.col("there"), up).alias("at"), F.col("there").cast("long").alias("depth"), root.alias("root"), status.alias("status")))
+    done, open_, before = nodes.where("at IS NULL"), nodes.where("at IS NOT NULL"), -1
     while (left := open_.count()) and left != before:  # a round that settles nothing has only cycles left, once pointers span all events
-        ended = done.select(F.col("k").alias("at"), "root", F.col("depth").alias("more"), "status")
-        met = lookup(open_, ended, "at")
-        new = settle(met.where(F.col("root").isNotNull()).select("k", "root", (F.col("depth") + F.col("more")).alias("depth"), "status"))
-        step = open_.select(F.col("k").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        rest = met.where(F.col("root").isNull()).select("k", "at", "depth")
-        done, before = done.unionByName(new), left
-        open_ = settle(lookup(rest, step, "at").select("k", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")))
-    return done.unionByName(open_.select("k", F.lit(None).cast(own.schema["k"].dataType).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("cyclic").alias("status"))).withColumnRenamed("k", key)
+        # What an event points at tells its root, or else where to point next: one join a round.
+        ahead = done.unionByName(open_).select(F.col("k").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), "root", "status")
+        met = settle(lookup(open_.select("k", "at", "depth"), ahead, "at").select("k", F.when(F.col("root").isNull(), F.col("next")).alias("at"), (F.col("depth") + F.col("more")).alias("depth"), "root", "status"))
+        done, open_, before = done.unionByName(met.where("at IS NULL")), met.where("at IS NOT NULL"), left
+    cyclic = open_.select("k", none.alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("cyclic").alias("status"))
+    return done.select("k", "root", "depth", "status").unionByName(cyclic).withColumnRenamed("k", key)
 
 
 def freeze_violations(events: DataFrame) -> DataFrame:
@@ -65,15 +66,16 @@ def freeze_violations(events: DataFrame) -> DataFrame:
         on = earlier if more is None else earlier & more
         return own.join(there, "study").where(on & _all(F.col(c) == F.col(f"_{c}") for c in same))
 
-    n = lambda df, name: df.groupBy("event_hash").agg(F.count(F.lit(1)).alias(name))
     completed = settle(count("completed", ["result", "model"]).select("event_hash", F.col("seq").alias("_done"), F.col("run").alias("_run"), "_definition", "study"))
     starts = events.where("kind = 'started'").select("study", "run", "seq", F.col("definition").alias("_begun"))
     started = completed.join(starts, "study").where((F.col("run") == F.col("_run")) & (F.col("seq") < F.col("_done")))
-    begun = started.groupBy("event_hash").agg(F.count(F.lit(1)).alias("starts"), F.bool_and(F.coalesce(F.col("_begun") == F.col("_definition"), F.lit(False))).alias("as_defined"))
     approvals = count("approved", ["definition"], (F.col("hash") == F.col("_approval")) & (F.col("actor") == "human"))
-    facts = own
-    for df in (n(count("proposed", ["proposal"]), "proposals"), n(count("compiled", ["proposal", "definition"]), "compiles"), n(approvals, "approvals"), n(completed, "runs"), begun, events.groupBy("event_hash").agg(F.count(F.lit(1)).alias("hashes"))):
-        facts = facts.join(df, "event_hash", "left")
+    # One row for each match, counted together, so no task sorts the freezes once for each kind.
+    found = {"proposals": count("proposed", ["proposal"]), "compiles": count("compiled", ["proposal", "definition"]), "approvals": approvals, "runs": completed, "starts": started, "hashes": events}
+    defined = F.coalesce(F.col("_begun") == F.col("_definition"), F.lit(False))
+    rows = [df.where(F.col("event_hash").isNotNull()).select("event_hash", F.lit(name).alias("what"), (defined if name == "starts" else F.lit(True)).alias("fits")) for name, df in found.items()]
+    counts = reduce(DataFrame.unionByName, rows).groupBy("event_hash").agg(*(F.count_if(F.col("what") == name).alias(name) for name in found), F.bool_and("fits").alias("as_defined"))
+    facts = own.select("event_hash", "_actor").join(counts, "event_hash", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     rules = {"actor": ~F.col("_actor").eqNullSafe("human"), "event_hash": zero("hashes") != 1, "proposal": zero("proposals") == 0, "compile": zero("compiles") == 0, "approval": zero("approvals") == 0,
              "completion": zero("runs") != 1, "start": (zero("runs") == 1) & (zero("starts") != 1), "definition": (zero("starts") == 1) & ~F.coalesce("as_defined", F.lit(False))}
