@@ -291,3 +291,19 @@ def test_numbers_and_annotations(spark):
     df = spark.createDataFrame([("up 5%, -3.5 and .5; v2.0, 1.2.3, x4 +7", "5% -3.5 7")], "a string, b string")
     r = df.select(T.numeric_tokens(F.col("a")).alias("n"), T.ungrounded(F.array("a"), F.array("b")).alias("u")).first()
     assert r.n == ["5%", "-3.5", ".5", "+7"] and sorted(r.u) == ["+7", ".5"]
+
+
+def test_sketches_leave_no_similar_pair_out(spark):
+    """Items of the same few words share rare ones throughout: similar pairs are all candidates, most others are not."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(90)]
+    rows = [rng.choices(words, k=60) for _ in range(40)]
+    rows += [r[:k] + ["new"] * (k % 7) + r[k:] for r in rows[:20] for k in (30, 55)]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, toks array<string>")
+    similar = {(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows)) if SequenceMatcher(None, rows[a], rows[b], autojunk=False).ratio() >= 0.82}
+    found = {(r.a, r.b) for r in ops.candidates(df, 0.82, True).collect()}
+    assert len(similar) >= 40 and similar <= found and len(found) < 2 * len(similar)
+    s = ops.sketches(df)
+    near = s.select(F.col("id").alias("a"), F.col("sketch").alias("x")).join(s.select(F.col("id").alias("b"), F.col("sketch").alias("y")), F.col("a") < F.col("b")).where(ops.reachable("x", "y", 0.82))
+    near = {(r.a, r.b) for r in near.select("a", "b").collect()}
+    assert similar <= near and len(near) < 2 * len(similar)
