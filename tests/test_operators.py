@@ -1,12 +1,13 @@
 import hashlib
 import math
 import random
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import plans
 from tidemark.functions import text as T
 from tidemark.operators import joins, ledger, models, portfolio, quality
 from tidemark.operators import text as ops
@@ -276,6 +277,44 @@ def test_overlapping_intervals_of_a_century(spark):
     assert joins.overlapping(frame([]), frame(y), ["k"], "a", "b").count() == 0
 
 
+def _joined(plan):
+    """Rows that the joins of an executed plan gave out."""
+    plan = plan.finalPhysicalPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan.plan() if "QueryStage" in plan.nodeName() else plan
+    own = plan.metrics().apply("numOutputRows").value() if "Join" in plan.nodeName() else 0
+    return own + sum(_joined(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def _holdouts(spark, path, n, seed):
+    """Orders of one lineage, target and contract, some twice or with nulls; keys of parts below zero too."""
+    rng = random.Random(seed)
+    orders = [(k, 100 * (k % 7), "O", "1" if k % 31 else None, date.fromordinal(730_000 + rng.randrange(900))) for k in range(n)]
+    lines = [(k, rng.randrange(-60, 200), a + timedelta(rng.choice([-3, 0, 1, 90, 700]))) for k, *_, a in orders for _ in range(rng.randrange(0, 4))]
+    spark.createDataFrame(orders + orders[:20], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate date").write.parquet(f"{path}/orders.parquet")
+    spark.createDataFrame(lines + [(5, None, date.fromordinal(731_000))], "l_orderkey long, l_partkey long, l_shipdate date").write.parquet(f"{path}/lineitem.parquet")
+    end, parts = {}, {}
+    for k, p, b in [*lines, (5, None, date.fromordinal(731_000))]:
+        end[k] = max(end.get(k, b), b)
+        parts.setdefault(k, set()).update([] if p is None else [p % 40 if p >= 0 else -(-p % 40)])
+    rows = [(k, a, end[k], parts[k]) for k, _, _, c, a in orders if c and k in end and a <= end[k]]
+    return {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2] and x[3] & y[3]}
+
+
+def test_holdouts_of_one_lineage_are_joined_as_chunks(spark, tmp_path):
+    want = _holdouts(spark, tmp_path, 2000, 5)
+    df = plans.QUERIES["J18_interval_overlap"](spark, str(tmp_path))
+    got = [(r.k1, r.k2) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20_000
+    assert _joined(df._jdf.queryExecution().executedPlan()) < 15_000  # rows and chunks, not pairs
+
+
+def test_holdouts_in_many_chunks_and_parts(spark, tmp_path, monkeypatch):
+    for name, value in (("CHUNK", 4), ("PART", 8), ("PAIRS", 100)):
+        monkeypatch.setattr(joins, name, value)
+    want = _holdouts(spark, tmp_path, 200, 6)
+    got = [(r.k1, r.k2) for r in plans.QUERIES["J18_interval_overlap"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_pages_follow_sound_cursors_only(spark):
     ranked = spark.createDataFrame([(q, r, 100 * q + r) for q in (1, 2) for r in range(1, 6)], "query_id long, rank int, id long")
     first = ops.page(ranked, spark.createDataFrame([(1, None), (2, None)], "query_id long, cursor string"), "ix", 2)
