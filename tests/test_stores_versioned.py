@@ -105,3 +105,36 @@ def test_postings_come_in_pieces(spark, tmp_path, monkeypatch):
     queries = [(1, "word3 and")]
     got = sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in index.search(spark.createDataFrame(queries, "query_id long, text string"), 5, first=1).collect())
     assert got == exhaustive(docs, queries, 5)
+
+
+def test_pieces_count_every_ngram_of_any_alphabet():
+    """N-grams as numbers, in so many characters that the shorter ones are numbered anew, equal n-grams as strings."""
+    from tidemark.operators import lexical
+
+    rng = random.Random(11)
+    wide = [chr(rng.choice([0x4E00, 0x1F300, 0x60]) + rng.randrange(9000 if rng.random() < 0.9 else 20)) for _ in range(20_000)]
+    texts = ["".join(rng.choices(wide, k=k)) for k in (4000, 1, 900, 2, 12_000)] + ["abab" * 80, "b", "".join(wide)]
+    ids = [0, 3, 4, 700, 701, 4000, 4001, 4095]
+    want = {(g, i): c for i, t in zip(ids, texts, strict=True) for g, c in lexical.counted(t, 1, 5).items()}
+    got = {}
+    for term, most, n, docs, bucket in lexical.piece_rows(texts, ids, 1, 5, 64):
+        assert list(bucket) == sorted(bucket)
+        for cut, m, c in ((docs, term, n), (docs.slice(3), term.slice(3), n[3:])):  # a slice of rows too
+            at, tf = lexical.postings_of(cut, c)
+            of = [t for t, k in zip(m.to_pylist(), c, strict=True) for _ in range(k)]
+            got |= dict(zip(zip(of, at.tolist(), strict=True), tf.tolist(), strict=True))
+        share = {}
+        for t, i in want:
+            share[t] = max(share.get(t, 0), want[t, i] / sum(max(0, len(texts[ids.index(i)]) - k + 1) for k in range(1, 6)))
+        assert all(share[t] <= m <= share[t] * 1.01 for t, m in zip(term.to_pylist(), most.tolist(), strict=True))
+    assert got == want
+
+
+def test_a_stored_text_takes_little_disk(spark, tmp_path):
+    """An index takes a few bytes for each character that it holds."""
+    rng = random.Random(12)
+    syllables = ["an", "the", "tion", "re", "ing", "on", "sh", "ou", " ", "er", "or", ". "]
+    docs = [(i, "".join(rng.choices(syllables, k=1200))) for i in range(900)]
+    LexicalIndex(spark, str(tmp_path / "i")).append(spark.createDataFrame(docs, "id long, text string"))
+    held = sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet"))
+    assert held < 0.8 * sum(len(t) for _, t in docs)
