@@ -138,3 +138,12 @@ def test_a_stored_text_takes_little_disk(spark, tmp_path):
     LexicalIndex(spark, str(tmp_path / "i")).append(spark.createDataFrame(docs, "id long, text string"))
     held = sum(p.stat().st_size for p in (tmp_path / "i").rglob("*.parquet"))
     assert held < 0.8 * sum(len(t) for _, t in docs)
+
+
+def test_documents_of_every_language_are_found(spark, tmp_path):
+    """The stored search leaves no document out, whatever its language."""
+    from tidemark.plans import QUERIES
+
+    spark.createDataFrame([(1, "ganz genau derselbe satz", "de", "s"), (2, "ganz anderer satz", "en", "s"), (3, "ganz genau derselbe", None, "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20, "ganz genau derselbe satz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.id for r in QUERIES["G03_stored_index_search"](spark, str(tmp_path)).orderBy("rank").collect()] == [1, 3, 2]
