@@ -346,3 +346,29 @@ def test_sketches_leave_no_similar_pair_out(spark):
     near = s.select(F.col("id").alias("a"), F.col("sketch").alias("x")).join(s.select(F.col("id").alias("b"), F.col("sketch").alias("y")), F.col("a") < F.col("b")).where(ops.reachable("x", "y", 0.82))
     near = {(r.a, r.b) for r in near.select("a", "b").collect()}
     assert similar <= near and len(near) < 2 * len(similar)
+
+
+def test_large_items_are_pruned_before_their_tokens_travel(spark):
+    """Items of many tokens that share their words, but too few of them, are no candidates."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(1500)]
+    rows = [rng.choices(words, k=3000) for _ in range(60)]
+    rows += [r[:2900] + ["new"] * 100 for r in rows[:5]]
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, toks array<string>")
+    found = {(r.a, r.b) for r in ops.candidates(df, 0.82, True).collect()}
+    assert {(i, 60 + i) for i in range(5)} <= found and len(found) < 20
+
+
+def test_elements_of_many_items_are_met_in_cells(spark, monkeypatch):
+    monkeypatch.setattr(ops, "GROUP", 4)
+    monkeypatch.setattr(ops, "LOOK", 7)
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(40)]
+    rows = [[f"x{rng.randrange(30)}" if rng.random() < 0.04 else w for w in base] for _ in range(50)]
+    df = spark.createDataFrame([(3 * i, r) for i, r in enumerate(rows)], "id long, toks array<string>").repartition(3)
+    near = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.82
+    want = {(3 * i, 3 * j) for i in range(50) for j in range(i + 1, 50) if near(rows[i], rows[j]) and rows[i] != rows[j]}
+    found = [(r.a, r.b) for r in ops.duplicate_pairs(df, 0.82, ratio=False, copies=False).collect()]
+    firsts = {tuple(r): 3 * i for i, r in reversed(list(enumerate(rows)))}
+    want = {(a, b) for a, b in want if a in firsts.values() and b in firsts.values()}
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 300
