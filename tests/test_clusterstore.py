@@ -87,3 +87,21 @@ def test_odd_batches(spark, tmp_path):
         store.append(frame(spark, [(3, "late")]))
     with pytest.raises(ValueError):
         store.append(frame(spark, [(9, "twice"), (9, "twice")]))
+
+
+def test_both_batches_are_cut_at_one_id(spark, monkeypatch):
+    """Every turn is in one of the two batches: the middle is a value, found once, and the turns are read once."""
+    from tidemark.operators import clusterstore
+    from tidemark.plans import QUERIES
+
+    plans, ids, append = [], [], clusterstore.ClusterStore.append
+
+    def seen(self, items):
+        plans.append(items._jdf.queryExecution().optimizedPlan().toString())
+        ids.append({r.id for r in items.select("id").collect()})
+        return append(self, items)
+
+    monkeypatch.setattr(clusterstore.ClusterStore, "append", seen)
+    got = QUERIES["M12_stored_batches"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and not any("percentile" in p for p in plans)
+    assert max(ids[0]) < min(ids[1]) and {r.id for r in got.collect()} == ids[0] | ids[1]
